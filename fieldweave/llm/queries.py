@@ -3,19 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldweave.llm import near_dup
+from fieldweave.llm import language_id, mixture_shards, near_dup, ogg_media
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg_media.media_features(ogg_media.media_column(_documents(spark, sf_dir)))
+
+
+def op6_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixture_shards.interleaved(_documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {"op10_near_duplicates": op10_near_duplicates}
+QUERIES = {
+    "op4_ogg_media": op4_ogg_media,
+    "op6_mixture_shards": op6_mixture_shards,
+    "op8_language_id": op8_language_id,
+    "op10_near_duplicates": op10_near_duplicates,
+}
 
 #: Link closure over exact shingle sets. DuckDB's \\x20\\x09-\\x0D class is spelled out by chr().
 OP10_SQL = r"""
