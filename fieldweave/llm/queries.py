@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import language_id, mixture_shards, near_dup, ogg_media
+from fieldweave.llm import language_id, mixture_shards, near_dup, ogg_media, ppm_scoring
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.media_features(ogg_media.media_column(_documents(spark, sf_dir)))
 
 
+def op5_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scoring.score(_documents(spark, sf_dir))
+
+
 def op6_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = mixture_shards.interleaved(_documents(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -32,6 +36,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_ogg_media": op4_ogg_media,
+    "op5_ppm_scoring": op5_ppm_scoring,
     "op6_mixture_shards": op6_mixture_shards,
     "op8_language_id": op8_language_id,
     "op10_near_duplicates": op10_near_duplicates,
