@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import language_id, mixture_shards, near_dup, ogg_media, ppm_scoring
+from fieldweave.llm import language_id, mixture_shards, near_dup, ogg_media, ppm_scoring, sentencepiece_codec
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(_documents(spark, sf_dir))
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.media_features(ogg_media.media_column(_documents(spark, sf_dir)))
 
@@ -35,6 +39,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_ogg_media": op4_ogg_media,
     "op5_ppm_scoring": op5_ppm_scoring,
     "op6_mixture_shards": op6_mixture_shards,
