@@ -96,11 +96,17 @@ class Words:
             code *= powers(BASE, n)
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(code, out=total[1:])
-            h = (total[self.end] - total[self.start]) * powers(BASE_INV, n)[self.start]
-            self.hash = mix(h + (self.end - self.start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+        self.total = total
+        self.hash = self.spans(self.start, self.end)
         bounds = np.searchsorted(self.start, offs)
         self.first, self.last = bounds[:-1], bounds[1:]
 
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte spans [start, end) of the lower-cased slice."""
+        with np.errstate(over="ignore"):
+            h = (self.total[end] - self.total[start]) * powers(BASE_INV, len(self.low) + 1)[start]
+            return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, first, last): the k-word shingle hashes of each row; a row of fewer words has one of its whole sequence."""
         h, n = self.hash, len(self.hash)
