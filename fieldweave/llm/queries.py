@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import language_id, mixture_shards, near_dup, ogg_media, ppm_scoring, sentencepiece_codec
+from fieldweave.llm import decontamination, language_id, mixture_shards, near_dup, ogg_media, ppm_scoring, quality, sentencepiece_codec
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_documents(spark, sf_dir))
 
@@ -29,6 +33,10 @@ def op6_mixture_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return language_id.identify(docs, language_id.fit(docs))
@@ -39,10 +47,12 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_ogg_media": op4_ogg_media,
     "op5_ppm_scoring": op5_ppm_scoring,
     "op6_mixture_shards": op6_mixture_shards,
+    "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
     "op10_near_duplicates": op10_near_duplicates,
 }
@@ -73,4 +83,42 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN component ON id = doc_id
 """
 
-ORACLE_SQL = {"op10_near_duplicates": OP10_SQL}
+_UNITS = "'" + decontamination.UNITS.replace("|", "','") + "'"
+
+#: The same definition word by word: no look-around is needed where a word sees its neighbours.
+OP7_SQL = rf"""
+WITH plain AS (
+  SELECT 'd' AS side, doc_id AS id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS p FROM documents
+  UNION ALL
+  SELECT 'b', item_id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') FROM benchmark
+), split AS (SELECT DISTINCT side, id, string_split(p, ' ') AS w FROM plain WHERE p <> ''),
+typed AS (
+  SELECT side, id, w, list_transform(w, lambda x, i: CASE
+    WHEN i > 1 AND NOT regexp_matches(w[i - 1], '[.!?]$') AND regexp_matches(x, '^\p{{Lu}}') THEN '<name>'
+    WHEN regexp_full_match(x, '["''(\[$€£+-]*[0-9][0-9.,:/%-]*[)\]"'';!?]*') THEN '<number>'
+    ELSE x END) AS t FROM split
+), canonical AS (
+  SELECT side, id, w, list_transform(t, lambda x, i: CASE
+    WHEN i > 1 AND t[i - 1] = '<number>' AND lower(regexp_replace(x, '[.,;:!?]*$', '')) IN ({_UNITS}) THEN '<unit>'
+    ELSE translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS c FROM typed
+), sizes AS (SELECT DISTINCT least(len(c), 8) AS n FROM canonical WHERE side = 'b'),
+windows AS (
+  SELECT side, id, n, i AS at, c[i:i + n - 1] AS c, w[i:i + n - 1] AS w
+  FROM (SELECT k.*, s.n, unnest(range(1, len(k.c) - s.n + 2)) AS i FROM canonical k JOIN sizes s ON len(k.c) >= s.n AND (k.side = 'd' OR s.n = least(len(k.c), 8)))
+), asked AS (SELECT * FROM windows WHERE side = 'b' AND len(list_filter(c, lambda x: x NOT IN ('<name>', '<number>', '<unit>'))) >= least(4, n)),
+met AS (
+  SELECT d.id AS doc_id, b.id AS item_id, b.at AS item_at, d.at - b.at AS shift,
+         list_filter(list_zip(b.c, b.w, d.w), lambda x: x[1] IN ('<name>', '<number>', '<unit>')) AS slots
+  FROM windows d JOIN asked b ON d.side = 'd' AND d.n = b.n AND d.c = b.c
+), aligned AS (
+  SELECT doc_id, item_id, shift, list(DISTINCT item_at) AS matched, list_distinct(flatten(list(slots))) AS slots
+  FROM met GROUP BY doc_id, item_id, shift
+), consistent AS (
+  SELECT doc_id, item_id, unnest(matched) AS item_at, len(list_filter(slots, lambda x: x[2] <> x[3])) = 0 AS same
+  FROM aligned WHERE len(list_distinct(list_transform(slots, lambda x: [x[1], x[2]]))) = len(slots)
+), usable AS (SELECT id, max(n) AS windows FROM (SELECT id, w_id, count(*) AS n FROM (SELECT id, n AS w_id FROM asked) GROUP BY id, w_id) GROUP BY id)
+SELECT doc_id, item_id, count(DISTINCT item_at) / any_value(windows) AS coverage, CASE WHEN bool_and(same) THEN 'copy' ELSE 'template' END AS kind
+FROM consistent JOIN usable ON id = item_id GROUP BY doc_id, item_id HAVING count(DISTINCT item_at) / any_value(windows) >= 0.5
+"""
+
+ORACLE_SQL = {"op7_decontamination": OP7_SQL, "op10_near_duplicates": OP10_SQL}

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +28,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of narrow keys (a few longs) up to which a side is broadcast: some tens of MB in each executor
+NARROW_ROWS = 1_000_000
+
+
+def narrow(keys: DataFrame) -> DataFrame:
+    """A stored table of a few longs a row, marked for broadcast if its checked count allows; else joins shuffle it."""
+    return F.broadcast(keys) if keys.count() <= NARROW_ROWS else keys
