@@ -2,14 +2,15 @@
 
 1. Each text becomes its set of five-word shingles and a signature of ``BANDS * ROWS`` MinHash values. Texts with the
    same word sequence form a class, represented by its least doc_id, so copies cost one row each from here on.
-2. Banding: representatives that agree on the ``ROWS`` values of a band are candidates. First each bucket is compared
-   with its least member only, which joins the bulk of a large group of copies in linear work.
-3. What is still apart within a bucket is compared in blocks: members outside the hub's component meet all members of
-   the bucket, ``BLOCK`` by ``BLOCK``. No pair of one component is looked at again and no pair leaves a block
-   before it is pruned.
+2. Banding: representatives that agree on the ``ROWS`` values of a band share a bucket, whose least member is its hub. Each
+   representative is first compared with the least of its hubs only, which joins the bulk of a large group of copies in
+   linear work.
+3. What is still apart within a bucket is compared in cells: members outside the hub's component meet all members of
+   the bucket, ``BLOCK`` by ``BLOCK``. Pairs stay inside their cell, as arrays; pairs of one component are not looked at.
 4. Sequential Bayesian verification: signatures are compared batch by batch. With m of n values equal, the posterior of
    the similarity (uniform prior) gives P(similarity >= THRESHOLD); a pair is dropped once that is under ``MISS``.
-5. Survivors are confirmed on their full shingle sets, which are derived again from the texts of just those documents.
+5. Survivors are confirmed on their full shingle sets, which are derived again from the texts of just those documents; a
+   cell gets each set once.
 6. Connected components of the confirmed links.
 
 Defined cases: null or empty text and text without words has no shingles, no links and is its own component; fewer than
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
 from fieldweave.llm.components import connected_components
-from fieldweave.llm.workspace import partitions, stored
+from fieldweave.llm.workspace import narrow, partitions, stored
 
 THRESHOLD = (75, 100)
 ROWS, BANDS = 6, 44
 BATCH = 33
-MISS = 1e-7
+MISS = 1e-4
 BLOCK = 256
 
 _MULS = np.random.default_rng(75100).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) * K.U64(2) + K.U64(1)
@@ -135,6 +136,18 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], names=["x", "y"])
 
 
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of hashes reach the threshold."""
+    num, den = THRESHOLD
+    least, most = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
+    if least == 0 or den * least < num * most:
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (least + most - common)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, sorted distinct shingle hashes as bytes)."""
     for batch in batches:
@@ -146,80 +159,90 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (x, y, set_x, set_y) whose exact similarity reaches the threshold."""
-    num, den = THRESHOLD
     for batch in batches:
-        keep = []
-        for k in range(batch.num_rows):
-            a = np.frombuffer(batch.column(2)[k].as_buffer(), np.uint64)
-            b = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
-            least, most = sorted((len(a), len(b)))
-            if least == 0 or den * least < num * most:
-                continue
-            both = np.concatenate((a, b))
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            if den * common >= num * (least + most - common):
-                keep.append(k)
+        sets = [[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(k)] for k in (2, 3)]
+        keep = [k for k, (a, b) in enumerate(zip(*sets, strict=True)) if similar(a, b)]
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
 
-def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (cell, query): each cell's queries against its targets. Cells are at most a few blocks large."""
-    t = THRESHOLD[0] / THRESHOLD[1]
-
-    def compare(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(cell)
-        ask = np.asarray(table.column("query"))
-        ids, comp, bucket = (np.asarray(table.column(c)) for c in ("id", "component", "bucket"))
-        sig = _unpacked(table.column("sig"), ROWS * BANDS)
-        keys = band_keys(sig)
-        q, to = np.flatnonzero(ask), np.flatnonzero(~ask)
-        found_x, found_y = [], []
-        for x in q:
-            # only in the first band in which the two meet, and only what is still apart
-            others = to[comp[to] != comp[x]]
-            same = keys[others] == keys[x]
-            first = np.where(same.any(axis=1), same.argmax(axis=1), -1)
-            others = others[first == np.flatnonzero(keys[x] == bucket[x])[0]]
-            others = others[surviving(np.broadcast_to(sig[x], (len(others), sig.shape[1])), sig[others], t)]
-            found_x.append(np.full(len(others), ids[x]))
-            found_y.append(ids[others])
-        x = np.concatenate(found_x) if found_x else np.zeros(0, np.int64)
-        y = np.concatenate(found_y) if found_y else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], names=["x", "y"])
-
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of equal ``cell`` of rows sorted by it."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
         cells = np.asarray(batch.column("cell"))
-        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)] if len(cells) else [0]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi == lo:
-                continue
-            if last is not None and cells[lo] != last and held:
-                yield compare(held)
+            if held and cells[lo] != last:
+                yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(lo, hi - lo))
             last = cells[lo]
     if held:
-        yield compare(held)
+        yield pa.Table.from_batches(held)
 
 
-def _sets_of(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Shingle sets of just the documents in ``pairs`` (x, y), derived again from their texts."""
-    needed = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    return documents.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary")
-
-
-def _links(documents: DataFrame, pairs: DataFrame) -> DataFrame:
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each cell, the pairs of its queries and targets that survive, as two arrays."""
+    t = THRESHOLD[0] / THRESHOLD[1]
+    for table in _by_cell(batches):
+        ask = np.asarray(table.column("query"))
+        ids, comp, bucket = (np.asarray(table.column(c)) for c in ("id", "component", "bucket"))
+        sig = _unpacked(table.column("sig"), ROWS * BANDS)
+        keys = band_keys(sig)
+        to = np.flatnonzero(~ask)
+        xs, ys = [], []
+        for x in np.flatnonzero(ask):
+            others = to[comp[to] != comp[x]]
+            same = keys[others] == keys[x]  # a pair counts in the first band in which it meets
+            others = others[same.argmax(axis=1) == np.flatnonzero(keys[x] == bucket[x])[0]]
+            others = others[surviving(np.broadcast_to(sig[x], (len(others), sig.shape[1])), sig[others], t)]
+            xs.append(np.full(len(others), ids[x]))
+            ys.append(ids[others])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+        pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([table.column("cell").combine_chunks()[:1], *(pa.array([pairs[:, k]], pa.list_(pa.int64())) for k in (0, 1))], names=["cell", "xs", "ys"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The confirmed links of each cell, from its pairs and the sets of their members."""
+    for table in _by_cell(batches):
+        sets: dict[int, list[np.ndarray]] = {}
+        pairs: list[tuple[int, int]] = []
+        for batch in table.to_batches():
+            for k in range(batch.num_rows):
+                if batch.column("xs")[k].is_valid:
+                    pairs += zip(batch.column("xs")[k].as_py(), batch.column("ys")[k].as_py(), strict=True)
+                else:
+                    sets.setdefault(batch.column("id")[k].as_py(), []).append(np.frombuffer(batch.column("shingles")[k].as_buffer(), np.uint64))
+        found = [(x, y) for x, y in pairs if any(similar(a, b) for a in sets.get(x, ()) for b in sets.get(y, ()))]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shingle sets of just the documents in ``ids`` (doc_id), derived again from their texts."""
+    ids = narrow(stored(ids.distinct(), "ids"))
+    return documents.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id long, shingles binary")
+
+
+def _near_hub(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) that full shingle sets confirm, as (a, b)."""
-    sets = _sets_of(documents, pairs)
-    both = (
+    sets = stored(_sets_of(documents, pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id")))), "sets")
+    return (
         pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x")), "x")
         .join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("set_y")), "y")
         .select("x", "y", "set_x", "set_y")
+        .mapInArrow(_confirmed, "a long, b long")
     )
-    return both.mapInArrow(_confirmed, "a long, b long")
+
+
+def _within_cells(documents: DataFrame, cells: DataFrame) -> DataFrame:
+    """The pairs of ``cells`` (cell, xs, ys) that full shingle sets confirm, as (a, b)."""
+    wanted = cells.select("cell", F.explode(F.array_distinct(F.concat("xs", "ys"))).alias("id"))
+    sets = _sets_of(documents, wanted.select(F.col("id").alias("doc_id"))).withColumnRenamed("doc_id", "id")
+    rows = wanted.join(sets, "id").select("cell", "id", "shingles").unionByName(cells, allowMissingColumns=True)
+    return rows.repartition(partitions(documents.sparkSession), "cell").sortWithinPartitions("cell").mapInArrow(_settled, "a long, b long")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -231,32 +254,36 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     reps = stored(usable.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")), "classes")
     copies = usable.select("doc_id", "key_a", "key_b").join(reps.where("members > 1"), ["key_a", "key_b"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
 
-    sigs = usable.join(reps, ["key_a", "key_b"]).where("doc_id = id").select("id", "sig").dropDuplicates(["id", "sig"])
-    sigs = stored(sigs, "representatives")
+    firsts = narrow(reps.select("key_a", "key_b", F.col("id").alias("doc_id"), "members"))
+    sigs = usable.join(firsts, ["doc_id", "key_a", "key_b"]).select(F.col("doc_id").alias("id"), "sig", "members")
+    once, again = sigs.where("members = 1").drop("members"), sigs.where("members > 1").drop("members")
+    sigs = stored(once.unionByName(again.dropDuplicates()), "representatives")  # a repeated row stands for itself once
     members = sigs.mapInArrow(_banded, "bucket long, id long")
     hubs = stored(members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     members = stored(members.join(hubs, "bucket"), "members")
 
-    star = members.where("id <> hub").select(F.col("id").alias("x"), F.col("hub").alias("y")).distinct()
+    met = narrow(stored(members.select("id").distinct(), "ids"))
+    sigs = sigs.join(met, "id", "left_semi")
+    near = members.where("id <> hub").groupBy("id").agg(F.min("hub").alias("y")).withColumnRenamed("id", "x")
     sig_x, sig_y = sigs.select(F.col("id").alias("x"), F.col("sig").alias("sig_x")), sigs.select(F.col("id").alias("y"), F.col("sig").alias("sig_y"))
-    star = stored(star.join(sig_x, "x").join(sig_y, "y").select("x", "y", "sig_x", "sig_y").mapInArrow(_pruned, "x long, y long"), "pairs")
-    links = stored(_links(documents, star), "links")
-    joined = stored(connected_components(links), "joined")
+    near = stored(near.join(sig_x, "x").join(sig_y, "y").select("x", "y", "sig_x", "sig_y").mapInArrow(_pruned, "x long, y long"), "pairs")
+    links = stored(_near_hub(documents, near), "links")
+    joined = connected_components(links)
 
-    # What the hubs left apart: members of another component than their bucket's hub meet all of the bucket, in blocks.
-    label = joined.select("id", F.col("component").alias("component"))
+    # What the hubs left apart: members of another component than their bucket's hub meet all of the bucket, in cells.
+    label = joined.select("id", "component")
     named = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     of_hub = label.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
-    named = named.join(of_hub, "hub", "left").withColumn("query", F.col("component") != F.coalesce("hub_component", "hub"))
+    named = named.join(of_hub, "hub", "left").withColumn("query", F.col("component") != F.coalesce("hub_component", "hub")).drop("hub_component")
     asked = named.groupBy("bucket").agg(F.count_if("query").alias("q")).where("q > 0")
-    named = named.join(asked, "bucket").where("n > 2")
+    named = stored(named.join(asked, "bucket"), "apart")
     n_to, n_ask = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("q") / BLOCK).cast("int")
     to = named.select("bucket", "id", "component", F.lit(False).alias("query"), F.pmod(F.xxhash64("id"), n_to).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), n_ask - 1)).alias("a"))
     ask = named.where("query").select("bucket", "id", "component", "query", F.explode(F.sequence(F.lit(0), n_to - 1)).alias("t"), F.pmod(F.xxhash64("id", F.lit(1)), n_ask).cast("int").alias("a"))
     cells = to.unionByName(ask).join(sigs, "id").select(F.xxhash64("bucket", "t", "a").alias("cell"), "bucket", "id", "component", "query", "sig")
     dealt = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell")
-    rest = stored(dealt.mapInArrow(_blocked, "x long, y long").distinct(), "pairs")
-    more = _links(documents, rest)
+    rest = stored(dealt.mapInArrow(_blocked, "cell long, xs array<long>, ys array<long>"), "pairs")
+    more = stored(_within_cells(documents, rest), "links")
 
     whole = connected_components(links.unionByName(more).unionByName(copies)).select(F.col("id").alias("doc_id"), "component")
     return (
