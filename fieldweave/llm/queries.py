@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import decontamination, language_id, mixture_shards, near_dup, ogg_media, ppm_scoring, quality, sentencepiece_codec
+from fieldweave.llm import decontamination, language_id, license_scan, mixture_shards, near_dup, ogg_media, passages, ppm_scoring, quality, sentencepiece_codec
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(_documents(spark, sf_dir))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(_documents(spark, sf_dir))
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_media.media_features(ogg_media.media_column(_documents(spark, sf_dir)))
 
@@ -42,6 +46,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir))
 
@@ -49,11 +57,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_passages": op3_passages,
     "op4_ogg_media": op4_ogg_media,
     "op5_ppm_scoring": op5_ppm_scoring,
     "op6_mixture_shards": op6_mixture_shards,
     "op7_decontamination": op7_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
