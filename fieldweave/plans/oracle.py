@@ -182,4 +182,20 @@ SELECT doc_id, block, d AS delimiter, CAST(hi AS INT) AS columns, n - 1 AS rows
     "w8_line_segments": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents), w AS (SELECT doc_id, line, unnest(string_split(content, ' ')) AS t, unnest(range(len(string_split(content, ' ')))) AS pos FROM l WHERE content <> ''), x AS (SELECT *, (sum(length(t) + 1) OVER (PARTITION BY doc_id, line ORDER BY pos) - length(t) - 1) * 7.0 AS x, length(t) * 7.0 AS width FROM w), y AS (SELECT *, CASE WHEN x - lag(x + width) OVER (PARTITION BY doc_id, line ORDER BY x) > 60 THEN 1 ELSE 0 END AS new FROM x WHERE t <> ''), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, line ORDER BY x) AS BIGINT) AS segment FROM y) SELECT doc_id, CAST(line AS INT) AS line, segment, CAST(min(x) AS DOUBLE) AS x0, CAST(max(x + width) AS DOUBLE) AS x1, count(*) AS n_words FROM s GROUP BY 1, 2, 3",
     "l7_unique_names": "SELECT p_partkey, CASE WHEN n = 1 THEN p_type ELSE p_type || '_' || n END AS unique_name FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) AS n FROM part)",
     "s1_acceptance_windows": f"WITH {LOG} SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS from_ts, source, count(*) FILTER (accepted) AS accepts, count(*) AS n FROM log GROUP BY 1, 2",
+    "p18_best_row_group": "WITH r AS (SELECT event_id, array_to_string(list_filter([CASE WHEN value > 30 THEN 'amount' END, CASE WHEN event_type <> 'error' THEN 'kind' END, CASE WHEN user_id % 2 = 0 THEN 'owner' END], lambda x: x IS NOT NULL), '|') AS signature FROM events), g AS (SELECT signature, count(*) AS n, CASE WHEN signature = 'amount|kind' THEN 5 ELSE 0 END + 2 * len(list_intersect(string_split(signature, '|'), ['kind', 'amount'])) AS score FROM r GROUP BY signature) SELECT event_id, signature FROM r WHERE signature = (SELECT signature FROM g ORDER BY score DESC, n DESC, signature DESC LIMIT 1)",
+    "w4_blocks": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10))) AS line, unnest(range(len(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10))))) AS pos FROM documents), b AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM l) SELECT doc_id, block, count(*) AS lines FROM b WHERE trim(line) <> '' GROUP BY 1, 2",
+    "w10_first_of_equal": "SELECT p_partkey, p_brand, p_type FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_brand), lower(p_type) ORDER BY p_partkey) = 1",
+    "a20_column_types": "WITH c AS (SELECT o_custkey % 50 AS tab, unnest([0, 1, 2, 3]) AS col, unnest(['number', 'date', 'string', CASE WHEN o_orderstatus = 'F' THEN 'number' ELSE 'string' END]) AS kind FROM orders), n AS (SELECT tab, col, count(*) FILTER (kind = 'date') AS d, count(*) FILTER (kind = 'number') AS m, count(*) FILTER (kind = 'string') AS t FROM c GROUP BY 1, 2) SELECT tab AS \"table\", CAST(col AS INT) AS col, CASE WHEN d > 0 AND d >= greatest(m, t) THEN 'date' WHEN m > 0 AND m >= t THEN 'number' ELSE 'text' END AS type FROM n",
+    "a25_dominant_width": "WITH r AS (SELECT doc_id, len(string_split(unnest(string_split(text, chr(10))), ' ')) AS width FROM documents), n AS (SELECT doc_id, width, count(*) AS n FROM r GROUP BY 1, 2) SELECT doc_id, CAST(width AS INT) AS width, n AS rows FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, width DESC) = 1",
+    "a21_repeated_width": "SELECT c_custkey AS doc_id, CAST(4 AS BIGINT) AS width, CAST(1.375 AS DOUBLE) AS score FROM customer WHERE c_custkey % 3 = 0",
+    "m44_structure_changes": "WITH k AS (SELECT CASE WHEN o_orderkey % 10 = 1 THEN 'initial' WHEN o_orderkey % 10 = 2 THEN 'removed' WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM orders) SELECT change, count(*) AS n FROM k GROUP BY change",
+    "m36_fingerprints": "SELECT p_partkey, sha256('[\"' || p_brand || '\",\"' || lower(p_type) || '\",\"' || p_size || '\"]') AS fingerprint FROM part",
+    "sc13_delimiters": "WITH h AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS t FROM documents), c AS (SELECT doc_id, d, k, length(t) - length(replace(t, d, '')) AS n FROM h, (VALUES (0, ';'), (1, chr(9)), (2, ','), (3, '|')) v(k, d)) SELECT doc_id, d AS delimiter FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) = 1",
+    "sc9_usable_text": "SELECT lang, (length(text) >= 80 OR len(string_split(trim(text), chr(10))) >= 3) AND len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) >= 40 AS usable, count(*) AS n FROM documents GROUP BY 1, 2",
+    "j9_item_owners": "WITH i AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'customer' WHEN 'A' THEN 'part' ELSE 'supplier' END AS kind, CASE l_returnflag WHEN 'R' THEN l_orderkey % 1500 WHEN 'A' THEN l_partkey ELSE l_suppkey END AS ref FROM lineitem) SELECT i.*, coalesce(c_name, p_name, s_name, 'none') AS owner FROM i LEFT JOIN customer ON kind = 'customer' AND ref = c_custkey LEFT JOIN part ON kind = 'part' AND ref = p_partkey LEFT JOIN supplier ON kind = 'supplier' AND ref = s_suppkey",
+    "j10_relevant_orders": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority LIKE '1%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
+    "p16_token_users": f"WITH {LOG} SELECT t.token, count(DISTINCT user_id) AS users FROM log, (VALUES ('customer'), ('amount'), ('date'), ('revenue'), ('phone')) t(token) WHERE contains(lower(source), t.token) GROUP BY 1",
+    "t2_pattern_list": f"WITH {STATS}, p AS (SELECT *, {GATES} AS g FROM stats) SELECT source, target, g[1] AS status, support FROM p ORDER BY CASE g[1] WHEN 'shared_promoted' THEN 3 WHEN 'shared_candidate' THEN 2 WHEN 'personal_only' THEN 1 ELSE 0 END DESC, acceptance DESC, support DESC, source, target LIMIT 12",
+    "j3_memory_layers": f"WITH {LOG} SELECT source, count(DISTINCT (user_id, target)) AS remembered, count(*) AS uses, count(*) FILTER (NOT accepted) AS rejected, count(DISTINCT user_id) AS users FROM log GROUP BY source",
+    "u3_united_sheets": "SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, 0.0::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, '', s_acctbal FROM supplier",
 }

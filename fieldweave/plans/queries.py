@@ -17,6 +17,7 @@ from fieldweave.operators import graph as G
 from fieldweave.operators import history as H
 from fieldweave.operators import layout as LY
 from fieldweave.operators import matching as M
+from fieldweave.operators import tables as TB
 from fieldweave.operators import transform as TR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,3 +372,101 @@ def s1_acceptance_windows(table):
     log = FB.correction_log(table("events"))
     w = log.groupBy(F.window("ts", "6 hours").alias("w"), "source").agg(F.count_if("accepted").alias("accepts"), F.count(F.lit(1)).alias("n"))
     return w.select(F.col("w.start").alias("from_ts"), "source", "accepts", "n")
+
+
+@query
+def p18_best_row_group(table):
+    e = table("events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"), F.when(F.col("value") > 30, F.col("value")).alias("amount"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("owner"))
+    return TB.best_row_group(e, ["kind", "amount", "owner"], ["kind", "amount"]).select("event_id", "signature")
+
+
+@query
+def w4_blocks(table):
+    lines = table("documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit("\n\n")), "\n")).alias("pos", "line"))
+    return TB.blocks(lines, "doc_id", "pos", "line").groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query
+def w10_first_of_equal(table):
+    return TB.first_of_equal(table("part").select("p_partkey", "p_brand", "p_type"), [F.lower("p_brand"), F.lower("p_type")], "p_partkey")
+
+
+@query
+def a20_column_types(table):
+    cells = table("orders").select((F.col("o_custkey") % 50).alias("table"), F.posexplode(F.array(F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority"), F.when(F.col("o_orderstatus") == "F", "10,5").otherwise("none"))).alias("col", "value"))
+    return TB.column_types(cells)
+
+
+@query
+def a25_dominant_width(table):
+    rows = table("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.size(F.split("line", " ")).alias("width"))
+    return TB.dominant_width(rows, "doc_id", "width")
+
+
+@query
+def a21_repeated_width(table):
+    c = table("customer").where("c_custkey % 3 = 0")
+    cells = F.flatten(F.array(*[F.array(F.col("c_custkey").cast("string"), F.concat(F.col("c_name"), F.lit(f" {k}")), F.lit(f"2024-01-1{k}"), F.format_string("%.2f", "c_acctbal")) for k in range(3)]))
+    return TB.repeated_width(c.select(F.col("c_custkey").alias("doc_id"), F.posexplode(cells).alias("at", "value")))
+
+
+@query
+def m44_structure_changes(table):
+    o = table("orders")
+    return TB.changes(o.where("o_orderkey % 10 <> 1"), o.where("o_orderkey % 10 <> 2").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))), "o_orderkey", ["o_custkey", "o_orderstatus"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def m36_fingerprints(table):
+    return table("part").select("p_partkey", TB.fingerprint(F.col("p_brand"), F.lower("p_type"), F.col("p_size").cast("string")).alias("fingerprint"))
+
+
+@query
+def sc13_delimiters(table):
+    return table("documents").select("doc_id", TB.delimiter(F.col("text")).alias("delimiter"))
+
+
+@query
+def sc9_usable_text(table):
+    return table("documents").groupBy("lang", TB.usable_text(F.col("text")).alias("usable")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def j9_item_owners(table):
+    kind = F.when(F.col("l_returnflag") == "R", "customer").when(F.col("l_returnflag") == "A", "part").otherwise("supplier")
+    ref = F.when(kind == "customer", F.col("l_orderkey") % 1500).when(kind == "part", F.col("l_partkey")).otherwise(F.col("l_suppkey"))
+    items = table("lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), ref.alias("ref"))
+    return TB.owners(items, {"customer": (table("customer"), "c_custkey", "c_name"), "part": (table("part"), "p_partkey", "p_name"), "supplier": (table("supplier"), "s_suppkey", "s_name")}).fillna("none", ["owner"])
+
+
+@query
+def j10_relevant_orders(table):
+    keys = table("lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")).unionByName(table("orders").where("o_orderpriority like '1%'").select("o_orderkey"))
+    return table("orders").join(keys.distinct(), "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query
+def p16_token_users(table):
+    return TB.token_users(FB.correction_log(table("events")), ["customer", "amount", "date", "revenue", "phone"])
+
+
+@query
+def t2_pattern_list(table):
+    p = FB.promotion(FB.pattern_stats(FB.correction_log(table("events"))))
+    rank = F.when(F.col("status") == "shared_promoted", 3).when(F.col("status") == "shared_candidate", 2).when(F.col("status") == "personal_only", 1).otherwise(0)
+    return p.orderBy(rank.desc(), F.col("acceptance").desc(), F.col("support").desc(), "source", "target").limit(12).select("source", "target", "status", "support")
+
+
+@query
+def j3_memory_layers(table):
+    log = FB.correction_log(table("events"))
+    per = FB.memory(log).groupBy("source").agg(F.count(F.lit(1)).alias("remembered"), F.sum("usage_count").alias("uses"))
+    seen = log.groupBy("source").agg(F.count_if(~F.col("accepted")).alias("rejected"), F.count_distinct("user_id").alias("users"))
+    return per.join(seen, "source")
+
+
+@query
+def u3_united_sheets(table):
+    a = table("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    b = table("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return a.unionByName(b, allowMissingColumns=True).fillna("", ["segment"]).fillna(0.0, ["balance"])
