@@ -198,4 +198,8 @@ SELECT doc_id, block, d AS delimiter, CAST(hi AS INT) AS columns, n - 1 AS rows
     "t2_pattern_list": f"WITH {STATS}, p AS (SELECT *, {GATES} AS g FROM stats) SELECT source, target, g[1] AS status, support FROM p ORDER BY CASE g[1] WHEN 'shared_promoted' THEN 3 WHEN 'shared_candidate' THEN 2 WHEN 'personal_only' THEN 1 ELSE 0 END DESC, acceptance DESC, support DESC, source, target LIMIT 12",
     "j3_memory_layers": f"WITH {LOG} SELECT source, count(DISTINCT (user_id, target)) AS remembered, count(*) AS uses, count(*) FILTER (NOT accepted) AS rejected, count(DISTINCT user_id) AS users FROM log GROUP BY source",
     "u3_united_sheets": "SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, 0.0::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, '', s_acctbal FROM supplier",
+    "w17_form_groups": "SELECT c_custkey AS doc_id, question, o AS option, selected, CASE WHEN selected THEN 0.96 ELSE 0.88 END AS confidence FROM (SELECT c_custkey, 'Which segment?' AS question, 'BUILDING' AS o, c_mktsegment = 'BUILDING' AS selected FROM customer UNION ALL SELECT c_custkey, 'Which segment?', 'MACHINERY', c_mktsegment = 'MACHINERY' FROM customer UNION ALL SELECT c_custkey, 'Which segment?', 'Other', c_nationkey > 12 FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'first', false FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'second', false FROM customer)",
+    "l16_form_answers": "SELECT c_custkey AS doc_id, 'Which segment?' AS question, CASE WHEN c_nationkey > 12 THEN 'ambiguous' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'single' ELSE 'not_found' END AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE '' END AS answer, CASE WHEN c_nationkey > 12 THEN 0.45 WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0.92 ELSE 0.0 END AS confidence FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'not_found', '', 0.0 FROM customer",
+    "m18_draft_names": f"WITH {LOG}, m AS (SELECT user_id, source, target, least(1.0, 0.55 * avg(confidence) + 0.25 * count(*) FILTER (accepted) / count(*) + 0.1 * least(count(*) / 4, 1.0)) AS score FROM log GROUP BY 1, 2, 3), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, target DESC) = 1), w AS (SELECT *, string_split(source, ' ') AS p FROM b) SELECT user_id, source, CASE WHEN user_id % 2 = 0 AND score >= 0.6 THEN target ELSE p[1] || array_to_string(list_transform(p[2:], lambda x: upper(x[1]) || x[2:]), '') END AS name FROM w",
+    "a14_run_quality": "SELECT l_orderkey, greatest(0.0, least(1.0, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.7 WHEN l_linenumber % 2 = 0 THEN 0.4 ELSE 0.0 END) - least(0.08 * max(l_linenumber - 1), 0.35))) AS quality FROM lineitem GROUP BY 1",
 }

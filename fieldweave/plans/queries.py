@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from fieldweave.functions import names as N
 from fieldweave.functions import texts as T
 from fieldweave.functions import values as V
+from fieldweave.operators import drafts as DR
 from fieldweave.operators import evaluation as EV
 from fieldweave.operators import extraction as X
 from fieldweave.operators import feedback as FB
+from fieldweave.operators import forms as FM
 from fieldweave.operators import graph as G
 from fieldweave.operators import history as H
 from fieldweave.operators import layout as LY
@@ -470,3 +472,57 @@ def u3_united_sheets(table):
     a = table("customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     b = table("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     return a.unionByName(b, allowMissingColumns=True).fillna("", ["segment"]).fillna(0.0, ["balance"])
+
+
+def _form_lines(table):
+    """A small form for each customer: a question with three boxes, one without a choice, and a line between."""
+    seg = lambda s: F.concat(F.when(F.col("c_mktsegment") == s, "[x] ").otherwise("[ ] "), F.lit(s))
+    lines = F.array(F.lit("Which segment?"), seg("BUILDING"), seg("MACHINERY"), F.concat(F.when(F.col("c_nationkey") > 12, "☑ ").otherwise("☐ "), F.lit("Other")), F.lit("A line between"), F.lit("[x] stray"), F.lit("Any of these apply:"), F.lit("☐ first"), F.lit("[ ] second"))
+    return table("customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(lines).alias("pos", "line"))
+
+
+@query
+def w17_form_groups(table):
+    return FM.groups(_form_lines(table))
+
+
+@query
+def l16_form_answers(table):
+    return FM.answers(FM.groups(_form_lines(table)), {"building": "B", "machinery": "M", "first": "1"})
+
+
+@query
+def l1_word_lines(table):
+    return FM.lines_of(table("events").select((F.col("user_id") % 20).alias("page"), F.col("event_id").alias("id"), (F.col("event_id") % 300).cast("double").alias("top"), F.col("value").alias("x0")))
+
+
+def _cascade_candidates(table):
+    log = FB.correction_log(table("events"))
+    p = _match_case(table).select("case_id", "target_pos", "target", "source", M.rule(F.col("s"), F.col("t")).alias("rule"))
+    ruled = p.where("rule is not null").select("case_id", "target_pos", "target", "source", F.lit("deterministic").alias("tier"), (1 - F.col("rule.rank") / 10).alias("score"))
+    at = p.select("case_id", "target_pos", "target", "source")
+    m = FB.memory(log)
+    own = m.select(F.col("user_id").alias("case_id"), "source", "target", FB.memory_score(F.col("mean_confidence"), F.col("success_count"), F.col("failure_count"), F.col("usage_count"), F.lit(0)).alias("score"))
+    stats = FB.promotion(FB.pattern_stats(log)).where("status = 'shared_promoted'")
+    shared = stats.select("source", "target", FB.shared_score(F.col("mean_confidence"), F.col("acceptance"), F.col("support"), F.col("users"), F.lit(0)).alias("score"))
+    return ruled.unionByName(at.join(own, ["case_id", "source", "target"]).withColumn("tier", F.lit("personal_memory"))).unionByName(at.join(F.broadcast(shared), ["source", "target"]).withColumn("tier", F.lit("global_pattern")))
+
+
+@query
+def m6_cascade(table):
+    return DR.cascade(_cascade_candidates(table))
+
+
+@query
+def m18_draft_names(table):
+    log = FB.correction_log(table("events"))
+    m = FB.memory(log).withColumn("score", FB.memory_score(F.col("mean_confidence"), F.col("success_count"), F.col("failure_count"), F.col("usage_count"), F.lit(0)))
+    own = m.groupBy("user_id", "source").agg(F.max_by("target", F.struct("score", "target")).alias("target"), F.max("score").alias("score"))
+    cols = own.withColumn("target", F.when(F.col("user_id") % 2 == 0, F.col("target")))
+    return cols.select("user_id", "source", DR.draft_name(F.col("target"), F.when(F.col("target").isNotNull(), F.col("score")), F.lit(None).cast("string"), F.lit(0.0), F.col("source")).alias("name"))
+
+
+@query
+def a14_run_quality(table):
+    band = F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "medium").when(F.col("l_linenumber") % 2 == 0, "low").otherwise("none")
+    return DR.run_quality(table("lineitem").select("l_orderkey", band.alias("band"), (F.col("l_linenumber") - 1).alias("w")), "l_orderkey", "band", F.col("w"))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import names as N
 from fieldweave.functions import values as V
+from fieldweave.operators import drafts as DR
 from fieldweave.operators import feedback as FB
+from fieldweave.operators import forms as FM
 from fieldweave.operators import layout as LY
 from fieldweave.operators import matching as M
 from fieldweave.operators import transform as TR
@@ -131,3 +133,27 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = {(r.from_ts, r.source): (r.accepts, r.n) for r in S.acceptance(FB.correction_log(events)).collect()}
     got = {(r.from_ts, r.source): (r.accepts, r.n) for r in spark.table("windows").collect()}
     assert got and set(got) <= set(whole)
+
+
+def test_cascade_prefers_tiers_and_keeps_rules_sources_free(spark):
+    rows = [
+        (1, 0, "first", "a", "personal_memory", 0.9),
+        (1, 0, "first", "b", "global_pattern", 0.8),
+        (1, 1, "second", "a", "deterministic", 0.9),
+        (1, 2, "third", "c", "global_pattern", 0.5),
+        (1, 3, "fourth", "d", "semantic_graph", 0.8),
+    ]
+    df = spark.createDataFrame(rows, "case_id long, target_pos long, target string, source string, tier string, score double")
+    got = {r.target: (r.source, r.tier) for r in DR.cascade(df).collect()}
+    assert got == {"first": ("b", "global_pattern"), "second": ("a", "deterministic"), "fourth": ("d", "semantic_graph")}
+
+
+def test_forms(spark):
+    lines = ["Residence?", "[x] NO", "☐ YES", "text", "[x] stray"]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "doc_id long, pos int, line string")
+    g = FM.groups(df)
+    assert sorted((r.option, r.selected) for r in g.collect()) == [("NO", True), ("YES", False)]
+    a = FM.answers(g, {"no": "NOWHERE"}).first()
+    assert (a.kind, a.answer, a.confidence) == ("single", "NOWHERE", 0.92)
+    w = spark.createDataFrame([(1, 1, 0.0, 5.0), (1, 2, 3.0, 1.0), (1, 3, 9.0, 0.0)], "page long, id long, top double, x0 double")
+    assert {r.id: r.line for r in FM.lines_of(w).collect()} == {1: 0, 2: 0, 3: 1}
