@@ -28,7 +28,7 @@ from fieldweave.llm import kernels as K
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-SLICE = 2 << 20
+SLICE = 1 << 19
 SPACE = 32
 
 
@@ -195,7 +195,7 @@ class Codec:
         parts, at = [], 0
         while at < len(ranked):  # units of like length together, so that the tables stay small
             longest = int(sizes[ranked[at]])
-            end = at + max(1, min(4_000_000 // (longest + 1), int(np.searchsorted(-sizes[ranked], -(longest // 2), side="right")) - at if longest > 16 else len(ranked)))
+            end = at + max(1, min(1_000_000 // (longest + 1), int(np.searchsorted(-sizes[ranked], -(longest // 2), side="right")) - at if longest > 16 else len(ranked)))
             end = min(end, len(ranked))
             parts.append(self._solve(data, starts[ranked[at:end]], sizes[ranked[at:end]]))
             at = end
