@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
+from fieldweave.llm.workspace import drawn
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
@@ -124,7 +125,7 @@ def fit(documents: DataFrame) -> Model | None:
     """The model of ``documents`` (doc_id, text, lang), without the held-out fold; None if nothing is labelled."""
     spark = documents.sparkSession
     usable = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull() & (F.col("lang") != "") & ~_held_out())
-    ids = usable.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= SAMPLE).select("doc_id").collect()
+    ids = drawn(usable.select("doc_id", "lang"), "lang", SAMPLE).select("doc_id").collect()
     if not ids:
         return None
     chosen = spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long").distinct()

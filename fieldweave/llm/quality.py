@@ -24,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
-from fieldweave.llm.workspace import stored
+from fieldweave.llm.workspace import drawn, stored
 
 BITS = 21
 BUCKETS = 1 << BITS
@@ -36,6 +36,7 @@ SAMPLE = 2500
 LEAST_TEXTS = 4  # sampled texts that must share a feature for it to count
 EPOCHS, RATE, SHRINK = 8, 0.1, 1e-4
 BEGINNINGS = (4, 5, 6, 7)
+CONSTANT = -1000
 FOLDS, HELD_OUT = 5, 4
 INSULTS = ["clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
 #: (share, yes from, no up to) of the mechanical patterns
@@ -169,6 +170,24 @@ class Scorer:
     dense: np.ndarray
     bias: np.ndarray
 
+    def packed(self) -> Iterator[pa.RecordBatch]:
+        """Weights that are not 0 as rows: bucket at or above 0, share below 0, constant far below."""
+        for k in range(2):
+            used = np.flatnonzero(self.weights[k])
+            at = np.concatenate((used, -1 - np.arange(self.dense.shape[1]), [CONSTANT]))
+            weight = np.concatenate((self.weights[k][used].astype(np.float64), self.dense[k], [self.bias[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(weight)], names=["answer", "at", "weight"])
+
+    @classmethod
+    def unpacked(cls, rows: pa.Table) -> Scorer:
+        k, at, weight = (np.asarray(rows.column(c)) for c in ("answer", "at", "weight"))
+        out = cls(np.zeros((2, BUCKETS + 1), np.float32), np.zeros((2, len(RULES) + 1)), np.zeros(2))
+        word, share, constant = at >= 0, (at < 0) & (at > CONSTANT), at == CONSTANT
+        out.weights[k[word], at[word]] = weight[word]
+        out.dense[k[share], -1 - at[share]] = weight[share]
+        out.bias[k[constant]] = weight[constant]
+        return out
+
     def probabilities(self, f: Facts) -> np.ndarray:
         z = np.zeros((2, len(f.n)))
         per_word = np.zeros((2, len(f.core)), np.float32)
@@ -232,7 +251,7 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, buf, offs in K.slices(batch.column(2)):
+        for lo, hi, buf, offs in K.slices(batch.column(3)):
             f = Facts(buf, offs)
             grams, dense = list(f.buckets()), dense_features(f)
             at, values = [], []
@@ -243,11 +262,20 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(found[keep].astype(np.int32))
                 values.append((n[keep] / np.sqrt(max(1, z - a))).astype(np.float32))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(list(dense), pa.list_(pa.float64()))],
-                names=["doc_id", "stratum", "buckets", "shares", "dense"],
+                [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1, 2)), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(list(dense), pa.list_(pa.float64()))],
+                names=["doc_id", "low", "toxic", "buckets", "shares", "dense"],
             )
 
 
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, answers = [], []
+    for batch in batches:
+        rows += [tuple(np.asarray(batch.column(c)[k].values) for c in ("buckets", "shares", "dense")) for k in range(batch.num_rows)]
+        answers.append(np.stack([np.asarray(batch.column(c)) for c in ("low", "toxic")], axis=1))
+    if rows:
+        yield from train(rows, np.concatenate(answers)).packed()
+
+
 def _posteriors(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """patterns: columns of the labellers, then reviewers' quality and toxicity -> posteriors (low quality, toxic)."""
     q, n = QUALITY_LABELLERS, QUALITY_LABELLERS + INSULT_LABELLERS
@@ -280,15 +308,16 @@ def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
     post = _posteriors(np.array([np.frombuffer(k, np.int8) for k in keys]), np.asarray(counted.column("n")))
     table = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(keys, post, strict=True)], "votes binary, low double, toxic double")
 
+    # The fit is one task over at most 3 * SAMPLE texts; it sends back its weights, so the driver never holds the sample.
     stratum = F.when(F.col("toxic") > 0.5, 2).when(F.col("low") > 0.5, 1).otherwise(0)
-    drawn = voted.where("doc_id is not null").join(F.broadcast(table), "votes").withColumn("stratum", stratum)
-    first = Window.partitionBy("stratum").orderBy(F.col("reviewed").desc(), F.xxhash64("doc_id"), "doc_id")
-    chosen = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE).select("doc_id", "low", "toxic", "stratum").toArrow()  # 3 * SAMPLE rows at most
-    answer = {d: (a, b) for d, a, b in zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "low", "toxic")), strict=True)}
-    ids = spark.createDataFrame(sorted({(d, s) for d, s in zip(chosen.column("doc_id").to_pylist(), chosen.column("stratum").to_pylist(), strict=True)}), "doc_id long, stratum int")
-    bags = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "stratum", "text").mapInArrow(_sampled, "doc_id long, stratum int, buckets array<int>, shares array<float>, dense array<double>").toArrow().sort_by([("doc_id", "ascending"), ("stratum", "ascending")])
-    rows = [tuple(np.asarray(bags.column(c)[k].values) for c in ("buckets", "shares", "dense")) for k in range(bags.num_rows)]
-    scorer = train(rows, np.array([answer[d] for d in bags.column("doc_id").to_pylist()]))
+    drawn_from = voted.where("doc_id is not null").join(F.broadcast(table), "votes").withColumn("stratum", stratum)
+    # reviewed texts first: both kinds are drawn on their own, then the reviewed ones are kept and the others fill up
+    both = drawn(drawn_from.withColumn("kind", F.concat_ws("/", "stratum", "reviewed")), "kind", SAMPLE)
+    chosen = drawn(both, "stratum", SAMPLE, first=[F.col("reviewed").desc()]).select("doc_id", "low", "toxic").toArrow()  # 3 * SAMPLE rows at most
+    rows = sorted(set(zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "low", "toxic")), strict=True)))
+    ids = spark.createDataFrame(rows, "doc_id long, low double, toxic double")
+    bags = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "low", "toxic", "text").mapInArrow(_sampled, "doc_id long, low double, toxic double, buckets array<int>, shares array<float>, dense array<double>")
+    scorer = Scorer.unpacked(bags.repartition(1).sortWithinPartitions("doc_id", "low", "toxic").mapInArrow(_fitted, "answer int, at long, weight double").toArrow())
     shared = spark.sparkContext.broadcast(scorer)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

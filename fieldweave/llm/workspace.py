@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,16 @@ NARROW_ROWS = 1_000_000
 def narrow(keys: DataFrame) -> DataFrame:
     """A stored table of a few longs a row, marked for broadcast if its checked count allows; else joins shuffle it."""
     return F.broadcast(keys) if keys.count() <= NARROW_ROWS else keys
+
+
+def drawn(rows: DataFrame, by: str, n: int, first: list | None = None) -> DataFrame:
+    """At most ``n`` rows of each ``by``, those of the least hash of doc_id (after the order ``first``, if given).
+
+    Rows are thinned by the hash to a little over n of each stratum before they are ranked, so that ranking never gathers a stratum
+    that grows with the table. ``rows`` is read twice.
+    """
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_of"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    thin = rows.join(narrow(counts), by).where(place * F.col("_of") < n + 6 * n**0.5 + 20)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*(first or []), place, "doc_id"))
+    return thin.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n", "_of")
