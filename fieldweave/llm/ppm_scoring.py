@@ -7,8 +7,10 @@ predicted in the next shorter context, from whose counts the symbols already ref
 spaces, and of its end.
 
 Counting: each task sums the n-grams of its texts in Python, Spark sums those sums. All shorter contexts follow from the
-longest. The trie goes to the tasks whole, so its size is bounded by rule: an n-gram of order 2 or more is kept if its count is at least
-total / CAPACITY, which at most ORDER * CAPACITY n-grams can reach at any corpus size; what is cut is predicted by escape.
+longest. The counts stay in tables, whole: nothing learned is cut. The longest n-grams with at least total / CAPACITY occurrences (at
+most CAPACITY of them) go to the tasks with their log10 probability; each other one of a text is looked up by a join, and by
+that rule no learned key is hot. N-grams that were not learned go down the orders once for each distinct one, by joins
+with the counts of every order (``escaped``).
 
 The unigram base needs the count of every token. Tokens with at least N / CAPACITY occurrences (at most CAPACITY of
 them) go to the tasks; each other token of a text is looked up by a join on its hash, and by that rule no such key is hot.
@@ -26,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
-from fieldweave.llm.workspace import stored
+from fieldweave.llm.workspace import narrow, stored
 
 ORDER = 5
 CAPACITY = 1 << 22
@@ -172,7 +174,7 @@ class Level:
 
 
 class Trie:
-    """A byte-context trie in sorted arrays, one level for each order from 0."""
+    """A byte-context trie in sorted arrays, one level for each order from 0: what the tables hold, for counts that fit in one process."""
 
     def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]]):
         self.order = len(counted) - 1
@@ -229,25 +231,64 @@ def _arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(t.column("key")).view(np.uint64), np.asarray(t.column("count"))
 
 
-def levels(grams: DataFrame, order: int = ORDER, capacity: int = CAPACITY) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts by order from the sums (key, count) of the longest n-grams: shorter ones are summed over all of them, then cut by rule."""
-    total = grams.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    out = []
-    for k in range(order, -1, -1):
-        if k < order:
-            grams = grams.groupBy((F.col("key").bitwiseAND((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("count").alias("count"))
-        out.append(_arrays(grams.where(F.col("count") >= (total / capacity if k >= 2 else 0))))
-    return out[::-1]
+def _low(key: str, order: int) -> Column:
+    """The last ``order`` + 1 bytes of a key."""
+    return F.col(key).bitwiseAND((1 << (8 * (order + 1))) - 1)
 
 
-_ready: dict[str, Trie] = {}
+def levels(grams: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """Counts (key, count) by order from those of the longest n-grams, all of them."""
+    out = [grams]
+    for k in range(order - 1, -1, -1):
+        grams = stored(grams.groupBy(_low("key", k).alias("key")).agg(F.sum("count").alias("count")), f"order{k}")
+        out.append(grams)
+    return out[::-1]
 
 
-def _trie(name: str, counted: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-    """The trie, built once in each Python worker."""
+def learned(grams: DataFrame) -> DataFrame:
+    """key, count and value (log10 of the probability in its own context) of the longest n-grams."""
+    by = grams.groupBy(F.shiftright("key", 8)).agg(F.sum("count").alias("total"), F.collect_list(F.struct("key", "count")).alias("symbols"))
+    by = by.select("total", F.size("symbols").alias("kinds"), F.explode("symbols").alias("s"))
+    return by.select("s.key", "s.count", F.log10(F.col("s.count") / (F.col("total") + F.col("kinds"))).alias("value"))
+
+
+def escaped(asked: DataFrame, counts: list[DataFrame]) -> DataFrame:
+    """key and value of distinct longest n-grams (key) that were not learned: at each order, the contexts asked for are summed up."""
+    state = asked.select("key", F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("spent"), F.lit(0).cast("long").alias("refused"), F.lit(0).cast("long").alias("gone"))
+    for k in range(len(counts) - 1, -1, -1):
+        level = narrow(counts[k])
+        state = state.withColumn("own", _low("key", k)).withColumn("context", F.shiftright("own", 8))
+        here = state.where("value is null").select("context").distinct()
+        members = counts[k].withColumn("context", F.shiftright("key", 8)).join(here, "context", "left_semi")
+        if k:
+            below = narrow(counts[k - 1]).select(F.col("key").alias("shorter"), F.col("count").alias("below"))
+            members = members.withColumn("shorter", _low("key", k - 1)).join(below, "shorter")
+        else:
+            members = members.withColumn("below", F.lit(0))
+        contexts = stored(members.groupBy("context").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("below").alias("excluded")), "contexts")
+        state = state.join(narrow(contexts), "context", "left").join(level.select(F.col("key").alias("own"), "count"), "own", "left")
+        left = F.col("kinds") - F.col("refused")
+        whole = F.col("total") - F.col("gone") + left
+        escape = F.col("kinds").isNotNull() & F.col("count").isNull()
+        state = state.select(
+            "key",
+            F.coalesce("value", F.when(F.col("count").isNotNull(), F.col("spent") + F.log10(F.col("count") / whole))).alias("value"),
+            F.when(escape & (left > 0), F.col("spent") + F.log10(left / whole)).otherwise(F.col("spent")).alias("spent"),  # with all symbols excluded the escape is certain
+            F.when(escape, F.col("kinds")).otherwise(F.col("refused")).alias("refused"),
+            F.when(escape, F.col("excluded")).otherwise(F.col("gone")).alias("gone"),
+        )
+        state = stored(state, "escaped")
+    return state.select("key", F.coalesce("value", F.col("spent") - F.log10(F.greatest(SYMBOLS - F.col("refused"), F.lit(1)))).alias("value"))
+
+
+_ready: dict[str, HashTable] = {}
+
+
+def _table(name: str, keys: np.ndarray, values: np.ndarray) -> HashTable:
+    """The hot n-grams' table, built once in each Python worker."""
     if name not in _ready:
         _ready.clear()
-        _ready[name] = Trie(counted)
+        _ready[name] = HashTable(keys, values)
     return _ready[name]
 
 
@@ -267,23 +308,28 @@ def score(documents: DataFrame) -> DataFrame:
     sums = stored(sums, "counts")
     tokens = sums.where("kind = 1").select("key", "count")
     total, distinct = tokens.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    counted = levels(sums.where("kind = 0").select("key", "count"))
+    grams = sums.where("kind = 0").select("key", "count")
+    n_grams = grams.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    values = stored(learned(grams), "values")
+    often = F.col("count") >= n_grams / CAPACITY
+    known = values.where(often).select("key", "value").toArrow()
+    end = tokens.where(F.col("key") == int(END_TOKEN.view(np.int64))).first()
+    end_known, end_log = end is not None, float(np.log10((end["count"] if end else 0) + 0.5))
     hot, hot_counts = _arrays(tokens.where(F.col("count") >= total / CAPACITY))
     by = np.argsort(hot)
-    shared = spark.sparkContext.broadcast((counted, hot[by], np.log10(hot_counts[by] + 0.5)))
+    shared = spark.sparkContext.broadcast((np.asarray(known.column("key")).view(np.uint64), np.asarray(known.column("value")).astype(np.float32), hot[by], np.log10(hot_counts[by] + 0.5)))
     name = uuid.uuid4().hex
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, hot, logs = shared.value
-        trie = _trie(name, grams)
-        at = int(np.searchsorted(hot, END_TOKEN))
-        end_known = at < len(hot) and hot[at] == END_TOKEN
-        end_log = float(logs[at]) if end_known else float(np.log10(0.5))
+        keys, log10, hot, logs = shared.value
+        table = _table(name, keys, log10)
         for batch in batches:
             for lo, hi, buf, offs in K.slices(batch.column(2), SLICE):
                 here, bounds = symbols(buf, offs)
-                value = np.add.reduceat(trie.log10(here), bounds[:-1])
+                value, is_known = table.find(here)
+                value = np.add.reduceat(value.astype(np.float64), bounds[:-1])
+                cold = np.concatenate(([0], np.cumsum(~is_known)))[bounds].astype(np.int32)
                 w = K.Words(buf, offs)
                 at = np.minimum(np.searchsorted(hot, w.hash), max(0, len(hot) - 1))
                 is_hot = hot[at] == w.hash if len(hot) else np.zeros(len(w.hash), bool)
@@ -298,17 +344,24 @@ def score(documents: DataFrame) -> DataFrame:
                         pa.array(n_hot + int(end_known)),
                         pa.array(hot_sum + end_log),
                         pa.ListArray.from_arrays(pa.array(rare), pa.array(w.hash[~is_hot].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(cold), pa.array(here[~is_known].view(np.int64))),
                         pa.array(value),
                         pa.array(np.diff(bounds).astype(np.int64)),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "rare", "score", "n_symbols"],
+                    names=["doc_id", "held_out", "n_tokens", "n_hot", "hot_sum", "rare", "cold", "hot_score", "n_symbols"],
                 )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, rare array<long>, score double, n_symbols long"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_hot long, hot_sum double, rare array<long>, cold array<long>, hot_score double, n_symbols long"
     rows = stored(docs.select("doc_id", "held_out", "text").mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("key"))
     looked = rare.join(tokens, "key", "left").groupBy("row").agg(F.sum(F.log10(F.coalesce("count", F.lit(0)) + 0.5)).alias("rare_sum"), F.count("count").alias("n_rare"))
-    return rows.drop("rare").join(looked, "row", "left").select(
+
+    seldom = values.where(~often).select("key", "value")
+    new = rows.where("held_out").select(F.explode("cold").alias("key")).distinct().join(seldom, "key", "left_anti")
+    seldom = seldom.unionByName(escaped(stored(new, "new"), levels(grams)))
+    cold = rows.select("row", F.explode("cold").alias("key")).join(seldom, "key").groupBy("row").agg(F.sum("value").alias("cold_score"))
+    rows = rows.drop("rare", "cold").join(looked, "row", "left").join(cold, "row", "left").withColumn("score", F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0)))
+    return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",

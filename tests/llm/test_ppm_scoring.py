@@ -98,6 +98,14 @@ def test_rare_tokens_are_joined_and_model_beats_the_base(spark, monkeypatch, cap
         assert sum(r.score for r in got.values() if r.held_out) > sum(r.base_score for r in got.values() if r.held_out)
 
 
+@pytest.mark.parametrize("capacity", [3, 30])
+def test_rare_ngrams_are_joined_not_cut(spark, monkeypatch, capacity):
+    monkeypatch.setattr(P, "CAPACITY", capacity)
+    rows = [(k, f"The cat {'sat' * (k % 3)} on mat {k % 5}\n\tAnd  ran {'far' if held(k) else 'near'}.") for k in range(30)] + [(40, None), (41, ""), (43, "qz! жук 中"), (None, "the cat")]
+    rows += [(next(i for i in range(50, 99) if held(i)), "the mat sat жк qz zq 中中")]
+    same(spark, rows, P.score(spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")).collect())
+
+
 def test_probabilities_sum_to_one():
     levels, texts = [], ["abracadabra", "abra cad", "bra"]
     P_order = 2
