@@ -2,12 +2,14 @@
 
 A text and a license template are aligned on anchors: words that occur once in the text's region and once in the template. The longest
 increasing subsequence of anchors is kept, and the gaps between them are aligned again in the same way, after equal words at a
-gap's ends; a gap without anchors that is small is aligned by its longest common subsequence. Coverage is the share of the
+gap's ends; a gap without anchors is aligned by its longest common subsequence. Coverage is the share of the
 template's words that are aligned.
 
 Regions: a license can only reach ``COVERAGE`` if at least one of its telling words is matched (its rarest words that make up
 more than 1 - COVERAGE of it), so only the surroundings of telling words are aligned. Regions of one template that touch are one;
 what the alignment found is then taken out and the rest of the region is aligned again, so that repeated notices are counted.
+Where telling words stand more often than in the template, the region may hold several copies, whose words hide each other's anchors: there
+a window of about one template length around every place where a telling word would begin a copy is aligned first.
 
 Defined cases: null or empty text has no license; words are compared without marks around them and without case (A-Z); of templates whose
 matched stretches overlap, that with more matched words is reported, then the one of higher coverage, then the first by
@@ -29,7 +31,6 @@ from fieldweave.llm import kernels as K
 from fieldweave.llm.license_texts import TEMPLATES
 
 COVERAGE = 0.8
-SMALL_GAP = 4096  # cells of a gap's table
 EVERYDAY = {"a", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with", "you", "under", "work", "not", "if", "see", "all", "free", "can", "may", "use"}
 
 _solid = np.zeros(256, bool)
@@ -69,22 +70,26 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short lists, as index pairs."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
+    """A longest common subsequence of two lists, as index pairs: a row of the table is one integer of len(b) bits, unset where it steps up."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    rows = []
+    for x in a:
+        u = row & masks.get(x, 0)
+        row = ((row + u) | (row - u)) & full
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
             out.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    return out[::-1]
 
 
 def aligned(text: list[int], template: list[int]) -> list[tuple[int, int]]:
@@ -105,8 +110,7 @@ def aligned(text: list[int], template: list[int]) -> list[tuple[int, int]]:
         place = {template[j]: j for j in range(c, d) if there[template[j]] == 1}
         anchors = increasing([(i, place[text[i]]) for i in range(a, b) if here[text[i]] == 1 and text[i] in place])
         if not anchors:
-            if (b - a) * (d - c) <= SMALL_GAP:
-                out += [(a + i, c + j) for i, j in _common(text[a:b], template[c:d])]
+            out += [(a + i, c + j) for i, j in _common(text[a:b], template[c:d])]
             continue
         out += anchors
         for (i, j), (x, y) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
@@ -128,6 +132,43 @@ class Template:
                 break
             telling.add(self.words[k])
         self.telling = np.array(sorted(telling), np.uint64)
+        self.places: dict[int, list[int]] = {}
+        for j, x in enumerate(self.words):
+            if x in telling:
+                self.places.setdefault(x, []).append(j)
+
+
+def _drawn_in(text: list[int], pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same template words on the equal text words nearest to the middle pair: a copy does not end in its neighbour."""
+    out, mid = list(pairs), len(pairs) // 2
+    for k in range(mid + 1, len(out)):
+        out[k] = (text.index(text[out[k][0]], out[k - 1][0] + 1), out[k][1])
+    for k in range(mid - 1, -1, -1):
+        i = out[k + 1][0] - 1
+        while text[i] != text[out[k][0]]:
+            i -= 1
+        out[k] = (i, out[k][1])
+    return out
+
+
+def _copy(words: list[int], places: list[int], t: Template, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The aligned pairs (places in ``words``) of the first copy in a region whose telling words repeat; none if there is no such copy."""
+    n, out = len(t.words), []
+    here = places[bisect_left(places, lo) : bisect_left(places, hi)]
+    if all(k <= len(t.places[x]) for x, k in Counter(words[p] for p in here).items()):
+        return out
+    step, margin = max(1, n // 8), n // 4 + 1
+    for start in sorted({(p - j) // step * step for p in here for j in t.places[words[p]]}):
+        a, b = max(lo, start - margin), min(hi, start + n + step + margin)
+        while b - a >= COVERAGE * n:
+            pairs = _tight(_drawn_in(words[a:b], aligned(words[a:b], t.words)), 2 * n)
+            if len(pairs) < COVERAGE * n or len(pairs) <= len(out):
+                break
+            out = [(a + i, j) for i, j in pairs]
+            a, b = max(lo, out[0][0] - margin), min(hi, out[-1][0] + 1 + margin)
+        if out:
+            break
+    return out
 
 
 def scan_words(words: list[int], telling: dict[str, list[int]], templates: dict[str, Template]) -> list[tuple[str, float, int, int, int]]:
@@ -142,19 +183,22 @@ def scan_words(words: list[int], telling: dict[str, list[int]], templates: dict[
                 regions[-1][1] = min(len(words), p + reach)
             else:
                 regions.append([max(0, p - reach), min(len(words), p + reach)])
-        while regions:
-            lo, hi = regions.pop()
-            pairs = aligned(words[lo:hi], t.words)
-            pairs = _tight(pairs, 2 * len(t.words))
+        todo = [(lo, hi, True) for lo, hi in regions]
+        while todo:
+            lo, hi, several = todo.pop()
+            pairs = [(i - lo, j) for i, j in _copy(words, places, t, lo, hi)] if several else []
+            windowed = bool(pairs)
+            if not windowed:
+                pairs = _tight(aligned(words[lo:hi], t.words), 2 * len(t.words))
             if len(pairs) < COVERAGE * len(t.words):
                 # repeated words can hide all anchors: halves that each hold telling words are tried alone
                 if hi - lo > 2 * reach:
                     mid = (lo + hi) // 2
-                    regions += [[lo, min(hi, mid + len(t.words))], [max(lo, mid - len(t.words)), hi]]
+                    todo += [(lo, min(hi, mid + len(t.words)), False), (max(lo, mid - len(t.words)), hi, False)]
                 continue
             first, end = lo + pairs[0][0], lo + pairs[-1][0] + 1
             found.append((name, len(pairs) / len(t.words), len(pairs), first, end))
-            regions += [r for r in ([lo, first], [end, hi]) if r[1] - r[0] >= COVERAGE * len(t.words)]
+            todo += [r for r in ((lo, first, several and not windowed), (end, hi, several)) if r[1] - r[0] >= COVERAGE * len(t.words)]
     found.sort(key=lambda r: (-r[2], -r[1], r[0], r[3]))
     kept: list[tuple[str, float, int, int, int]] = []
     for r in found:

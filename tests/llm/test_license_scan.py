@@ -54,6 +54,26 @@ def test_notices_texts_and_odd_rows(spark):
     assert scan(spark, []) == [] and scan(spark, [(1, notice)], templates={"x": "other words entirely"}) == []
 
 
+def test_copies_in_a_row_are_all_found(spark):
+    for name, text in TEMPLATES.items():
+        n = len(text.split())
+        few = " ".join(w for k, w in enumerate(text.split()) if n < 20 or k % 12 != 5)
+        m = len(few.split())
+        got = scan(spark, [(k, "one two three four five " + " ".join([t] * k) + " six seven eight nine ten") for k, t in ((2, text), (3, text))] + [(4, " ".join([few] * 4))], templates={name: text})
+        assert sorted((r[0], *r[2:]) for r in got if r[0] < 4) == [(c, 1.0, 5 + k * n, 5 + (k + 1) * n) for c in (2, 3) for k in range(c)]
+        ends = sorted(r[3:] for r in got if r[0] == 4)  # a word that a copy lacks may be the neighbour's
+        assert len(ends) == 4 and all(abs(a - k * m) <= 0.15 * n and abs(b - (k + 1) * m) <= 0.15 * n for k, (a, b) in enumerate(ends))
+
+
+def test_longest_common_subsequence_of_repeated_words():
+    rnd = random.Random(2)
+    for _ in range(200):
+        a, b = ([rnd.randrange(6) for _ in range(rnd.randrange(1, 90))] for _ in range(2))
+        pairs = L._common(a, b)
+        assert len(pairs) == lcs(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 def test_query_finds_all_notices_of_the_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {(r.doc_id, r.license) for r in queries.QUERIES["op9_license_scan"](spark, SF).collect()}
