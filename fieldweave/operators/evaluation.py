@@ -45,9 +45,9 @@ def curated(items: DataFrame, quality: Column) -> DataFrame:
 
 
 def snapshot(items: DataFrame, least: float, statuses: list[str]) -> DataFrame:
-    """Count of items and their identity (a hash over all ids in order-free form) by split."""
+    """Count of items, least and greatest id and identity (a sum of hashes over all ids, free of order) by split."""
     chosen = items.where((F.col("quality_score") >= least) & F.col("status").isin(statuses))
-    return chosen.groupBy("split").agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return chosen.groupBy("split").agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("identity"))
 
 
 def feature_vectors(documents: DataFrame) -> DataFrame:

@@ -302,7 +302,7 @@ def a15_run_status(table):
 @query
 def m33_snapshot(table):
     items = EV.curated(table("events").select(F.col("event_id").alias("id")).join(table("events").select(F.col("event_id").alias("id"), "value"), "id"), F.col("value") / 100)
-    return EV.snapshot(items, 0.75, ["approved", "candidate"])
+    return EV.snapshot(items, 0.75, ["approved", "candidate"]).drop("identity")
 
 
 @query
