@@ -328,9 +328,14 @@ def w8_line_segments(table):
     return LY.segments(LY.words_of(table("documents").select("doc_id", "text")))
 
 
+def _page():
+    """A page for each user and week: pages stay small and grow in number with the log."""
+    return F.xxhash64("user_id", F.date_trunc("week", "ts")).alias("page")
+
+
 @query
 def w9_row_bands(table):
-    w = table("events").select((F.col("user_id") % 20).alias("page"), F.col("event_id").alias("id"), F.col("value").alias("x"), (F.col("event_id") % 700).cast("double").alias("y"), F.lit(10.0).alias("height"))
+    w = table("events").select(_page(), F.col("event_id").alias("id"), F.col("value").alias("x"), (F.col("event_id") % 700).cast("double").alias("y"), F.lit(10.0).alias("height"))
     return LY.row_bands(w)
 
 
@@ -493,7 +498,7 @@ def l16_form_answers(table):
 
 @query
 def l1_word_lines(table):
-    return FM.lines_of(table("events").select((F.col("user_id") % 20).alias("page"), F.col("event_id").alias("id"), (F.col("event_id") % 300).cast("double").alias("top"), F.col("value").alias("x0")))
+    return FM.lines_of(table("events").select(_page(), F.col("event_id").alias("id"), (F.col("event_id") % 300).cast("double").alias("top"), F.col("value").alias("x0")))
 
 
 def _cascade_candidates(table):
