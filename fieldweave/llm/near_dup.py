@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
 from fieldweave.llm.components import connected_components
-from fieldweave.llm.workspace import narrow, partitions, stored
+from fieldweave.llm.workspace import narrow, partitions, spread_join, stored
 
 THRESHOLD = (75, 100)
 ROWS, BANDS = 6, 44
@@ -165,7 +165,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """The runs of equal ``cell`` of rows sorted by it."""
     held: list[pa.RecordBatch] = []
     last = None
@@ -185,7 +185,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each cell, the pairs of its queries and targets that survive, as two arrays."""
     t = THRESHOLD[0] / THRESHOLD[1]
-    for table in _by_cell(batches):
+    for table in by_cell(batches):
         ask = np.asarray(table.column("query"))
         ids, comp, bucket = (np.asarray(table.column(c)) for c in ("id", "component", "bucket"))
         sig = _unpacked(table.column("sig"), ROWS * BANDS)
@@ -207,7 +207,7 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The confirmed links of each cell, from its pairs and the sets of their members."""
-    for table in _by_cell(batches):
+    for table in by_cell(batches):
         sets: dict[int, list[np.ndarray]] = {}
         pairs: list[tuple[int, int]] = []
         for batch in table.to_batches():
@@ -229,12 +229,8 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def _near_hub(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (x, y) that full shingle sets confirm, as (a, b)."""
     sets = stored(_sets_of(documents, pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id")))), "sets")
-    return (
-        pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x")), "x")
-        .join(sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("set_y")), "y")
-        .select("x", "y", "set_x", "set_y")
-        .mapInArrow(_confirmed, "a long, b long")
-    )
+    own = spread_join(pairs, sets.select(F.col("doc_id").alias("y"), F.col("shingles").alias("set_y")), "y", ["x"])
+    return own.join(sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("set_x")), "x").select("x", "y", "set_x", "set_y").mapInArrow(_confirmed, "a long, b long")
 
 
 def _within_cells(documents: DataFrame, cells: DataFrame) -> DataFrame:
@@ -264,9 +260,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     met = narrow(stored(members.select("id").distinct(), "ids"))
     sigs = sigs.join(met, "id", "left_semi")
-    near = members.where("id <> hub").groupBy("id").agg(F.min("hub").alias("y")).withColumnRenamed("id", "x")
+    near = stored(members.where("id <> hub").groupBy("id").agg(F.min("hub").alias("y")).withColumnRenamed("id", "x"), "near")
     sig_x, sig_y = sigs.select(F.col("id").alias("x"), F.col("sig").alias("sig_x")), sigs.select(F.col("id").alias("y"), F.col("sig").alias("sig_y"))
-    near = stored(near.join(sig_x, "x").join(sig_y, "y").select("x", "y", "sig_x", "sig_y").mapInArrow(_pruned, "x long, y long"), "pairs")
+    near = stored(spread_join(near, sig_y, "y", ["x"]).join(sig_x, "x").select("x", "y", "sig_x", "sig_y").mapInArrow(_pruned, "x long, y long"), "pairs")
     links = stored(_near_hub(documents, near), "links")
     joined = connected_components(links)
 

@@ -1,22 +1,22 @@
-"""Substring dedup: paragraph MinHash banding over content-defined paragraphs.
-
-A passage that is pasted into other texts rarely keeps its line breaks, so paragraphs are cut by content: before a word whose
-hash with the next word is the least within ``REACH`` words to either side (at most ``LONGEST`` words apart). A shared passage
-then falls into the same paragraphs wherever it stands, but for its two ends.
-
-1. Every paragraph gets ``bands`` MinHash keys over its five-word shingles, as many as ``tuned`` finds for the recall wanted.
-   Spark counts keys; a filter of fixed size (``FILTER_BITS``) tells the keys seen twice. It never loses one; when it
-   fills up, more is looked at for nothing.
-2. Paragraphs with a repeated key are collected; equal ones are one class from here on. Colliding classes are compared
-   with the least class of their bucket and, so that a bucket of many kinds is not lost, with the least class of
-   the finer buckets that further MinHash values give: linear in the bucket's size.
-3. Exact Jaccard similarity of shingles confirms pairs; connected components of confirmed pairs are the repeats.
-4. Of a component in several documents the one in the least doc_id stays. In all other documents it goes, if the stretch of
-   consecutive paragraphs that go has ``LEAST_RUN`` words or more (shorter ones are common lines, not passages).
-
-Defined cases: null or empty texts have no paragraphs; paragraphs under five words are left alone; a null doc_id is neither
-compared nor cut; rows with equal doc_id and text are cut alike, rows that only share a doc_id each by their own text and not against
-each other; very long texts are read whole; a cut joins what is left with a line break; other columns are kept as they are by ``cut``.
+"""Substring dedup: paragraph MinHash banding over overlapping, content-placed paragraphs.
+
+A passage that is pasted into other texts rarely keeps its line breaks, so paragraphs are placed by content: one of ``SIZE`` words
+begins at every word whose hash with the next word is the least within ``REACH`` words to either side (and at least every
+``FARTHEST`` words). Paragraphs overlap, so a shared passage of 51 words or more holds whole ones wherever it stands.
+
+1. Every paragraph gets ``BANDS`` keys of ``ROWS`` MinHash values over its five-word shingles, as many as ``tuned`` finds for the recall
+   wanted of one paragraph at the threshold. Spark counts keys, each once in a text; a filter of fixed size (``FILTER_BITS``) tells those of two texts.
+   It never loses one; when it fills up, more is looked at for nothing.
+2. Paragraphs with a repeated key are collected; equal ones are one class from here on. Colliding classes are joined with the least
+   class of their bucket first; those that stay apart from it then meet the whole bucket, in cells of ``BLOCK`` by ``BLOCK``.
+3. Exact Jaccard similarity of the shingle sets confirms every link; connected components of links are the repeats.
+4. Of a component in several documents the paragraph in the least doc_id stays, those in all other documents go. Paragraphs that go one
+   after the other make a stretch, which is laid against the words that stay: it is grown or trimmed to the words that both share, over
+   edits of up to ``GAP`` words, if exact Jaccard similarity holds for the whole; else the paragraphs go as they are.
+
+Defined cases: null or empty texts and texts under ``SIZE`` words have no paragraphs; a null doc_id is neither compared nor cut; rows with equal
+doc_id and text are cut alike, rows that only share a doc_id each by their own text and not against each other; very long texts are read
+whole; a cut joins what is left with a line break; other columns, whatever their names, are kept as they are by ``cut``.
 """
 
 from __future__ import annotations
@@ -27,24 +27,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldweave.llm import kernels as K
 from fieldweave.llm.components import connected_components
-from fieldweave.llm.near_dup import similar
-from fieldweave.llm.workspace import narrow, stored
+from fieldweave.llm.near_dup import by_cell, similar
+from fieldweave.llm.workspace import narrow, partitions, spread_join, stored
 
-REACH = 5
-LONGEST = 64
+REACH = 3
+FARTHEST = 24
+SIZE = 40
 SHINGLE = 5
-THRESHOLD, RECALL = 0.75, 0.98
-LEAST_RUN = 19
+THRESHOLD, RECALL, ROWS = 0.75, 0.9, 2
+GAP = 8
+CONTEXT = 64
+SHIFT = 16
+LEAST_RUN = SIZE - GAP // 2
 FILTER_BITS = 27
-FINER = 2
+BLOCK = 256
 
-_MULS = np.random.default_rng(5175).integers(1, 2**63, 16, dtype=np.uint64) * K.U64(2) + K.U64(1)
+_MULS = np.random.default_rng(5175).integers(1, 2**63, 64, dtype=np.uint64) * K.U64(2) + K.U64(1)
 
 
-def tuned(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 1) -> int:
+def tuned(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS) -> int:
     """The fewest bands of ``rows`` values that catch a pair at the threshold with the recall wanted."""
     bands = 1
     while 1 - (1 - threshold**rows) ** bands < recall:
@@ -55,8 +60,20 @@ def tuned(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 1) -
 BANDS = tuned()
 
 
+def shingled(h: np.ndarray) -> np.ndarray:
+    """The hash of the shingle that begins at each word (none for the last four)."""
+    n = len(h) - SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        full = h[:n] * K.SHINGLE_MUL[0]
+        for j in range(1, SHINGLE):
+            full += h[j : n + j] * K.SHINGLE_MUL[j]
+        return K.mix(full)
+
+
 class Paragraphs:
-    """Content-defined paragraphs of a slice: word ranges, rows, and the parts of their keys."""
+    """The paragraphs of a slice: first words, rows, keys and contents."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
         w = self.words = K.Words(buf, offs)
@@ -70,54 +87,50 @@ class Paragraphs:
             inside = rows[:-1] == rows[1:]
             pair[at[:-1][inside]] = two[inside]
         own = pair[at]
-        cut = own < K.U64(2**64 - 1)
+        placed = own < K.U64(2**64 - 1)
         for k in range(1, REACH + 1):
-            cut &= (own < pair[at - k]) & (own <= pair[at + k])
-        cut[w.first[w.last > w.first]] = True
-        start = np.flatnonzero(cut)
+            placed &= (own < pair[at - k]) & (own <= pair[at + k])
+        placed[w.first[w.last > w.first]] = True
+        start = np.flatnonzero(placed)
         size = np.diff(np.append(start, n))
-        more = np.maximum(1, -(-size // LONGEST))  # paragraphs that are too long are cut at even places
+        more = np.maximum(1, -(-size // FARTHEST))
         nth = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-        begin = np.repeat(start, more) + nth * LONGEST
-        end = np.minimum(begin + LONGEST, np.repeat(start + size, more))
-        keep = end - begin >= SHINGLE
-        self.begin, self.end = begin[keep], end[keep]
-        self.row = rows[self.begin] if n else np.zeros(0, np.int64)
-        if len(self.begin):
-            with np.errstate(over="ignore"):
-                full = h[: n - SHINGLE + 1] * K.SHINGLE_MUL[0]
-                for j in range(1, SHINGLE):
-                    full += h[j : n - SHINGLE + 1 + j] * K.SHINGLE_MUL[j]
-                self.shingles = np.append(K.mix(full), K.U64(0))
-                self.spans = np.stack((self.begin, self.end - SHINGLE + 1), axis=1).ravel()
-
-    def least(self, k: int) -> np.ndarray:
-        """The k-th MinHash value of each paragraph."""
-        with np.errstate(over="ignore"):
-            return np.minimum.reduceat(self.shingles * _MULS[k], self.spans)[::2] if len(self.begin) else np.zeros(0, np.uint64)
+        begin = np.repeat(start, more) + nth * FARTHEST
+        self.begin = begin[begin + SIZE <= w.last[rows[begin]]] if n else begin
+        self.row = rows[self.begin]
+        self.shingles = np.append(shingled(h), K.U64(0))
+        self.spans = np.stack((self.begin, self.begin + SIZE - SHINGLE + 1), axis=1).ravel()
 
     def keys(self) -> np.ndarray:
-        """paragraphs x BANDS."""
+        """paragraphs x BANDS; a key also holds the two words that the paragraph begins with, else it would meet its own neighbours."""
         out = np.zeros((len(self.begin), BANDS), np.uint64)
-        for k in range(BANDS):
-            out[:, k] = K.mix(self.least(k) + K.U64(k))
+        if len(self.begin):
+            h = self.words.hash
+            with np.errstate(over="ignore"):
+                out += (h[self.begin] * K.SHINGLE_MUL[0] + h[self.begin + 1] * K.SHINGLE_MUL[1])[:, None]
+                for k in range(BANDS * ROWS):
+                    least = np.minimum.reduceat(self.shingles * _MULS[k], self.spans)[::2]
+                    out[:, k // ROWS] = K.mix(out[:, k // ROWS] * K.BASE + least + K.U64(k))
         return out
 
     def contents(self) -> np.ndarray:
         """A 64-bit hash of each paragraph's words in order."""
-        if not len(self.begin):
-            return np.zeros(0, np.uint64)
-        size = self.end - self.begin
-        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        h = self.words.hash
         with np.errstate(over="ignore"):
-            value = self.words.hash[np.repeat(self.begin, size) + inside] * K.powers(K.BASE, LONGEST + 1)[inside]
-            return K.mix(np.add.reduceat(value, np.cumsum(size) - size))
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * K.powers(K.BASE, len(h)), dtype=np.uint64)))
+            return K.mix((total[self.begin + SIZE] - total[self.begin]) * K.powers(K.BASE_INV, len(h) + 1)[self.begin])
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every key of a text once, so that a key seen twice is one of two texts."""
     for batch in batches:
         for _, _, buf, offs in K.slices(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([pa.array(Paragraphs(buf, offs).keys().ravel().view(np.int64))], names=["key"])
+            p = Paragraphs(buf, offs)
+            key, row = p.keys().ravel(), np.repeat(p.row, BANDS)
+            by = np.lexsort((key, row))
+            key, row = key[by], row[by]
+            once = np.concatenate(([True], (key[1:] != key[:-1]) | (row[1:] != row[:-1]))) if len(key) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(key[once].view(np.int64))], names=["key"])
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -134,21 +147,93 @@ def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> K.U64(6)).astype(np.int64)] >> (bit & K.U64(63))) & K.U64(1) == 1
 
 
+def _set(words: np.ndarray) -> np.ndarray:
+    return np.unique(shingled(words))
+
+
+def _words(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64) if value.is_valid else np.zeros(0, np.uint64)
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes (x, y, words_x, words_y) whose shingle sets reach the threshold."""
     for batch in batches:
-        keep = []
-        for k in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
-            if similar(_set(a), _set(b)):
-                keep.append(k)
+        keep = [k for k in range(batch.num_rows) if similar(_set(_words(batch.column(2)[k])), _set(_words(batch.column(3)[k])))]
         yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
 
-def _set(words: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        n = len(words) - SHINGLE + 1
-        return np.unique(K.mix(sum((words[j : n + j] * K.SHINGLE_MUL[j] for j in range(1, SHINGLE)), words[:n] * K.SHINGLE_MUL[0])))
+def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links between each cell's queries and the other members of its bucket, from their words."""
+    for table in by_cell(batches):
+        ask = np.asarray(table.column("query"))
+        ids, component = (np.asarray(table.column(c)) for c in ("class", "component"))
+        sets = [_set(_words(v)) for v in table.column("words").combine_chunks()]
+        size = np.array([len(s) for s in sets])
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        first = np.cumsum(size) - size
+        marked = np.zeros(int(code.max()) + 1, np.int64)
+        to = np.flatnonzero(~ask)
+        links = []
+        for x in np.flatnonzero(ask):
+            marked[:] = 0
+            marked[code[first[x] : first[x] + size[x]]] = 1
+            common = np.add.reduceat(marked[code], first)[to]
+            ok = (4 * common >= 3 * (size[x] + size[to] - common)) & (component[to] != component[x])
+            links += [(int(ids[x]), int(ids[k])) for k in to[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) of the stretches [from, to) asked of each text, as bytes of word hashes."""
+    for batch in batches:
+        for lo, hi, buf, offs in K.slices(batch.column(0)):
+            w = K.Words(buf, offs)
+            ids, parts = [], []
+            for r in range(lo, hi):
+                own = w.hash[w.first[r - lo] : w.last[r - lo]]
+                for ask in batch.column(1)[r].as_py():
+                    ids.append(ask["id"])
+                    parts.append(own[ask["from"] : ask["to"]].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary())], names=["id", "words"])
+
+
+def _words_at(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """id and words of ``asked`` (doc_id, text_key, id, from, to), whose words are read again from the texts."""
+    by_text = stored(asked.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("id", "from", "to")).alias("asked")), "asked")
+    keys = narrow(by_text.select("doc_id", "text_key"))
+    texts = docs.join(keys, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return texts.join(by_text, ["doc_id", "text_key"]).select("text", "asked").mapInArrow(_cut_out, "id long, words binary")
+
+
+def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The links (a, b) of colliding classes that are similar."""
+    spark = docs.sparkSession
+    at = found.select("class", F.explode("keys").alias("key"), "doc_id").groupBy("key", "class").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub"), F.min("least").alias("least"), F.max("most").alias("most")).where("n > 1 and least < most")
+    members = stored(at.select("class", "key").join(mixed.select("key", "n", "hub"), "key"), "members")
+    needed = narrow(stored(members.select("class").distinct(), "classes"))
+    asked = found.join(needed, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "text_key", "begin")).alias("f"))
+    asked = asked.select("f.doc_id", "f.text_key", F.col("class").alias("id"), F.col("f.begin").alias("from"), (F.col("f.begin") + SIZE).alias("to"))
+    words = stored(_words_at(docs, asked).withColumnRenamed("id", "class"), "words")
+
+    pairs = stored(members.where("class <> hub").select(F.col("class").alias("x"), F.col("hub").alias("y")).distinct(), "pairs")
+    near = pairs.join(words.select(F.col("class").alias("x"), F.col("words").alias("words_x")), "x")
+    near = spread_join(stored(near, "near"), words.select(F.col("class").alias("y"), F.col("words").alias("words_y")), "y", ["x"])
+    links = stored(near.select("x", "y", "words_x", "words_y").mapInArrow(_similar, "a long, b long"), "links")
+
+    # What the hubs left apart: classes of another component than their bucket's hub meet all of the bucket, in cells.
+    label = connected_components(links).select(F.col("id").alias("class"), "component")
+    named = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = named.join(label.select(F.col("class").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    named = named.withColumn("query", F.col("component") != F.coalesce("hub_component", "hub")).drop("hub_component")
+    queries = named.groupBy("key").agg(F.count_if("query").alias("q")).where("q > 0")
+    named = stored(named.join(queries, "key"), "apart")
+    n_to, n_ask = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("q") / BLOCK).cast("int")
+    to = named.select("key", "class", "component", F.lit(False).alias("query"), F.pmod(F.xxhash64("class"), n_to).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), n_ask - 1)).alias("a"))
+    ask = named.where("query").select("key", "class", "component", "query", F.explode(F.sequence(F.lit(0), n_to - 1)).alias("t"), F.pmod(F.xxhash64("class", F.lit(1)), n_ask).cast("int").alias("a"))
+    cells = to.unionByName(ask).join(words, "class").select(F.xxhash64("key", "t", "a").alias("cell"), "class", "component", "query", "words")
+    more = cells.repartition(partitions(spark), "cell").sortWithinPartitions("cell").mapInArrow(_in_cells, "a long, b long")
+    return links.unionByName(stored(more, "links"))
 
 
 def repeats(documents: DataFrame) -> DataFrame:
@@ -164,75 +249,116 @@ def repeats(documents: DataFrame) -> DataFrame:
                 p = Paragraphs(buf, offs)
                 keys = p.keys()
                 keep = np.flatnonzero(_in(shared.value, keys).any(axis=1))
-                row, begin, end = p.row[keep], p.begin[keep], p.end[keep]
-                h = p.words.hash
-                finer = [p.least(BANDS + k)[keep].view(np.int64) for k in range(FINER)]
+                row = p.row[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).take(pa.array(row + lo)) for c in (0, 1)),
                         pa.array(p.contents()[keep].view(np.int64)),
-                        pa.array((begin - p.words.first[row]).astype(np.int32)),
-                        pa.array((end - p.words.first[row]).astype(np.int32)),
-                        pa.array((p.words.start[begin] - offs[row]).astype(np.int64)),
-                        pa.array((p.words.end[end - 1] - offs[row]).astype(np.int64)),
-                        pa.array(list(keys[keep].view(np.int64)), pa.list_(pa.int64())),
-                        pa.array(list(np.stack(finer, axis=1)), pa.list_(pa.int64())),
-                        pa.array([h[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
+                        pa.array((p.begin[keep] - p.words.first[row]).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(keep) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys[keep].ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "text_key", "class", "begin", "end", "from", "to", "keys", "finer", "words"],
+                    names=["doc_id", "text_key", "class", "begin", "keys"],
                 )
 
-    schema = "doc_id long, text_key long, class long, begin int, end int, from long, to long, keys array<long>, finer array<long>, words binary"
-    found = stored(docs.select("doc_id", "text_key", "text").mapInArrow(collected, schema), "paragraphs")
-
-    at = found.select("class", "finer", F.explode("keys").alias("key")).distinct()
-    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("hub")).where("n > 1")
-    members = stored(at.join(mixed, "key"), "members")
-    pairs = members.select(F.col("class").alias("x"), F.col("hub").alias("y"))
-    for k in range(FINER):
-        sub = members.select("key", F.col("finer")[k].alias("fine"), "class")
-        hubs = sub.groupBy("key", "fine").agg(F.min("class").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        pairs = pairs.unionByName(sub.join(hubs, ["key", "fine"]).select(F.col("class").alias("x"), "y"))
-    pairs = stored(pairs.where("x <> y").distinct(), "pairs")
-    needed = narrow(stored(pairs.select(F.col("x").alias("class")).unionByName(pairs.select(F.col("y").alias("class"))).distinct(), "classes"))
-    words = stored(found.select("class", "words").join(needed, "class", "left_semi").groupBy("class").agg(F.min("words").alias("words")), "words")
-    links = pairs.join(words.select(F.col("class").alias("x"), F.col("words").alias("words_x")), "x").join(words.select(F.col("class").alias("y"), F.col("words").alias("words_y")), "y")
-    links = links.select("x", "y", "words_x", "words_y").mapInArrow(_similar, "a long, b long")
-    group = connected_components(links).select(F.col("id").alias("class"), "component")
-
-    whole = found.drop("keys", "finer", "words").join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    found = stored(docs.select("doc_id", "text_key", "text").mapInArrow(collected, "doc_id long, text_key long, class long, begin long, keys array<long>"), "paragraphs")
+    shared.destroy()
+    group = connected_components(_links(docs, found)).select(F.col("id").alias("class"), "component")
+    whole = found.drop("keys").join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
     whole = stored(whole.drop("class"), "grouped")
-    keeper = whole.groupBy("component").agg(F.min("doc_id").alias("kept_in"), F.max("doc_id").alias("last")).where("kept_in <> last").drop("last")
-    gone = whole.join(keeper, "component").where("doc_id <> kept_in")
-    by_text = gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("begin", "end", "from", "to", "kept_in"))).alias("parts"))
-    return by_text.mapInArrow(_runs, "doc_id long, text_key long, spans array<struct<from: long, to: long>>, n_words long, kept_in array<long>").where("n_words > 0")
+
+    keeper = whole.groupBy("component").agg(F.min(F.struct("doc_id", "text_key", "begin")).alias("k"), F.max("doc_id").alias("last")).where("k.doc_id <> last").drop("last")
+    gone = spread_join(whole, keeper, "component", ["doc_id", "text_key", "begin"]).where("doc_id <> k.doc_id")
+    parts = F.array_sort(F.collect_set(F.struct("begin", F.col("k.doc_id").alias("kept_in"), F.col("k.text_key").alias("kept_key"), F.col("k.begin").alias("kept_at"))))
+    runs = gone.groupBy("doc_id", "text_key").agg(parts.alias("parts")).mapInArrow(_runs, "doc_id long, text_key long, first long, last long, kept_in long, kept_key long, from long, to long")
+    runs = stored(runs.withColumn("id", F.xxhash64("kept_in", "kept_key", "from", "to")), "runs")
+    stays = runs.select(F.col("kept_in").alias("doc_id"), F.col("kept_key").alias("text_key"), "id", "from", "to").distinct()
+    laid = spread_join(runs, stored(_words_at(docs, stays), "stays"), "id", ["doc_id", "text_key", "first"])
+    laid = stored(laid.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last", "kept_in", "words"))).alias("runs")), "laid")
+    texts = docs.join(narrow(laid.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    spans = texts.join(laid, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs")
+    return spans.mapInArrow(_spans, "doc_id long, text_key long, spans array<struct<from: long, to: long>>, n_words long, kept_in array<long>").where("n_words > 0")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Consecutive paragraphs that go are one stretch; stretches of enough words stay in the list."""
-    span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+    """Paragraphs that go one after the other against the same text at about the same shift make one run of words [first, last)."""
+    names = ["doc_id", "text_key", "first", "last", "kept_in", "kept_key", "from", "to"]
     for batch in batches:
-        spans, words, kept = [], [], []
-        for parts in batch.column(2):
+        out: list[tuple] = []
+        for doc, key, parts in zip(*(batch.column(c).to_pylist() for c in (0, 1)), batch.column(2), strict=True):
             runs: list[list] = []
+            near: list[list] = []  # runs that the next paragraph may go on
             for part in parts.as_py():
-                if runs and runs[-1][1] >= part["begin"]:
-                    runs[-1][1], runs[-1][3] = max(runs[-1][1], part["end"]), max(runs[-1][3], part["to"])
-                    runs[-1][4].add(part["kept_in"])
+                at, kept = part["begin"], part["kept_at"]
+                near = [run for run in near if run[1] + GAP >= at]
+                for run in reversed(near):
+                    if (run[2], run[3]) == (part["kept_in"], part["kept_key"]) and abs(kept - at - run[6]) <= SHIFT:
+                        run[1], run[4], run[5], run[6] = at + SIZE, min(run[4], kept), max(run[5], kept + SIZE), kept - at
+                        break
                 else:
-                    runs.append([part["begin"], part["end"], part["from"], part["to"], {part["kept_in"]}])
-            runs = [r for r in runs if r[1] - r[0] >= LEAST_RUN]
-            spans.append([{"from": r[2], "to": r[3]} for r in runs])
-            words.append(sum(r[1] - r[0] for r in runs))
-            kept.append(sorted(set().union(*(r[4] for r in runs))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(words, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "text_key", "spans", "n_words", "kept_in"])
+                    near.append([at, at + SIZE, part["kept_in"], part["kept_key"], kept, kept + SIZE, kept - at])
+                    runs.append(near[-1])
+            out += [(doc, key, r[0], r[1], r[2], r[3], max(0, r[4] - CONTEXT), r[5] + CONTEXT) for r in runs]
+        cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+
+def _block(marks: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
+    """The words [first, last) of marked shingles around [lo, hi), over gaps of up to GAP words; (lo, lo) if none is marked there."""
+    if not len(marks):
+        return lo, lo
+    cut = np.flatnonzero(marks[1:] - (marks[:-1] + SHINGLE) > GAP) + 1
+    first, last = marks[np.concatenate(([0], cut))], marks[np.concatenate((cut, [len(marks)])) - 1] + SHINGLE
+    near = np.flatnonzero((first < hi) & (last > lo))
+    return (int(first[near[0]]), int(last[near[-1]])) if len(near) else (lo, lo)
+
+
+def laid_against(text: np.ndarray, lo: int, hi: int, kept: np.ndarray) -> tuple[int, int]:
+    """The words [lo, hi) of ``text`` grown or trimmed to what they share with ``kept``, if the whole is similar; else as they are."""
+    left = max(0, lo - CONTEXT)
+    own, there = shingled(text[left : hi + CONTEXT]), shingled(kept)
+    a, b = _block(np.flatnonzero(np.isin(own, there)), lo - left, hi - left)
+    if b - a >= SHINGLE:
+        ours = np.unique(own[a : b - SHINGLE + 1])
+        marks = np.flatnonzero(np.isin(there, ours))
+        c, d = _block(marks, min(CONTEXT, int(marks[-1])), max(len(kept) - CONTEXT, int(marks[0]) + 1))
+        if d - c >= SHINGLE and similar(ours, np.unique(there[c : d - SHINGLE + 1])):
+            return left + a, left + b
+    return lo, hi
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that go of each text, from its runs and the words that stay elsewhere."""
+    kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+    for batch in batches:
+        for lo, hi, buf, offs in K.slices(batch.column(2)):
+            w = K.Words(buf, offs)
+            spans, words, kept = [], [], []
+            for r in range(lo, hi):
+                base = int(w.first[r - lo])
+                own = w.hash[base : w.last[r - lo]]
+                ends: list[list[int]] = []
+                gone = []
+                for run in batch.column(3)[r]:
+                    stays = np.frombuffer(run["words"].as_buffer(), np.uint64)
+                    a, b = laid_against(own, run["first"].as_py(), run["last"].as_py(), stays)
+                    gone.append((a, min(b, len(own)), run["kept_in"].as_py()))
+                for a, b, _ in sorted(gone):
+                    if ends and a <= ends[-1][1]:
+                        ends[-1][1] = max(ends[-1][1], b)
+                    else:
+                        ends.append([a, b])
+                ends = [e for e in ends if e[1] - e[0] >= LEAST_RUN]
+                spans.append([{"from": int(w.start[base + a] - offs[r - lo]), "to": int(w.end[base + b - 1] - offs[r - lo])} for a, b in ends])
+                words.append(sum(b - a for a, b in ends))
+                kept.append(sorted({k for a, b, k in gone if any(x <= a and b <= y for x, y in ends)}))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in (0, 1)), pa.array(spans, kind), pa.array(words, pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["doc_id", "text_key", "spans", "n_words", "kept_in"])
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, text without its spans) of (row, text, spans)."""
     for batch in batches:
-        where = batch.schema.get_field_index("text")
         out = []
-        for text, spans in zip(batch.column(where), batch.column(batch.num_columns - 1), strict=True):
+        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
             raw = text.as_py()
             if spans.is_valid and raw is not None:
                 data, at, parts = raw.encode(), 0, []
@@ -242,16 +368,15 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(data[at:].strip(b" \t\n\v\f\r"))
                 raw = b"\n".join(p for p in parts if p).decode()
             out.append(raw)
-        columns = [*batch.columns[:where], pa.array(out, pa.string()), *batch.columns[where + 1 : -1]]
-        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["row", "left"])
 
 
 def cut(documents: DataFrame) -> DataFrame:
     """``documents`` with all their columns; the text of each is without the passages that go, n_chars (if there) follows it."""
-    found = stored(repeats(documents).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")), "spans")
-    joined = documents.join(found if found.count() > 200_000 else F.broadcast(found), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left").drop("_doc", "_key")
-    out = joined.mapInArrow(_without, documents.schema)
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(kind)))
-    return out
+    found = stored(repeats(documents).select("doc_id", "text_key", "spans"), "spans")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    joined = rows.join(found if found.count() > 200_000 else F.broadcast(found), ["doc_id", "text_key"], "left").select("row", "text", "spans")
+    out = joined.mapInArrow(_without, StructType([StructField("row", documents.schema), StructField("left", StringType())]))
+    n_chars = F.when(F.col("row.n_chars").isNotNull(), F.char_length("left")) if "n_chars" in documents.columns else None
+    new = {"text": F.col("left"), "n_chars": n_chars}
+    return out.select(*[new[f.name].cast(f.dataType).alias(f.name) if f.name in ("text", "n_chars") else F.col("row").getField(f.name).alias(f.name) for f in documents.schema])

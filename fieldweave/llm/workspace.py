@@ -39,6 +39,27 @@ def narrow(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= NARROW_ROWS else keys
 
 
+#: Rows of one key up to which a join keeps them together, and the most keys that can have more
+TOGETHER, HOT_KEYS = 20_000, 50_000
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: str, by: list[str]) -> DataFrame:
+    """``many`` (a stored table) joined with ``few`` (a row or so for each ``on``), without a hot key in one task.
+
+    Keys with more than ``together`` rows of ``many`` are dealt over parts by a hash of ``by``, and their rows of ``few`` repeated
+    for each part. ``together`` grows with the table so that at most HOT_KEYS keys have more: the bound of what is broadcast.
+    """
+    rows = many.count()
+    if rows <= TOGETHER:
+        return many.join(few, on)
+    together = max(TOGETHER, rows // HOT_KEYS)
+    hot = many.groupBy(on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > together).select(on, F.ceil(F.col("_n") / together).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("_parts")
+    right = few.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [on, "_part"]).drop("_part")
+
+
 def drawn(rows: DataFrame, by: str, n: int, first: list | None = None) -> DataFrame:
     """At most ``n`` rows of each ``by``, those of the least hash of doc_id (after the order ``first``, if given).
 
