@@ -1,6 +1,6 @@
 """Vectorised byte, word and shingle kernels over Arrow string columns.
 
-All of them work on slices of a few MB of text at a time, so memory follows the slice
+All of them work on slices of a quarter MB of text at a time, so memory follows the slice
 (or the longest single text), not the batch.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240607)
@@ -37,7 +37,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
             have = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
             have[0] = 1
             have = np.cumprod(have, dtype=np.uint64)
-        if n <= 4 * SLICE_BYTES:
+        if n <= 8 * SLICE_BYTES:
             _powers[int(base)] = have
     return have[:n]
 

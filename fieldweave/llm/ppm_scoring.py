@@ -41,7 +41,7 @@ START, END = 0xFE, 0xFF  # bytes that no UTF-8 text has
 SYMBOLS = 257
 END_TOKEN = np.uint64(0x5E4DE4D0FADE0001)
 MERGE_AT = 3_000_000
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ class HashTable:
     """Open addressing from uint64 keys to float32 values in numpy, probed for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, 2**64 - 1, np.uint64)  # no key here is all ones
         self.values = np.zeros(1 << self.bits, np.float32)
         todo, at = np.arange(len(keys)), self.slot(keys)

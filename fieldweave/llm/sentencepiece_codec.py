@@ -28,7 +28,7 @@ from fieldweave.llm import kernels as K
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
-SLICE = 1 << 19
+SLICE = 1 << 18
 SPACE = 32
 
 
