@@ -101,34 +101,38 @@ WITH plain AS (
   SELECT 'd' AS side, doc_id AS id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS p FROM documents
   UNION ALL
   SELECT 'b', item_id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') FROM benchmark
-), split AS (SELECT DISTINCT side, id, string_split(p, ' ') AS w FROM plain WHERE p <> ''),
+), split AS (SELECT DISTINCT side, id, string_split(p, ' ') AS w, string_split(lower(p), ' ') AS l FROM plain WHERE p <> ''),
 typed AS (
-  SELECT side, id, w, list_transform(w, lambda x, i: CASE
+  SELECT side, id, w, l, list_transform(w, lambda x, i: CASE
     WHEN i > 1 AND NOT regexp_matches(w[i - 1], '[.!?]$') AND regexp_matches(x, '^\p{{Lu}}') THEN '<name>'
     WHEN regexp_full_match(x, '["''(\[$€£+-]*[0-9][0-9.,:/%-]*[)\]"'';!?]*') THEN '<number>'
     ELSE x END) AS t FROM split
 ), canonical AS (
-  SELECT side, id, w, list_transform(t, lambda x, i: CASE
+  SELECT side, id, l, list_transform(t, lambda x, i: CASE
     WHEN i > 1 AND t[i - 1] = '<number>' AND lower(regexp_replace(x, '[.,;:!?]*$', '')) IN ({_UNITS}) THEN '<unit>'
-    ELSE translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END) AS c FROM typed
+    ELSE lower(x) END) AS c FROM typed
 ), sizes AS (SELECT DISTINCT least(len(c), 8) AS n FROM canonical WHERE side = 'b'),
 windows AS (
-  SELECT side, id, n, i AS at, c[i:i + n - 1] AS c, w[i:i + n - 1] AS w
+  SELECT side, id, n, i AS at, list_concat([CASE WHEN c[i] = '<number>' THEN '<number>' ELSE l[i] END], c[i + 1:i + n - 1]) AS c, l[i:i + n - 1] AS l
   FROM (SELECT k.*, s.n, unnest(range(1, len(k.c) - s.n + 2)) AS i FROM canonical k JOIN sizes s ON len(k.c) >= s.n AND (k.side = 'd' OR s.n = least(len(k.c), 8)))
-), asked AS (SELECT * FROM windows WHERE side = 'b' AND len(list_filter(c, lambda x: x NOT IN ('<name>', '<number>', '<unit>'))) >= least(4, n)),
+), asked AS (SELECT *, len(list_filter(c, lambda x: x NOT IN ('<name>', '<number>', '<unit>'))) < least(4, n) AS literal FROM windows WHERE side = 'b'),
 met AS (
-  SELECT d.id AS doc_id, b.id AS item_id, b.at AS item_at, d.at - b.at AS shift,
-         list_filter(list_zip(b.c, b.w, d.w), lambda x: x[1] IN ('<name>', '<number>', '<unit>')) AS slots
-  FROM windows d JOIN asked b ON d.side = 'd' AND d.n = b.n AND d.c = b.c
-), aligned AS (
-  SELECT doc_id, item_id, shift, list(DISTINCT item_at) AS matched, list_distinct(flatten(list(slots))) AS slots
-  FROM met GROUP BY doc_id, item_id, shift
-), consistent AS (
-  SELECT doc_id, item_id, unnest(matched) AS item_at, len(list_filter(slots, lambda x: x[2] <> x[3])) = 0 AS same
-  FROM aligned WHERE len(list_distinct(list_transform(slots, lambda x: [x[1], x[2]]))) = len(slots)
-), usable AS (SELECT id, max(n) AS windows FROM (SELECT id, w_id, count(*) AS n FROM (SELECT id, n AS w_id FROM asked) GROUP BY id, w_id) GROUP BY id)
+  SELECT d.id AS doc_id, b.id AS item_id, b.at AS item_at, d.at - b.at AS shift, b.c AS bc, b.l AS bl, d.l AS dl FROM windows d JOIN asked b ON d.side = 'd' AND NOT b.literal AND d.n = b.n AND d.c = b.c
+  UNION
+  SELECT d.id, b.id, b.at, d.at - b.at, b.c, b.l, d.l FROM windows d JOIN asked b ON d.side = 'd' AND b.literal AND d.n = b.n AND d.l = b.l
+), slots AS (
+  SELECT doc_id, item_id, item_at, shift, bl, dl, s[1] AS kind, s[2] AS was, s[3] AS is_now
+  FROM (SELECT *, unnest(list_filter(list_zip(bc, bl, dl), lambda x: x[1] IN ('<name>', '<number>', '<unit>'))) AS s FROM met)
+), torn AS (
+  SELECT coalesce(doc_id, -1) AS doc_id, item_id, shift, kind, was FROM slots GROUP BY ALL HAVING count(DISTINCT is_now) > 1
+), dropped AS (
+  SELECT DISTINCT s.doc_id, s.item_id, s.item_at, s.shift, s.bl, s.dl FROM slots s JOIN torn t ON coalesce(s.doc_id, -1) = t.doc_id AND s.item_id = t.item_id AND s.shift = t.shift AND s.kind = t.kind AND s.was = t.was
+), kept AS (
+  SELECT doc_id, item_id, item_at, len(list_filter(list_zip(bc, bl, dl), lambda x: x[1] IN ('<name>', '<number>', '<unit>') AND x[2] <> x[3])) = 0 AS same
+  FROM met m WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.doc_id IS NOT DISTINCT FROM m.doc_id AND d.item_id = m.item_id AND d.item_at = m.item_at AND d.shift = m.shift AND d.bl = m.bl AND d.dl = m.dl)
+), usable AS (SELECT id, max(len(c) - least(len(c), 8) + 1) AS windows FROM canonical WHERE side = 'b' GROUP BY id)
 SELECT doc_id, item_id, count(DISTINCT item_at) / any_value(windows) AS coverage, CASE WHEN bool_and(same) THEN 'copy' ELSE 'template' END AS kind
-FROM consistent JOIN usable ON id = item_id GROUP BY doc_id, item_id HAVING count(DISTINCT item_at) / any_value(windows) >= 0.5
+FROM kept JOIN usable ON id = item_id GROUP BY doc_id, item_id HAVING count(DISTINCT item_at) / any_value(windows) >= 0.5
 """
 
 ORACLE_SQL = {"op7_decontamination": OP7_SQL, "op10_near_duplicates": OP10_SQL}

@@ -21,15 +21,29 @@ def test_copies_templates_and_inconsistent_slots(spark):
         (7, "a. " + ITEM + " then. " + again),
     ]
     got = found(spark, docs, [(10, ITEM)])
-    assert got[1, 10] == (1.0, "copy") and got[2, 10] == (1.0, "template") and (7, 10) in got
-    assert {d for d, _ in got} == {1, 2, 7}
+    assert got[1, 10] == (1.0, "copy") and got[2, 10][1] == "template" and got[2, 10][0] > 0.7 and (7, 10) in got
+    assert got[3, 10] == (0.5, "copy")  # of the item's 14 windows, the seven without the name that became two
+    assert {d for d, _ in got} == {1, 2, 3, 7}
+
+
+def test_copies_in_any_surroundings(spark):
+    """Short items, items of names and numbers, in title case or in capitals: verbatim copies are found whatever stands before them."""
+    items = [(1, "What is the capital of France?"), (2, "Paul Met Mary In Rome On Sunday With Eve And Tom"), (3, "WHICH OF THESE NUMBERS IS PRIME AND ODD: 4 6 9 11"), (4, "Ann 12 Bob 13 Cid 14 Dan 15 Eve 16")]
+    docs = []
+    for i, t in items:
+        for k, before in enumerate(("Question: ", "a title line\n", '(he said) ', "It ends here. ", "")):
+            docs.append((10 * i + k, before + t + " and so on"))
+    docs.append((99, "What is the capital of Spain or of any other country"))
+    got = found(spark, docs, items)
+    assert got.pop((99, 1)) == (1.0, "template")
+    assert set(got) == {(d, d // 10) for d, _ in docs if d < 99} and set(got.values()) == {(1.0, "copy")}
 
 
 def test_odd_rows(spark):
     long = "lorem ipsum " * 20_000
     docs = [(1, None), (2, ""), (3, "  "), (None, ITEM), (5, long + ITEM), (6, "the answer is short"), (6, "the answer is short"), (7, "1 2 3 4 5 6 7 8 9 10")]
     items = [(1, None), (2, ""), (3, "the answer is short"), (4, "1 2 3 4 5 6 7 8 9 10"), (5, ITEM), (5, ITEM), (None, ITEM)]
-    assert found(spark, docs, items) == {(None, 5): (1.0, "copy"), (5, 5): (0.929, "copy"), (6, 3): (1.0, "copy")}
+    assert found(spark, docs, items) == {(None, 5): (1.0, "copy"), (5, 5): (1.0, "copy"), (6, 3): (1.0, "copy"), (7, 4): (1.0, "copy")}
     assert found(spark, [], items) == {} and found(spark, docs, []) == {}
 
 
