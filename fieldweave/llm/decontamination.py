@@ -27,6 +27,7 @@ from fieldweave.llm.workspace import narrow, stored
 WINDOW = 8
 LITERALS = 4
 COVERAGE = 0.5
+BROADCAST = 50_000  # windows of at most 2 * WINDOW words: some tens of MB
 UNITS = "kg|g|mg|lb|oz|km|m|cm|mm|mile|miles|ft|feet|inch|inches|hour|hours|h|minute|minutes|min|second|seconds|s|day|days|week|weeks|month|months|year|years|dollar|dollars|usd|euro|euros|percent|l|liter|liters|litre|litres|ml|mph"
 NAME, NUMBER, UNIT = "<name>", "<number>", "<unit>"
 
@@ -54,8 +55,16 @@ def _template(at: Column, size: int) -> Column:
     return F.concat(F.array(first), F.slice("canonical", at + 1, F.lit(size - 1)))
 
 
+def _marked(split: DataFrame) -> DataFrame:
+    """``split`` with a hash of each canonical word and of each word as the first of a window, so that no window hashes strings again."""
+    first = F.transform("canonical", lambda x, i: F.when(x == NUMBER, F.xxhash64(F.lit(NUMBER))).otherwise(F.xxhash64(F.get("lowered", i))))
+    return split.withColumn("marks", F.transform("canonical", lambda x: F.xxhash64(x))).withColumn("firsts", first)
+
+
 def _hash(at: Column, size: int, literal: bool) -> Column:
-    return F.xxhash64(F.lit(literal), F.slice("lowered", at, F.lit(size)) if literal else _template(at, size))
+    if literal:
+        return F.xxhash64(F.lit(True), F.slice("lowered", at, F.lit(size)))
+    return F.xxhash64(F.lit(False), F.get("firsts", at - 1), F.slice("marks", at + 1, F.lit(size - 1)))
 
 
 def _windows(size: int, each) -> Column:
@@ -76,7 +85,8 @@ def _asked(items: DataFrame) -> DataFrame:
     first = F.when(F.get("canonical", F.col("item_at") - 1) == NUMBER, F.lit(NUMBER)).otherwise(F.get("lowered", F.col("item_at") - 1))
     at = at.select("item_id", "size", "item_at", F.concat(F.array(first), F.slice("canonical", F.col("item_at") + 1, F.col("size") - 1)).alias("template"), F.slice("lowered", "item_at", "size").alias("item_words"))
     at = at.withColumn("literal", F.size(F.filter("template", lambda x: ~_is_slot(x))) < F.least(F.lit(LITERALS), F.col("size")))
-    return at.withColumn("hash", F.xxhash64("literal", F.when(F.col("literal"), F.col("item_words")).otherwise(F.col("template"))))
+    words = F.transform("template", lambda x: F.xxhash64(x))
+    return at.withColumn("hash", F.when(F.col("literal"), F.xxhash64(F.lit(True), "item_words")).otherwise(F.xxhash64(F.lit(False), F.get(words, F.lit(0)), F.slice(words, F.lit(2), F.col("size") - 1))))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -89,15 +99,15 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     hashed = lambda size, literal: _windows(size, lambda at: _hash(at, size, literal))
     made = [hashed(*kind) for kind in kinds] or [F.array().cast("array<bigint>")]
-    seen = _split(docs, ["doc_id", "text_key"]).select("doc_id", "text_key", F.explode(F.concat(*made)).alias("hash"))
+    seen = _marked(_split(docs, ["doc_id", "text_key"])).select("doc_id", "text_key", F.explode(F.concat(*made)).alias("hash"))
     near = narrow(stored(seen.join(hashes, "hash", "left_semi").select("doc_id", "text_key").distinct(), "near"))
 
     own = docs.join(near.withColumnRenamed("doc_id", "near_id"), F.col("doc_id").eqNullSafe(F.col("near_id")) & (docs["text_key"] == near["text_key"]), "left_semi")
     whole = lambda size, literal: _windows(size, lambda at: F.struct(_hash(at, size, literal).alias("hash"), at.alias("at"), _template(at, size).alias("template"), F.slice("lowered", at, F.lit(size)).alias("doc_words")))
     made = [whole(*kind) for kind in kinds]
     shape = "array<struct<hash:bigint,at:int,template:array<string>,doc_words:array<string>>>"
-    windows = _split(own, ["doc_id"]).select("doc_id", F.explode(F.concat(*made) if made else F.array().cast(shape)).alias("w")).select("doc_id", "w.*")
-    met = windows.withColumnRenamed("template", "doc_template").join(asked, "hash")
+    windows = _marked(_split(own, ["doc_id"])).select("doc_id", F.explode(F.concat(*made) if made else F.array().cast(shape)).alias("w")).select("doc_id", "w.*")
+    met = windows.withColumnRenamed("template", "doc_template").join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, "hash")
     met = met.where((F.size("doc_words") == F.col("size")) & F.when(F.col("literal"), F.col("doc_words") == F.col("item_words")).otherwise(F.col("doc_template") == F.col("template")))
 
     slots = F.transform(F.filter(F.arrays_zip("template", "item_words", "doc_words"), lambda x: _is_slot(x["template"])), lambda x: F.struct(F.struct(x["template"], x["item_words"]).alias("of"), x["doc_words"].alias("is"), (x["item_words"] == x["doc_words"]).alias("same")))

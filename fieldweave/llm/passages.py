@@ -31,7 +31,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldweave.llm import kernels as K
 from fieldweave.llm.components import connected_components
-from fieldweave.llm.near_dup import by_cell, similar
+from fieldweave.llm.near_dup import similar
 from fieldweave.llm.workspace import narrow, partitions, spread_join, stored
 
 REACH = 3
@@ -147,39 +147,99 @@ def _in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> K.U64(6)).astype(np.int64)] >> (bit & K.U64(63))) & K.U64(1) == 1
 
 
-def _set(words: np.ndarray) -> np.ndarray:
-    return np.unique(shingled(words))
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The word hashes of paragraphs (rows x SIZE)."""
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]].view(np.uint64).reshape(-1, SIZE) if len(column) else np.zeros((0, SIZE), np.uint64)
 
 
-def _words(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.uint64) if value.is_valid else np.zeros(0, np.uint64)
+def _sets(words: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each row, their distinct number); a shingle seen again in its row gives way to a value that no other side has."""
+    n = SIZE - SHINGLE + 1
+    with np.errstate(over="ignore"):
+        full = words[:, :n] * K.SHINGLE_MUL[0]
+        for j in range(1, SHINGLE):
+            full += words[:, j : n + j] * K.SHINGLE_MUL[j]
+        full = K.mix(full)
+    full.sort(axis=1)
+    again = np.zeros(full.shape, bool)
+    again[:, 1:] = full[:, 1:] == full[:, :-1]
+    return np.where(again, np.arange(n, dtype=np.uint64) + K.U64(n * side), full), n - again.sum(axis=1)
+
+
+def _alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the sets of each row of x and y reach the threshold."""
+    both = np.concatenate((x[0], y[0]), axis=1)
+    both.sort(axis=1)
+    common = (both[:, 1:] == both[:, :-1]).sum(axis=1)
+    return 4 * common >= 3 * (x[1] + y[1] - common)
+
+
+STEP = 4096
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes (x, y, words_x, words_y) whose shingle sets reach the threshold."""
     for batch in batches:
-        keep = [k for k in range(batch.num_rows) if similar(_set(_words(batch.column(2)[k])), _set(_words(batch.column(3)[k])))]
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
+        for lo in range(0, batch.num_rows, STEP):
+            part = batch.slice(lo, STEP)
+            keep = pa.array(np.flatnonzero(_alike(_sets(_matrix(part.column(2)), 0), _sets(_matrix(part.column(3)), 1))))
+            yield pa.RecordBatch.from_arrays([part.column(c).take(keep) for c in (0, 1)], names=["a", "b"])
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell in tables that end where a cell ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cells = np.asarray(batch.column("cell"))
+        last = int(np.searchsorted(cells, cells[-1])) if len(cells) else 0
+        if last or (held and len(cells) and np.asarray(held[-1].column("cell"))[-1] != cells[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links between each cell's queries and the other members of its bucket, from their words."""
-    for table in by_cell(batches):
-        ask = np.asarray(table.column("query"))
+    """Links between each cell's queries and the other members of its bucket; of links that join the same components one is enough."""
+    for table in _whole_cells(batches):
+        if not table.num_rows:
+            continue
+        cells, ask = np.asarray(table.column("cell")), np.asarray(table.column("query"))
         ids, component = (np.asarray(table.column(c)) for c in ("class", "component"))
-        sets = [_set(_words(v)) for v in table.column("words").combine_chunks()]
-        size = np.array([len(s) for s in sets])
-        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        first = np.cumsum(size) - size
-        marked = np.zeros(int(code.max()) + 1, np.int64)
-        to = np.flatnonzero(~ask)
-        links = []
-        for x in np.flatnonzero(ask):
-            marked[:] = 0
-            marked[code[first[x] : first[x] + size[x]]] = 1
-            common = np.add.reduceat(marked[code], first)[to]
-            ok = (4 * common >= 3 * (size[x] + size[to] - common)) & (component[to] != component[x])
-            links += [(int(ids[x]), int(ids[k])) for k in to[ok]]
+        words = _matrix(table.column("words"))
+        one, other = _sets(words, 0), _sets(words, 1)
+        root: dict[int, int] = {}
+
+        def top(c: int, root: dict[int, int] = root) -> int:
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        links: list[tuple[int, int]] = []
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            query, target = lo + np.flatnonzero(ask[lo:hi]), lo + np.flatnonzero(~ask[lo:hi])
+            x, y = np.repeat(query, len(target)), np.tile(target, len(query))
+            apart = component[x] != component[y]
+            held.append((x[apart], y[apart]))
+            size += len(held[-1][0])
+            if size < STEP and k < len(cuts) - 2:
+                continue
+            x, y = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+            held, size = [], 0
+            for at in range(0, len(x), STEP):
+                a, b = x[at : at + STEP], y[at : at + STEP]
+                for i in np.flatnonzero(_alike((one[0][a], one[1][a]), (other[0][b], other[1][b]))).tolist():
+                    u, v = top(int(component[a[i]])), top(int(component[b[i]]))
+                    if u != v:
+                        root[u] = v
+                        links.append((int(ids[a[i]]), int(ids[b[i]])))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
@@ -217,8 +277,8 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
     words = stored(_words_at(docs, asked).withColumnRenamed("id", "class"), "words")
 
     pairs = stored(members.where("class <> hub").select(F.col("class").alias("x"), F.col("hub").alias("y")).distinct(), "pairs")
-    near = pairs.join(words.select(F.col("class").alias("x"), F.col("words").alias("words_x")), "x")
-    near = spread_join(stored(near, "near"), words.select(F.col("class").alias("y"), F.col("words").alias("words_y")), "y", ["x"])
+    near = spread_join(pairs, words.select(F.col("class").alias("y"), F.col("words").alias("words_y")), "y", ["x"])
+    near = near.join(words.select(F.col("class").alias("x"), F.col("words").alias("words_x")), "x")
     links = stored(near.select("x", "y", "words_x", "words_y").mapInArrow(_similar, "a long, b long"), "links")
 
     # What the hubs left apart: classes of another component than their bucket's hub meet all of the bucket, in cells.
@@ -226,7 +286,7 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
     named = members.join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = named.join(label.select(F.col("class").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
     named = named.withColumn("query", F.col("component") != F.coalesce("hub_component", "hub")).drop("hub_component")
-    queries = named.groupBy("key").agg(F.count_if("query").alias("q")).where("q > 0")
+    queries = named.where("n > 2").groupBy("key").agg(F.count_if("query").alias("q")).where("q > 0")  # two have met already
     named = stored(named.join(queries, "key"), "apart")
     n_to, n_ask = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("q") / BLOCK).cast("int")
     to = named.select("key", "class", "component", F.lit(False).alias("query"), F.pmod(F.xxhash64("class"), n_to).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), n_ask - 1)).alias("a"))
@@ -302,6 +362,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
+def _found(values: np.ndarray, within: np.ndarray) -> np.ndarray:
+    """Where values are that a sorted array has."""
+    return np.flatnonzero(within[np.minimum(np.searchsorted(within, values), len(within) - 1)] == values) if len(within) else np.zeros(0, np.int64)
+
+
 def _block(marks: np.ndarray, lo: int, hi: int) -> tuple[int, int]:
     """The words [first, last) of marked shingles around [lo, hi), over gaps of up to GAP words; (lo, lo) if none is marked there."""
     if not len(marks):
@@ -316,10 +381,10 @@ def laid_against(text: np.ndarray, lo: int, hi: int, kept: np.ndarray) -> tuple[
     """The words [lo, hi) of ``text`` grown or trimmed to what they share with ``kept``, if the whole is similar; else as they are."""
     left = max(0, lo - CONTEXT)
     own, there = shingled(text[left : hi + CONTEXT]), shingled(kept)
-    a, b = _block(np.flatnonzero(np.isin(own, there)), lo - left, hi - left)
+    a, b = _block(_found(own, np.unique(there)), lo - left, hi - left)
     if b - a >= SHINGLE:
         ours = np.unique(own[a : b - SHINGLE + 1])
-        marks = np.flatnonzero(np.isin(there, ours))
+        marks = _found(there, ours)
         c, d = _block(marks, min(CONTEXT, int(marks[-1])), max(len(kept) - CONTEXT, int(marks[0]) + 1))
         if d - c >= SHINGLE and similar(ours, np.unique(there[c : d - SHINGLE + 1])):
             return left + a, left + b
