@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings, a linear softmax, stochastic gradient descent in numpy.
 
 A text is the bag of its byte n-grams (``ORDERS``; A-Z lower-cased), each hashed to one of ``BUCKETS`` rows of an embedding
-table. The mean of those rows, times a weight matrix, gives the scores of the languages. Training draws at most ``SAMPLE``
-labelled texts of each language (the bound of the fit; the draw is by a hash of doc_id). A fifth of them calibrates: a
+table. The mean of those rows, times a weight matrix, gives the scores of the languages. Training is one task over at most ``SAMPLE``
+labelled texts of each language and ``TOTAL`` of all (the bounds of the fit; the draw is by a hash of doc_id). A fifth of them calibrates: a
 temperature is fitted to their likelihood, and the least score that gives ``PRECISION`` among them is the rejection limit.
 For prediction, embedding times weights is one table of BUCKETS x languages, which is what tasks receive.
 
@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
-from fieldweave.llm.workspace import drawn
+from fieldweave.llm.workspace import drawn, lean
 
 ORDERS = (1, 2, 3, 4)
-BUCKETS = 1 << 14
+BITS = 14
+BUCKETS = 1 << BITS
 DIM = 16
-SAMPLE = 600
+SAMPLE, TOTAL = 600, 30_000
 EPOCHS, RATE, GROUP = 12, 8.0, 16
+BLOCK = 1 << 16
 PRECISION = 0.98
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
@@ -47,7 +49,7 @@ def gram_buckets(buf: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray
             spread = (code ^ np.uint32(n * 0x5BD1E995 & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
             spread ^= spread >> np.uint32(15)
             spread *= np.uint32(0x85EBCA77)
-            yield spread >> np.uint32(32 - 14), left >= n
+            yield spread >> np.uint32(32 - BITS), left >= n
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,16 +125,33 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
 
 def fit(documents: DataFrame) -> Model | None:
     """The model of ``documents`` (doc_id, text, lang), without the held-out fold; None if nothing is labelled."""
-    spark = documents.sparkSession
+    spark = lean(documents)
     usable = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & F.col("lang").isNotNull() & (F.col("lang") != "") & ~_held_out())
-    ids = drawn(usable.select("doc_id", "lang"), "lang", SAMPLE).select("doc_id").collect()
-    if not ids:
+    languages = usable.select("lang").distinct().count()
+    most = min(SAMPLE, max(1, TOTAL // max(1, languages)))
+    ids = drawn(usable.select("doc_id", "lang"), "lang", most).select("doc_id").toArrow()  # TOTAL longs at most
+    if not ids.num_rows:
         return None
-    chosen = spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long").distinct()
-    sample = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")  # at most SAMPLE rows a language
-    bags = sample.mapInArrow(_counted, "doc_id long, lang string, buckets array<int>, shares array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    pairs = [(np.asarray(a.values), np.asarray(s.values)) for a, s in zip(bags.column("buckets"), bags.column("shares"), strict=True)]
-    return train(pairs, bags.column("lang").to_pylist())
+    chosen = spark.createDataFrame([(i,) for i in sorted(set(ids.column(0).to_pylist()))], "doc_id long")
+    sample = usable.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "lang", "text")
+    bags = sample.mapInArrow(_counted, "doc_id long, lang string, buckets array<int>, shares array<float>")
+    packed = bags.repartition(1).sortWithinPartitions("doc_id", "lang").mapInArrow(_fitted, "part string, names array<string>, values array<float>").toArrow()
+    by = {r["part"]: r for r in packed.to_pylist()}
+    names = by["table"]["names"]
+    return Model(names, np.array(by["table"]["values"], np.float32).reshape(BUCKETS, len(names)), np.array(by["bias"]["values"], np.float32), float(by["limit"]["values"][0]))
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model's parts, from the bags of the whole sample."""
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    labels: list[str] = []
+    for batch in batches:
+        pairs += [(np.asarray(a.values), np.asarray(s.values)) for a, s in zip(batch.column("buckets"), batch.column("shares"), strict=True)]
+        labels += batch.column("lang").to_pylist()
+    if pairs:
+        m = train(pairs, labels)
+        values = [m.table.ravel(), m.bias, np.array([m.limit], np.float32)]
+        yield pa.RecordBatch.from_arrays([pa.array(["table", "bias", "limit"]), pa.array([m.languages] * 3, pa.list_(pa.string())), pa.array(values, pa.list_(pa.float32()))], names=["part", "names", "values"])
 
 
 def _held_out():
@@ -155,11 +174,15 @@ def scores(model: Model, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     count = np.zeros(len(offs) - 1)
     has = np.flatnonzero(np.diff(offs))
     if len(has):
+        padded = np.vstack((model.table, np.zeros((1, len(model.languages)), np.float32)))
+        row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
         for at, ok in gram_buckets(buf, offs):
             at = np.where(ok, at, BUCKETS)
-            padded = np.vstack((model.table, np.zeros((1, len(model.languages)), np.float32)))
-            total[has] += np.add.reduceat(padded[at], offs[has], axis=0)
             count[has] += np.add.reduceat(ok.astype(np.int64), offs[has])
+            for lo in range(0, len(at), BLOCK):  # memory follows the block, not the longest text
+                part = row[lo : lo + BLOCK]
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                total[part[first]] += np.add.reduceat(padded[at[lo : lo + BLOCK]], first, axis=0)
     return _softmax(total / np.maximum(count, 1)[:, None] + model.bias)
 
 
@@ -168,7 +191,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offs in K.slices(batch.column(2), 1 << 18):
+            for lo, hi, buf, offs in K.slices(batch.column(2)):
                 known = has_letter(buf, offs) if model else np.zeros(hi - lo, bool)
                 p = scores(model, buf, offs) if model else np.zeros((hi - lo, 1))
                 best = p.argmax(axis=1)
@@ -179,5 +202,6 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                     names=["doc_id", "held_out", "lang_pred", "score", "accepted"],
                 )
 
+    lean(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
+from fieldweave.llm.workspace import lean
 from fieldweave.llm.license_texts import TEMPLATES
 
 COVERAGE = 0.8
@@ -219,6 +220,7 @@ def _tight(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int]]:
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, coverage, matched_words, first_word and end_word of every license found."""
+    lean(documents)
     given = dict(templates or TEMPLATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
 from fieldweave.llm.components import connected_components
-from fieldweave.llm.workspace import narrow, partitions, spread_join, stored
+from fieldweave.llm.workspace import lean, narrow, partitions, spread_join, stored
 
 THRESHOLD = (75, 100)
 ROWS, BANDS = 6, 44
@@ -243,7 +243,7 @@ def _within_cells(documents: DataFrame, cells: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``documents`` (doc_id, text and any other columns)."""
-    spark = documents.sparkSession
+    spark = lean(documents)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(documents.mapInArrow(_signed, "doc_id long, key_a long, key_b long, n_shingles long, sig binary"), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")

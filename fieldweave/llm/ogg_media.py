@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
+from fieldweave.llm.workspace import lean
 
 RATE = 8000
 PACKET = 4096
@@ -202,6 +203,7 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_column(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: the Ogg file of each text's bytes, zero bytes appended up to a positive multiple of 64."""
+    lean(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_encoded, "doc_id long, n_bytes long, media binary")
 

@@ -32,7 +32,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from fieldweave.llm import kernels as K
 from fieldweave.llm.components import connected_components
 from fieldweave.llm.near_dup import similar
-from fieldweave.llm.workspace import narrow, partitions, spread_join, stored
+from fieldweave.llm.workspace import lean, narrow, partitions, spread_join, stored
 
 REACH = 3
 FARTHEST = 24
@@ -298,7 +298,7 @@ def _links(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 def repeats(documents: DataFrame) -> DataFrame:
     """doc_id, text_key, spans (bytes [from, to) of the text that go), n_words and kept_in (doc_ids that keep them), for each text that loses something."""
-    spark = documents.sparkSession
+    spark = lean(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text <> ''").withColumn("text_key", F.xxhash64("text"))
     twice = docs.select("text").mapInArrow(_keyed, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = spark.sparkContext.broadcast(_bitmap(twice))

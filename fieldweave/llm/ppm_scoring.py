@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
-from fieldweave.llm.workspace import narrow, stored
+from fieldweave.llm.workspace import lean, narrow, stored
 
 ORDER = 5
 CAPACITY = 1 << 22
@@ -302,7 +302,7 @@ def _row_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
 
 def score(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_symbol for every row."""
-    spark = documents.sparkSession
+    spark = lean(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", _held_out())
     sums = docs.where("not held_out").select("text").mapInArrow(_learned, "kind int, key long, count long").groupBy("kind", "key").agg(F.sum("count").alias("count"))
     sums = stored(sums, "counts")

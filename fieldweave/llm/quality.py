@@ -2,7 +2,7 @@
 
 Two questions are asked of a text: is it low in quality, is it toxic. For each, labellers vote yes, no or abstain. Quality:
 mechanical patterns (repeated, symbol-ridden, shouted or cut-up words), the share of plain words, the share of marks among
-the characters. Toxicity: an English insult list, in a lax and a strict reading, which abstains on text that is not English.
+the characters. Toxicity: two separate lists of English insults, nouns and adjectives, which abstain on text that is not English.
 Both: the reviewers' ``labels`` where there are any (but not those of the held-out fold, which only measure).
 
 1. Votes are computed for all texts; equal vote patterns are counted by Spark (3 ** labellers patterns at most).
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
-from fieldweave.llm.workspace import drawn, stored
+from fieldweave.llm.workspace import drawn, lean, stored
 
 BITS = 21
 BUCKETS = 1 << BITS
@@ -38,7 +38,8 @@ EPOCHS, RATE, SHRINK = 8, 0.1, 1e-4
 BEGINNINGS = (4, 5, 6, 7)
 CONSTANT = -1000
 FOLDS, HELD_OUT = 5, 4
-INSULTS = ["clown", "disgusting", "dumb", "fool", "garbage", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"]
+NOUNS = ["clown", "fool", "garbage", "idiot", "imbecile", "loser", "moron", "scum", "trash"]
+ADJECTIVES = ["disgusting", "dumb", "pathetic", "stupid", "worthless"]
 #: (share, yes from, no up to) of the mechanical patterns
 RULES = [("repeated", 0.3, 0.1), ("symbols", 0.3, 0.1), ("shouted", 0.5, 0.25), ("bangs", 0.3, 0.1), ("pipes", 0.1, 0.05)]
 PLAIN_NO, PLAIN_YES = 0.85, 0.7
@@ -47,9 +48,9 @@ MARKS_YES, MARKS_NO = 0.12, 0.08
 ENGLISH = 0.06
 COMMON = ["a", "and", "are", "as", "at", "be", "for", "from", "in", "is", "of", "on", "that", "the", "this", "to", "was", "what", "with"]
 QUALITY_LABELLERS, INSULT_LABELLERS = 3, 2
-#: A text is rejected from these probabilities of low quality and of toxicity on
+#: A text is rejected from these probabilities of low quality and of toxicity on. Toxic texts are rarer and worse to keep, so theirs is the lower.
 LIMITS = (0.5, 0.35)
-#: The share of right votes that reviewers are held to have, as a prior
+#: The share of right votes that reviewers are held to have, as a prior: labels are taken as nearly true, so the labellers' rates follow them
 TRUST = 0.9995
 
 _alnum = np.zeros(256, bool)
@@ -98,7 +99,7 @@ class Facts:
         marked = np.concatenate(([0], np.cumsum(~ok & ~K.IS_SPACE[w.low])))
         self.marks = (marked[offs[1:]] - marked[offs[:-1]]) / np.maximum(1, offs[1:] - offs[:-1])
         self.english = share(np.isin(self.core, _COMMON))
-        self.insults = self.sums(np.isin(self.core, _INSULTS).astype(np.float64))
+        self.insults = [self.sums(np.isin(self.core, words).astype(np.float64)) for words in (_NOUNS, _ADJECTIVES)]
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(len(self.n))
@@ -107,7 +108,7 @@ class Facts:
         return out
 
     def votes(self) -> np.ndarray:
-        """rows x (mechanical, plain words, marks, insults, insults strictly): 1 yes, 0 no, -1 abstain."""
+        """rows x (mechanical, plain words, marks, insulting nouns, insulting adjectives): 1 yes, 0 no, -1 abstain."""
         v = np.full((len(self.n), QUALITY_LABELLERS + INSULT_LABELLERS), -1, np.int8)
         yes, no = np.array([r[1] for r in RULES]), np.array([r[2] for r in RULES])
         v[(self.shares <= no).all(axis=1), 0] = 0
@@ -116,9 +117,8 @@ class Facts:
         v[self.plain <= PLAIN_YES, 1] = 1
         v[self.marks <= MARKS_NO, 2] = 0
         v[self.marks >= MARKS_YES, 2] = 1
-        clean = np.where((self.insults == 0) & (self.english >= ENGLISH), 0, -1)
-        v[:, 3] = np.where(self.insults > 0, 1, clean)
-        v[:, 4] = np.where(self.insults >= 2, 1, clean)
+        for k, found in enumerate(self.insults):
+            v[:, QUALITY_LABELLERS + k] = np.where(found > 0, 1, np.where(self.english >= ENGLISH, 0, -1))
         v[self.n == 0] = -1
         return v
 
@@ -132,7 +132,7 @@ class Facts:
             yield np.where(longer, ((h + K.U64(k)) * K.SHINGLE_MUL[k] >> K.U64(64 - BITS)).astype(np.int64), -1)
 
 
-_INSULTS, _COMMON = _hashes(INSULTS), _hashes(COMMON)
+_NOUNS, _ADJECTIVES, _COMMON = _hashes(NOUNS), _hashes(ADJECTIVES), _hashes(COMMON)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, dict]:
@@ -162,6 +162,15 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, start: np
     return post, {"prior": prior, "rates": rates}
 
 
+def posterior_of(patterns: np.ndarray, model: dict) -> np.ndarray:
+    """Posterior of yes for any vote patterns under estimated rates."""
+    logs = np.log(np.array([[1 - model["prior"]], [model["prior"]]])).repeat(len(patterns), axis=1)
+    for j in range(patterns.shape[1]):
+        for y in (0, 1):
+            logs[y] += np.where(patterns[:, j] >= 0, np.log(model["rates"][j, y])[np.maximum(patterns[:, j], 0)], 0)
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
+
+
 @dataclass
 class Scorer:
     """Two hashed linear scorers (low quality, toxic): weights by bucket, by share, and a constant."""
@@ -276,22 +285,24 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from train(rows, np.concatenate(answers)).packed()
 
 
-def _posteriors(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """patterns: columns of the labellers, then reviewers' quality and toxicity -> posteriors (low quality, toxic)."""
+def _posteriors(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """patterns: columns of the labellers, then reviewers' quality and toxicity -> posteriors (low quality, toxic), and those without the reviewers."""
     q, n = QUALITY_LABELLERS, QUALITY_LABELLERS + INSULT_LABELLERS
-    out = []
+    out, alone = [], []
     for cols in ([*range(q), n], [*range(q, n), n + 1]):
         v = patterns[:, cols].astype(np.int64)
         said = v[:, -1]
         most = (v[:, :-1] == 1).any(axis=1)
         start = np.where(said == 1, 0.95, np.where(said == 0, 0.05, np.where(most, 0.8, 0.2)))
-        out.append(expectation_maximisation(v, counts, start)[0])
-    return np.stack(out, axis=1)
+        post, model = expectation_maximisation(v, counts, start)
+        out.append(post)
+        alone.append(posterior_of(np.where(np.arange(v.shape[1]) == v.shape[1] - 1, -1, v), model))
+    return np.stack(out, axis=1), np.stack(alone, axis=1)
 
 
 def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, p_low_quality, p_toxic and kept for every row of ``documents`` (doc_id, text); ``labels`` has doc_id, quality, toxic."""
-    spark = documents.sparkSession
+    spark = lean(documents)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     said = (
         labels.where(F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS != HELD_OUT))
@@ -305,7 +316,7 @@ def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
     if not counted.num_rows:
         return docs.select("doc_id", F.lit(1.0).alias("p_low_quality"), F.lit(0.0).alias("p_toxic"), F.lit(False).alias("kept"))
     keys = counted.column("votes").to_pylist()
-    post = _posteriors(np.array([np.frombuffer(k, np.int8) for k in keys]), np.asarray(counted.column("n")))
+    post, alone = _posteriors(np.array([np.frombuffer(k, np.int8) for k in keys]), np.asarray(counted.column("n")))
     table = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(keys, post, strict=True)], "votes binary, low double, toxic double")
 
     # The fit is one task over at most 3 * SAMPLE texts; it sends back its weights, so the driver never holds the sample.
@@ -314,6 +325,14 @@ def assess(documents: DataFrame, labels: DataFrame) -> DataFrame:
     # reviewed texts first: both kinds are drawn on their own, then the reviewed ones are kept and the others fill up
     both = drawn(drawn_from.withColumn("kind", F.concat_ws("/", "stratum", "reviewed")), "kind", SAMPLE)
     chosen = drawn(both, "stratum", SAMPLE, first=[F.col("reviewed").desc()]).select("doc_id", "low", "toxic").toArrow()  # 3 * SAMPLE rows at most
+    if not chosen.num_rows:  # nothing to fit on: the posterior of a text's own votes decides
+        labellers = QUALITY_LABELLERS + INSULT_LABELLERS
+        own = sorted({k[:labellers]: (float(a), float(b)) for k, (a, b) in zip(keys, alone, strict=True)}.items())
+        by_votes = F.broadcast(spark.createDataFrame([(k, *p) for k, p in own], "votes binary, low double, toxic double"))
+        every = docs.mapInArrow(_voted, "doc_id long, votes binary, filled boolean").join(by_votes, "votes", "left")
+        low = F.when(~F.col("filled"), 1.0).otherwise(F.coalesce("low", F.lit(1.0)))
+        toxic = F.when(~F.col("filled"), 0.0).otherwise(F.coalesce("toxic", F.lit(0.0)))
+        return every.select("doc_id", low.alias("p_low_quality"), toxic.alias("p_toxic"), ((low < LIMITS[0]) & (toxic < LIMITS[1])).alias("kept"))
     rows = sorted(set(zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "low", "toxic")), strict=True)))
     ids = spark.createDataFrame(rows, "doc_id long, low double, toxic double")
     bags = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "low", "toxic", "text").mapInArrow(_sampled, "doc_id long, low double, toxic double, buckets array<int>, shares array<float>, dense array<double>")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm import kernels as K
+from fieldweave.llm.workspace import lean
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
@@ -96,7 +97,7 @@ class Codec:
                 fail[child] = go[node, self.kind[b]] if node else 0
                 go[node, self.kind[b]] = child
                 line.append(child)
-        self.width, self.go, self.link = width, go.ravel(), link
+        self.width, self.go, self.link = width, go.ravel().astype(np.uint16 if len(own) < 1 << 16 else np.int32), link
         self.own = np.array(own, np.int32)
         self.first = np.where(self.own >= 0, np.arange(len(own), dtype=np.int32), link)  # the longest piece that ends in a state
         self.size = np.array([len(p) for p in vocabulary.pieces], np.int64)
@@ -134,7 +135,7 @@ class Codec:
             cand = best[np.maximum(p - back, 0), np.arange(active)] + self.penalty
             here[whole] = cand[whole]
             came[p, :active][whole] = -back[whole]
-            state[:active] = self.go[state[:active] * self.width + self.kind[byte]]
+            state[:active] = self.go[state[:active] * self.width + self.kind[byte]]  # an int64 array takes them
             at = self.first[state[:active]]
             who = np.flatnonzero(at)
             while len(who):
@@ -252,7 +253,7 @@ def _codec(name: str, vocabulary: Vocabulary) -> Codec:
 
 def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, score (sum of the pieces' scores) and round_trip (decoding gives the text back)."""
-    shared, name = documents.sparkSession.sparkContext.broadcast(load(path or model_path())), uuid.uuid4().hex
+    shared, name = lean(documents).sparkContext.broadcast(load(path or model_path())), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, shared.value)
@@ -275,7 +276,7 @@ def encode(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and text of rows of ids (doc_id, ids); null ids give empty text. Bytes that are not UTF-8 become U+FFFD."""
-    shared, name = encoded.sparkSession.sparkContext.broadcast(load(path or model_path())), uuid.uuid4().hex
+    shared, name = lean(encoded).sparkContext.broadcast(load(path or model_path())), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, shared.value)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,6 +27,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; Spark's own bound of 10,000 rows can be a great many bytes of long texts
+BATCH_BYTES = 4 << 20
+
+
+def lean(df: DataFrame) -> SparkSession:
+    """The session of ``df``, whose Arrow batches are bounded by BATCH_BYTES from here on (a lower bound of the user's stays)."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = re.fullmatch(r"(\d+)([a-z]*)", spark.conf.get(key).lower())
+    unit = {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}.get(have[2]) if have else None
+    if unit is None or int(have[1]) << unit > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -30,8 +32,56 @@ def test_held_out_accuracy(spark):
     held = [r for r in got if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % Q.FOLDS == Q.HELD_OUT]
     clean = [r for r in held if labels[r.doc_id].quality and not labels[r.doc_id].toxic]
     low = [r for r in held if not labels[r.doc_id].quality]
+    toxic = [r for r in held if labels[r.doc_id].toxic]
+    print("held out: clean kept", sum(r.kept for r in clean), "of", len(clean), "low dropped", sum(not r.kept for r in low), "of", len(low), "toxic dropped", sum(not r.kept for r in toxic), "of", len(toxic))
     assert sum(r.kept for r in clean) / len(clean) > 0.95
     assert sum(not r.kept for r in low) / len(low) > 0.85
+    assert sum(not r.kept for r in toxic) / len(toxic) >= 0.6
+
+
+def test_without_ids_the_posterior_of_the_votes_decides(spark):
+    good = "the sea and the land are plain and calm in this part of the world for all that is known "
+    docs = [(None, good * (k % 3 + 1)) for k in range(30)] + [(None, "spam*** spam*** spam*** spam*** spam***")] * 10 + [(None, good + "you are an idiot and a stupid moron")] * 10 + [(None, None)]
+    rows = Q.assess(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
+    assert len(rows) == 51 and sum(r.kept for r in rows) == 30
+
+
+def plain_facts(text):
+    """Votes of the toxicity labellers and shares, word by word."""
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", text) if w]
+    low = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words]
+    solid = lambda c: c.isascii() and c.isalnum() or not c.isascii()
+    core = ["".join(w[min(k for k, c in enumerate(w) if solid(c)) : max(k for k, c in enumerate(w) if solid(c)) + 1]) if any(map(solid, w)) else "" for w in low]
+    english = sum(w in Q.COMMON for w in core) / max(1, len(words))
+    vote = lambda listed: 1 if any(w in listed for w in core) else 0 if english >= Q.ENGLISH else -1
+    repeated = sum(a == b for a, b in zip(low[1:], low[:-1], strict=True)) / max(1, len(words))
+    return (vote(Q.NOUNS), vote(Q.ADJECTIVES)) if words else (-1, -1), repeated
+
+
+def test_votes_equal_a_plain_count(spark):
+    """The labellers over the whole small table against a word-by-word count."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["", "IDIOT!", "a stupid, the the the", "…"]
+    raw = [t.encode() for t in texts]
+    f = Q.Facts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for k, t in enumerate(texts):
+        votes, repeated = plain_facts(t)
+        assert tuple(f.votes()[k, Q.QUALITY_LABELLERS :]) == votes and abs(f.shares[k, 0] - repeated) < 1e-12
+
+
+def test_scores_equal_a_plain_sum(spark):
+    """Every row of the query against the fitted weights added up word by word."""
+    rnd = np.random.default_rng(1)
+    scorer = Q.Scorer(rnd.normal(size=(2, Q.BUCKETS + 1)).astype(np.float32), rnd.normal(size=(2, len(Q.RULES) + 1)), np.array([0.1, -0.2]))
+    scorer.weights[:, -1] = 0
+    texts = ["plain words about idiots", "", "x", "longer beginnings matter, here!"]
+    raw = [t.encode() for t in texts]
+    f = Q.Facts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got, grams = scorer.probabilities(f), list(f.buckets())
+    for k, t in enumerate(texts):
+        n = len(t.split())
+        for a in (0, 1):
+            z = sum(float(scorer.weights[a, g[w]]) for g in grams for w in range(f.words.first[k], f.words.last[k])) / max(1, n) ** 0.5 + float(Q.dense_features(f)[k] @ scorer.dense[a]) + scorer.bias[a]
+            assert abs(got[a, k] - ((1.0, 0.0)[a] if n == 0 else 1 / (1 + np.exp(-z)))) < 1e-5
 
 
 def test_odd_rows(spark):
