@@ -50,10 +50,37 @@ def snapshot(items: DataFrame, least: float, statuses: list[str]) -> DataFrame:
     return chosen.groupBy("split").agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("identity"))
 
 
-def feature_vectors(documents: DataFrame) -> DataFrame:
-    """doc_id, vector of capped ratios and its L2 norm."""
-    t = F.col("text")
-    n = F.greatest(F.length(t), F.lit(1))
-    share = lambda p: F.least(F.regexp_count(t, F.lit(p)) / n, F.lit(1.0))
-    vector = F.array(F.least(F.length(t) / 4000, F.lit(1.0)), share(r"[0-9]"), share(r"\n"), share(r"[.!?]"), share(r"[,;:]"))
-    return documents.select("doc_id", vector.alias("vector")).withColumn("l2_norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
+def training_examples(items: DataFrame) -> DataFrame:
+    """Items (id, source, target, accepted, quality_score, split) as training rows: a prompt, the answer and a weight."""
+    return items.select("id", "split", F.concat(F.lit("map: "), "source").alias("input"), F.when(F.col("accepted"), F.col("target")).otherwise("none").alias("output"), F.round(F.col("quality_score"), 4).alias("weight"))
+
+
+KINDS = [["csv"], ["xlsx", "xls"], ["pdf", "docx"]]
+
+
+def feature_vectors(runs: DataFrame, tokens: int = 64) -> DataFrame:
+    """id, vector, l2_norm and token bag of runs (id, sources, targets: arrays of normalised names, rows, sheets, high, medium, low, none, warnings, file_type).
+
+    The vector's 13 parts: capped counts of sources, targets, rows and sheets; the overlap of names; the shares of the four confidence bands; capped
+    warnings; the three groups of file types. The bag counts source and target names and the file type.
+    """
+    capped = lambda n, most: F.round(F.least(n, F.lit(most)) / most, 6)
+    names = F.size(F.array_union("sources", "targets"))
+    overlap = F.round(F.size(F.array_intersect("sources", "targets")) / F.greatest(names, F.lit(1)), 6)
+    mappings = F.greatest(F.col("high") + F.col("medium") + F.col("low") + F.col("none"), F.lit(1))
+    bands = [F.round(F.col(b) / mappings, 6) for b in ("high", "medium", "low", "none")]
+    kinds = [F.col("file_type").isin(k).cast("double") for k in KINDS]
+    vector = F.array(capped(F.size("sources"), 64), capped(F.size("targets"), 64), capped(F.col("rows"), 10), capped(F.col("sheets"), 10), overlap, *bands, capped(F.col("warnings"), 10), *kinds)
+    bag = F.concat(_tagged("sources", "source:", tokens), _tagged("targets", "target:", tokens), F.array(F.concat(F.lit("file_type:"), "file_type")))
+    return runs.select("id", vector.alias("vector"), F.array_sort(bag).alias("tokens")).withColumn("l2_norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
+
+
+def _tagged(side: str, name: str, most: int) -> Column:
+    return F.transform(F.slice(side, 1, most), lambda x: F.concat(F.lit(name), x))
+
+
+def graph_deltas(off: DataFrame, on: DataFrame) -> DataFrame:
+    """case_id and the changes of exact, false-positive and unresolved rates between two evaluations (case_id, exact, false_positive, unresolved)."""
+    rates = ["exact", "false_positive", "unresolved"]
+    both = off.select("case_id", *[F.col(r).alias(f"off_{r}") for r in rates]).join(on.select("case_id", *[F.col(r).alias(f"on_{r}") for r in rates]), "case_id", "left")
+    return both.select("case_id", *[F.round(F.coalesce(f"on_{r}", F.lit(0.0)) - F.coalesce(f"off_{r}", F.lit(0.0)), 4).alias(f"{r}_delta") for r in rates])

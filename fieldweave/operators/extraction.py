@@ -7,31 +7,98 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import texts as T
 
-FACTS, PAIRS, SECTIONS, SAMPLE = 16, 32, 12, 3
+FACTS, PAIRS = 16, 32
+
+# Labels of fields that stand inside one line of text, and how they are written.
+INLINE = {
+    "ФИО": r"(?:фио|full\s*name)",
+    "дата рождения": r"(?:дата\s+рождения|birth\s*date)",
+    "телефон": r"(?:телефон|phone(?:\s*number)?)",
+    "email": r"(?:email|e-?mail)",
+    "адрес": r"(?:адрес|address)",
+    "цель документа": r"(?:цель\s+документа|document\s*purpose)",
+}
+LABEL_SHAPES = [r"^([^:]{2,80}?)\s*:\s*(.+)$", r"^([^-]{2,80}?)\s+-\s+(.+)$", r"^([A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9 /()#._]{1,60}?)\s{2,}(.+)$"]
+WIDE_PAIR = r"([A-Za-zА-Яа-я0-9_()/ .-]{2,80}?)\s*:\s*(.+?)(?=(?:,\s*[A-Za-zА-Яа-я0-9_()/ .-]{2,80}?\s*:)|$)"
+
+
+def _first_of_equal(pairs: Column, limit: int) -> Column:
+    """Of pairs (label, value) that are equal but for case the first, at most ``limit``: within the row."""
+    keys = F.transform(pairs, lambda p: F.concat_ws("\x1f", F.lower(p["label"]), F.lower(p["value"])))
+    return F.slice(F.filter(pairs, lambda p, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, limit)
+
+
+def _numbered(documents: DataFrame, pairs: Column) -> DataFrame:
+    return documents.select("doc_id", F.posexplode(pairs).alias("n", "p")).select("doc_id", (F.col("n") + 1).alias("n"), "p.label", "p.value")
 
 
 def text_facts(documents: DataFrame, limit: int = FACTS) -> DataFrame:
     """doc_id, n, label, value: "X is Y" sentences, the first of equal ones, at most ``limit`` a document."""
-    s = documents.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence")).where(F.col("sentence").rlike(T.FACT))
-    found = s.select(
-        "doc_id",
-        "at",
-        F.substring(F.regexp_replace(F.regexp_extract("sentence", T.FACT, 1), r"^[ \-:;,]+|[ \-:;,]+$", ""), 1, 60).alias("label"),
-        F.trim(F.regexp_extract("sentence", T.FACT, 2)).alias("value"),
-    ).where("label <> '' and value <> ''")
-    first = found.groupBy("doc_id", F.lower("label"), F.lower("value")).agg(F.min(F.struct("at", "label", "value")).alias("f"))
-    ranked = first.select("doc_id", "f.*").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")))
-    return ranked.where(F.col("n") <= limit).select("doc_id", "n", "label", "value")
+    facts = F.filter(T.sentences(F.col("text")), lambda s: s.rlike(T.FACT))
+    label = lambda s: F.substring(F.regexp_replace(F.regexp_extract(s, T.FACT, 1), r"^[ \-:;,]+|[ \-:;,]+$", ""), 1, 60)
+    pairs = F.transform(facts, lambda s: F.struct(label(s).alias("label"), F.trim(F.regexp_extract(s, T.FACT, 2)).alias("value")))
+    found = documents.select("doc_id", F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "")).alias("pairs")).where(F.size("pairs") > 0)
+    return _numbered(found, _first_of_equal(F.col("pairs"), limit))
+
+
+def _pair(line: Column) -> Column:
+    """label and value of a line: parted by a colon, by a dash between blanks or by two blanks; the first that gives a valid pair."""
+    out = F.lit(None)
+    for shape in reversed(LABEL_SHAPES):
+        label = F.regexp_replace(F.regexp_extract(line, shape, 1), r"^[ \-:;]+|[ \-:;]+$", "")
+        value = F.trim(F.regexp_extract(line, shape, 2))
+        valid = line.rlike(shape) & (label != "") & (value != "") & (F.length(label) <= 80) & (F.length(value) <= 220) & (T.word_count(label) <= 8)
+        out = F.when(valid, F.struct(label.alias("label"), value.alias("value"))).otherwise(out)
+    return out
+
+
+def inline_pairs(text: Column, limit: int = PAIRS) -> Column:
+    """Pairs of known labels within running text, in any order: what stands between a label and the next is its value. None under two labels."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    every = "|".join(INLINE.values())
+    labels = F.regexp_extract_all(plain, F.lit(rf"(?iu)\b({every})\b"), F.lit(1))
+    values = F.slice(F.split(plain, rf"(?iu)\b(?:{every})\b"), 2, 10_000)
+    name = F.lit(None).cast("string")
+    named = lambda x: [F.when(x.rlike(rf"(?iu)^{shape}$"), F.lit(label)) for label, shape in INLINE.items()]
+    clean = lambda v: F.regexp_replace(v, r"^[ ,.;:\-]+|[ ,.;:\-]+$", "")
+    pairs = F.transform(F.arrays_zip(labels.alias("l"), values.alias("v")), lambda x: F.struct(F.coalesce(*named(x["l"]), name).alias("label"), clean(x["v"]).alias("value")))
+    valid = F.filter(pairs, lambda p: (p["value"] != "") & (F.length(p["value"]) <= 220))
+    return F.when(F.size(labels) >= 2, _first_of_equal(valid, limit)).otherwise(F.slice(valid, 1, 0))
 
 
 def key_values(documents: DataFrame, limit: int = PAIRS) -> DataFrame:
-    """doc_id, n, label, value of ``label: value`` lines with a label of at most eight words; the first value of a label."""
-    lines = documents.select("doc_id", F.posexplode(F.split(T.normal_text(F.col("text")), "\n")).alias("at", "line")).where(F.col("line").rlike(T.PAIR))
-    found = lines.select("doc_id", "at", F.trim(F.regexp_extract("line", T.PAIR, 1)).alias("label"), F.trim(F.regexp_extract("line", T.PAIR, 2)).alias("value"))
-    found = found.where((F.size(F.split("label", r"\s+")) <= 8) & (F.col("value") != ""))
-    first = found.groupBy("doc_id", F.lower("label")).agg(F.min(F.struct("at", "label", "value")).alias("f"))
-    ranked = first.select("doc_id", "f.*").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")))
-    return ranked.where(F.col("n") <= limit).select("doc_id", "n", "label", "value")
+    """doc_id, n, label, value of lines that hold a label and a value, each pair once; of known labels inside a line if no more than one line does."""
+    text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\u00a0"), F.lit(" "))
+    lines = F.filter(F.transform(F.split(text, r"\r\n?|\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != "")
+    by_line = documents.select("doc_id", "text", F.filter(F.transform(lines, _pair), lambda p: p.isNotNull()).alias("pairs"))
+    both = by_line.select("doc_id", _first_of_equal(F.col("pairs"), limit).alias("pairs"), inline_pairs(F.col("text"), limit).alias("inline"))
+    return _numbered(both, F.when((F.size("inline") >= 2) & (F.size("pairs") <= 1), F.col("inline")).otherwise(F.col("pairs")))
+
+
+def wide_pairs(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, row, label, value: paragraphs of two pairs or more parted by commas as rows of a wide table; of equal labels the last value counts."""
+    matched = F.regexp_extract_all("paragraph", F.lit(WIDE_PAIR), F.lit(0))
+    strip = lambda x: F.regexp_replace(x, r"^[ ,;]+|[ ,;]+$", "")
+    pairs = F.transform(matched, lambda m: F.struct(strip(F.regexp_extract(m, WIDE_PAIR, 1)).alias("label"), strip(F.regexp_extract(m, r":\s*(.+)$", 1)).alias("value")))
+    each = paragraphs.select("doc_id", "row", F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "")).alias("pairs")).where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["label"]))) >= 2)
+    last = F.filter("pairs", lambda p, i: ~F.exists(F.slice("pairs", i + 2, 10_000), lambda q: q["label"] == p["label"]))
+    return each.select("doc_id", "row", F.explode(last).alias("p")).select("doc_id", "row", "p.label", "p.value")
+
+
+def markdown_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, row, column, value of the first Markdown table of each text: a header, a rule, rows of as many cells."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
+    is_row = lambda x: x.startswith("|") & x.endswith("|") & (F.length(x) > 1)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x))
+    first = F.array_position(F.transform("lines", is_row), F.lit(True))
+    rest = F.slice("lines", first.cast("int"), F.size("lines"))
+    stop = F.array_position(F.transform("rest", lambda x: ~is_row(x)), F.lit(True))
+    found = documents.select("doc_id", lines.alias("lines")).where(first > 0).select("doc_id", rest.alias("rest"))
+    found = found.select("doc_id", F.when(stop > 0, F.slice("rest", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("rest")).alias("table"))
+    rule = F.forall(cells(F.get("table", F.lit(1))), lambda c: c.rlike(r"^:?-{3,}:?$"))
+    found = found.where((F.size("table") >= 3) & rule).select("doc_id", cells(F.get("table", F.lit(0))).alias("names"), F.transform(F.slice("table", 3, 100_000), cells).alias("rows")).where(F.size("names") >= 2)
+    rows = found.select("doc_id", "names", F.posexplode(F.filter("rows", lambda r: F.size(r) == F.size("names"))).alias("row", "cells"))
+    return rows.select("doc_id", (F.col("row") + 1).alias("row"), F.explode(F.arrays_zip(F.col("names").alias("column"), F.col("cells").alias("value"))).alias("c")).select("doc_id", "row", "c.column", "c.value")
 
 
 def sections(documents: DataFrame) -> DataFrame:
@@ -43,20 +110,32 @@ def sections(documents: DataFrame) -> DataFrame:
     return lines.where("not heading").groupBy("doc_id", "section", "title").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
 
 
-def delimited_tables(documents: DataFrame, delimiters: tuple[str, ...] = ("\t", "|", ";", ",")) -> DataFrame:
-    """doc_id, block, delimiter, columns, rows: blocks in which every line splits into as many cells; the best delimiter each.
+def delimited_tables(documents: DataFrame, delimiters: tuple[str, ...] = ("\t", "|", ";", ",", "  ")) -> DataFrame:
+    """doc_id, block, delimiter, columns, rows: blocks whose every line splits into two cells or more; the best delimiter of each.
 
-    Score is columns * (rows + 1); of equal scores the earlier delimiter wins.
+    The first line is the header and needs two filled cells; shorter rows are padded, longer ones cut, empty ones and Markdown rules dropped. Two blanks
+    or more are a delimiter, too; a line of pipes needs two of them. Score is columns * (rows + 1); of equal scores the earlier delimiter wins.
     """
-    lines = documents.select("doc_id", F.posexplode(F.split(F.col("text"), "\n")).alias("at", "line"))
-    blank = F.when(F.trim("line") == "", 1).otherwise(0)
-    lines = lines.withColumn("block", F.sum(blank).over(Window.partitionBy("doc_id").orderBy("at"))).where(F.trim("line") != "")
-    each = lines.select("doc_id", "block", "line", F.posexplode(F.array(*[F.lit(d) for d in delimiters])).alias("rank", "delimiter"))
-    cells = F.length("line") - F.length(F.replace("line", F.col("delimiter"), F.lit(""))) + 1
-    shape = each.groupBy("doc_id", "block", "rank", "delimiter").agg(F.min(cells).alias("least"), F.max(cells).alias("columns"), F.count(F.lit(1)).alias("n"))
-    shape = shape.where("least = columns and columns >= 2 and n >= 2").withColumn("score", F.col("columns") * F.col("n"))
-    best = shape.groupBy("doc_id", "block").agg(F.max_by(F.struct("delimiter", "columns", "n"), F.struct("score", (-F.col("rank")).alias("r"))).alias("b"))
-    return best.select("doc_id", "block", "b.delimiter", "b.columns", (F.col("b.n") - 1).alias("rows"))
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    blank = F.when(F.trim(F.regexp_replace("line", r"\s+", " ")) == "", 1).otherwise(0)
+    lines = lines.withColumn("block", F.sum(blank).over(Window.partitionBy("doc_id").orderBy("at"))).where(blank == 0)
+    blocks = lines.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")))).alias("b")).where(F.size("b") >= 2)
+    blocks = blocks.select("doc_id", "block", F.transform("b", lambda x: x["line"]).alias("lines"))
+
+    def table(d: str) -> Column:
+        split = {"|": r"\|", "  ": r"\s{2,}"}.get(d, d)
+        bare = (lambda x: F.regexp_replace(x, r"^\|+|\|+$", "")) if d == "|" else (lambda x: x)
+        cells = F.transform("lines", lambda x: F.transform(F.split(bare(x), split), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))))
+        whole = F.forall("lines", (lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2) if d == "|" else (lambda x: x.rlike(split))) & F.forall(cells, lambda c: F.size(c) >= 2)
+        rule = lambda c: F.forall(F.filter(c, lambda x: x != ""), lambda x: x.rlike(r"^:?-{3,}:?$")) & F.exists(c, lambda x: x != "")
+        rows = F.filter(cells, lambda c: ~rule(c)) if d == "|" else cells
+        head = F.get(rows, F.lit(0))
+        filled = F.filter(F.slice(rows, 2, 1_000_000), lambda r: F.exists(F.slice(r, F.lit(1), F.size(head)), lambda x: x != ""))
+        good = whole & (F.size(rows) >= 2) & (F.size(F.filter(head, lambda x: x != "")) >= 2) & (F.size(filled) > 0)
+        return F.when(good, F.struct((F.size(head) * (F.size(filled) + 1)).alias("score"), F.lit(-delimiters.index(d)).alias("rank"), F.lit(d).alias("delimiter"), F.size(head).alias("columns"), F.size(filled).cast("long").alias("rows")))
+
+    best = F.array_max(F.array(*[table(d) for d in delimiters]))
+    return blocks.select("doc_id", "block", best.alias("t")).where("t is not null").select("doc_id", "block", "t.delimiter", "t.columns", "t.rows")
 
 
 def html_items(pages: DataFrame) -> DataFrame:
@@ -85,9 +164,17 @@ def file_kind(content: Column) -> Column:
 
 
 def document_kind(documents: DataFrame) -> DataFrame:
-    """doc_id, kind: table, mixed, form or text, by what the extractors find in it."""
-    tables = delimited_tables(documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tables"))
+    """doc_id, content_type and status by what the extractors find: tables, key-value pairs, text of 16 characters or more."""
+    tables = delimited_tables(documents).select("doc_id").distinct().withColumn("tables", F.lit(True))
     pairs = key_values(documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"))
-    both = documents.select("doc_id").join(tables, "doc_id", "left").join(pairs, "doc_id", "left")
-    has, form = F.coalesce("tables", F.lit(0)) > 0, F.coalesce("pairs", F.lit(0)) >= 2
-    return both.select("doc_id", F.when(has & form, "mixed").when(has, "table").when(form, "form").otherwise("text").alias("kind"))
+    both = documents.select("doc_id", F.length(F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).alias("chars")).join(tables, "doc_id", "left").join(pairs, "doc_id", "left")
+    has, n, long = F.col("tables").isNotNull(), F.coalesce("pairs", F.lit(0)), F.coalesce("chars", F.lit(0)) >= 16
+    kind = F.when(has & ((n > 0) | long), "mixed").when(has, "table").when(n >= 2, "form").when(long, "text").otherwise("image_like")
+    status = F.when(has, "structured_extracted").when((n >= 2) | long, "text_extracted").otherwise("text_not_extracted")
+    return both.select("doc_id", kind.alias("content_type"), status.alias("status"))
+
+
+def deduped(candidates: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Of candidates that agree in type, label and value but for case the first."""
+    same = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in key]
+    return candidates.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(order))).where("_n = 1").drop("_n")

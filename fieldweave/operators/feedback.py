@@ -12,25 +12,6 @@ from pyspark.sql import functions as F
 from fieldweave.functions import lexicon as L
 from fieldweave.functions import names as N
 
-LABELS = {"click": "created date", "view": "total amount", "signup": "customer name", "purchase": "revenue amount", "error": "email"}
-TARGETS = ["creationDate", "updateDate", "amount", "name", "revenue", "id", "email"]
-
-
-def correction_log(events: DataFrame) -> DataFrame:
-    """event_id, ts, user_id, source, target, accepted, confidence: a log in the shape of reviewed mappings."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    source = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[F.col("event_type")]
-    return events.select(
-        "event_id",
-        "ts",
-        "user_id",
-        source.alias("source"),
-        F.get(F.array(*[F.lit(t) for t in TARGETS]), k % len(TARGETS)).alias("target"),
-        (~((F.col("event_type") == "purchase") & (F.col("value") < 40))).alias("accepted"),
-        F.greatest(F.lit(0.6), F.least(F.col("value") / 100, F.lit(1.0))).alias("confidence"),
-    )
-
-
 def memory(log: DataFrame) -> DataFrame:
     """Personal memory per (user, source, target): uses, outcomes, last decision, mean confidence, weight of accepted uses."""
     return log.groupBy("user_id", "source", "target").agg(
@@ -56,21 +37,43 @@ def shared_score(confidence: Column, stability: Column, support: Column, users:
     )
 
 
-def sensitivity(label: Column, tokens: Column) -> Column:
-    """Risk that a label names private matters: patterns of the label, listed tokens, mixed or single long ones; at most 1."""
-    joined = F.array_join(tokens, " ")
+ID_LIKE = r"^(?=.*[A-Za-zА-Яа-я])(?=.*\d)[A-Za-zА-Яа-я0-9_-]{6,}$"
+
+
+def sensitivity(label: Column, name: Column, rare: Column) -> Column:
+    """Risk that a label names private matters, at most 1: patterns of the label, listed, code-like, id-like and rare tokens, mixed or single long ones.
+
+    ``name`` is the prepared label, ``rare`` the number of its tokens that at most one user has.
+    """
+    tokens = name["tokens"]
+    count = lambda p: F.size(F.filter(tokens, p))
     score = (
         F.when(label.rlike(r"(?i)[\w.+-]+@[\w-]+\.[\w.-]+"), 1.0).otherwise(0.0)
         + F.when(label.rlike(r"\+?\d[\d\-\s()]{8,}\d"), 1.0).otherwise(0.0)
         + F.when(label.rlike(r"(?i)https?://|www\."), 0.7).otherwise(0.0)
-        + 0.8 * F.size(F.filter(tokens, lambda t: t.isin(L.SENSITIVE)))
-        + 0.5 * F.size(F.filter(tokens, lambda t: t.rlike(r"^[0-9]{4,}$")))
-        + F.when(joined.rlike("[0-9]") & joined.rlike(r"\p{L}"), 0.3).otherwise(0.0)
-        + F.when((F.size(tokens) == 1) & (F.length(F.get(tokens, F.lit(0))) >= 12), 0.25).otherwise(0.0)
+        + 0.8 * count(lambda t: t.isin(L.SENSITIVE))
+        + 0.5 * count(lambda t: t.rlike(r"^[0-9_-]{4,}$"))  # capitals and digits; tokens are lower-case, so digits
+        + 0.8 * count(lambda t: t.rlike(ID_LIKE))
+        + 0.25 * rare
+        + F.when(name["normalized"].rlike("[0-9]") & name["normalized"].rlike(r"\p{L}"), 0.3).otherwise(0.0)
+        + F.when((F.size(name["canonical"]) == 1) & (F.length(F.get(name["canonical"], F.lit(0))) >= 12), 0.25).otherwise(0.0)
     )
     return F.least(F.round(score, 4), F.lit(1.0))
 
 
+def rare_tokens(log: DataFrame) -> DataFrame:
+    """token: canonical words of eight letters or more, none of the general ones, that at most one user's labels hold."""
+    labels = log.select("user_id", "source").distinct()
+    words = labels.select("user_id", F.explode(F.array_distinct(N.prepared(F.col("source"))["canonical"])).alias("token"))
+    words = words.where((F.length("token") >= 8) & ~F.col("token").isin([*L.DOMAIN_TAGS, "boolean"]))
+    return words.groupBy("token").agg(F.count_distinct("user_id").alias("users")).where("users <= 1").select("token")
+
+
+def cleaned(canonical: Column) -> Column:
+    """A name's canonical tokens without listed, private-looking, id-like and numeric ones."""
+    return F.filter(canonical, lambda w: ~w.isin(L.SENSITIVE) & ~w.rlike(ID_LIKE) & ~w.rlike("^[0-9]+$"))
+
+
 def generality(canonical: Column, cluster: Column, role: Column) -> Column:
     """How far a pattern can hold beyond one user: brevity, a concept, a role, up to three domain tags."""
     n = F.size(canonical)
@@ -104,12 +107,12 @@ def concept(source: Column, target: Column) -> Column:
     return out
 
 
-def pattern_stats(log: DataFrame) -> DataFrame:
-    """Statistics of every (source, target) over all users, and the features that promotion asks for.
+def pattern_stats(log: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Statistics of every (source, target) over all users (and of each value of ``by``), and the features that promotion asks for.
 
     Names are prepared once per pair after the aggregation, not once per correction.
     """
-    stats = log.groupBy("source", "target").agg(
+    stats = log.groupBy(*by, "source", "target").agg(
         F.count(F.lit(1)).alias("support"),
         F.count_distinct("user_id").alias("users"),
         F.count_if("accepted").alias("accepts"),
@@ -120,9 +123,10 @@ def pattern_stats(log: DataFrame) -> DataFrame:
     rate = F.col("accepts") / (F.col("accepts") + F.col("rejects"))
     named = named.withColumn("acceptance", rate).withColumn("drift", 1 - rate).withColumn("conflict", N.pattern_conflict(F.col("s.canonical"), F.col("t.canonical")))
     named = named.withColumn("role", N.role_of_pair(F.col("s"), F.col("t"))).withColumn("concept", concept(F.col("s"), F.col("t")))
-    named = named.withColumn("sensitivity", sensitivity(F.col("source"), F.col("s.tokens")))
-    kept = F.filter(F.col("s.canonical"), lambda w: ~w.isin(L.SENSITIVE) & ~w.rlike("^[0-9]+$"))
-    return named.withColumn("generality", generality(kept, F.col("concept"), F.col("role"))).drop("s", "t")
+    held = stats.select("source").distinct().select("source", F.explode(F.array_distinct(N.prepared(F.col("source"))["canonical"])).alias("token"))
+    rare = held.join(rare_tokens(log), "token", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("rare"))
+    named = named.join(rare, "source", "left").withColumn("sensitivity", sensitivity(F.col("source"), F.col("s"), F.coalesce("rare", F.lit(0)))).drop("rare")
+    return named.withColumn("generality", generality(cleaned(F.col("s.canonical")), F.col("concept"), F.col("role"))).drop("s", "t")
 
 
 def promotion(stats: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.functions import names as N
@@ -52,22 +52,73 @@ def evidence(edge: DataFrame) -> DataFrame:
     return best.select("node", "other", "best.path", "best.score")
 
 
-def clusters(edge: DataFrame, rounds: int = 50) -> DataFrame:
+def clusters(edge: DataFrame, rounds: int = 60) -> DataFrame:
     """node, cluster: connected components over accepted synonym edges; the cluster is named by its least node.
 
-    Labels fall to the least neighbour's label until a round changes none; lineage ends at a checkpoint each round.
+    Alternating stars: every node's neighbours are tied to the least of them, first those above it, then those not above it, which
+    settles in logarithmic rounds. A state that does not settle is an error. Lineage ends at a checkpoint each round.
     """
     spark = edge.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    links = both_ways(edge.where("accepts > 0")).select("node", "other").checkpoint()
-    label = links.select("node").distinct().withColumn("cluster", F.col("node")).checkpoint()
+    now = edge.where("relation = 'synonym' and accepts > 0").select(F.greatest("l", "r").alias("a"), F.least("l", "r").alias("b")).distinct().checkpoint()
+    mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
+    state = now.agg(*mark).first()
     for _ in range(rounds):
-        heard = links.join(label.select(F.col("node").alias("other"), "cluster"), "other").groupBy("node").agg(F.min("cluster").alias("heard"))
-        then = label.join(heard, "node").select("node", F.least("cluster", "heard").alias("cluster"), (F.col("heard") < F.col("cluster")).alias("moved")).checkpoint()
-        label = then.drop("moved")
-        if not then.where("moved").limit(1).count():
-            break
-    return label
+        then = _star(_star(now, above=True), above=False).checkpoint()
+        now, before, state = then, state, then.agg(*mark).first()
+        if state == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
+    raise RuntimeError("clusters did not settle")
+
+
+def _star(edges: DataFrame, above: bool) -> DataFrame:
+    ends = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if above else ends
+    least = ends.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    tied = ends.join(least, "u").where(F.col("v") > F.col("u") if above else F.lit(True)).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return (tied if above else tied.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))).where("a <> b").distinct()
+
+
+def cluster_summary(edge: DataFrame, meanings: DataFrame) -> DataFrame:
+    """cluster, size, support, attributes, roles and entities (sorted) of every cluster; ``meanings`` has node, attribute, role, entity."""
+    member = clusters(edge)
+    support = edge.where("relation = 'synonym' and accepts > 0").join(member.withColumnRenamed("node", "l"), "l").groupBy("cluster").agg(F.sum(F.col("accepts") + F.col("rejects")).alias("support"))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",").alias(f"{c}s" if c != "entity" else "entities")
+    sizes = member.join(meanings, "node", "left").groupBy("cluster").agg(F.count_distinct("node").alias("size"), listed("attribute"), listed("role"), listed("entity"))
+    return sizes.join(support, "cluster")
+
+
+def touched_nodes(log_edges: DataFrame) -> DataFrame:
+    """user_id, nodes: distinct names that a user's edges (user_id, l, r) touch."""
+    ends = log_edges.select("user_id", F.col("l").alias("node")).union(log_edges.select("user_id", F.col("r").alias("node"))).distinct()
+    return ends.groupBy("user_id").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+def candidates(edge: DataFrame, asked: DataFrame) -> DataFrame:
+    """source, target, path, score for asked pairs (source, target) of names: evidence over one hop, else over two (weaker link, reduced).
+
+    Only edges that touch an asked name take part, and the two halves of a path meet on the name between, so hubs that nobody asks about cost nothing.
+    """
+    near = both_ways(edge).select("node", "other", _evidence().alias("score"))
+    pairs = asked.select("source", "target").distinct()
+    direct = pairs.join(near, (F.col("source") == F.col("node")) & (F.col("target") == F.col("other"))).select("source", "target", F.lit("direct").alias("path"), "score")
+    out = near.join(pairs.select(F.col("source").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("source"), F.col("other").alias("mid"), F.col("score").alias("s1"))
+    back = near.join(pairs.select(F.col("target").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("target"), F.col("other").alias("mid"), F.col("score").alias("s2"))
+    far = pairs.join(out, "source").join(back, ["target", "mid"]).select("source", "target", F.lit("two_hop").alias("path"), (0.72 * F.least("s1", "s2")).alias("score"))
+    best = direct.unionByName(far).groupBy("source", "target").agg(F.max(F.struct("score", "path")).alias("b"))
+    return best.select("source", "target", "b.path", "b.score")
+
+
+def context_fit(target: Column, source: Column) -> Column:
+    """How well two prepared names agree in context: by attribute and entity, then by role; 0 without either."""
+    t, s = target, source
+    same = lambda f: t[f].isNotNull() & s[f].isNotNull() & (t[f] == s[f])
+    missing = t["entity"].isNull() | s["entity"].isNull()
+    return (
+        F.when(same("attribute"), F.when(same("entity"), 0.28).when(missing, 0.12).otherwise(-0.18))
+        .when(same("role"), F.when(same("entity"), 0.16).otherwise(0.0))
+        .otherwise(0.0)
+    )

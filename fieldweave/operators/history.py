@@ -19,15 +19,14 @@ def token_totals(turns: DataFrame) -> DataFrame:
     return out.withColumn("total_tokens", F.col("input_tokens") + F.col("output_tokens"))
 
 
-def run_history(orders: DataFrame, customers: DataFrame, lines: DataFrame, newest: int) -> DataFrame:
-    """The newest runs with their owner and pre-aggregated metrics (a run without any keeps NULLs)."""
-    metrics = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("last_ship"), F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n_lines"))
-    top = orders.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).limit(newest)
-    return (
-        top.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(metrics, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .select("o_orderkey", "o_orderdate", "c_name", "last_ship", "quantity", "n_lines")
-    )
+def run_history(runs: DataFrame, owners: DataFrame, metrics: DataFrame, run: str, owner: str, order: list, newest: int, totals: list) -> DataFrame:
+    """The newest runs with their owner and the ``totals`` of their metrics (a run without any keeps NULLs).
+
+    The few newest runs are taken first and only their metrics are read on: the rest is dropped by a broadcast semi-join before anything is grouped.
+    """
+    top = runs.orderBy(*order).limit(newest)
+    own = metrics.join(F.broadcast(top.select(run)), run, "left_semi").groupBy(run).agg(*totals)
+    return top.join(owners, owner).join(own, run, "left")
 
 
 def usage_report(totals: DataFrame, by: str) -> DataFrame:

@@ -3,26 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GAP, SEGMENT_GAP = 26.0, 60.0
-
-
-def words_of(documents: DataFrame) -> DataFrame:
-    """doc_id, line, at, x, y, width, text: words laid out by their place in the text (7 points a character, 14 a line)."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")).where("content <> ''")
-    w = lines.select("doc_id", "line", F.posexplode(F.split("content", " ")).alias("at", "text"), "content")
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id", "line").orderBy("at")) - F.length("text") - 1
-    return w.select("doc_id", "line", "at", (before * 7.0).alias("x"), (F.col("line") * 14.0).alias("y"), (F.length("text") * 7.0).alias("width"), "text").where("text <> ''")
+from fieldweave.functions import texts as T
 
-
-def zone(text: Column) -> Column:
-    """form, noise or text, by the shape of a line."""
-    words = F.size(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
-    letters = F.greatest(F.regexp_count(text, F.lit(r"\p{L}")), F.lit(1))
-    upper = F.regexp_count(text, F.lit(r"\p{Lu}")) / letters
-    return F.when(text.contains(":") & (words <= 12), "form").when((upper >= 0.9) | (words <= 1), "noise").otherwise("text")
+GAP, SEGMENT_GAP = 26.0, 60.0
 
 
 def regions(lines: DataFrame, page: str, y: str, gap: float = GAP) -> DataFrame:
@@ -32,17 +18,49 @@ def regions(lines: DataFrame, page: str, y: str, gap: float = GAP) -> DataFrame:
 
 
 def region_zones(lines: DataFrame, page: str) -> DataFrame:
-    """Each region's zone by majority of its lines (of equal counts the first by name), with its share."""
-    votes = lines.groupBy(page, "region", "zone").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy(page, "region").agg(F.min_by("zone", F.struct((-F.col("n")).alias("n"), "zone")).alias("zone"), (F.max("n") / F.sum("n")).alias("share"))
+    """Each region's zone, score and number of lines, from its lines (page, region, zone, text, words).
 
-
-def segments(words: DataFrame, gap: float = SEGMENT_GAP) -> DataFrame:
-    """Runs of words of a line without a gap over ``gap`` between them."""
-    w = Window.partitionBy("doc_id", "line").orderBy("x")
-    new = F.when(F.col("x") - F.lag(F.col("x") + F.col("width")).over(w) > gap, 1).otherwise(0)
-    cut = words.withColumn("segment", F.sum(new).over(w))
-    return cut.groupBy("doc_id", "line", "segment").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.col("width")).alias("x1"), F.count(F.lit(1)).alias("n_words"))
+    noise if all lines but one at most are noise, form if half of them are, else text; a short one with a heading's word is noise.
+    """
+    n = lines.groupBy(page, "region").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("zone") == "noise").alias("noise"), F.count_if(F.col("zone") == "form").alias("form"), F.avg("words").alias("mean"), F.bool_or(T.has_any(F.lower("text"), T.HEADING_WORDS)).alias("headed")
+    )
+    least = lambda x: F.greatest(F.lit(1), x)
+    verdict = lambda z, score: F.struct(F.lit(z).alias("zone"), F.lit(score).alias("score"))
+    found = (
+        F.when(F.col("noise") >= least(F.col("lines") - 1), verdict("noise", 0.86))
+        .when(F.col("form") >= least(F.floor(F.col("lines") / 2)), verdict("form", 0.8))
+        .when((F.col("mean") >= 9) | (F.col("lines") >= 3), verdict("text", 0.74))
+        .when(F.col("headed"), verdict("noise", 0.78))
+        .otherwise(verdict("text", 0.58))
+    )
+    return n.select(page, "region", found.alias("v"), "lines").select(page, "region", "v.zone", "v.score", "lines")
+
+
+def page_class(zones: DataFrame, page: str) -> DataFrame:
+    """Each page's kind from its zones (page, zone): counts, the dominant zone (of equal counts table, form, text, noise) and the content type."""
+    n = lambda z: F.count_if(F.col("zone") == z).alias(f"n_{z}")
+    counts = zones.groupBy(page).agg(*[n(z) for z in ("table", "form", "text", "noise")])
+    order = F.array(*[F.struct(F.col(f"n_{z}").alias("n"), F.lit(-k).alias("k"), F.lit(z).alias("z")) for k, z in enumerate(("table", "form", "text", "noise"))])
+    content = F.when((F.col("n_table") > 0) & (F.col("n_form") + F.col("n_text") > 0), "mixed").when(F.col("n_table") > 0, "table").when(F.col("n_form") > 0, "form").otherwise("text")
+    return counts.withColumn("dominant", F.array_max(order)["z"]).withColumn("content_type", content)
+
+
+def segments(documents: DataFrame, gap: float = SEGMENT_GAP) -> DataFrame:
+    """doc_id, line, segment, x0, x1, n_words: runs of a line's words without a gap over ``gap`` between them.
+
+    A character is 7 points wide, so a gap is a run of blanks. Lines are cut before such runs within the row: no shuffle.
+    """
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(F.trim("content") != "")
+    marked = F.regexp_replace("content", rf" {{{int(gap // 7) + 1},}}", "\x01$0")
+    cut = lines.select("doc_id", "line", F.split(marked, "\x01").alias("parts"))
+    before = lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda n, p: n + F.length(p))
+    placed = F.transform("parts", lambda p, i: F.struct(before(i).alias("at"), p.alias("p")))
+    parts = F.filter(placed, lambda x: F.trim(x["p"]) != "")
+    each = cut.select("doc_id", "line", F.posexplode(parts).alias("segment", "s"))
+    x0 = F.col("s.at") + F.length("s.p") - F.length(F.ltrim(F.col("s.p")))
+    words = F.size(F.filter(F.split("s.p", " "), lambda w: w != ""))
+    return each.select("doc_id", "line", F.col("segment").cast("long").alias("segment"), (x0 * 7.0).alias("x0"), ((F.col("s.at") + F.length(F.rtrim(F.col("s.p")))) * 7.0).alias("x1"), words.cast("long").alias("n_words"))
 
 
 def row_bands(blocks: DataFrame) -> DataFrame:
@@ -67,9 +85,3 @@ def row_bands(blocks: DataFrame) -> DataFrame:
         return pd.DataFrame({"page": page["page"].to_numpy(), "id": page["id"].to_numpy(), "band": out})
 
     return blocks.groupBy("page").applyInPandas(fold, "page long, id long, band int")
-
-
-def unique_names(names: DataFrame, page: str, order: str, name: str) -> DataFrame:
-    """Names made unique within a page: the n-th of equal ones (case aside) gets ``_n``."""
-    n = F.row_number().over(Window.partitionBy(page, F.lower(name)).orderBy(order))
-    return names.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), n.cast("string"))))

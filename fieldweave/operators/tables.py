@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from fieldweave.functions import values as V
 
 
-def best_row_group(rows: DataFrame, columns: list[str], expected: list[str]) -> DataFrame:
-    """Rows of the best group of equal filled columns; all rows if no group scores above 0.
+def header_score(headers: list[str], expected: list[str]) -> int:
+    """5 for each pair of equal names, 2 for each pair of which one is part of the other; letters and digits count only."""
+    plain = lambda names: [p for p in ("".join(ch for ch in n.lower() if ch.isalnum()) for n in names) if p]
+    return sum(5 if h == e else 2 if h in e or e in h else 0 for h in plain(headers) for e in plain(expected))
 
-    A group scores 5 for exactly the expected columns and 2 for each expected one; of equal scores the larger group wins.
-    """
+
+def best_row_group(rows: DataFrame, columns: list[str], expected: list[str]) -> DataFrame:
+    """Rows of the best group of equal filled columns; all rows if no group scores above 0. Of equal scores the larger group wins."""
     signature = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(V.visible(F.col(c).cast("string")), F.lit(c)) for c in columns]))), "|")
     signed = rows.withColumn("signature", signature)
     groups = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
-    has = F.size(F.array_intersect(F.split("signature", r"\|"), F.array(*[F.lit(c) for c in expected])))
-    score = F.when(F.col("signature") == "|".join(sorted(expected)), 5).otherwise(0) + 2 * has
+    score = sum((F.when(F.array_contains(F.split("signature", r"\|"), c), header_score([c], expected)).otherwise(0) for c in columns), F.lit(0))
     best = groups.withColumn("score", score).agg(F.max(F.struct("score", "n", "signature")).alias("b")).select("b.*")  # one row
     return signed.join(F.broadcast(best.select(F.col("signature").alias("best"), "score")), (F.col("score") <= 0) | (F.col("signature") == F.col("best"))).drop("best", "score")
 
@@ -33,10 +35,19 @@ def first_of_equal(rows: DataFrame, key: list, order: str) -> DataFrame:
 
 
 def column_types(cells: DataFrame) -> DataFrame:
-    """table, col, type: date if as many cells are dates as are numbers or other text, else number by the same rule, else text."""
-    kind = V.value_type(F.col("value"))
-    n = cells.groupBy("table", "col").agg(F.count_if(kind == "date").alias("d"), F.count_if(kind == "number").alias("m"), F.count_if(kind == "string").alias("t"))
-    return n.select("table", "col", F.when((F.col("d") > 0) & (F.col("d") >= F.greatest("m", "t")), "date").when((F.col("m") > 0) & (F.col("m") >= F.col("t")), "number").otherwise("text").alias("type"))
+    """table, col, type: date if as many cells can be repaired to dates as to numbers or stay text, else number by the same rule, else text."""
+    value = F.col("value")
+    kind = F.when(V.repair_date(value).isNotNull(), "date").when(V.repair_number(value).isNotNull(), "number").when(V.visible(value), "text")
+    n = cells.groupBy("table", "col").agg(F.count_if(kind == "date").alias("d"), F.count_if(kind == "number").alias("m"), F.count_if(kind == "text").alias("t"))
+    return n.select("table", "col", F.when((F.col("d") > 0) & (F.col("d") >= F.greatest("m", "t")), "date").when((F.col("m") > 0) & (F.col("m") >= F.greatest("d", "t")), "number").otherwise("text").alias("type"))
+
+
+def repaired_cells(cells: DataFrame) -> DataFrame:
+    """``cells`` (table, col, value) with their column's type and ``repaired``: the value as that type, empty where it cannot be one."""
+    typed = cells.join(column_types(cells), ["table", "col"])
+    plain = F.trim(F.regexp_replace(F.coalesce("value", F.lit("")), r"\s+", " "))
+    empty = F.lit("")
+    return typed.withColumn("repaired", F.when(F.col("type") == "number", F.coalesce(V.repair_number(plain), empty)).when(F.col("type") == "date", F.coalesce(V.repair_date(plain), empty)).otherwise(V.one_script(plain)))
 
 
 def dominant_width(rows: DataFrame, table: str, width: str) -> DataFrame:
@@ -45,18 +56,80 @@ def dominant_width(rows: DataFrame, table: str, width: str) -> DataFrame:
     return n.groupBy(table).agg(F.max_by(width, F.struct("n", width)).alias("width"), F.max("n").alias("rows"))
 
 
+def cell_kind(value: Column) -> Column:
+    """date, number, identifier, organization, person or text, by a cell's spelling."""
+    text = F.trim(F.regexp_replace(value, r"\s+", " "))
+    return (
+        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ][0-9:.]+Z?)?$") | text.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), "date")
+        .when(text.rlike(r"^[+-]?\d+(?:[.,]\d+)?$"), "number")
+        .when(F.lower(text).rlike(r"^(?:deal[_-]|sales-)"), "identifier")
+        .when(text.rlike(r"(?iu)^(?:ООО|АО|ОАО|ЗАО|ПАО|ИП)(?![\p{L}\p{N}_])"), "organization")
+        .when(text.rlike(r"^\p{Lu}[^ ]* \p{Lu}"), "person")
+        .otherwise("text")
+    )
+
+
+def _columns_of(cells: DataFrame) -> DataFrame:
+    """doc_id, width, column, kind (the most frequent; of equals the first), top, all, kinds, of flat cells (doc_id, at, value, width)."""
+    typed = cells.groupBy("doc_id", "width", (F.col("at") % F.col("width")).alias("column"), cell_kind(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    return typed.groupBy("doc_id", "width", "column").agg(
+        F.max_by("kind", F.struct("n", (-F.col("first")).alias("first"))).alias("kind"), F.max("n").alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"), F.bool_or(F.col("kind") == "text").alias("has_text")
+    )
+
+
 def repeated_width(cells: DataFrame, most: int = 12) -> DataFrame:
-    """doc_id, width, score: the width under which a flat list of cells splits into columns of the purest types; the first best wins.
+    """doc_id, width, score: the width under which a flat list of cells (doc_id, at, value) makes rows of the purest columns; the least of equals.
 
-    Candidate widths divide the number of cells; a column's score is the share of its main type, and a half more if it is pure and not text.
+    Widths divide the number of cells into two rows or more. A column scores the share of its main kind, and a half more if it is the only
+    one and not text; a width scores the sum over its columns.
     """
     sized = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
     each = sized.withColumn("width", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(most), F.floor(F.col("n") / 2)))))).where("n % width = 0 and width * 2 <= n")
-    typed = each.groupBy("doc_id", "width", (F.col("at") % F.col("width")).alias("column"), V.value_type(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
-    column = typed.groupBy("doc_id", "width", "column").agg(F.max("n").alias("top"), F.sum("n").alias("all"), F.max_by("type", F.struct("n", "type")).alias("type"))
-    pure = (F.col("top") / F.col("all")) + F.when((F.col("top") == F.col("all")) & (F.col("type") != "string"), 0.5).otherwise(0.0)
-    score = column.withColumn("s", pure).groupBy("doc_id", "width").agg(F.round(F.avg("s"), 6).alias("score"))
-    return score.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("width")).alias("w"))).alias("b")).select("doc_id", (-F.col("b.w")).alias("width"), "b.score")
+    score = F.col("top") / F.col("all") + F.when((F.col("kinds") == 1) & ~F.col("has_text"), 0.5).otherwise(0.0)
+    widths = _columns_of(each).withColumn("s", score).groupBy("doc_id", "width").agg(F.round(F.sum("s"), 6).alias("score"))
+    return widths.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("width")).alias("w"))).alias("b")).select("doc_id", (-F.col("b.w")).alias("width"), "b.score")
+
+
+def repeated_columns(cells: DataFrame) -> DataFrame:
+    """doc_id, column, name of flat cells under their repeated width: named by the column's kind and place, equal names numbered from 2."""
+    placed = cells.join(repeated_width(cells).drop("score"), "doc_id")
+    kinds = _columns_of(placed)
+    last = kinds.where("column = width - 1").select("doc_id", F.col("kind").alias("last"))
+    named = {"identifier": "identifier", "date": "date", "number": "amount", "organization": "organization", "person": "responsible"}
+    at, width = F.col("column"), F.col("width")
+    by_kind = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
+    place = F.when(width >= 6, F.when(at == 1, "name").when(at == 3, "stage").when((at == width - 2) & (F.col("last") == "person"), "product"))
+    name = F.coalesce(F.try_element_at(by_kind, F.col("kind")), place, F.concat(F.lit("column"), (at + 1).cast("string")))
+    out = kinds.join(last, "doc_id").withColumn("name", name)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("column"))
+    return out.select("doc_id", "column", F.when(nth == 1, F.col("name")).otherwise(F.concat("name", nth.cast("string"))).alias("name"))
+
+
+def flat_cells(paragraphs: DataFrame) -> DataFrame:
+    """doc_id, at, value of the filled cells between a paragraph's pipes; paragraphs (doc_id, text) with under four are left out."""
+    cells = F.filter(F.transform(F.split("text", r"\|"), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))), lambda c: c != "")
+    return paragraphs.where(F.contains("text", F.lit("|"))).select("doc_id", cells.alias("cells")).where(F.size("cells") >= 4).select("doc_id", F.posexplode("cells").alias("at", "value"))
+
+
+def unique_names(names: DataFrame, group: str, order: str, name: str, gap: str = "") -> DataFrame:
+    """``names`` with ``unique``: the second of equal names in a group gets ``gap`` and 2, and so on, past names that are taken as they stand.
+
+    Suffixes that another name of the group already has are skipped: the k-th repetition takes the k-th free number.
+    """
+    w = Window.partitionBy(group, name)
+    every = F.collect_set(name).over(Window.partitionBy(group))
+    numbered = names.withColumn("_n", F.row_number().over(w.orderBy(order))).withColumn("_all", every)
+    free = F.filter(F.sequence(F.lit(2), F.col("_n") + F.size("_all")), lambda k: ~F.array_contains("_all", F.concat(F.col(name), F.lit(gap), k.cast("string"))))
+    return numbered.withColumn("unique", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(gap), F.get(free, F.col("_n") - 2).cast("string")))).drop("_n", "_all")
+
+
+def quote_aware(line: Column, delimiter: str) -> Column:
+    """The cells of a delimited line; delimiters within double quotes do not part, doubled quotes are one, blanks around cells go."""
+    outside = F.split(line, '"')
+    marked = F.transform(outside, lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(delimiter), F.lit("\x01"))).otherwise(part))
+    cells = F.split(F.array_join(marked, '"'), "\x01")
+    bare = lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) >= 2), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+    return F.transform(cells, lambda c: F.trim(bare(F.trim(c))))
 
 
 def changes(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -71,17 +144,19 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.array(*parts)), 256)
 
 
-def delimiter(text: Column, choices: tuple[str, ...] = (";", "\t", ",", "|"), lines: int = 5) -> Column:
-    """The delimiter that occurs most often in the first lines; the first of equals."""
-    head = F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n")
-    counts = [F.struct((F.length(head) - F.length(F.replace(head, F.lit(d), F.lit("")))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(choices)]
+def delimiter(text: Column, choices: tuple[str, ...] = (";", "\t", ",", "|")) -> Column:
+    """The delimiter that occurs most often outside double quotes in the whole text; the first of equals."""
+    outside = F.array_join(F.filter(F.split(text, '"'), lambda part, i: i % 2 == 0), "")
+    counts = [F.struct((F.length(outside) - F.length(F.replace(outside, F.lit(d), F.lit("")))).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, d in enumerate(choices)]
     return F.array_max(F.array(*counts))["d"]
 
 
 def usable_text(text: Column) -> Column:
     """Whether extracted text is good enough not to be read again: long or in lines, with letters and few bad characters."""
     bad = F.regexp_count(text, F.lit("[�\x00-\x08]")) / F.greatest(F.length(text), F.lit(1))
-    return ((F.length(text) >= 80) | (F.size(F.split(F.trim(text), "\n")) >= 3)) & (bad <= 0.01) & (F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) >= 40)
+    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    lines = F.size(F.filter(F.split(plain, "\n"), lambda x: F.trim(x) != ""))
+    return ((F.length(plain) >= 80) | (lines >= 3)) & (bad <= 0.01) & (F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) >= 40)
 
 
 def owners(items: DataFrame, dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -94,8 +169,7 @@ def owners(items: DataFrame, dims: dict[str, tuple[DataFrame, str, str]]) -> Dat
 
 
 def token_users(log: DataFrame, tokens: list[str]) -> DataFrame:
-    """token, users: distinct users whose labels hold the token; all tokens in one pass over distinct labels."""
-    spark = log.sparkSession
-    asked = spark.createDataFrame([(t,) for t in tokens], "token string")
-    labels = log.select("user_id", "source").distinct()
-    return labels.join(F.broadcast(asked), F.contains(F.lower("source"), F.col("token"))).groupBy("token").agg(F.count_distinct("user_id").alias("users"))
+    """token, users: distinct users whose labels hold the token as a word; labels are split into words, so tokens meet them in an equi-join."""
+    asked = log.sparkSession.createDataFrame([(t,) for t in tokens], "token string")
+    labels = log.select("user_id", "source").distinct().select("user_id", F.explode(F.array_distinct(F.split(F.lower("source"), r"[^\p{L}\p{N}]+"))).alias("token"))
+    return labels.join(F.broadcast(asked), "token").groupBy("token").agg(F.count_distinct("user_id").alias("users"))

@@ -203,3 +203,8 @@ SELECT doc_id, block, d AS delimiter, CAST(hi AS INT) AS columns, n - 1 AS rows
     "m18_draft_names": f"WITH {LOG}, m AS (SELECT user_id, source, target, least(1.0, 0.55 * avg(confidence) + 0.25 * count(*) FILTER (accepted) / count(*) + 0.1 * least(count(*) / 4, 1.0)) AS score FROM log GROUP BY 1, 2, 3), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, target DESC) = 1), w AS (SELECT *, string_split(source, ' ') AS p FROM b) SELECT user_id, source, CASE WHEN user_id % 2 = 0 AND score >= 0.6 THEN target ELSE p[1] || array_to_string(list_transform(p[2:], lambda x: upper(x[1]) || x[2:]), '') END AS name FROM w",
     "a14_run_quality": "SELECT l_orderkey, greatest(0.0, least(1.0, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.7 WHEN l_linenumber % 2 = 0 THEN 0.4 ELSE 0.0 END) - least(0.08 * max(l_linenumber - 1), 0.35))) AS quality FROM lineitem GROUP BY 1",
 }
+
+
+from fieldweave.plans.more_sql import SQL  # noqa: E402  written with the parts above
+
+ORACLE_SQL |= SQL

@@ -21,6 +21,7 @@ from fieldweave.operators import layout as LY
 from fieldweave.operators import matching as M
 from fieldweave.operators import tables as TB
 from fieldweave.operators import transform as TR
+from fieldweave.plans import sample_log as SL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -82,7 +83,7 @@ def f1_name_tokens(table):
 
 @query
 def f5_semantic_parts(table):
-    log = FB.correction_log(table("events"))
+    log = SL.correction_log(table("events"))
     both = log.select(F.col("source").alias("label")).unionByName(log.select(F.col("target").alias("label"))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return both.withColumn("p", N.prepared(F.col("label"))).select("label", "n", "p.attribute", "p.entity", "p.role", F.array_join("p.hints", ",").alias("hints"))
 
@@ -95,18 +96,21 @@ def f7_value_types(table):
 
 @query
 def f10_parse_values(table):
-    raw = F.concat(F.replace(F.format_string("%.2f", "o_totalprice"), F.lit("."), F.lit(",")), F.when(F.col("o_orderkey") % 11 == 0, "x").otherwise(""))
-    return table("orders").select("o_orderkey", V.parse_number(raw).alias("number"), V.parse_date(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("day"), V.parse_boolean(F.when(F.col("o_orderstatus") == "F", "Y").when(F.col("o_orderstatus") == "O", "no")).cast("string").alias("flag")).fillna("unknown", ["flag"])
+    raw = F.concat(F.replace(F.format_number("o_totalprice", 2), F.lit(","), F.lit(" ")), F.when(F.col("o_orderkey") % 11 == 0, "x").otherwise(""))
+    shape = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise(F.date_format("o_orderdate", "yyyy/MM/dd"))
+    flag = V.parse_boolean(F.when(F.col("o_orderstatus") == "F", "Y").when(F.col("o_orderstatus") == "O", "no")).cast("string")
+    return table("orders").select("o_orderkey", V.parse_number(raw).alias("number"), V.parse_date(shape).alias("day"), F.coalesce(flag, F.lit("unknown")).alias("flag"))
 
 
 @query
 def f8_column_names(table):
-    return table("part").select("p_partkey", V.column_name(F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"))).alias("a"), V.column_name(F.col("p_brand")).alias("b"))
+    return table("part").select("p_partkey", V.column_name(F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"))).alias("a"), V.column_name(F.concat(F.lit("Ёмкость "), F.col("p_brand"), F.lit(" щука"))).alias("b"))
 
 
 @query
 def f18_repair_numbers(table):
-    return table("customer").select("c_custkey", V.repair_number(F.translate(F.format_string("%.2f", "c_acctbal"), "015", "OlS")).alias("repaired"))
+    misread = F.translate(F.format_string("%.2f", "c_acctbal"), "01258-", "O|2sB—")
+    return table("customer").select("c_custkey", V.repair_number(F.concat(F.lit(" "), misread)).alias("repaired"), V.repair_date(F.translate(F.concat_ws("/", F.lit("01"), (F.col("c_custkey") % 14 + 1).cast("string"), F.lit("2024")), "01", "Ol")).alias("day"))
 
 
 @query
@@ -128,7 +132,7 @@ def f17_headings(table):
 @query
 def x1_key_values(table):
     c = table("customer")
-    text = F.concat(F.lit("Name: "), "c_name", F.lit("\nBalance : "), F.col("c_nationkey").cast("string"), F.lit("\nno pair here\nSegment:  "), "c_mktsegment", F.lit("\nname: other"))
+    text = F.concat(F.lit("Name: "), "c_name", F.lit("\nBalance : "), F.col("c_nationkey").cast("string"), F.lit("\nno pair here\nSegment:  "), "c_mktsegment", F.lit("\nname: other\nNAME: OTHER\nkey part - its value\n\ta : b"))
     return X.key_values(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
 
 
@@ -145,7 +149,7 @@ def x4_sections(table):
 @query
 def x5_delimited_tables(table):
     c = table("customer")
-    built = F.concat(F.lit("name;segment\n"), "c_name", F.lit(";"), "c_mktsegment", F.lit("\n\nno table\nhere\n\na|b|c\n1|2|3\n4|5|"), F.col("c_nationkey").cast("string"))
+    built = F.concat(F.lit("name;segment\n"), "c_name", F.lit(";"), "c_mktsegment", F.lit("\n\nno table\nhere\n\n|a|b|c|\n|--|:---|---|\n|1|2|\n|4|5|"), F.col("c_nationkey").cast("string"), F.lit("|\n\nx  y\n1   2\n3  "), F.col("c_mktsegment"))
     docs = c.select(F.col("c_custkey").alias("doc_id"), built.alias("text")).unionByName(table("documents").select((-F.col("doc_id") - 1).alias("doc_id"), "text"))
     return X.delimited_tables(docs)
 
@@ -157,45 +161,47 @@ def sc16_html_items(table):
 
 @query
 def a1_memory(table):
-    return FB.memory(FB.correction_log(table("events")))
+    return FB.memory(SL.correction_log(table("events")))
 
 
 @query
 def m15_personal_candidates(table):
-    m = FB.memory(FB.correction_log(table("events")))
+    m = FB.memory(SL.correction_log(table("events")))
     score = FB.memory_score(F.col("mean_confidence"), F.col("success_count"), F.col("failure_count"), F.col("usage_count"), F.lit(0))
     return H.newest_per(m.withColumn("score", score), "user_id", [F.col("score").desc(), "source", "target"], 3).select("user_id", "source", "target", "score", "rank")
 
 
 @query
 def m20_pattern_stats(table):
-    return FB.pattern_stats(FB.correction_log(table("events")))
+    return FB.pattern_stats(SL.correction_log(table("events")))
 
 
 @query
 def m21_promotion(table):
-    return FB.promotion(FB.pattern_stats(FB.correction_log(table("events")))).select("source", "target", "status", "reason")
+    return FB.promotion(FB.pattern_stats(SL.correction_log(table("events")))).select("source", "target", "status", "reason")
 
 
 @query
 def m21_promotion_of_few(table):
-    return FB.promotion(FB.pattern_stats(FB.correction_log(table("events").where("user_id < 4")))).select("source", "target", "status", "reason")
+    """Patterns of each week of the log on its own: few corrections each."""
+    log = SL.correction_log(table("events")).withColumn("week", F.date_trunc("week", "ts"))
+    return FB.promotion(FB.pattern_stats(log, by=["week"])).select("week", "source", "target", "status", "reason")
 
 
 @query
 def m22_bulk_promotion(table):
-    return FB.bulk_promotion(FB.pattern_stats(FB.correction_log(table("events"))), stability=0.5).select("source", "target", "status", "reason")
+    return FB.bulk_promotion(FB.pattern_stats(SL.correction_log(table("events"))), stability=0.5).select("source", "target", "status", "reason")
 
 
 @query
 def m16_shared_candidates(table):
-    stats = FB.promotion(FB.pattern_stats(FB.correction_log(table("events"))))
+    stats = FB.promotion(FB.pattern_stats(SL.correction_log(table("events"))))
     return stats.where("status <> 'blocked_sensitive'").select("source", "target", FB.shared_score(F.col("mean_confidence"), F.col("acceptance"), F.col("support"), F.col("users"), F.lit(0)).alias("score"))
 
 
 @query
 def w16_status_changes(table):
-    return FB.status_changes(FB.correction_log(table("events")))
+    return FB.status_changes(SL.correction_log(table("events")))
 
 
 @query
@@ -212,28 +218,33 @@ def u2_event_feed(table):
 
 @query
 def m25_graph_edges(table):
-    return G.edges(FB.correction_log(table("events")))
+    return G.edges(SL.correction_log(table("events")))
 
 
 @query
 def m26_graph_evidence(table):
-    return G.evidence(G.edges(FB.correction_log(table("events"))))
+    e = G.edges(SL.correction_log(table("events")))
+    asked = SL.correction_log(table("events")).select(N.prepared(F.col("target"))["normalized"].alias("source"), N.prepared(F.lit("creationDate"))["normalized"].alias("target")).distinct()
+    return G.candidates(e, asked.where("source <> target"))
 
 
 @query
 def m28_graph_clusters(table):
-    return G.clusters(G.edges(FB.correction_log(table("events"))))
+    return G.clusters(G.edges(SL.correction_log(table("events"))))
 
 
 @query
 def j6_incident_edges(table):
-    e = G.edges(FB.correction_log(table("events")))
+    e = G.edges(SL.correction_log(table("events")))
     return G.incident(e, e.where("relation = 'synonym'").select(F.col("r").alias("node"))).select("node", "other", "accepts", "rejects")
 
 
 @query
 def j1_run_history(table):
-    return H.run_history(table("orders"), table("customer"), table("lineitem"), 100).fillna(0, ["quantity", "n_lines"])
+    runs, owners = table("orders").withColumnRenamed("o_orderkey", "run").withColumnRenamed("o_custkey", "owner"), table("customer").select(F.col("c_custkey").alias("owner"), "c_name")
+    totals = [F.max("l_shipdate").alias("last_ship"), F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n_lines")]
+    out = H.run_history(runs, owners, table("lineitem").withColumnRenamed("l_orderkey", "run"), "run", "owner", [F.col("o_orderdate").desc(), F.col("run").desc()], 100, totals)
+    return out.select(F.col("run").alias("o_orderkey"), "o_orderdate", "c_name", "last_ship", F.coalesce("quantity", F.lit(0.0)).alias("quantity"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"))
 
 
 @query
@@ -301,31 +312,47 @@ def a15_run_status(table):
 
 @query
 def m33_snapshot(table):
-    items = EV.curated(table("events").select(F.col("event_id").alias("id")).join(table("events").select(F.col("event_id").alias("id"), "value"), "id"), F.col("value") / 100)
+    items = EV.curated(table("events").select(F.col("event_id").alias("id"), "value"), F.col("value") / 100)
     return EV.snapshot(items, 0.75, ["approved", "candidate"]).drop("identity")
 
 
 @query
 def m35_feature_vectors(table):
-    return EV.feature_vectors(table("documents")).select("doc_id", F.round("l2_norm", 6).alias("l2_norm"))
+    log = SL.correction_log(table("events")).withColumn("s", N.prepared(F.col("source"))["normalized"]).withColumn("t", N.prepared(F.col("target"))["normalized"])
+    band = F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.7, "medium").otherwise("low")
+    runs = log.groupBy(F.col("user_id").alias("id")).agg(
+        F.array_sort(F.collect_set("s")).alias("sources"), F.array_sort(F.collect_set("t")).alias("targets"), F.count(F.lit(1)).alias("rows"), F.lit(1).alias("sheets"),
+        *[F.count_if(band == b).alias(b) for b in ("high", "medium", "low", "none")], F.count_if(~F.col("accepted")).alias("warnings"),
+    )
+    out = EV.feature_vectors(runs.withColumn("file_type", F.get(F.array(F.lit("csv"), F.lit("xls"), F.lit("pdf"), F.lit("txt")), F.pmod("id", F.lit(4)).cast("int"))))
+    return out.select("id", F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", x)), " ").alias("vector"), F.array_join("tokens", " ").alias("tokens"), F.round("l2_norm", 6).alias("l2_norm"))
+
+
+def _lines(table):
+    """Lines of up to twelve words of every document, laid out with a wider step after every fifth: doc_id, text, words, zone, y."""
+    short = F.transform(F.split("text", "\n"), lambda x: F.array_join(F.slice(F.split(x, " "), 1, 12), " "))
+    lines = table("documents").select("doc_id", F.posexplode(short).alias("at", "text")).where(F.trim("text") != "")
+    return lines.select("doc_id", "text", T.word_count(F.col("text")).alias("words"), T.line_zone(F.col("text")).alias("zone"), (F.col("at") * 14.0 + F.floor(F.col("at") / 5) * 20).alias("y"))
 
 
 @query
 def l3_line_zones(table):
-    lines = table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("line <> ''")
-    return lines.groupBy("doc_id", LY.zone(F.col("line")).alias("zone")).agg(F.count(F.lit(1)).alias("n"))
+    return _lines(table).groupBy("doc_id", "zone").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def w6_region_zones(table):
-    lines = table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("line <> ''")
-    placed = lines.select("doc_id", (F.col("at") * 14.0 + F.floor(F.col("at") / 5) * 20).alias("y"), LY.zone(F.col("line")).alias("zone"))
-    return LY.region_zones(LY.regions(placed, "doc_id", "y"), "doc_id")
+    return LY.region_zones(LY.regions(_lines(table), "doc_id", "y"), "doc_id")
+
+
+@query
+def l3_page_classes(table):
+    return LY.page_class(LY.region_zones(LY.regions(_lines(table), "doc_id", "y"), "doc_id"), "doc_id")
 
 
 @query
 def w8_line_segments(table):
-    return LY.segments(LY.words_of(table("documents").select("doc_id", "text")))
+    return LY.segments(table("documents").select("doc_id", F.regexp_replace("text", r"\. ", ".           ").alias("text")))
 
 
 def _page():
@@ -341,12 +368,13 @@ def w9_row_bands(table):
 
 @query
 def l7_unique_names(table):
-    return LY.unique_names(table("part").select("p_brand", "p_partkey", "p_type"), "p_brand", "p_partkey", "p_type").select("p_partkey", "unique_name")
+    names = table("part").select("p_brand", "p_partkey", F.when(F.col("p_partkey") % 50 == 0, F.concat("p_type", F.lit("_2"))).otherwise(F.col("p_type")).alias("p_type"))
+    return TB.unique_names(names, "p_brand", "p_partkey", "p_type", "_").select("p_partkey", F.col("unique").alias("unique_name"))
 
 
 def _match_case(table):
     """The log's labels as sources (their users as cases) and the log's targets as targets, with a sample value."""
-    log = FB.correction_log(table("events"))
+    log = SL.correction_log(table("events"))
     s = log.groupBy(F.col("user_id").alias("case_id"), "source").agg(F.min("event_id").alias("source_pos"), F.min_by(F.format_string("%.1f", "confidence"), "event_id").alias("sample"))
     t = log.groupBy(F.col("user_id").alias("case_id"), "target").agg(F.min("event_id").alias("target_pos"))
     return M.pairs(s, t.withColumn("type", F.when(F.col("target").isin("amount", "revenue"), "number").otherwise("string")))
@@ -376,15 +404,15 @@ def m1_assignment(table):
 
 @query
 def s1_acceptance_windows(table):
-    log = FB.correction_log(table("events"))
+    log = SL.correction_log(table("events"))
     w = log.groupBy(F.window("ts", "6 hours").alias("w"), "source").agg(F.count_if("accepted").alias("accepts"), F.count(F.lit(1)).alias("n"))
     return w.select(F.col("w.start").alias("from_ts"), "source", "accepts", "n")
 
 
 @query
 def p18_best_row_group(table):
-    e = table("events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"), F.when(F.col("value") > 30, F.col("value")).alias("amount"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("owner"))
-    return TB.best_row_group(e, ["kind", "amount", "owner"], ["kind", "amount"]).select("event_id", "signature")
+    e = table("events").select("event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("kind"), F.when(F.col("value") > 30, F.col("value")).alias("net_amount"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("owner"))
+    return TB.best_row_group(e, ["kind", "net_amount", "owner"], ["Kind", "amount", "net"]).select("event_id", "signature")
 
 
 @query
@@ -398,10 +426,21 @@ def w10_first_of_equal(table):
     return TB.first_of_equal(table("part").select("p_partkey", "p_brand", "p_type"), [F.lower("p_brand"), F.lower("p_type")], "p_partkey")
 
 
+def _ocr_cells(table):
+    """Cells with misread signs: table, col, value."""
+    misread = lambda x: F.translate(x, "01", "Ol")
+    cells = F.array(misread(F.col("o_orderkey").cast("string")), misread(F.date_format("o_orderdate", "dd.MM.yyyy")), F.concat(F.lit("Хoлoд "), F.col("o_orderpriority")), F.when(F.col("o_orderstatus") == "F", "1O,5").otherwise("none"))
+    return table("orders").select((F.col("o_custkey") % 50).alias("table"), F.posexplode(cells).alias("col", "value"))
+
+
 @query
 def a20_column_types(table):
-    cells = table("orders").select((F.col("o_custkey") % 50).alias("table"), F.posexplode(F.array(F.col("o_orderkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority"), F.when(F.col("o_orderstatus") == "F", "10,5").otherwise("none"))).alias("col", "value"))
-    return TB.column_types(cells)
+    return TB.column_types(_ocr_cells(table))
+
+
+@query
+def l6_repaired_cells(table):
+    return TB.repaired_cells(_ocr_cells(table)).groupBy("table", "col", "type").agg(F.count_if(F.col("repaired") == "").alias("empty"), F.min("repaired").alias("least"), F.max("repaired").alias("most"))
 
 
 @query
@@ -410,11 +449,21 @@ def a25_dominant_width(table):
     return TB.dominant_width(rows, "doc_id", "width")
 
 
+def _flat(table):
+    """Three rows of six cells for each customer, without a line break between them."""
+    row = lambda k: [F.concat(F.lit("deal_"), F.col("c_custkey").cast("string")), F.concat(F.lit("item "), F.col("c_name")), F.lit(f"2024-01-1{k}"), F.lower("c_mktsegment"), F.when(F.col("c_nationkey") % 2 == 0, "ООО Ромашка").otherwise("Иван Петров"), F.format_string("%.2f", "c_acctbal")]
+    text = F.concat_ws(" | ", *[x for k in range(3) for x in row(k)])
+    return TB.flat_cells(table("customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")))
+
+
 @query
 def a21_repeated_width(table):
-    c = table("customer").where("c_custkey % 3 = 0")
-    cells = F.flatten(F.array(*[F.array(F.col("c_custkey").cast("string"), F.concat(F.col("c_name"), F.lit(f" {k}")), F.lit(f"2024-01-1{k}"), F.format_string("%.2f", "c_acctbal")) for k in range(3)]))
-    return TB.repeated_width(c.select(F.col("c_custkey").alias("doc_id"), F.posexplode(cells).alias("at", "value")))
+    return TB.repeated_width(_flat(table))
+
+
+@query
+def a22_repeated_columns(table):
+    return TB.repeated_columns(_flat(table))
 
 
 @query
@@ -454,19 +503,19 @@ def j10_relevant_orders(table):
 
 @query
 def p16_token_users(table):
-    return TB.token_users(FB.correction_log(table("events")), ["customer", "amount", "date", "revenue", "phone"])
+    return TB.token_users(SL.correction_log(table("events")), ["customer", "amount", "date", "revenue", "phone"])
 
 
 @query
 def t2_pattern_list(table):
-    p = FB.promotion(FB.pattern_stats(FB.correction_log(table("events"))))
+    p = FB.promotion(FB.pattern_stats(SL.correction_log(table("events"))))
     rank = F.when(F.col("status") == "shared_promoted", 3).when(F.col("status") == "shared_candidate", 2).when(F.col("status") == "personal_only", 1).otherwise(0)
     return p.orderBy(rank.desc(), F.col("acceptance").desc(), F.col("support").desc(), "source", "target").limit(12).select("source", "target", "status", "support")
 
 
 @query
 def j3_memory_layers(table):
-    log = FB.correction_log(table("events"))
+    log = SL.correction_log(table("events"))
     per = FB.memory(log).groupBy("source").agg(F.count(F.lit(1)).alias("remembered"), F.sum("usage_count").alias("uses"))
     seen = log.groupBy("source").agg(F.count_if(~F.col("accepted")).alias("rejected"), F.count_distinct("user_id").alias("users"))
     return per.join(seen, "source")
@@ -502,7 +551,7 @@ def l1_word_lines(table):
 
 
 def _cascade_candidates(table):
-    log = FB.correction_log(table("events"))
+    log = SL.correction_log(table("events"))
     p = _match_case(table).select("case_id", "target_pos", "target", "source", M.rule(F.col("s"), F.col("t")).alias("rule"))
     ruled = p.where("rule is not null").select("case_id", "target_pos", "target", "source", F.lit("deterministic").alias("tier"), (1 - F.col("rule.rank") / 10).alias("score"))
     at = p.select("case_id", "target_pos", "target", "source")
@@ -520,7 +569,7 @@ def m6_cascade(table):
 
 @query
 def m18_draft_names(table):
-    log = FB.correction_log(table("events"))
+    log = SL.correction_log(table("events"))
     m = FB.memory(log).withColumn("score", FB.memory_score(F.col("mean_confidence"), F.col("success_count"), F.col("failure_count"), F.col("usage_count"), F.lit(0)))
     own = m.groupBy("user_id", "source").agg(F.max_by("target", F.struct("score", "target")).alias("target"), F.max("score").alias("score"))
     cols = own.withColumn("target", F.when(F.col("user_id") % 2 == 0, F.col("target")))
@@ -531,3 +580,6 @@ def m18_draft_names(table):
 def a14_run_quality(table):
     band = F.when(F.col("l_returnflag") == "R", "high").when(F.col("l_returnflag") == "A", "medium").when(F.col("l_linenumber") % 2 == 0, "low").otherwise("none")
     return DR.run_quality(table("lineitem").select("l_orderkey", band.alias("band"), (F.col("l_linenumber") - 1).alias("w")), "l_orderkey", "band", F.col("w"))
+
+
+from fieldweave.plans import more_queries  # noqa: E402,F401  registers the rest

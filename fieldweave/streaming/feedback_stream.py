@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.operators import feedback as FB
+from fieldweave.plans import sample_log as SL
 
 
 def log_stream(spark: SparkSession, folder: str, like: DataFrame, files_per_batch: int = 1) -> DataFrame:
     """Corrections from Parquet files of events as they arrive in ``folder``."""
-    return FB.correction_log(spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    return SL.correction_log(spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
 def pattern_counts(log: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from fieldweave.operators import forms as FM
 from fieldweave.operators import layout as LY
 from fieldweave.operators import matching as M
 from fieldweave.operators import transform as TR
+from fieldweave.plans import sample_log as SL
 from fieldweave.sources import readers as R
 from fieldweave.streaming import feedback_stream as S
 
@@ -125,12 +126,12 @@ def test_stream_equals_batch(spark, tmp_path):
     log = S.log_stream(spark, f"{tmp_path}/in", events)
     q = S.pattern_counts(log).writeStream.outputMode("complete").format("memory").queryName("patterns").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
     q.awaitTermination(180)
-    batch = S.pattern_counts(FB.correction_log(events))
+    batch = S.pattern_counts(SL.correction_log(events))
     rounded = lambda df: sorted((r.source, r.target, r.support, r.accepts, round(r.confidence, 6)) for r in df.collect())
     assert rounded(spark.table("patterns")) == rounded(batch)
     w = S.acceptance(log).writeStream.outputMode("append").format("memory").queryName("windows").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     w.awaitTermination(180)
-    whole = {(r.from_ts, r.source): (r.accepts, r.n) for r in S.acceptance(FB.correction_log(events)).collect()}
+    whole = {(r.from_ts, r.source): (r.accepts, r.n) for r in S.acceptance(SL.correction_log(events)).collect()}
     got = {(r.from_ts, r.source): (r.accepts, r.n) for r in spark.table("windows").collect()}
     assert got and set(got) <= set(whole)
 
