@@ -21,17 +21,22 @@ def is_question(line: Column) -> Column:
     return ~line.rlike(MARKER) & (line.endswith("?") | (line.endswith(":") & (words >= 2)))
 
 
-def groups(lines: DataFrame, reach: int = 12) -> DataFrame:
-    """doc_id, question, option, selected, confidence: options under the nearest question above them, at most ``reach`` lines up.
+UNKNOWN = "Unknown question"
 
-    Without a fold: the question of a line is carried forward, and an option belongs to it unless a line that is neither stands between.
+
+def groups(lines: DataFrame) -> DataFrame:
+    """doc_id, question, option, selected, confidence: every option under the nearest question above it, or under an unknown one.
+
+    Without a fold: questions are counted up, and the count is the group. Plain lines between a question and its first option are part of it; later ones
+    do not end the group.
     """
-    at = Window.partitionBy("doc_id").orderBy("pos")
     marked = lines.withColumn("o", option(F.col("line"))).withColumn("q", is_question(F.col("line")))
-    marked = marked.withColumn("asked", F.last(F.when(F.col("q"), F.struct("pos", "line")), ignorenulls=True).over(at))
-    marked = marked.withColumn("broken", F.last(F.when(F.col("o").isNull() & ~F.col("q"), F.col("pos")), ignorenulls=True).over(at))
-    inside = (F.col("pos") - F.col("asked.pos") <= reach) & (F.coalesce("broken", F.lit(-1)) < F.col("asked.pos"))
-    return marked.where(F.col("o").isNotNull() & inside).select("doc_id", F.col("asked.line").alias("question"), F.col("o.label").alias("option"), "o.selected", "o.confidence")
+    marked = marked.withColumn("group", F.count_if("q").over(Window.partitionBy("doc_id").orderBy("pos")))
+    marked = marked.withColumn("first", F.min(F.when(F.col("o").isNotNull(), F.col("pos"))).over(Window.partitionBy("doc_id", "group")))
+    asked = marked.where("o is null and pos < first").groupBy("doc_id", "group").agg(F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("line")))).alias("parts"))
+    asked = asked.where("group > 0").select("doc_id", "group", F.array_join(F.transform("parts", lambda p: p["line"]), " ").alias("question"))
+    found = marked.where("o is not null").join(asked, ["doc_id", "group"], "left")
+    return found.select("doc_id", F.coalesce("question", F.lit(UNKNOWN)).alias("question"), F.col("o.label").alias("option"), "o.selected", "o.confidence")
 
 
 def answers(group: DataFrame, enums: dict[str, str]) -> DataFrame:

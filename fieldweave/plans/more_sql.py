@@ -156,4 +156,7 @@ UNION ALL SELECT -1, 'shared', unnest(['patterns', 'personal_only', 'shared_cand
     "m34_training_examples": f"WITH {LOG} SELECT event_id AS id, CASE WHEN confidence >= 0.85 THEN 'train' ELSE 'validation' END AS split, 'map: ' || source AS input, CASE WHEN accepted THEN target ELSE 'none' END AS output, round(confidence, 4) AS weight FROM log WHERE confidence >= 0.72",
     "j14_snapshot_runs": "WITH s AS (SELECT dayofyear(ts) AS w, count(*) AS items FROM events WHERE value / 100 >= 0.72 GROUP BY 1) SELECT coalesce(items, -1) AS items, count(*) AS runs FROM orders LEFT JOIN s ON w = dayofyear(o_orderdate) GROUP BY 1",
     "t5_top_anchors": f"WITH {EDGES} SELECT node, other, score, rank FROM (SELECT node, other, accepts - rejects AS score, CAST(row_number() OVER (PARTITION BY node ORDER BY accepts - rejects DESC, other) AS INT) AS rank FROM both_ways) WHERE rank <= 10",
+    "w17_form_groups": "SELECT c_custkey AS doc_id, q AS question, o AS option, CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END AS selected, CASE WHEN CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END THEN 0.96 ELSE 0.88 END::DOUBLE AS confidence FROM customer, (VALUES ('Unknown question', 'early'), ('Which segment? Pick one', 'BUILDING'), ('Which segment? Pick one', 'MACHINERY'), ('Which segment? Pick one', 'Other'), ('Which segment? Pick one', 'stray'), ('Any of these apply:', 'first'), ('Any of these apply:', 'second')) v(q, o)",
+    "l16_form_answers": "SELECT c_custkey AS doc_id, 'Which segment? Pick one' AS question, CASE WHEN c_nationkey > 12 THEN 'ambiguous' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'single' ELSE 'not_found' END AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE '' END AS answer, CASE WHEN c_nationkey > 12 THEN 0.45 WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0.92 ELSE 0.0 END AS confidence FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'not_found', '', 0.0 FROM customer UNION ALL SELECT c_custkey, 'Unknown question', 'ambiguous', '', 0.45 FROM customer",
+    "m18_draft_names": f"WITH {STATS}, m AS (SELECT user_id, source, target, least(1.0, 0.55 * avg(confidence) + 0.25 * count(*) FILTER (accepted) / count(*) + 0.1 * least(count(*) / 4, 1.0)) AS score FROM log GROUP BY 1, 2, 3), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, target DESC) = 1), s AS (SELECT source, target AS shared, least(1.0, 0.35 * mean_confidence + 0.35 * acceptance + 0.2 * least(support / 5, 1.0) + 0.1 * least(users / 3, 1.0)) AS shared_score FROM stats WHERE sensitivity < 0.6 QUALIFY row_number() OVER (PARTITION BY source ORDER BY least(1.0, 0.35 * mean_confidence + 0.35 * acceptance + 0.2 * least(support / 5, 1.0) + 0.1 * least(users / 3, 1.0)) DESC, target DESC) = 1), w AS (SELECT b.*, shared, shared_score, string_split(b.source, ' ') AS p FROM b LEFT JOIN s ON s.source = b.source) SELECT user_id, source, CASE WHEN user_id % 3 = 0 AND score >= 0.6 THEN target WHEN user_id % 3 = 1 AND shared_score >= 0.7 THEN shared ELSE p[1] || array_to_string(list_transform(p[2:], lambda x: upper(x[1]) || x[2:]), '') END AS name FROM w",
 }

@@ -529,9 +529,9 @@ def u3_united_sheets(table):
 
 
 def _form_lines(table):
-    """A small form for each customer: a question with three boxes, one without a choice, and a line between."""
+    """A small form for each customer: a box before any question, a question with boxes and a line between, one without a choice."""
     seg = lambda s: F.concat(F.when(F.col("c_mktsegment") == s, "[x] ").otherwise("[ ] "), F.lit(s))
-    lines = F.array(F.lit("Which segment?"), seg("BUILDING"), seg("MACHINERY"), F.concat(F.when(F.col("c_nationkey") > 12, "☑ ").otherwise("☐ "), F.lit("Other")), F.lit("A line between"), F.lit("[x] stray"), F.lit("Any of these apply:"), F.lit("☐ first"), F.lit("[ ] second"))
+    lines = F.array(F.lit("[x] early"), F.lit("Which segment?"), F.lit("Pick one"), seg("BUILDING"), seg("MACHINERY"), F.concat(F.when(F.col("c_nationkey") > 12, "☑ ").otherwise("☐ "), F.lit("Other")), F.lit("A line between"), F.lit("[ ] stray"), F.lit("Any of these apply:"), F.lit("☐ first"), F.lit("[ ] second"))
     return table("customer").select(F.col("c_custkey").alias("doc_id"), F.posexplode(lines).alias("pos", "line"))
 
 
@@ -559,6 +559,10 @@ def _cascade_candidates(table):
     own = m.select(F.col("user_id").alias("case_id"), "source", "target", FB.memory_score(F.col("mean_confidence"), F.col("success_count"), F.col("failure_count"), F.col("usage_count"), F.lit(0)).alias("score"))
     stats = FB.promotion(FB.pattern_stats(log)).where("status = 'shared_promoted'")
     shared = stats.select("source", "target", FB.shared_score(F.col("mean_confidence"), F.col("acceptance"), F.col("support"), F.col("users"), F.lit(0)).alias("score"))
+    named = p.withColumn("l", N.prepared(F.col("source"))["normalized"]).withColumn("r", N.prepared(F.col("target"))["normalized"]).select("case_id", "target_pos", "target", "source", "l", "r")
+    hints = G.candidates(G.edges(log), named.select(F.col("l").alias("source"), F.col("r").alias("target")).where("source <> target")).select(F.col("source").alias("l"), F.col("target").alias("r"), "score")
+    graph = named.join(hints, ["l", "r"]).select("case_id", "target_pos", "target", "source", F.lit("semantic_graph").alias("tier"), "score")
+    ruled = ruled.unionByName(graph)
     return ruled.unionByName(at.join(own, ["case_id", "source", "target"]).withColumn("tier", F.lit("personal_memory"))).unionByName(at.join(F.broadcast(shared), ["source", "target"]).withColumn("tier", F.lit("global_pattern")))
 
 
@@ -572,8 +576,12 @@ def m18_draft_names(table):
     log = SL.correction_log(table("events"))
     m = FB.memory(log).withColumn("score", FB.memory_score(F.col("mean_confidence"), F.col("success_count"), F.col("failure_count"), F.col("usage_count"), F.lit(0)))
     own = m.groupBy("user_id", "source").agg(F.max_by("target", F.struct("score", "target")).alias("target"), F.max("score").alias("score"))
-    cols = own.withColumn("target", F.when(F.col("user_id") % 2 == 0, F.col("target")))
-    return cols.select("user_id", "source", DR.draft_name(F.col("target"), F.when(F.col("target").isNotNull(), F.col("score")), F.lit(None).cast("string"), F.lit(0.0), F.col("source")).alias("name"))
+    cols = own.withColumn("target", F.when(F.col("user_id") % 3 == 0, F.col("target")))
+    stats = FB.promotion(FB.pattern_stats(log)).where("status <> 'blocked_sensitive'")
+    shared = stats.withColumn("score", FB.shared_score(F.col("mean_confidence"), F.col("acceptance"), F.col("support"), F.col("users"), F.lit(0)))
+    shared = shared.groupBy("source").agg(F.max_by("target", F.struct("score", "target")).alias("shared"), F.max("score").alias("shared_score"))
+    both = cols.join(F.broadcast(shared), "source", "left").withColumn("shared", F.when(F.col("user_id") % 3 == 1, F.col("shared")))
+    return both.select("user_id", "source", DR.draft_name(F.col("target"), F.when(F.col("target").isNotNull(), F.col("score")), F.col("shared"), F.col("shared_score"), F.col("source")).alias("name"))
 
 
 @query

@@ -150,11 +150,12 @@ def test_cascade_prefers_tiers_and_keeps_rules_sources_free(spark):
 
 
 def test_forms(spark):
-    lines = ["Residence?", "[x] NO", "☐ YES", "text", "[x] stray"]
+    lines = ["[ ] before", "Residence?", "of the client", "[x] NO", "☐ YES", "text", "[ ] later"]
     df = spark.createDataFrame([(1, k, t) for k, t in enumerate(lines)], "doc_id long, pos int, line string")
     g = FM.groups(df)
-    assert sorted((r.option, r.selected) for r in g.collect()) == [("NO", True), ("YES", False)]
-    a = FM.answers(g, {"no": "NOWHERE"}).first()
+    assert sorted((r.option, r.selected) for r in g.collect()) == [("NO", True), ("YES", False), ("before", False), ("later", False)]
+    assert {r.question for r in g.collect()} == {"Unknown question", "Residence? of the client"}
+    a = FM.answers(g, {"no": "NOWHERE"}).where("question <> 'Unknown question'").first()
     assert (a.kind, a.answer, a.confidence) == ("single", "NOWHERE", 0.92)
     w = spark.createDataFrame([(1, 1, 0.0, 5.0), (1, 2, 3.0, 1.0), (1, 3, 9.0, 0.0)], "page long, id long, top double, x0 double")
     assert {r.id: r.line for r in FM.lines_of(w).collect()} == {1: 0, 2: 0, 3: 1}
