@@ -14,6 +14,7 @@ from fieldweave.operators import graph as G
 from fieldweave.operators import history as H
 from fieldweave.operators import learning as LE
 from fieldweave.operators import matching as M
+from fieldweave.operators import review as RV
 from fieldweave.operators import tables as TB
 from fieldweave.plans import sample_log as SL
 from fieldweave.plans.queries import query
@@ -303,3 +304,85 @@ def j14_snapshot_runs(table):
 def t5_top_anchors(table):
     edges = H.newest_per(G.both_ways(G.edges(SL.correction_log(table("events")))).withColumn("score", F.col("accepts") - F.col("rejects")), "node", [F.col("score").desc(), "other"], 10)
     return edges.select("node", "other", "score", "rank")
+
+
+@query
+def p4_expected_sources(table):
+    m = table("lineitem").select(F.col("l_suppkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_linenumber") == 3, " ").otherwise(F.concat(F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus"))).alias("source"))
+    return RV.expected_sources(m).select("case_id", F.array_join("sources", ",").alias("sources"))
+
+
+@query
+def p13_usable_previews(table):
+    rows = table("lineitem").select(F.col("l_orderkey").alias("table"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), F.when(F.col("l_quantity") > 40, F.col("l_returnflag")).alias("a"), F.when(F.col("l_discount") > 0.05, F.lit(" ")).otherwise("x").alias("b"))
+    return RV.usable_previews(rows, ["a", "b"])
+
+
+@query
+def p17_found_events(table):
+    e = table("events").select("event_id", F.col("event_type").alias("stage"), F.concat(F.lit("Event "), F.col("user_id").cast("string")).alias("title"), F.col("props").alias("description"))
+    return RV.found_events(e, "click", ' "K": 1 ').select("event_id")
+
+
+@query
+def a24_stage_counts(table):
+    return RV.stage_counts(table("events").withColumnRenamed("event_type", "stage"), ["click", "view", "signup"])
+
+
+@query
+def w7_zone_edges(table):
+    z = table("lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 3).alias("column_id"), F.col("l_quantity").alias("y"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("zone_id")).distinct()
+    return RV.zone_edges(z).groupBy("page", "relation").agg(F.count(F.lit(1)).alias("n"), F.min("from_zone").alias("least_from"), F.max("to_zone").alias("most_to"))
+
+
+@query
+def t6_reading_order(table):
+    e = table("events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_id"), F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 3).alias("page"), (F.col("event_id") % 2).alias("column_id"), F.col("value").alias("y"), F.lit(1.0).alias("x"))
+    return RV.reading_order(e).select("line_id", "place")
+
+
+@query
+def u4_united_sheets(table):
+    o = table("orders").groupBy((F.col("o_custkey")).alias("book"), F.col("o_orderpriority").alias("sheet")).agg(F.min("o_orderkey").alias("pos"), F.count_if(F.col("o_orderstatus") == "F").alias("rows"))
+    tables = o.withColumn("columns", F.array(F.lit("key"), F.concat(F.lit("c"), F.substring("sheet", 1, 1))))
+    return RV.united_sheets(tables).select("book", F.array_join("columns", ",").alias("columns"), "rows", F.coalesce("warning", F.lit("none")).alias("warning"))
+
+
+@query
+def a16_routing_adjustment(table):
+    m = table("lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("target"), F.when(F.col("l_linenumber") % 3 == 0, "weak").when(F.col("l_linenumber") % 3 == 1, "").otherwise(F.col("l_linestatus")).alias("reason"), F.col("l_discount").alias("penalty"))
+    return RV.routing_adjustment(m)
+
+
+@query
+def a17_group_signals(table):
+    g = table("lineitem").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("g"), F.col("l_linenumber").cast("string")).alias("group_id"), (F.col("l_returnflag") == "R").alias("ambiguous"), F.when(F.col("l_linenumber") != 2, F.col("l_tax") * 10).alias("group_confidence"), (F.col("l_discount") * 10).alias("selection_confidence"))
+    return RV.group_signals(g)
+
+
+@query
+def a23_table_zones(table):
+    e = table("events")
+    at = e.select((F.col("event_id") % 97).alias("table"), F.col("event_id").alias("row"), F.posexplode(F.array(F.when(F.col("event_id") % 97 % 4 == 0, "X yes").otherwise(F.col("event_type")), F.when(F.col("event_id") % 97 % 3 != 0, F.col("value").cast("string")), F.when(F.col("event_id") % 97 % 5 == 0, "a rather long cell of text"))).alias("col", "value"))
+    names = e.select((F.col("event_id") % 97).alias("table")).distinct().withColumn("names", F.array(F.when(F.col("table") % 2 == 0, "Is it so").otherwise("kind"), F.lit("value"), F.lit("a note")))
+    return RV.table_zones(at, names)
+
+
+@query
+def f30_model_usage(table):
+    body = F.when(F.col("event_id") % 5 == 0, F.lit('{"text": "no usage"}')).when(F.col("event_id") % 5 == 1, F.format_string('{"usage": {"prompt_tokens": "%d", "completion_tokens": 8, "precached_prompt_tokens": "3"}}', "user_id")).otherwise(F.format_string('{"usage": {"input_tokens": %d, "prompt_tokens": -1, "output_tokens": "x", "total_tokens": %d}}', "user_id", F.col("event_id") % 3))
+    return RV.model_usage(table("events").select(F.col("event_id").alias("id"), body.alias("body")))
+
+
+@query
+def m11_sample_values(table):
+    o = table("orders").withColumn("flag", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderstatus")).otherwise(""))
+    return RV.sample_values(o, "o_custkey", "o_orderkey", ["flag", "o_orderpriority"])
+
+
+@query
+def j13_run_context(table):
+    runs = table("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("owner"))
+    versions = table("lineitem").where("l_quantity > 30").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("version")).agg(F.min("l_returnflag").alias("state"))
+    artifacts = table("lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("version")).agg(F.max("l_extendedprice").alias("price"))
+    return RV.run_context(runs, versions, artifacts).fillna(-1, ["version", "price"]).fillna("none", ["state"])

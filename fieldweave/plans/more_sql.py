@@ -159,4 +159,17 @@ UNION ALL SELECT -1, 'shared', unnest(['patterns', 'personal_only', 'shared_cand
     "w17_form_groups": "SELECT c_custkey AS doc_id, q AS question, o AS option, CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END AS selected, CASE WHEN CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END THEN 0.96 ELSE 0.88 END::DOUBLE AS confidence FROM customer, (VALUES ('Unknown question', 'early'), ('Which segment? Pick one', 'BUILDING'), ('Which segment? Pick one', 'MACHINERY'), ('Which segment? Pick one', 'Other'), ('Which segment? Pick one', 'stray'), ('Any of these apply:', 'first'), ('Any of these apply:', 'second')) v(q, o)",
     "l16_form_answers": "SELECT c_custkey AS doc_id, 'Which segment? Pick one' AS question, CASE WHEN c_nationkey > 12 THEN 'ambiguous' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'single' ELSE 'not_found' END AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE '' END AS answer, CASE WHEN c_nationkey > 12 THEN 0.45 WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0.92 ELSE 0.0 END AS confidence FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'not_found', '', 0.0 FROM customer UNION ALL SELECT c_custkey, 'Unknown question', 'ambiguous', '', 0.45 FROM customer",
     "m18_draft_names": f"WITH {STATS}, m AS (SELECT user_id, source, target, least(1.0, 0.55 * avg(confidence) + 0.25 * count(*) FILTER (accepted) / count(*) + 0.1 * least(count(*) / 4, 1.0)) AS score FROM log GROUP BY 1, 2, 3), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, target DESC) = 1), s AS (SELECT source, target AS shared, least(1.0, 0.35 * mean_confidence + 0.35 * acceptance + 0.2 * least(support / 5, 1.0) + 0.1 * least(users / 3, 1.0)) AS shared_score FROM stats WHERE sensitivity < 0.6 QUALIFY row_number() OVER (PARTITION BY source ORDER BY least(1.0, 0.35 * mean_confidence + 0.35 * acceptance + 0.2 * least(support / 5, 1.0) + 0.1 * least(users / 3, 1.0)) DESC, target DESC) = 1), w AS (SELECT b.*, shared, shared_score, string_split(b.source, ' ') AS p FROM b LEFT JOIN s ON s.source = b.source) SELECT user_id, source, CASE WHEN user_id % 3 = 0 AND score >= 0.6 THEN target WHEN user_id % 3 = 1 AND shared_score >= 0.7 THEN shared ELSE p[1] || array_to_string(list_transform(p[2:], lambda x: upper(x[1]) || x[2:]), '') END AS name FROM w",
+    "p4_expected_sources": "WITH m AS (SELECT l_suppkey AS case_id, l_returnflag || ' ' || l_linestatus AS source, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1, 2) SELECT case_id, string_agg(source, ',' ORDER BY pos, source) AS sources FROM m GROUP BY case_id",
+    "p13_usable_previews": "WITH r AS (SELECT l_orderkey AS t, l_quantity > 40 AND NOT l_discount > 0.05 AS good, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000 + l_partkey) AS n FROM lineitem) SELECT t AS \"table\", bool_or(good AND n <= 5) AS usable FROM r GROUP BY t",
+    "p17_found_events": """SELECT event_id FROM events WHERE event_type = 'click' AND contains(lower('Event ' || user_id || ' ' || props), '"k": 1')""",
+    "a24_stage_counts": "SELECT count(*) AS \"all\", count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'signup') AS signup FROM events",
+    "w7_zone_edges": "WITH z AS (SELECT DISTINCT l_orderkey AS page, l_linenumber % 3 AS col, l_quantity AS y, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id FROM lineitem), n AS (SELECT *, lead(id) OVER (PARTITION BY page, col ORDER BY y, id) AS nxt FROM z), e AS (SELECT page, id AS f, nxt AS t, 'next_in_column' AS relation FROM n WHERE nxt IS NOT NULL UNION ALL SELECT n.page, n.id, z.id, 'adjacent_column' FROM n JOIN z ON z.page = n.page AND z.col > n.col WHERE nxt IS NULL) SELECT page, relation, count(*) AS n, min(f) AS least_from, max(t) AS most_to FROM e GROUP BY 1, 2",
+    "t6_reading_order": "SELECT event_id AS line_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id % 7 <> 0 THEN event_id % 3 ELSE 0 END, event_id % 2, value, event_id) AS INT) AS place FROM events",
+    "u4_united_sheets": "WITH s AS (SELECT o_custkey AS book, o_orderpriority AS sheet, min(o_orderkey) AS pos, count(*) FILTER (o_orderstatus = 'F') AS n FROM orders GROUP BY 1, 2), g AS (SELECT book, count(*) AS sheets, count(*) FILTER (n > 0) AS filled, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, coalesce(list(sheet ORDER BY pos) FILTER (n > 0), []) AS names FROM s GROUP BY book) SELECT book, array_to_string(list_concat(CASE WHEN filled > 0 THEN ['key'] ELSE [] END, list_transform(names, lambda x: 'c' || x[1])), ',') AS columns, rows, CASE WHEN filled > 1 THEN 'Merged ' || filled || ' sheets: ' || array_to_string(names, ', ') WHEN filled = 1 AND sheets > 1 THEN 'Workbook has multiple sheets. Used the only non-empty sheet: ' || names[1] ELSE 'none' END AS warning FROM g",
+    "a16_routing_adjustment": "WITH m AS (SELECT l_orderkey AS case_id, l_returnflag AS target, CASE l_linenumber % 3 WHEN 0 THEN 'weak' WHEN 1 THEN '' ELSE l_linestatus END AS reason, l_discount AS penalty FROM lineitem) SELECT case_id, count(*) AS adjusted, array_to_string(list_sort(list(DISTINCT reason)), ',') AS reasons, count(DISTINCT target) AS targets, max(penalty) AS strongest FROM m WHERE reason <> '' GROUP BY case_id",
+    "a17_group_signals": "WITH g AS (SELECT l_orderkey AS doc_id, 'g' || l_linenumber AS id, l_returnflag = 'R' AS amb, coalesce(l_linenumber <> 2 AND l_tax * 10 < 0.6, false) OR l_discount * 10 < 0.6 AS low FROM lineitem) SELECT doc_id, coalesce(array_to_string(list_sort(list(DISTINCT id) FILTER (amb)), ','), '') AS ambiguous_groups, coalesce(array_to_string(list_sort(list(DISTINCT id) FILTER (NOT amb AND low)), ','), '') AS low_confidence_groups FROM g GROUP BY doc_id",
+    "a23_table_zones": "WITH r AS (SELECT event_id % 97 AS t, CASE WHEN event_id % 97 % 4 = 0 THEN 1 ELSE 0 END AS marks, 1 + CASE WHEN event_id % 97 % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 97 % 5 = 0 THEN 1 ELSE 0 END AS filled, 1 + CASE WHEN event_id % 97 % 3 <> 0 THEN 1 ELSE 0 END AS short FROM events), g AS (SELECT t, count(*) AS rows, avg(filled / 3.0) AS fill, sum(marks) AS marks, sum(short) AS short, count(*) FILTER (filled >= 2) AS whole, t % 2 = 0 AS asks FROM r GROUP BY t), s AS (SELECT t, CASE WHEN rows >= 2 THEN 0.25 ELSE 0 END + CASE WHEN whole >= greatest(2, rows // 2) THEN 0.25 ELSE 0 END + CASE WHEN fill >= 0.55 THEN 0.2 ELSE 0 END + CASE WHEN NOT asks THEN 0.15 ELSE 0 END AS data, CASE WHEN marks > 0 THEN 0.35 ELSE 0 END + CASE WHEN fill <= 0.6 THEN 0.2 ELSE 0 END + CASE WHEN asks THEN 0.2 ELSE 0 END + CASE WHEN short >= greatest(4, rows) THEN 0.15 ELSE 0 END AS form FROM g) SELECT t AS \"table\", CASE WHEN form >= data AND form >= 0.35 THEN 'form' WHEN data >= 0.35 THEN 'table' ELSE 'noise' END AS zone, CAST(round(CASE WHEN form >= data AND form >= 0.35 THEN form WHEN data >= 0.35 THEN data ELSE greatest(data, form, 0.1) END, 4) AS DOUBLE) AS score FROM s",
+    "f30_model_usage": "SELECT event_id AS id, user_id AS prompt_tokens, CAST(CASE WHEN event_id % 5 = 1 THEN 8 ELSE 0 END AS BIGINT) AS completion_tokens, CASE WHEN event_id % 5 = 1 THEN user_id + 8 WHEN event_id % 3 > 0 THEN event_id % 3 ELSE user_id END AS total_tokens, CAST(CASE WHEN event_id % 5 = 1 THEN 3 ELSE 0 END AS BIGINT) AS precached_prompt_tokens FROM events WHERE event_id % 5 <> 0",
+    "m11_sample_values": "SELECT o_custkey, 'flag' AS \"column\", arg_min(o_orderstatus, o_orderkey) AS sample FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey UNION ALL SELECT o_custkey, 'o_orderpriority', arg_min(o_orderpriority, o_orderkey) FROM orders GROUP BY o_custkey",
+    "j13_run_context": "WITH v AS (SELECT l_orderkey AS run_id, l_linenumber AS version, min(l_returnflag) AS state FROM lineitem WHERE l_quantity > 30 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1), a AS (SELECT l_orderkey AS run_id, l_linenumber AS version, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2) SELECT o_orderkey AS run_id, o_custkey AS owner, coalesce(v.version, -1) AS version, coalesce(state, 'none') AS state, coalesce(price, -1.0) AS price FROM orders LEFT JOIN v ON v.run_id = o_orderkey LEFT JOIN a ON a.run_id = v.run_id AND a.version = v.version",
 }
