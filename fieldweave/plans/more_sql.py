@@ -76,7 +76,7 @@ r AS (SELECT label, field, source, target, array_to_string(list_sort(list_distin
 SELECT *, sha256(source || '|' || target || '|' || role || '|' || concept) AS hash FROM r"""
 
 
-_weekly = STATS.replace("SELECT source, target, count(*) AS support", "SELECT dayofyear(ts) AS week, source, target, count(*) AS support").replace("FROM log GROUP BY source, target", "FROM log GROUP BY ALL").replace("SELECT source, target, support", "SELECT week, source, target, support")
+_weekly = STATS.replace("SELECT source, target, count(*) AS support", "SELECT date_trunc('week', ts) AS week, source, target, count(*) AS support").replace("FROM log GROUP BY source, target", "FROM log GROUP BY ALL").replace("SELECT source, target, support", "SELECT week, source, target, support")
 
 SQL: dict[str, str] = {
     "f10_parse_values": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS number, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' ELSE 'unknown' END AS flag FROM orders",
