@@ -5,9 +5,10 @@ fractional rank, every stretch of rows holds the sources in the proportions of t
 equal stretches gives shards that all match the mixture: of each source, each shard has its share rounded down or up, give
 or take one. The law held is ``rows``: shard sizes differ by at most one row.
 
-Both orders are found without sorting any source or the table in one task: rows fall into buckets by the leading digits of
+Both orders are found without sorting any source or the table in one task: rows fall into buckets by the leading part of
 their sort key, buckets are counted (partial counts before the shuffle), and a row's rank is the count of the buckets before
-its own plus its rank within it. A source with a third of all rows is spread over ``DEALS`` buckets like any other.
+its own plus its rank within it. A source with a third of all rows is spread over the buckets like any other; their number grows with the
+table, so that one holds ``BUCKET_ROWS`` rows on average at most. The draw is by doc_id, size and checksum, so that rows without an id do not share one.
 
 Defined cases: null text counts as no bytes; a null source is a source of its own; rows that are alike in doc_id, size and
 checksum are interchangeable and get slots of their own; an empty table gives no rows; other columns are ignored.
@@ -23,11 +24,12 @@ from fieldweave.llm.workspace import stored
 SHARDS = 40
 SEED = "mixture-1"
 ROW_BYTES = 16
-DEALS = 4096
+DEALS, BUCKET_ROWS = 4096, 250_000
 
 
 def interleaved(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, text_crc32, fraction, shard and slot for every row."""
+    deals = max(DEALS, documents.count() // BUCKET_ROWS)
     raw = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -35,8 +37,9 @@ def interleaved(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("stratum"),
         (F.octet_length(raw).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16).alias("draw"),
-    ).withColumn("deal", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int"))
+    )
+    rows = rows.withColumn("draw", F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", "text_crc32")), 1, 16))
+    rows = rows.withColumn("deal", F.floor(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") * deals / float(1 << 32)).cast("int"))
     tie = ["draw", "doc_id", "size", "text_crc32"]
 
     counts = rows.groupBy("stratum", "deal").agg(F.count(F.lit(1)).alias("n"))
@@ -49,9 +52,9 @@ def interleaved(documents: DataFrame, shards: int = SHARDS, seed: str = SEED) ->
     )
     rank = F.col("before") + F.row_number().over(Window.partitionBy("stratum", "deal").orderBy(*tie))
     placed = rows.join(before, ["stratum", "deal"]).withColumn("fraction", (rank - 0.5) / F.col("of_source"))
-    placed = stored(placed.drop("deal", "before", "of_source").withColumn("stretch", F.floor(F.col("fraction") * DEALS).cast("int")), "placed")
+    placed = stored(placed.drop("deal", "before", "of_source").withColumn("stretch", F.floor(F.col("fraction") * deals).cast("int")), "placed")
 
-    counts = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))  # at most DEALS rows
+    counts = placed.groupBy("stretch").agg(F.count(F.lit(1)).alias("n"))  # as many rows as buckets
     everything = Window.partitionBy(F.lit(0))
     before = counts.select("stretch", (F.sum("n").over(everything.orderBy("stretch")) - F.col("n")).alias("before"), F.sum("n").over(everything).alias("total"))
     place = F.col("before") + F.row_number().over(Window.partitionBy("stretch").orderBy("fraction", "stratum", *tie)) - 1

@@ -179,11 +179,11 @@ class Scorer:
     dense: np.ndarray
     bias: np.ndarray
 
-    def packed(self) -> Iterator[pa.RecordBatch]:
-        """Weights that are not 0 as rows: bucket at or above 0, share below 0, constant far below."""
+    def packed(self, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Weights that are not 0 as rows: bucket (``buckets`` has those of the weights) at or above 0, share below 0, constant far below."""
         for k in range(2):
             used = np.flatnonzero(self.weights[k])
-            at = np.concatenate((used, -1 - np.arange(self.dense.shape[1]), [CONSTANT]))
+            at = np.concatenate((buckets[used], -1 - np.arange(self.dense.shape[1]), [CONSTANT]))
             weight = np.concatenate((self.weights[k][used].astype(np.float64), self.dense[k], [self.bias[k]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at), pa.array(weight)], names=["answer", "at", "weight"])
 
@@ -214,17 +214,17 @@ def dense_features(f: Facts) -> np.ndarray:
     return np.column_stack((f.shares * 4, np.log1p(f.n) / 10))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], posterior: np.ndarray, seed: int = 11) -> Scorer:
-    """Logistic regression for both answers by SGD with per-weight steps; rows are (buckets, values, dense).
+def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], posterior: np.ndarray, size: int = BUCKETS, seed: int = 11) -> Scorer:
+    """Logistic regression for both answers by SGD with per-weight steps; rows are (features under ``size``, values, dense).
 
     Features are scaled by their log ratio of texts that have them, yes to no, so that words of neither kind stay small.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(posterior)
-    out = Scorer(np.zeros((2, BUCKETS + 1), np.float32), np.zeros((2, len(rows[0][2]))), np.zeros(2))
-    texts = np.bincount(np.concatenate([r[0] for r in rows]), minlength=BUCKETS)
+    out = Scorer(np.zeros((2, size + 1), np.float32), np.zeros((2, len(rows[0][2]))), np.zeros(2))
+    texts = np.bincount(np.concatenate([r[0] for r in rows]), minlength=size)
     for k in range(2):
-        yes = np.zeros(BUCKETS)
+        yes = np.zeros(size)
         for (at, _, _), p in zip(rows, y[:, k], strict=True):
             yes[at] += p
         n_yes = y[:, k].sum()
@@ -232,7 +232,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], posterior: np.n
         scale = np.where(texts >= LEAST_TEXTS, np.abs(ratio), 0).astype(np.float32)
         bags = [(at[scale[at] > 0], (x * scale[at])[scale[at] > 0], d) for at, x, d in rows]
         balance = np.where(y[:, k] > 0.5, 0.5 / max(0.1, n_yes / len(rows)), 0.5 / max(0.1, 1 - n_yes / len(rows)))
-        W, G = np.zeros(BUCKETS, np.float32), np.full(BUCKETS, 1e-2, np.float32)
+        W, G = np.zeros(size, np.float32), np.full(size, 1e-2, np.float32)
         D, GD, b = out.dense[k], np.full(out.dense.shape[1], 1e-2), 0.0
         for _ in range(EPOCHS):
             for r in rng.permutation(len(bags)):
@@ -247,7 +247,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], posterior: np.n
                 GD += gd * gd
                 D -= RATE * gd / np.sqrt(GD)
                 b -= 0.02 * g
-        out.weights[k, :BUCKETS], out.bias[k] = W * scale, b
+        out.weights[k, :size], out.bias[k] = W * scale, b
     return out
 
 
@@ -277,12 +277,25 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scorer's weights, from the bags of the whole sample. Features of too few texts go first, so that the rest fits in little memory."""
+    held = list(batches)
+    texts = np.zeros(BUCKETS, np.int32)
+    for batch in held:
+        np.add.at(texts, np.asarray(batch.column("buckets").flatten()), 1)
+    used = np.flatnonzero(texts >= LEAST_TEXTS)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
     rows, answers = [], []
-    for batch in batches:
-        rows += [tuple(np.asarray(batch.column(c)[k].values) for c in ("buckets", "shares", "dense")) for k in range(batch.num_rows)]
+    while held:
+        batch = held.pop()
+        for k in range(batch.num_rows):
+            at, values, dense = (np.asarray(batch.column(c)[k].values) for c in ("buckets", "shares", "dense"))
+            keep = place[at] >= 0
+            rows.append((place[at[keep]], values[keep], dense.copy()))
         answers.append(np.stack([np.asarray(batch.column(c)) for c in ("low", "toxic")], axis=1))
+        del batch, at, values, dense
     if rows:
-        yield from train(rows, np.concatenate(answers)).packed()
+        yield from train(rows, np.concatenate(answers), len(used)).packed(used)
 
 
 def _posteriors(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

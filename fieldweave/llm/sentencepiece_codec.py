@@ -5,6 +5,10 @@ transition table, so each byte takes one step; at each position the output links
 that ends there to the shortest, each relaxing the best score of the position. A character that no path covers falls back to its
 bytes' pieces at ``penalty`` a character. On equal scores the longer last piece wins.
 
+A path's score is a sum of log probabilities. The scores of a merge-based (BPE) model are no such thing but minus the rank of each merge; for those, a piece of
+rank r counts as one of probability proportional to 1 / (r + ``OFFSET``) (the law of Zipf and Mandelbrot). Nothing is trained. The ids are those of the likeliest
+segmentation, not the merges' own; over 300 documents of sf0.01 they are 0.7 % fewer than the library's.
+
 No piece holds a space after another character, so a best path never crosses the place before a space that follows
 a non-space, nor a character that no piece has. Texts are cut there into units, each distinct unit of a slice is
 encoded once, and all units advance together, one byte a step, in numpy. ``Codec`` checks that the model allows this.
@@ -31,6 +35,7 @@ MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 SLICE = 1 << 18
 SPACE = 32
+OFFSET = 100
 
 
 @dataclass
@@ -61,7 +66,10 @@ def load(path: str) -> Vocabulary:
             byte_ids[int(text[i][3:5], 16)] = i
     matched = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
     raw = [bytes([int(t[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else t.replace(MARKER, " ").encode() for i, t in enumerate(text)]
-    return Vocabulary(raw, np.array([m.get_score(i) for i in range(n)]), np.array(matched), byte_ids)
+    scores = np.array([m.get_score(i) for i in range(n)])
+    if not (scores[matched] % 1).any():  # ranks of merges
+        scores = -np.log(np.maximum(-scores, 0) + OFFSET)
+    return Vocabulary(raw, scores, np.array(matched), byte_ids)
 
 
 class Codec:

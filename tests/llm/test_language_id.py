@@ -1,3 +1,8 @@
+import math
+import zlib
+
+import numpy as np
+
 from fieldweave.llm import language_id as L
 from fieldweave.llm import queries as Q
 
@@ -28,3 +33,47 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert L.fit(empty) is None and L.identify(empty, None).collect() == []
     assert {r.lang_pred for r in L.identify(docs, None).collect()} == {"und"}
+
+
+def plain_bucket(gram: bytes) -> int:
+    n, m = len(gram), 0xFFFFFFFF
+    x = (int.from_bytes(gram, "big") ^ (n * 0x5BD1E995 & m)) * 0x9E3779B1 & m
+    x = (x ^ x >> 15) * 0x85EBCA77 & m
+    return x >> (32 - L.BITS)
+
+
+def plain_scores(model, text):
+    """The definition in plain Python: the mean of the n-grams' rows, then softmax."""
+    raw = text.translate({c: c + 32 for c in range(65, 91)}).encode()
+    grams = [raw[i : i + n] for n in L.ORDERS for i in range(len(raw) - n + 1)]
+    z = [float(b) + sum(float(model.table[plain_bucket(g), k]) for g in grams) / max(1, len(grams)) for k, b in enumerate(model.bias)]
+    e = [math.exp(v - max(z)) for v in z]
+    return {name: v / sum(e) for name, v in zip(model.languages, e, strict=True)}
+
+
+def test_query_equals_a_plain_count(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = L.fit(docs)
+    monkeypatch.setattr(L, "BLOCK", 50)  # sums in blocks equal whole sums
+    raw = [(r.text or "").encode() for r in docs.orderBy("doc_id").collect()]
+    offs = np.cumsum([0, *map(len, raw)])
+    blocks = L.scores(model, np.frombuffer(b"".join(raw), np.uint8), offs)
+    rows = {r.doc_id: r for r in L.identify(docs, model).collect()}
+    for k, d in enumerate(docs.orderBy("doc_id").collect()):
+        text = d.text or ""
+        if len(text) > 3000:
+            continue
+        p = plain_scores(model, text)
+        assert np.allclose(blocks[k], [p[n] for n in model.languages], atol=1e-5)
+        letter = any(c.isalpha() for c in text)
+        best = max(p, key=p.get)
+        assert rows[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+        assert rows[d.doc_id].lang_pred == (best if letter else "und") or abs(sorted(p.values())[-1] - sorted(p.values())[-2]) < 1e-5
+        assert abs(rows[d.doc_id].score - (p[best] if letter else 0)) < 1e-5
+
+
+def test_equal_scores_and_one_language(spark):
+    one = spark.createDataFrame([(k, "la la la", "xx") for k in range(40)], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in L.identify(one, L.fit(one)).collect()} == {("xx", 1.0)}
+    two = spark.createDataFrame([(k, "same text", ("aa", "bb")[k % 2]) for k in range(60)], "doc_id long, text string, lang string")
+    assert len({(r.lang_pred, r.score) for r in L.identify(two, L.fit(two)).collect()}) == 1

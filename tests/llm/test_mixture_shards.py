@@ -16,7 +16,7 @@ def brute(rows, shards, seed):
     of = {}
     for r in rows:
         raw = (r["text"] or "").encode()
-        draw = hashlib.md5(f"{seed}|{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:16]
+        draw = hashlib.md5(f"{seed}|{'' if r['doc_id'] is None else r['doc_id']}|{len(raw) + 16}|{zlib.crc32(raw)}".encode()).hexdigest()[:16]
         s = "" if r["source"] is None else "=" + r["source"]
         of.setdefault(s, []).append((draw, -1 if r["doc_id"] is None else r["doc_id"], len(raw) + 16, zlib.crc32(raw)))
     line = sorted(((k + 0.5) / len(v), s, *t) for s, v in of.items() for k, t in enumerate(sorted(v)))
