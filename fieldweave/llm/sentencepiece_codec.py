@@ -36,6 +36,7 @@ MARKER = "▁"
 SLICE = 1 << 18
 SPACE = 32
 OFFSET = 100
+GRID = 1 << 20
 
 
 @dataclass
@@ -69,6 +70,7 @@ def load(path: str) -> Vocabulary:
     scores = np.array([m.get_score(i) for i in range(n)])
     if not (scores[matched] % 1).any():  # ranks of merges
         scores = -np.log(np.maximum(-scores, 0) + OFFSET)
+    scores = np.round(scores * GRID) / GRID  # sums are exact, so equal paths tie in any order of adding up
     return Vocabulary(raw, scores, np.array(matched), byte_ids)
 
 

@@ -69,6 +69,8 @@ def test_library_decodes_the_query_to_the_texts(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = Q.QUERIES["op2_sentencepiece"](spark, SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(docs)
+    library = sum(len(m.encode(t or "")) for t in docs.values())
+    assert 0.9 * library < sum(r.n_tokens for r in got) < 1.02 * library  # no more tokens than the merges make
     for r in got:
         assert r.round_trip and r.n_tokens == len(r.ids) and m.decode(r.ids) == docs[r.doc_id]
         if len(docs[r.doc_id]) < 400:
