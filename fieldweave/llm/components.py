@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.workspace import HOT_KEYS, TOGETHER, stored
+from fieldweave.llm.workspace import HOT_KEYS, stored
+
+#: Neighbours of one node up to which they stay together: a few tens of MB, as a row is two longs
+TOGETHER = 1_000_000
 
 
 def _star(edges: DataFrame, small: bool, n: int) -> DataFrame:
