@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import decontamination, language_id, license_scan, mixture_shards, near_dup, ogg_media, passages, ppm_scoring, quality, sentencepiece_codec
+from fieldweave.llm import (
+    chat_format,
+    decontamination,
+    language_id,
+    lexical_search,
+    license_scan,
+    mixture_shards,
+    near_dup,
+    ogg_media,
+    passages,
+    ppm_scoring,
+    prefix_trie,
+    quality,
+    sentencepiece_codec,
+)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +68,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_documents(spark, sf_dir))
 
 
+#: A conversation whose texts hold what marks a turn, for a look at how that is escaped
+PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return chat_format.read_back(chat_format.formatted(said.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string"))))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sentencepiece": op2_sentencepiece,
@@ -65,6 +96,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_chat_format": op11_chat_format,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Link closure over exact shingle sets. DuckDB's \\x20\\x09-\\x0D class is spelled out by chr().
@@ -135,4 +169,72 @@ SELECT doc_id, item_id, count(DISTINCT item_at) / any_value(windows) AS coverage
 FROM kept JOIN usable ON id = item_id GROUP BY doc_id, item_id HAVING count(DISTINCT item_at) / any_value(windows) >= 0.5
 """
 
-ORACLE_SQL = {"op7_decontamination": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+#: What the output must say, from the turns themselves: a turn takes 13 characters besides its escaped role and text.
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, n, who, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS probe(n, who)
+), escaped AS (
+  SELECT *,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), chr(10), '\' || chr(10)) AS r,
+    replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS t
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(13 + length(r) + length(t)) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+OP12_SQL = r"""
+WITH bags AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), sizes AS (SELECT doc_id, count(*) AS n FROM bags GROUP BY doc_id),
+totals AS (SELECT count(*) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+lengths AS (SELECT doc_id, 100 - 50 + (50 * n * all_docs) // all_terms AS m FROM sizes, totals),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM bags GROUP BY doc_id, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(all_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+#: Prefixes as lists of turns. CRC-32 is worked out bit by bit from the digits of the id.
+OP13_SQL = r"""
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM own)
+), parts AS (
+  SELECT c.conv_id, 0 AS side, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1, o.pos, o.role, o.text FROM convs c JOIN own o ON o.conv_id = c.conv_id AND o.pos > c.h
+), sequences AS (
+  SELECT c.conv_id, coalesce(list(md5(role || chr(0) || text) || '/' || len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) ORDER BY side, pos) FILTER (text IS NOT NULL), []) AS s
+  FROM convs c LEFT JOIN parts p USING (conv_id) GROUP BY c.conv_id
+), prefixes AS (SELECT conv_id, s, d, s[1:d] AS p FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM sequences)),
+nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d
+), children AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * CAST(string_split(p[d], '/')[2] AS BIGINT) ELSE 0 END AS saved FROM nodes n LEFT JOIN children c USING (p)),
+above AS (SELECT p[1:k] AS p, saved, n_children FROM (SELECT *, unnest(range(d + 1)) AS k FROM whole)),
+sums AS (SELECT p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY p)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN sums USING (p) LEFT JOIN nodes u ON w.d > 0 AND u.p = w.p[1:w.d - 1] AND u.d = w.d - 1
+"""
+
+ORACLE_SQL = {"op11_chat_format": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_prefix_trie": OP13_SQL, "op7_decontamination": OP7_SQL, "op10_near_duplicates": OP10_SQL}
