@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FACT = r"(?i)^([^.:]{2,60}?)\s+(?:is|are|equals|was|were)\s+([^.]{2,180})\.?$"
+# Sentences that say what something is, in two languages.
+FACTS = [
+    r"(?i)^([^.:]{2,60}?)\s+(?:is|are|equals|was|were)\s+([^.]{2,180})\.?$",
+    r"(?iu)^([^.:]{2,60}?)\s+(?:является|составляет|равен|равна|равно)\s+([^.]{2,180})\.?$",
+]
 PAIR = r"^([^:]{1,80}?)\s*:\s*(.{1,220})$"
 
 
@@ -22,6 +26,11 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(normal_text(text), r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda s: s != "")
 
 
+def paragraphs(text: Column) -> Column:
+    """What empty lines part."""
+    return F.filter(F.transform(F.split(normal_text(text), "\n\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def is_heading(paragraph: Column) -> Column:
     """At most eight words, and ending in a colon or mostly in capitals."""
     words = F.size(F.filter(F.split(paragraph, r"\s+"), lambda w: w != ""))

@@ -138,5 +138,5 @@ def column_name(header: Column) -> Column:
     spaced = F.regexp_replace(F.trim(F.coalesce(header, F.lit(""))), r"(?<=[a-zа-я0-9])(?=[A-ZА-Я])", " ")
     words = F.filter(F.split(F.replace(F.lower(spaced), F.lit("ё"), F.lit("е")), r"[^a-zа-я0-9]+"), lambda w: w != "")
     words = F.transform(words, N.transliterated)
-    joined = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.array_join(F.transform(F.slice(words, 2, 1000), F.initcap), ""))
+    joined = F.concat(F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words)), F.initcap), ""))
     return F.when(joined.rlike(r"^[a-z]"), joined).otherwise(F.concat(F.lit("field"), joined))

@@ -45,24 +45,46 @@ def curated(items: DataFrame, quality: Column) -> DataFrame:
 
 
 def snapshot(items: DataFrame, least: float, statuses: list[str]) -> DataFrame:
-    """Count of items, least and greatest id and identity (a sum of hashes over all ids, free of order) by split."""
-    chosen = items.where((F.col("quality_score") >= least) & F.col("status").isin(statuses))
-    return chosen.groupBy("split").agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("identity"))
+    """Count of items, least and greatest id and identity by split: the sums of the halves of the ids' MD5, free of order."""
+    chosen = items.where((F.col("quality_score") >= least) & F.col("status").isin(statuses)).withColumn("_md5", F.md5(F.col("id").cast("string")))
+    half = lambda at: F.sum(F.conv(F.substring("_md5", at, 8), 16, 10).cast("long"))  # noqa: E731  an eighth of a hash: 2**31 ids fit
+    identity = F.concat_ws("-", *[half(at).cast("string") for at in (1, 9, 17, 25)])
+    return chosen.groupBy("split").agg(F.count(F.lit(1)).alias("items"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), identity.alias("identity"))
+
+
+# What a training example asks for.
+TASKS = {
+    "draft_json": "Generate a canonical draft JSON schema from table columns and user-confirmed naming patterns. Return only JSON.",
+    "mapping": "Resolve semantic mappings between source table fields and target JSON fields using domain-consistent synonyms. Return only JSON.",
+}
 
 
 def training_examples(items: DataFrame) -> DataFrame:
-    """Items (id, source, target, accepted, quality_score, split) as training rows: a prompt, the answer and a weight."""
-    return items.select("id", "split", F.concat(F.lit("map: "), "source").alias("input"), F.when(F.col("accepted"), F.col("target")).otherwise("none").alias("output"), F.round(F.col("quality_score"), 4).alias("weight"))
+    """Items (id, item_kind, split, quality_score, input_payload, target_payload: canonical JSON) as training examples with task_type and messages.
+
+    A template, and an item whose target has a ``draft_json``, asks for a draft and is answered by it; all others ask for a mapping. A payload that
+    is no JSON object is wrapped as ``raw_input`` or ``raw_target``.
+    """
+    wrapped = lambda c, raw: F.when(F.col(c).rlike(r"(?s)^\s*\{.*\}\s*$"), F.col(c)).otherwise(F.concat(F.lit('{"' + raw + '":'), F.when(F.col(c).rlike(r"^\s*(?:\[|\"|-?\d|true|false|null)"), F.col(c)).otherwise(F.to_json(F.col(c).try_cast("variant"))), F.lit("}")))
+    rows = items.withColumns({"input_payload": wrapped("input_payload", "raw_input"), "target_payload": wrapped("target_payload", "raw_target")})
+    draft = F.get_json_object("target_payload", "$.draft_json")
+    task = F.when(draft.isNotNull() | (F.col("item_kind") == "template"), "draft_json").otherwise("mapping")
+    ask = F.when(F.col("task_type") == "draft_json", TASKS["draft_json"]).otherwise(TASKS["mapping"])
+    answer = F.when(F.col("task_type") == "draft_json", F.coalesce(draft, F.col("target_payload"))).otherwise(F.col("target_payload"))
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    messages = F.array(said("system", ask), said("user", F.col("input_payload")), said("assistant", answer))
+    return rows.withColumn("task_type", task).select("id", "task_type", "item_kind", "split", F.round("quality_score", 4).alias("quality_score"), "input_payload", "target_payload", messages.alias("messages"))
 
 
 KINDS = [["csv"], ["xlsx", "xls"], ["pdf", "docx"]]
 
 
-def feature_vectors(runs: DataFrame, tokens: int = 64) -> DataFrame:
-    """id, vector, l2_norm and token bag of runs (id, sources, targets: arrays of normalised names, rows, sheets, high, medium, low, none, warnings, file_type).
+def feature_vectors(runs: DataFrame, tokens: int = 48) -> DataFrame:
+    """id, vector, l2_norm and token bag (a map of counts) of runs.
 
-    The vector's 13 parts: capped counts of sources, targets, rows and sheets; the overlap of names; the shares of the four confidence bands; capped
-    warnings; the three groups of file types. The bag counts source and target names and the file type.
+    ``runs``: id, sources and targets (arrays of normalised names in order, with repeats), rows, sheets, high, medium, low, none, warnings, file_type.
+    The vector's 13 parts: capped counts of sources, targets, rows and sheets; the overlap of distinct names; the shares of the four confidence
+    bands; capped warnings; the three groups of file types. The bag counts the first ``tokens`` names of either side and the file type.
     """
     capped = lambda n, most: F.round(F.least(n, F.lit(most)) / most, 6)
     names = F.size(F.array_union("sources", "targets"))
@@ -71,8 +93,10 @@ def feature_vectors(runs: DataFrame, tokens: int = 64) -> DataFrame:
     bands = [F.round(F.col(b) / mappings, 6) for b in ("high", "medium", "low", "none")]
     kinds = [F.col("file_type").isin(k).cast("double") for k in KINDS]
     vector = F.array(capped(F.size("sources"), 64), capped(F.size("targets"), 64), capped(F.col("rows"), 10), capped(F.col("sheets"), 10), overlap, *bands, capped(F.col("warnings"), 10), *kinds)
-    bag = F.concat(_tagged("sources", "source:", tokens), _tagged("targets", "target:", tokens), F.array(F.concat(F.lit("file_type:"), "file_type")))
-    return runs.select("id", vector.alias("vector"), F.array_sort(bag).alias("tokens")).withColumn("l2_norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
+    words = F.concat(_tagged("sources", "source:", tokens), _tagged("targets", "target:", tokens), F.array(F.concat(F.lit("file_type:"), "file_type")))
+    rows = runs.select("id", vector.alias("vector"), F.array_sort(words).alias("words")).withColumn("l2_norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
+    bag = F.map_from_entries(F.transform(F.array_distinct("words"), lambda w: F.struct(w, F.size(F.filter("words", lambda x: x == w)))))  # at most 2 * tokens + 1 words
+    return rows.select("id", "vector", "l2_norm", bag.alias("tokens"))
 
 
 def _tagged(side: str, name: str, most: int) -> Column:

@@ -18,27 +18,38 @@ INLINE = {
     "адрес": r"(?:адрес|address)",
     "цель документа": r"(?:цель\s+документа|document\s*purpose)",
 }
+#: A label and its value in one line, by colon, dash or two blanks; pairs parted by commas
 LABEL_SHAPES = [r"^([^:]{2,80}?)\s*:\s*(.+)$", r"^([^-]{2,80}?)\s+-\s+(.+)$", r"^([A-Za-zА-Яа-я0-9][A-Za-zА-Яа-я0-9 /()#._]{1,60}?)\s{2,}(.+)$"]
 WIDE_PAIR = r"([A-Za-zА-Яа-я0-9_()/ .-]{2,80}?)\s*:\s*(.+?)(?=(?:,\s*[A-Za-zА-Яа-я0-9_()/ .-]{2,80}?\s*:)|$)"
 
 
-def _first_of_equal(pairs: Column, limit: int) -> Column:
-    """Of pairs (label, value) that are equal but for case the first, at most ``limit``: within the row."""
-    keys = F.transform(pairs, lambda p: F.concat_ws("\x1f", F.lower(p["label"]), F.lower(p["value"])))
-    return F.slice(F.filter(pairs, lambda p, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, limit)
+def _keyed(pairs: str) -> Column:
+    """What pairs (label, value) are compared by: both, but for case."""
+    return F.transform(pairs, lambda p: F.concat_ws("\x1f", F.lower(p["label"]), F.lower(p["value"])))
 
 
-def _numbered(documents: DataFrame, pairs: Column) -> DataFrame:
+def _first_of_equal(pairs: str, keys: str, limit: int) -> Column:
+    """Of the pairs in a column those that are the first of their key, at most ``limit``. Linear: equal keys are found by hash, and just ``limit`` are looked up."""
+    return F.transform(F.slice(F.array_distinct(keys), 1, limit), lambda k: F.element_at(pairs, F.array_position(keys, k).cast("int")))
+
+
+def _numbered(documents: DataFrame, pairs: Column | str) -> DataFrame:
     return documents.select("doc_id", F.posexplode(pairs).alias("n", "p")).select("doc_id", (F.col("n") + 1).alias("n"), "p.label", "p.value")
 
 
 def text_facts(documents: DataFrame, limit: int = FACTS) -> DataFrame:
     """doc_id, n, label, value: "X is Y" sentences, the first of equal ones, at most ``limit`` a document."""
-    facts = F.filter(T.sentences(F.col("text")), lambda s: s.rlike(T.FACT))
-    label = lambda s: F.substring(F.regexp_replace(F.regexp_extract(s, T.FACT, 1), r"^[ \-:;,]+|[ \-:;,]+$", ""), 1, 60)
-    pairs = F.transform(facts, lambda s: F.struct(label(s).alias("label"), F.trim(F.regexp_extract(s, T.FACT, 2)).alias("value")))
-    found = documents.select("doc_id", F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "")).alias("pairs")).where(F.size("pairs") > 0)
-    return _numbered(found, _first_of_equal(F.col("pairs"), limit))
+
+    def fact(s: Column) -> Column:
+        out = F.lit(None)
+        for shape in reversed(T.FACTS):
+            label = F.substring(F.regexp_replace(F.regexp_extract(s, shape, 1), r"^[ \-:;,]+|[ \-:;,]+$", ""), 1, 60)
+            value = F.trim(F.regexp_extract(s, shape, 2))
+            out = F.when(s.rlike(shape) & (label != "") & (value != ""), F.struct(label.alias("label"), value.alias("value"))).otherwise(out)
+        return out
+
+    found = documents.select("doc_id", F.filter(F.transform(T.sentences(F.col("text")), fact), lambda p: p.isNotNull()).alias("pairs"))
+    return _numbered(found.withColumn("keys", _keyed("pairs")), _first_of_equal("pairs", "keys", limit))
 
 
 def _pair(line: Column) -> Column:
@@ -52,37 +63,49 @@ def _pair(line: Column) -> Column:
     return out
 
 
-def inline_pairs(text: Column, limit: int = PAIRS) -> Column:
+def inline_pairs(text: Column) -> Column:
     """Pairs of known labels within running text, in any order: what stands between a label and the next is its value. None under two labels."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00a0]+", " "))
     every = "|".join(INLINE.values())
     labels = F.regexp_extract_all(plain, F.lit(rf"(?iu)\b({every})\b"), F.lit(1))
-    values = F.slice(F.split(plain, rf"(?iu)\b(?:{every})\b"), 2, 10_000)
+    parts = F.split(plain, rf"(?iu)\b(?:{every})\b")
+    values = F.slice(parts, F.lit(2), F.size(parts))
     name = F.lit(None).cast("string")
     named = lambda x: [F.when(x.rlike(rf"(?iu)^{shape}$"), F.lit(label)) for label, shape in INLINE.items()]
     clean = lambda v: F.regexp_replace(v, r"^[ ,.;:\-]+|[ ,.;:\-]+$", "")
     pairs = F.transform(F.arrays_zip(labels.alias("l"), values.alias("v")), lambda x: F.struct(F.coalesce(*named(x["l"]), name).alias("label"), clean(x["v"]).alias("value")))
     valid = F.filter(pairs, lambda p: (p["value"] != "") & (F.length(p["value"]) <= 220))
-    return F.when(F.size(labels) >= 2, _first_of_equal(valid, limit)).otherwise(F.slice(valid, 1, 0))
+    return F.when(F.size(labels) >= 2, valid).otherwise(F.slice(valid, 1, 0))
 
 
 def key_values(documents: DataFrame, limit: int = PAIRS) -> DataFrame:
     """doc_id, n, label, value of lines that hold a label and a value, each pair once; of known labels inside a line if no more than one line does."""
     text = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("\u00a0"), F.lit(" "))
     lines = F.filter(F.transform(F.split(text, r"\r\n?|\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != "")
-    by_line = documents.select("doc_id", "text", F.filter(F.transform(lines, _pair), lambda p: p.isNotNull()).alias("pairs"))
-    both = by_line.select("doc_id", _first_of_equal(F.col("pairs"), limit).alias("pairs"), inline_pairs(F.col("text"), limit).alias("inline"))
+    by_line = documents.select("doc_id", F.filter(F.transform(lines, _pair), lambda p: p.isNotNull()).alias("pairs"), inline_pairs(text).alias("inline"))
+    keyed = by_line.withColumns({"keys": _keyed("pairs"), "inline_keys": _keyed("inline")})
+    both = keyed.select("doc_id", _first_of_equal("pairs", "keys", limit).alias("pairs"), _first_of_equal("inline", "inline_keys", limit).alias("inline"))
     return _numbered(both, F.when((F.size("inline") >= 2) & (F.size("pairs") <= 1), F.col("inline")).otherwise(F.col("pairs")))
 
 
 def wide_pairs(paragraphs: DataFrame) -> DataFrame:
-    """doc_id, row, label, value: paragraphs of two pairs or more parted by commas as rows of a wide table; of equal labels the last value counts."""
+    """doc_id, row, place, label, value: paragraphs of two pairs or more parted by commas as rows of a wide table, if a document has two such rows.
+
+    The columns are all labels of a document in order of their first appearance (``place``, from 1); a row without one has an empty value. Of
+    equal labels in a row the last value counts.
+    """
     matched = F.regexp_extract_all("paragraph", F.lit(WIDE_PAIR), F.lit(0))
     strip = lambda x: F.regexp_replace(x, r"^[ ,;]+|[ ,;]+$", "")
     pairs = F.transform(matched, lambda m: F.struct(strip(F.regexp_extract(m, WIDE_PAIR, 1)).alias("label"), strip(F.regexp_extract(m, r":\s*(.+)$", 1)).alias("value")))
-    each = paragraphs.select("doc_id", "row", F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != "")).alias("pairs")).where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["label"]))) >= 2)
-    last = F.filter("pairs", lambda p, i: ~F.exists(F.slice("pairs", i + 2, 10_000), lambda q: q["label"] == p["label"]))
-    return each.select("doc_id", "row", F.explode(last).alias("p")).select("doc_id", "row", "p.label", "p.value")
+    each = paragraphs.select("doc_id", "row", pairs.alias("pairs")).where(F.size("pairs") >= 2).withColumn("pairs", F.filter("pairs", lambda p: (p["label"] != "") & (p["value"] != "")))
+    long = each.select("doc_id", "row", F.posexplode("pairs").alias("at", "p"))
+    cells = long.groupBy("doc_id", "row", F.col("p.label").alias("label")).agg(F.max_by("p.value", "at").alias("value"), F.min("at").alias("at"))
+    rows = cells.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("cells")).where(F.size("cells") >= 2)
+    columns = cells.groupBy("doc_id", "label").agg(F.min(F.struct("row", "at")).alias("first")).withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("first")))
+    wide = columns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "label"))).alias("columns"))
+    enough = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc_id")
+    table = rows.join(enough, "doc_id", "left_semi").join(wide.where(F.size("columns") >= 2), "doc_id")
+    return table.select("doc_id", "row", "cells", F.explode("columns").alias("c")).select("doc_id", "row", "c.place", "c.label", F.coalesce(F.try_element_at("cells", F.col("c.label")), F.lit("")).alias("value"))
 
 
 def markdown_rows(documents: DataFrame) -> DataFrame:
@@ -96,18 +119,34 @@ def markdown_rows(documents: DataFrame) -> DataFrame:
     found = documents.select("doc_id", lines.alias("lines")).where(first > 0).select("doc_id", rest.alias("rest"))
     found = found.select("doc_id", F.when(stop > 0, F.slice("rest", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("rest")).alias("table"))
     rule = F.forall(cells(F.get("table", F.lit(1))), lambda c: c.rlike(r"^:?-{3,}:?$"))
-    found = found.where((F.size("table") >= 3) & rule).select("doc_id", cells(F.get("table", F.lit(0))).alias("names"), F.transform(F.slice("table", 3, 100_000), cells).alias("rows")).where(F.size("names") >= 2)
+    found = found.where((F.size("table") >= 3) & rule).select("doc_id", cells(F.get("table", F.lit(0))).alias("names"), F.transform(F.slice("table", F.lit(3), F.size("table")), cells).alias("rows")).where(F.size("names") >= 2)
     rows = found.select("doc_id", "names", F.posexplode(F.filter("rows", lambda r: F.size(r) == F.size("names"))).alias("row", "cells"))
     return rows.select("doc_id", (F.col("row") + 1).alias("row"), F.explode(F.arrays_zip(F.col("names").alias("column"), F.col("cells").alias("value"))).alias("c")).select("doc_id", "row", "c.column", "c.value")
 
 
-def sections(documents: DataFrame) -> DataFrame:
-    """doc_id, section, title, lines, chars: text under the running heading; 'Document' before the first."""
-    lines = documents.select("doc_id", F.posexplode(F.split(T.normal_text(F.col("text")), "\n")).alias("at", "line")).where("line <> ''")
+SECTIONS, BLOCKS = 12, 24
+
+
+def sections(documents: DataFrame, limit: int = SECTIONS) -> DataFrame:
+    """doc_id, section, title, text: paragraphs under the running heading, 'Document' before the first; at most ``limit`` a document.
+
+    A heading without a paragraph opens no section. A document of headings only is one section of its first three paragraphs.
+    """
+    whole = documents.select("doc_id", T.paragraphs(F.col("text")).alias("all"))
+    each = whole.select("doc_id", F.posexplode("all").alias("at", "paragraph")).withColumn("heading", T.is_heading(F.col("paragraph")))
     so_far = Window.partitionBy("doc_id").orderBy("at")
-    lines = lines.withColumn("heading", T.is_heading(F.col("line")))
-    lines = lines.withColumn("title", F.coalesce(F.last(F.when(F.col("heading"), F.col("line")), ignorenulls=True).over(so_far), F.lit("Document"))).withColumn("section", F.count_if("heading").over(so_far))
-    return lines.where("not heading").groupBy("doc_id", "section", "title").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"))
+    placed = each.withColumn("part", F.count_if("heading").over(so_far)).withColumn("title", F.coalesce(F.last(F.when(F.col("heading"), F.col("paragraph")), ignorenulls=True).over(so_far), F.lit("Document")))
+    body = placed.where("not heading").groupBy("doc_id", "part").agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct("at", "paragraph"))).alias("body"))
+    numbered = body.withColumn("section", F.row_number().over(Window.partitionBy("doc_id").orderBy("part"))).where(F.col("section") <= limit)
+    found = numbered.select("doc_id", "section", "title", F.array_join(F.transform("body", lambda p: p["paragraph"]), "\n\n").alias("text"))
+    bare = whole.where(F.size("all") > 0).where(F.forall("all", T.is_heading))
+    return found.unionByName(bare.select("doc_id", F.lit(1).alias("section"), F.lit("Document").alias("title"), F.array_join(F.slice("all", 1, 3), "\n\n").alias("text")))
+
+
+def text_blocks(documents: DataFrame, limit: int = BLOCKS) -> DataFrame:
+    """doc_id, n, block, label: the first ``limit`` paragraphs of each document; one that reads like a heading is its own label."""
+    blocks = documents.select("doc_id", F.posexplode(F.slice(T.paragraphs(F.col("text")), 1, limit)).alias("n", "block"))
+    return blocks.select("doc_id", (F.col("n") + 1).alias("n"), "block", F.when(T.is_heading(F.col("block")), F.col("block")).alias("label"))
 
 
 def delimited_tables(documents: DataFrame, delimiters: tuple[str, ...] = ("\t", "|", ";", ",", "  ")) -> DataFrame:
@@ -130,7 +169,7 @@ def delimited_tables(documents: DataFrame, delimiters: tuple[str, ...] = ("\t",
         rule = lambda c: F.forall(F.filter(c, lambda x: x != ""), lambda x: x.rlike(r"^:?-{3,}:?$")) & F.exists(c, lambda x: x != "")
         rows = F.filter(cells, lambda c: ~rule(c)) if d == "|" else cells
         head = F.get(rows, F.lit(0))
-        filled = F.filter(F.slice(rows, 2, 1_000_000), lambda r: F.exists(F.slice(r, F.lit(1), F.size(head)), lambda x: x != ""))
+        filled = F.filter(F.slice(rows, F.lit(2), F.size(rows)), lambda r: F.exists(F.slice(r, F.lit(1), F.size(head)), lambda x: x != ""))
         good = whole & (F.size(rows) >= 2) & (F.size(F.filter(head, lambda x: x != "")) >= 2) & (F.size(filled) > 0)
         return F.when(good, F.struct((F.size(head) * (F.size(filled) + 1)).alias("score"), F.lit(-delimiters.index(d)).alias("rank"), F.lit(d).alias("delimiter"), F.size(head).alias("columns"), F.size(filled).cast("long").alias("rows")))
 

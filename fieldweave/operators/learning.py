@@ -45,14 +45,18 @@ def staging(suggestions: DataFrame, limit: int) -> DataFrame:
 
 
 def review_state(suggestions: DataFrame) -> DataFrame:
-    """run_id, total, accepted, rejected, pending (suggested with a source) and state: open, reviewed or empty."""
+    """run_id, total, accepted, rejected, pending (suggested with a source) and state.
+
+    A rejected suggestion is looked at first, then one that waits: has_rejected_suggestions, has_pending_suggestions, else confirmed. Runs without
+    suggestions have no row.
+    """
     n = suggestions.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("status") == "accepted").alias("accepted"),
         F.count_if(F.col("status") == "rejected").alias("rejected"),
         F.count_if((F.col("status") == "suggested") & F.col("source").isNotNull()).alias("pending"),
     )
-    return n.withColumn("state", F.when(F.col("pending") > 0, "open").when(F.col("accepted") > 0, "reviewed").otherwise("empty"))
+    return n.withColumn("state", F.when(F.col("rejected") > 0, "has_rejected_suggestions").when(F.col("pending") > 0, "has_pending_suggestions").otherwise("confirmed"))
 
 
 def layers(suggestions: DataFrame, memory: DataFrame, patterns: DataFrame, user_edges: DataFrame) -> DataFrame:

@@ -82,12 +82,13 @@ def ruled(pair: DataFrame) -> DataFrame:
     return both.withColumn("rule", F.coalesce("rule", near_exact(F.col("s"), F.col("t"), F.col("similar")))).drop("similar").where("rule is not null")
 
 
-def by_position(sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """case_id, target, source, band: for cases with as many or more sources as targets, the k-th target gets the k-th source, in low confidence."""
+def by_position(sources: DataFrame, targets: DataFrame, matched: DataFrame) -> DataFrame:
+    """case_id, target, source, band: in cases of as many sources as targets of which nothing is ``matched`` (case_id), the k-th target gets the k-th source."""
     s = sources.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy("source_pos", "source")))
     t = targets.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy("target_pos", "target")))
-    enough = s.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).join(t.groupBy("case_id").agg(F.count(F.lit(1)).alias("m")), "case_id").where("n >= m").select("case_id")
-    return t.join(enough, "case_id", "left_semi").join(s, ["case_id", "k"]).select("case_id", "target", "source", F.lit("low").alias("band"), F.lit("position_fallback").alias("reason"))
+    equal = s.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).join(t.groupBy("case_id").agg(F.count(F.lit(1)).alias("m")), "case_id").where("n = m").select("case_id")
+    open_ = equal.join(matched, "case_id", "left_anti")
+    return t.join(open_, "case_id", "left_semi").join(s, ["case_id", "k"]).select("case_id", "target", "source", F.lit("low").alias("band"), F.lit("position_fallback").alias("reason"))
 
 
 def final_confidence(model: Column, prior: Column, conflict: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldweave.functions import values as V
 
@@ -56,6 +60,7 @@ def dominant_width(rows: DataFrame, table: str, width: str) -> DataFrame:
     return n.groupBy(table).agg(F.max_by(width, F.struct("n", width)).alias("width"), F.max("n").alias("rows"))
 
 
+# How cells of each kind are written.
 def cell_kind(value: Column) -> Column:
     """date, number, identifier, organization, person or text, by a cell's spelling."""
     text = F.trim(F.regexp_replace(value, r"\s+", " "))
@@ -111,16 +116,48 @@ def flat_cells(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.where(F.contains("text", F.lit("|"))).select("doc_id", cells.alias("cells")).where(F.size("cells") >= 4).select("doc_id", F.posexplode("cells").alias("at", "value"))
 
 
+def _renamer(gap: str) -> Callable:
+    """Unique names of rows (group, name) that come sorted by group and place; a group's names so far are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, next_free = object(), set(), {}
+        for batch in batches:
+            out = []
+            for group, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if group != now:
+                    now, used, next_free = group, set(), {}
+                new = name
+                if name is not None and name in used:
+                    k = next_free.get(name, 2)
+                    while f"{name}{gap}{k}" in used:
+                        k += 1
+                    next_free[name], new = k + 1, f"{name}{gap}{k}"
+                used.add(new)
+                out.append(new)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "unique"])
+
+    return run
+
+
 def unique_names(names: DataFrame, group: str, order: str, name: str, gap: str = "") -> DataFrame:
-    """``names`` with ``unique``: the second of equal names in a group gets ``gap`` and 2, and so on, past names that are taken as they stand.
+    """``names`` with ``unique``: a name that an earlier one of its group has got is given ``gap`` and the least number from 2 that makes it new.
 
-    Suffixes that another name of the group already has are skipped: the k-th repetition takes the k-th free number.
+    What a name gets depends on what all earlier ones have got, so a group is read in order, by one task; many groups share it. Later names play
+    no part: of a, a, "a 2" the last becomes "a 2 2".
     """
-    w = Window.partitionBy(group, name)
-    every = F.collect_set(name).over(Window.partitionBy(group))
-    numbered = names.withColumn("_n", F.row_number().over(w.orderBy(order))).withColumn("_all", every)
-    free = F.filter(F.sequence(F.lit(2), F.col("_n") + F.size("_all")), lambda k: ~F.array_contains("_all", F.concat(F.col(name), F.lit(gap), k.cast("string"))))
-    return numbered.withColumn("unique", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(gap), F.get(free, F.col("_n") - 2).cast("string")))).drop("_n", "_all")
+    rest = [c for c in names.columns if c not in (group, name)]
+    rows = names.select(group, name, *rest)
+    dealt = rows.repartition(group).sortWithinPartitions(group, order)
+    return dealt.mapInArrow(_renamer(gap), StructType([*rows.schema.fields, StructField("unique", StringType())]))
+
+
+def header_names(cells: DataFrame, table: str, order: str, name: str) -> DataFrame:
+    """``cells`` with ``unique``: a header cell with blanks squeezed, column_i if it is empty, and _k behind the k-th that is equal but for case."""
+    place = F.row_number().over(Window.partitionBy(table).orderBy(order))
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"\s+", " "))
+    named = cells.withColumn("_i", place).withColumn("_name", F.when(plain == "", F.concat(F.lit("column_"), F.col("_i").cast("string"))).otherwise(plain))
+    k = F.row_number().over(Window.partitionBy(table, F.lower("_name")).orderBy("_i"))
+    return named.withColumn("_k", k).withColumn("unique", F.when(F.col("_k") == 1, F.col("_name")).otherwise(F.concat("_name", F.lit("_"), F.col("_k").cast("string")))).drop("_i", "_name", "_k")
 
 
 def quote_aware(line: Column, delimiter: str) -> Column:

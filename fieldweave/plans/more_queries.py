@@ -17,7 +17,7 @@ from fieldweave.operators import matching as M
 from fieldweave.operators import review as RV
 from fieldweave.operators import tables as TB
 from fieldweave.plans import sample_log as SL
-from fieldweave.plans.queries import query
+from fieldweave.plans.queries import line_place, query
 
 
 def _memory(table):
@@ -87,20 +87,24 @@ def m48_normal_pairs(table):
 
 @query
 def w11_unique_keys(table):
-    names = table("part").select("p_brand", "p_partkey", V.column_name(F.col("p_type")).alias("key"))
-    return TB.unique_names(names, "p_brand", "p_partkey", "key").select("p_partkey", F.col("unique").alias("key"))
+    """Keys of an order's lines; some end in a number as if they had been made unique before."""
+    key = F.when(F.col("l_linenumber") % 3 == 0, F.concat("l_returnflag", F.lit("2"))).otherwise(F.col("l_returnflag"))
+    names = table("lineitem").select("l_orderkey", "l_linenumber", line_place(), V.column_name(key).alias("key"))
+    return TB.unique_names(names, "l_orderkey", "at", "key").select("l_orderkey", "l_linenumber", F.col("unique").alias("key"))
 
 
 @query
 def w12_unique_labels(table):
-    names = table("orders").select((F.col("o_custkey") % 100).alias("form"), "o_orderkey", F.col("o_orderpriority").alias("label"))
-    return TB.unique_names(names, "form", "o_orderkey", "label", " ").select("o_orderkey", F.col("unique").alias("label"))
+    label = F.when(F.col("l_quantity") > 25, F.concat("l_linestatus", F.lit(" 2"))).otherwise(F.col("l_linestatus"))
+    names = table("lineitem").select("l_orderkey", "l_linenumber", line_place(), label.alias("label"))
+    return TB.unique_names(names, "l_orderkey", "at", "label", " ").select("l_orderkey", "l_linenumber", F.col("unique").alias("label"))
 
 
 @query
 def x2_inline_pairs(table):
+    """Known labels in running text, with no-break spaces among the blanks."""
     c = table("customer")
-    text = F.concat(F.lit("Full name "), "c_name", F.lit(", phone number: +7 "), F.col("c_custkey").cast("string"), F.lit("; адрес -  Town "), F.col("c_nationkey").cast("string"), F.lit("\nE-mail x@y.zz"))
+    text = F.concat(F.lit("Full name\u00a0"), "c_name", F.lit(",\u00a0phone number: +7 "), F.col("c_custkey").cast("string"), F.lit("; адрес -\u00a0 Town\u00a0"), F.col("c_nationkey").cast("string"), F.lit("\nE-mail\u00a0\u00a0x@y.zz"))
     return X.key_values(c.select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_nationkey") > 20, "Full name only here").otherwise(text).alias("text")))
 
 
@@ -114,9 +118,11 @@ def x6_markdown_rows(table):
 
 @query
 def x7_wide_pairs(table):
+    """Orders as paragraphs of a customer's document; customers of one order have no table, and urgent orders lack a column."""
     o = table("orders")
+    urgent = F.concat(F.lit("rush: yes, key: "), F.col("o_orderkey").cast("string"))
     paragraph = F.concat(F.lit("key: "), F.col("o_orderkey").cast("string"), F.lit(", order status : "), "o_orderstatus", F.lit(", priority:"), "o_orderpriority")
-    return X.wide_pairs(o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("row"), F.when(F.col("o_orderkey") % 6 == 0, "one: pair only").otherwise(paragraph).alias("paragraph")))
+    return X.wide_pairs(o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("row"), F.when(F.col("o_orderpriority") == "1-URGENT", urgent).otherwise(paragraph).alias("paragraph")))
 
 
 @query
@@ -154,10 +160,7 @@ def u7_deduped(table):
 
 @query
 def t8_text_blocks(table):
-    """The first 24 paragraphs of every document; one that reads like a heading is its own label."""
-    blocks = F.slice(F.filter(F.split(T.normal_text(F.col("text")), "\n"), lambda x: x != ""), 1, 24)
-    out = table("documents").select("doc_id", F.posexplode(blocks).alias("n", "block"))
-    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(T.is_heading(F.col("block"))).alias("labels"), F.sum(F.length("block")).alias("chars"))
+    return X.text_blocks(table("documents").select("doc_id", "text"))
 
 
 @query
@@ -232,10 +235,10 @@ def j15_run_counts(table):
 @query
 def j20_case_deltas(table):
     rate = lambda c: F.avg(c.cast("double"))
-    by = table("lineitem").groupBy((F.col("l_suppkey")).alias("case_id"))
+    by = table("lineitem").groupBy(F.col("l_suppkey").alias("case_id"))
     off = by.agg(rate(F.col("l_returnflag") == "A").alias("exact"), rate(F.col("l_returnflag") == "R").alias("false_positive"), rate(F.col("l_returnflag") == "N").alias("unresolved"))
     on = by.agg(rate(F.col("l_linenumber") == 1).alias("exact"), rate(F.col("l_linenumber") == 2).alias("false_positive"), rate(F.col("l_linestatus") == "O").alias("unresolved"))
-    return EV.graph_deltas(off, on.where("case_id % 7 <> 0"))
+    return EV.graph_deltas(off, on)
 
 
 @query
@@ -257,11 +260,12 @@ def m13_routed(table):
 
 @query
 def m5_by_position(table):
-    line = table("lineitem")
+    """Lines of an order as sources and targets; urgent orders have a target more, and a returned line is a match."""
+    line, orders = table("lineitem"), table("orders")
     sources = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("source_pos"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("source"))
-    targets = line.where("l_quantity > 10").select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("target_pos"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("target"))
-    more = targets.unionByName(targets.where("case_id % 5 = 0").select("case_id", (F.col("target_pos") + 100).alias("target_pos"), F.concat("target", F.lit("x")).alias("target")))
-    return M.by_position(sources, more)
+    targets = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("target_pos"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("target"))
+    more = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("case_id"), F.lit(100).cast("long").alias("target_pos"), F.lit("more").alias("target"))
+    return M.by_position(sources, targets.unionByName(more), line.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("case_id")).distinct())
 
 
 @query
@@ -286,9 +290,13 @@ def m27_context_fit(table):
 
 @query
 def m34_training_examples(table):
+    """Corrections as examples of a mapping, purchases as templates whose target is a draft."""
     log = SL.correction_log(table("events"))
-    items = EV.curated(log.select(F.col("event_id").alias("id"), "source", "target", "accepted", "confidence"), F.col("confidence"))
-    return EV.training_examples(items)
+    target = F.when(F.col("accepted"), F.col("target"))
+    payload = F.when(F.col("source") == "revenue amount", F.to_json(F.struct(F.struct(F.lit(0).alias("value")).alias("draft_json")))).otherwise(F.to_json(F.struct("confidence", target.alias("target")), {"ignoreNullFields": "false"}))
+    rows = log.select(F.col("event_id").alias("id"), F.when(F.col("source") == "email", "template").otherwise("correction").alias("item_kind"), F.when(F.col("source") == "email", F.lit("[1]")).otherwise(F.to_json(F.struct("source", "user_id"))).alias("input_payload"), payload.alias("target_payload"), "confidence")
+    found = EV.training_examples(EV.curated(rows, F.col("confidence")))
+    return found.select("id", "task_type", "item_kind", "split", "quality_score", F.transform("messages", lambda m: F.concat_ws(" ", m["role"], m["content"])).alias("messages"))
 
 
 @query
@@ -382,7 +390,7 @@ def m11_sample_values(table):
 
 @query
 def j13_run_context(table):
-    runs = table("orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("owner"))
-    versions = table("lineitem").where("l_quantity > 30").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("version")).agg(F.min("l_returnflag").alias("state"))
-    artifacts = table("lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("version")).agg(F.max("l_extendedprice").alias("price"))
-    return RV.run_context(runs, versions, artifacts).fillna(-1, ["version", "price"]).fillna("none", ["state"])
+    """Customers as runs, their orders as versions and artifacts; a third of them have none."""
+    runs = table("customer").select(F.col("c_custkey").alias("run_id"), F.col("c_nationkey").alias("owner"))
+    orders = table("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("price"))
+    return RV.run_context(runs, orders.drop("price"), orders.drop("state")).fillna(-1, ["version", "price"]).fillna("none", ["state"])

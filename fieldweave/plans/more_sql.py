@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from fieldweave.functions import lexicon as L
 from fieldweave.functions import values as V
-from fieldweave.plans.oracle import EDGES, GATES, HEADING, LABELS, LOG, NAMED, NORMAL, STATS, _list, _map, meanings, tokens
+from fieldweave.plans.sql_parts import EDGES, GATES, HEADING, LABELS, LOG, NAMED, NORMAL, STATS, _list, _map, meanings, tokens
 
 #: the log with a status, as in sample_log.suggestions
 SUGGESTIONS = f"""{LOG}, sug AS (
@@ -23,7 +23,7 @@ HEADS = _contains("lower(text)", ["сведения", "анкета", "форм
 ASKS = _contains("lower(text)", ["является ли", "являются ли", "is ", "are ", "?"])
 CHECKS = _contains("text", ["[X]", "[x]", "☒", "☑", "✓", "✔"])
 ZONED = rf"""
-short AS (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: array_to_string(string_split(x, ' ')[1:12], ' '))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+short AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 counted AS (SELECT doc_id, pos, text, {_words('text')} AS words, len(regexp_extract_all(text, '\p{{L}}')) AS letters, len(regexp_extract_all(text, '\p{{Lu}}')) AS caps FROM short WHERE trim(text) <> ''),
 zoned AS (SELECT doc_id, text, words, pos * 14.0 + (pos // 5) * 20 AS y,
   CASE WHEN words = 0 OR (words >= 3 AND letters > 0 AND caps / greatest(letters, 1) >= 0.9) OR ({HEADS} AND words >= 3) OR words >= 18 THEN 'noise'
@@ -50,12 +50,6 @@ widths AS (SELECT doc_id, width, round(sum(top / whole + CASE WHEN kinds = 1 AND
 best AS (SELECT * FROM widths QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, width) = 1)""".replace("{4}", "{4}")
 
 
-def unique_names(names: str, key: str, gap: str) -> str:
-    """names: a relation of grp, ord, name and key. The k-th repetition gets the k-th number from 2 that makes no name of its group."""
-    return f"""WITH names AS ({names}), numbered AS (SELECT *, row_number() OVER (PARTITION BY grp, name ORDER BY ord) AS n, list(name) OVER (PARTITION BY grp) AS taken FROM names)
-SELECT {key}, CASE WHEN n = 1 THEN name ELSE name || '{gap}' || list_filter(range(2, CAST(n + len(list_distinct(taken)) + 1 AS BIGINT)), lambda k: NOT list_contains(taken, name || '{gap}' || k))[n - 1] END AS made FROM numbered"""
-
-
 _cyr = lambda x: "translate(" + "".join("replace(" for _ in L.CYRILLIC_MANY) + x + "".join(f", '{a}', '{b}')" for a, b in L.CYRILLIC_MANY.items()) + f", '{L.CYRILLIC_ONE[0] + L.CYRILLIC_NONE}', '{L.CYRILLIC_ONE[1]}')"
 
 
@@ -96,17 +90,10 @@ SELECT doc_id, block, d AS delimiter, CAST(columns AS INT) AS columns, n AS rows
     "m26_graph_evidence": f"WITH {EDGES}, near AS (SELECT node, other, 0.7 * accepts / (accepts + rejects) + 0.3 * mean_confidence AS score FROM both_ways), asked AS (SELECT DISTINCT n.name AS source, 'creationdate' AS target FROM log g JOIN joined_names n ON n.label = g.target WHERE n.name <> 'creationdate'), found AS (SELECT source, target, 'direct' AS path, score FROM asked JOIN near ON node = source AND other = target UNION ALL SELECT q.source, q.target, 'two_hop', 0.72 * least(a.score, b.score) FROM asked q JOIN near a ON a.node = q.source JOIN near b ON b.node = q.target AND a.other = b.other) SELECT source, target, path, score FROM found QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY score DESC, path DESC) = 1",
     "m28_graph_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT node, cluster FROM member",
     "m28_cluster_summary": f"WITH RECURSIVE {CLUSTERS}, {NAMED}, m AS (SELECT DISTINCT array_to_string(toks, '') AS node, attribute, role, entity FROM named), listed AS (SELECT cluster, count(DISTINCT node) AS size, array_to_string(list_sort(list(DISTINCT attribute) FILTER (attribute IS NOT NULL)), ',') AS attributes, coalesce(array_to_string(list_sort(list(DISTINCT role) FILTER (role IS NOT NULL)), ','), '') AS roles, coalesce(array_to_string(list_sort(list(DISTINCT entity) FILTER (entity IS NOT NULL)), ','), '') AS entities FROM member LEFT JOIN m USING (node) GROUP BY cluster), s AS (SELECT cluster, CAST(sum(accepts + rejects) AS BIGINT) AS support FROM live JOIN member ON node = l GROUP BY cluster) SELECT * FROM listed JOIN s USING (cluster)",
-    "m35_feature_vectors": f"""WITH {LOG}, {LABELS}, n AS (SELECT label, array_to_string({tokens('label')}, '') AS name FROM labels),
-r AS (SELECT user_id AS id, list_sort(list(DISTINCT s.name)) AS sources, list_sort(list(DISTINCT t.name)) AS targets, count(*) AS rows, count(*) FILTER (confidence >= 0.9) AS high, count(*) FILTER (confidence >= 0.7 AND confidence < 0.9) AS medium, count(*) FILTER (confidence < 0.7) AS low, count(*) FILTER (NOT accepted) AS warnings, ['csv', 'xls', 'pdf', 'txt'][user_id % 4 + 1] AS file_type FROM log JOIN n s ON s.label = source JOIN n t ON t.label = target GROUP BY user_id),
-v AS (SELECT id, sources, targets, file_type, [round(least(len(sources), 64) / 64, 6), round(least(len(targets), 64) / 64, 6), round(least(rows, 10) / 10, 6), 0.1, round(len(list_intersect(sources, targets)) / greatest(1, len(list_distinct(list_concat(sources, targets)))), 6), round(high / rows, 6), round(medium / rows, 6), round(low / rows, 6), 0.0, round(least(warnings, 10) / 10, 6), CASE WHEN file_type = 'csv' THEN 1.0 ELSE 0.0 END, CASE WHEN file_type = 'xls' THEN 1.0 ELSE 0.0 END, CASE WHEN file_type = 'pdf' THEN 1.0 ELSE 0.0 END]::DOUBLE[] AS vec FROM r)
-SELECT id, array_to_string(list_transform(vec, lambda x: printf('%.4f', x)), ' ') AS vector, array_to_string(list_sort(list_concat(list_transform(sources, lambda x: 'source:' || x), list_transform(targets, lambda x: 'target:' || x), ['file_type:' || file_type])), ' ') AS tokens, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS l2_norm FROM v""",
     "l3_line_zones": f"WITH {ZONED} SELECT doc_id, zone, count(*) AS n FROM zoned GROUP BY 1, 2",
     "w6_region_zones": f"WITH {ZONED} SELECT doc_id, region, v.z AS zone, CAST(v.s AS DOUBLE) AS score, lines FROM regions",
     "l3_page_classes": f"WITH {ZONED}, c AS (SELECT doc_id, CAST(0 AS BIGINT) AS n_table, count(*) FILTER (v.z = 'form') AS n_form, count(*) FILTER (v.z = 'text') AS n_text, count(*) FILTER (v.z = 'noise') AS n_noise FROM regions GROUP BY doc_id) SELECT *, CASE WHEN n_form >= n_text AND n_form >= n_noise THEN 'form' WHEN n_text >= n_noise THEN 'text' ELSE 'noise' END AS dominant, CASE WHEN n_form > 0 THEN 'form' ELSE 'text' END AS content_type FROM c",
     "w8_line_segments": "WITH d AS (SELECT doc_id, replace(text, '. ', '.           ') AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS line FROM d), w AS (SELECT doc_id, line, unnest(string_split(content, ' ')) AS t, unnest(range(len(string_split(content, ' ')))) AS pos FROM l WHERE content <> ''), x AS (SELECT *, (sum(length(t) + 1) OVER (PARTITION BY doc_id, line ORDER BY pos) - length(t) - 1) * 7.0 AS x, length(t) * 7.0 AS width FROM w), y AS (SELECT *, CASE WHEN x - lag(x + width) OVER (PARTITION BY doc_id, line ORDER BY x) > 60 THEN 1 ELSE 0 END AS new FROM x WHERE t <> ''), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, line ORDER BY x) AS BIGINT) AS segment FROM y) SELECT doc_id, CAST(line AS INT) AS line, segment, CAST(min(x) AS DOUBLE) AS x0, CAST(max(x + width) AS DOUBLE) AS x1, count(*) AS n_words FROM s GROUP BY 1, 2, 3",
-    "l7_unique_names": unique_names("SELECT p_brand AS grp, p_partkey AS ord, p_partkey, CASE WHEN p_partkey % 50 = 0 THEN p_type || '_2' ELSE p_type END AS name FROM part", "p_partkey", "_").replace("AS made", "AS unique_name"),
-    "w11_unique_keys": unique_names(f"SELECT p_brand AS grp, p_partkey AS ord, p_partkey, {column_name('p_type')} AS name FROM part", "p_partkey", "").replace("AS made", "AS key"),
-    "w12_unique_labels": unique_names("SELECT o_custkey % 100 AS grp, o_orderkey AS ord, o_orderkey, o_orderpriority AS name FROM orders", "o_orderkey", " ").replace("AS made", "AS label"),
     "p18_best_row_group": "WITH r AS (SELECT event_id, array_to_string(list_filter([CASE WHEN event_type <> 'error' THEN 'kind' END, CASE WHEN value > 30 THEN 'net_amount' END, CASE WHEN user_id % 2 = 0 THEN 'owner' END], lambda x: x IS NOT NULL), '|') AS signature FROM events), g AS (SELECT signature, count(*) AS n, CASE WHEN contains(signature, 'kind') THEN 5 ELSE 0 END + CASE WHEN contains(signature, 'net_amount') THEN 4 ELSE 0 END AS score FROM r GROUP BY signature) SELECT event_id, signature FROM r WHERE signature = (SELECT signature FROM g ORDER BY score DESC, n DESC, signature DESC LIMIT 1)",
     "a20_column_types": f'WITH {OCR_TYPES} SELECT "table", col, type FROM types',
     "l6_repaired_cells": f"""WITH {OCR_TYPES}, done AS (SELECT o."table", o.col, type, CASE type WHEN 'number' THEN CASE WHEN {_is_number} THEN replace({_number}, ',', '.') ELSE '' END WHEN 'date' THEN strftime({_day}, '%Y-%m-%d') ELSE CASE WHEN contains(value, 'Хoлoд') THEN CASE WHEN length(regexp_replace(value, '[^a-zA-Z]', '', 'g')) > 3 THEN translate(value, '{V.CYRILLIC_ALIKE}', '{V.LATIN_ALIKE}') ELSE translate(value, '{V.LATIN_ALIKE}', '{V.CYRILLIC_ALIKE}') END ELSE value END END AS repaired FROM ocr o JOIN types t ON t."table" = o."table" AND t.col = o.col) SELECT "table", col, type, count(*) FILTER (repaired = '') AS empty, min(repaired) AS least, max(repaired) AS most FROM done GROUP BY 1, 2, 3""",
@@ -124,18 +111,14 @@ SELECT user_id, unnest(['k', 'rare', 'type', 'day', 'flag']) AS "column", unnest
     "f34_residency": "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'NOWHERE' WHEN c_nationkey < 10 THEN 'YES' WHEN c_nationkey < 15 THEN 'NO' WHEN c_nationkey < 20 THEN 'NOWHERE' ELSE 'none' END AS answer FROM customer",
     "f23_phrase_similarity": r"WITH w AS (SELECT p_partkey, regexp_split_to_array(lower(p_type), '[^a-z0-9]+') AS a, regexp_split_to_array(lower(p_name), '[^a-z0-9]+') AS b, regexp_split_to_array(lower(regexp_replace(p_type, '^[A-Z]+ ', '')), '[^a-z0-9]+') AS c FROM part), s AS (SELECT p_partkey, array_to_string(a, ' ') AS ta, array_to_string(b, ' ') AS tb, array_to_string(c, ' ') AS tc, len(list_intersect(a, b)) / greatest(len(list_distinct(a)), len(list_distinct(b))) AS ab, len(list_intersect(a, c)) / greatest(len(list_distinct(a)), len(list_distinct(c))) AS ac FROM w) SELECT p_partkey, round(CASE WHEN ta = tb THEN 1.0 ELSE least(1.0, ab + CASE WHEN contains(ta, tb) OR contains(tb, ta) THEN 0.15 ELSE 0 END) END, 6) AS names, round(CASE WHEN ta = tc THEN 1.0 ELSE least(1.0, ac + CASE WHEN contains(ta, tc) OR contains(tc, ta) THEN 0.15 ELSE 0 END) END, 6) AS shorter FROM s",
     "m48_normal_pairs": normal_pairs(),
-    "x2_inline_pairs": "SELECT c_custkey AS doc_id, unnest([1, 2, 3, 4]) AS n, unnest(['ФИО', 'телефон', 'адрес', 'email']) AS label, unnest([c_name, '+7 ' || c_custkey, 'Town ' || c_nationkey, 'x@y.zz']) AS value FROM customer WHERE c_nationkey <= 20",
     "x6_markdown_rows": "SELECT c_custkey AS doc_id, r AS row, col AS \"column\", CASE WHEN r = 1 AND col = 'name' THEN c_name WHEN r = 1 THEN c_mktsegment WHEN col = 'name' THEN 'a' ELSE 'b' END AS value FROM customer, (VALUES (1, 'name'), (1, 'segment'), (2, 'name'), (2, 'segment')) v(r, col) WHERE c_nationkey <= 20",
-    "x7_wide_pairs": "SELECT o_custkey AS doc_id, o_orderkey AS row, unnest(['key', 'order status', 'priority']) AS label, unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority]) AS value FROM orders WHERE o_orderkey % 6 <> 0",
     "sc15_quoted_cells": "SELECT c_custkey, c_name || ', the \"first\"~' || c_mktsegment || '~~x' AS cells, 4 AS n FROM customer",
     "p8_codes": r"SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN length(p_brand) <= 16 AND upper(p_brand) = p_brand AND regexp_matches(p_brand, '\d') ELSE length('A-' || p_partkey) <= 16 END AS code FROM part",
     "p9_useful_labels": "WITH v AS (SELECT o_orderpriority, o_orderkey % 4 AS k, regexp_replace('X ' || o_orderpriority, '[^A-Za-z]', '', 'g') AS letters FROM orders) SELECT o_orderpriority, k = 3 OR (k = 1 AND NOT (length(letters) >= 8 AND upper(letters) = letters)) AS useful, count(*) AS n FROM v GROUP BY 1, 2",
     "u7_deduped": "SELECT p_partkey, upper(p_brand) AS label, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'none' END AS value FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_brand), CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE '' END ORDER BY p_partkey) = 1",
-    "t8_text_blocks": f"WITH b AS (SELECT doc_id, list_filter(string_split({NORMAL}, chr(10)), lambda x: x <> '')[1:24] AS bs FROM documents), l AS (SELECT doc_id, unnest(bs) AS line FROM b) SELECT doc_id, count(*) AS blocks, count(*) FILTER ({HEADING}) AS labels, CAST(sum(length(line)) AS BIGINT) AS chars FROM l GROUP BY doc_id",
     "a1_learning_counts": f"WITH {SUGGESTIONS}, {MEMORY}, n AS (SELECT user_id, count(*) AS mapping_suggestions, count(*) FILTER (status <> 'suggested') AS user_corrections, count(*) FILTER (truth = 'model_suggestion') AS model_based, count(*) FILTER (truth = 'model_suggestion' AND status = 'accepted') AS model_accepted, count(*) FILTER (truth = 'model_suggestion' AND status = 'rejected') AS model_rejected, count(DISTINCT run_id) AS runs FROM sug GROUP BY user_id), m AS (SELECT user_id, count(*) AS mapping_memory FROM memory GROUP BY user_id) SELECT n.*, CASE WHEN model_accepted + model_rejected > 0 THEN model_accepted / (model_accepted + model_rejected) END AS model_acceptance, coalesce(mapping_memory, 0) AS mapping_memory FROM n LEFT JOIN m USING (user_id)",
     "a2_staging_counts": f"WITH {SUGGESTIONS} SELECT user_id, count(*) FILTER (status = 'suggested') AS pending, count(*) FILTER (status = 'rejected') AS rejected, count(*) AS total FROM sug WHERE status IN ('suggested', 'rejected') GROUP BY user_id",
     "t1_staging_list": f"WITH {SUGGESTIONS}, s AS (SELECT user_id, source, target, truth, status, count(*) AS seen, max(confidence) AS max_confidence, max(ts) AS last_seen FROM sug WHERE source IS NOT NULL AND status IN ('suggested', 'rejected') GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY status <> 'suggested', last_seen DESC, source, target, truth) AS INT) AS rank FROM s) WHERE rank <= 5",
-    "a8_review_states": f"WITH {SUGGESTIONS}, n AS (SELECT run_id, count(*) AS total, count(*) FILTER (status = 'accepted') AS accepted, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'suggested' AND source IS NOT NULL) AS pending FROM sug GROUP BY run_id) SELECT *, CASE WHEN pending > 0 THEN 'open' WHEN accepted > 0 THEN 'reviewed' ELSE 'empty' END AS state FROM n",
     "m29_memory_layers": f"""WITH {PATTERNS}, {SUGGESTIONS.replace(LOG, '').lstrip(', ')}, {MEMORY}, {USER_EDGES}
 SELECT user_id, 'staging' AS layer, unnest(['pending', 'rejected', 'total']) AS kind, unnest([count(*) FILTER (status = 'suggested'), count(*) FILTER (status = 'rejected'), count(*)]) AS n FROM sug WHERE status IN ('suggested', 'rejected') GROUP BY user_id
 UNION ALL SELECT user_id, 'personal', unnest(['entries', 'accepted', 'rejected']), unnest([count(*), CAST(sum(success_count) AS BIGINT), CAST(sum(failure_count) AS BIGINT)]) FROM memory GROUP BY user_id
@@ -147,13 +130,10 @@ UNION ALL SELECT -1, 'shared', unnest(['patterns', 'personal_only', 'shared_cand
     "j12_promotable": f"WITH {PATTERNS} SELECT source, target, status, acceptance FROM patterns WHERE status IN ('shared_candidate', 'shared_promoted') AND support >= 3 AND users >= 2 AND acceptance >= 0.5 AND drift <= 0.5",
     "p15_active_tokens": "SELECT DISTINCT CASE WHEN c_nationkey < 3 THEN -1 ELSE c_custkey END AS user_id, lower(c_mktsegment) AS token FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20",
     "j15_run_counts": "SELECT c_custkey, count(o_orderkey) AS runs FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
-    "j20_case_deltas": "SELECT l_suppkey AS case_id, " + ", ".join(f"round(CASE WHEN l_suppkey % 7 <> 0 THEN avg(CASE WHEN {on} THEN 1.0 ELSE 0.0 END) ELSE 0.0 END - avg(CASE WHEN {off} THEN 1.0 ELSE 0.0 END), 4) AS {name}_delta" for name, off, on in (("exact", "l_returnflag = 'A'", "l_linenumber = 1"), ("false_positive", "l_returnflag = 'R'", "l_linenumber = 2"), ("unresolved", "l_returnflag = 'N'", "l_linestatus = 'O'"))) + " FROM lineitem GROUP BY l_suppkey",
     "m12_final_confidence": "WITH f AS (SELECT event_id, value, CASE WHEN event_id % 4 = 0 THEN least(1.0, greatest(0.0, value / 80)) ELSE least(1.0, greatest(0.0, 0.72 * least(1.0, greatest(0.0, value / 80)) + 0.28 * (event_id % 100) / 100 - 0.25 * CASE WHEN event_id % 10 = 0 THEN 0.72 ELSE 0.0 END)) END AS x FROM events) SELECT event_id, round(x, 6) AS final, CASE WHEN event_id % 13 = 0 THEN 'model_returned_no_candidate' WHEN event_id % 17 = 0 THEN 'source_already_used' WHEN event_id % 10 = 0 THEN 'amount_vs_revenue' WHEN x < 0.68 AND value / 80 < 0.4 THEN 'low_final_confidence' WHEN x < 0.68 THEN 'below_acceptance_threshold' ELSE 'accepted' END AS reason FROM f",
     "m13_routed": "WITH m AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'PDF' ELSE 'csv' END AS file_type, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS band, l_discount AS score, CASE WHEN l_orderkey % 2 = 0 AND l_linenumber NOT IN (1, 6) THEN CASE WHEN l_partkey % 2 = 0 THEN 0.22 WHEN l_partkey % 3 = 0 THEN 0.12 ELSE 0.0 END ELSE 0.0 END AS penalty FROM lineitem) SELECT file_type, band, CASE WHEN penalty = 0.22 OR (penalty = 0.12 AND band <> 'high') THEN 'low' WHEN penalty = 0.12 THEN 'medium' ELSE band END AS new_band, CAST(penalty AS DOUBLE) AS penalty, count(*) AS n, round(sum(CASE WHEN penalty > 0 THEN greatest(0.0, score - penalty) ELSE score END), 4) AS score FROM m GROUP BY 1, 2, 3, 4",
-    "m5_by_position": "WITH s AS (SELECT l_orderkey AS c, 'c' || l_partkey AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'c' || l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), a AS (SELECT l_orderkey AS c, l_linenumber AS p, 't' || l_linenumber AS target FROM lineitem WHERE l_quantity > 10), b AS (SELECT * FROM a UNION ALL SELECT c, p + 100, target || 'x' FROM a WHERE c % 5 = 0), t AS (SELECT c, target, row_number() OVER (PARTITION BY c ORDER BY p, target) AS k, count(*) OVER (PARTITION BY c) AS m FROM b) SELECT c AS case_id, target, source, 'low' AS band, 'position_fallback' AS reason FROM t JOIN s USING (c, k) WHERE n >= m",
     "w2_picked": "SELECT l_orderkey AS case_id, CAST(l_linenumber % 2 AS VARCHAR) AS target, 's' || l_partkey AS source, l_discount AS score FROM lineitem WHERE l_returnflag <> 'R' AND l_discount >= 0.04 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_discount DESC, l_tax DESC, 's' || l_partkey DESC) = 1",
     "m27_context_fit": f"WITH {LOG}, {LABELS}, {NAMED}, p AS (SELECT source, target, count(*) AS n FROM log GROUP BY 1, 2) SELECT source, target, n, CAST(CASE WHEN s.attribute = t.attribute THEN CASE WHEN s.entity = t.entity THEN 0.28 WHEN s.entity IS NULL OR t.entity IS NULL THEN 0.12 ELSE -0.18 END WHEN s.role = t.role THEN CASE WHEN s.entity = t.entity THEN 0.16 ELSE 0.0 END ELSE 0.0 END AS DOUBLE) AS fit FROM p JOIN named s ON s.label = source JOIN named t ON t.label = target",
-    "m34_training_examples": f"WITH {LOG} SELECT event_id AS id, CASE WHEN confidence >= 0.85 THEN 'train' ELSE 'validation' END AS split, 'map: ' || source AS input, CASE WHEN accepted THEN target ELSE 'none' END AS output, round(confidence, 4) AS weight FROM log WHERE confidence >= 0.72",
     "j14_snapshot_runs": "WITH s AS (SELECT dayofyear(ts) AS w, count(*) AS items FROM events WHERE value / 100 >= 0.72 GROUP BY 1) SELECT coalesce(items, -1) AS items, count(*) AS runs FROM orders LEFT JOIN s ON w = dayofyear(o_orderdate) GROUP BY 1",
     "t5_top_anchors": f"WITH {EDGES} SELECT node, other, score, rank FROM (SELECT node, other, accepts - rejects AS score, CAST(row_number() OVER (PARTITION BY node ORDER BY accepts - rejects DESC, other) AS INT) AS rank FROM both_ways) WHERE rank <= 10",
     "w17_form_groups": "SELECT c_custkey AS doc_id, q AS question, o AS option, CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END AS selected, CASE WHEN CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END THEN 0.96 ELSE 0.88 END::DOUBLE AS confidence FROM customer, (VALUES ('Unknown question', 'early'), ('Which segment? Pick one', 'BUILDING'), ('Which segment? Pick one', 'MACHINERY'), ('Which segment? Pick one', 'Other'), ('Which segment? Pick one', 'stray'), ('Any of these apply:', 'first'), ('Any of these apply:', 'second')) v(q, o)",
@@ -171,5 +151,4 @@ UNION ALL SELECT -1, 'shared', unnest(['patterns', 'personal_only', 'shared_cand
     "a23_table_zones": "WITH r AS (SELECT event_id % 97 AS t, CASE WHEN event_id % 97 % 4 = 0 THEN 1 ELSE 0 END AS marks, 1 + CASE WHEN event_id % 97 % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 97 % 5 = 0 THEN 1 ELSE 0 END AS filled, 1 + CASE WHEN event_id % 97 % 3 <> 0 THEN 1 ELSE 0 END AS short FROM events), g AS (SELECT t, count(*) AS rows, avg(filled / 3.0) AS fill, sum(marks) AS marks, sum(short) AS short, count(*) FILTER (filled >= 2) AS whole, t % 2 = 0 AS asks FROM r GROUP BY t), s AS (SELECT t, CASE WHEN rows >= 2 THEN 0.25 ELSE 0 END + CASE WHEN whole >= greatest(2, rows // 2) THEN 0.25 ELSE 0 END + CASE WHEN fill >= 0.55 THEN 0.2 ELSE 0 END + CASE WHEN NOT asks THEN 0.15 ELSE 0 END AS data, CASE WHEN marks > 0 THEN 0.35 ELSE 0 END + CASE WHEN fill <= 0.6 THEN 0.2 ELSE 0 END + CASE WHEN asks THEN 0.2 ELSE 0 END + CASE WHEN short >= greatest(4, rows) THEN 0.15 ELSE 0 END AS form FROM g) SELECT t AS \"table\", CASE WHEN form >= data AND form >= 0.35 THEN 'form' WHEN data >= 0.35 THEN 'table' ELSE 'noise' END AS zone, CAST(round(CASE WHEN form >= data AND form >= 0.35 THEN form WHEN data >= 0.35 THEN data ELSE greatest(data, form, 0.1) END, 4) AS DOUBLE) AS score FROM s",
     "f30_model_usage": "SELECT event_id AS id, user_id AS prompt_tokens, CAST(CASE WHEN event_id % 5 = 1 THEN 8 ELSE 0 END AS BIGINT) AS completion_tokens, CASE WHEN event_id % 5 = 1 THEN user_id + 8 WHEN event_id % 3 > 0 THEN event_id % 3 ELSE user_id END AS total_tokens, CAST(CASE WHEN event_id % 5 = 1 THEN 3 ELSE 0 END AS BIGINT) AS precached_prompt_tokens FROM events WHERE event_id % 5 <> 0",
     "m11_sample_values": "SELECT o_custkey, 'flag' AS \"column\", arg_min(o_orderstatus, o_orderkey) AS sample FROM orders WHERE o_orderkey % 4 = 0 GROUP BY o_custkey UNION ALL SELECT o_custkey, 'o_orderpriority', arg_min(o_orderpriority, o_orderkey) FROM orders GROUP BY o_custkey",
-    "j13_run_context": "WITH v AS (SELECT l_orderkey AS run_id, l_linenumber AS version, min(l_returnflag) AS state FROM lineitem WHERE l_quantity > 30 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1), a AS (SELECT l_orderkey AS run_id, l_linenumber AS version, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2) SELECT o_orderkey AS run_id, o_custkey AS owner, coalesce(v.version, -1) AS version, coalesce(state, 'none') AS state, coalesce(price, -1.0) AS price FROM orders LEFT JOIN v ON v.run_id = o_orderkey LEFT JOIN a ON a.run_id = v.run_id AND a.version = v.version",
 }

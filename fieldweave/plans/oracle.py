@@ -3,125 +3,8 @@
 from __future__ import annotations
 
 from fieldweave.functions import lexicon as L
-
-
-def _list(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
-def _map(table: dict[str, str]) -> str:
-    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
-
-
-def tokens(x: str) -> str:
-    """Name tokens: no look-around in this engine, so digits take two passes."""
-    out = rf"regexp_replace(coalesce({x}, ''), '([a-zа-я0-9])([A-ZА-Я])', '\1 \2', 'g')"
-    out = rf"regexp_replace(regexp_replace({out}, '([A-Za-zА-Яа-я])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-zА-Яа-я])', '\1 \2', 'g')"
-    out = f"list_filter(regexp_split_to_array(lower(trim({out})), '[^a-zA-Zа-яА-Я0-9]+'), lambda w: w <> '' AND w NOT IN ({_list(L.STOPWORDS)}))"
-    word = "w"
-    for letter, latin in L.CYRILLIC_MANY.items():
-        word = f"replace({word}, '{letter}', '{latin}')"
-    return f"list_transform({out}, lambda w: translate({word}, '{L.CYRILLIC_ONE[0] + L.CYRILLIC_NONE}', '{L.CYRILLIC_ONE[1]}'))"
-
-
-def meanings(x: str) -> str:
-    return f"list_transform({x}, lambda w: coalesce({_map(L.CANONICAL)}[w], w))"
-
-
-#: name, tokens, canonical, attribute, entity, role of all labels of a relation ``labels``
-NAMED = f"""
-named AS (
-  SELECT *, {_map(L.ROLES)}[attribute] AS role,
-    coalesce(list_filter(canonical, lambda w: w <> attribute AND w NOT IN ({_list(L.ENTITY_STOPWORDS)}, 'with', 'without'))[1], list_filter(canonical, lambda w: w <> attribute)[1]) AS entity
-  FROM (SELECT *, coalesce(list_filter(list_reverse(canonical), lambda w: w IN ({_list(L.ROLES)}))[1], canonical[-1]) AS attribute
-        FROM (SELECT *, {meanings('toks')} AS canonical FROM (SELECT label, {tokens('label')} AS toks FROM labels)))
-)"""
-
-LOG = """
-log AS (
-  SELECT event_id, ts, user_id,
-    CASE event_type WHEN 'click' THEN 'created date' WHEN 'view' THEN 'total amount' WHEN 'signup' THEN 'customer name' WHEN 'purchase' THEN 'revenue amount' WHEN 'error' THEN 'email' END AS source,
-    ['creationDate', 'updateDate', 'amount', 'name', 'revenue', 'id', 'email'][CAST(json_extract_string(props, '$.k') AS INT) % 7 + 1] AS target,
-    NOT (event_type = 'purchase' AND value < 40) AS accepted,
-    greatest(0.6, least(value / 100, 1.0)) AS confidence
-  FROM events
-)"""
-
-LABELS = "labels AS (SELECT DISTINCT source AS label FROM log UNION SELECT DISTINCT target FROM log)"
-
-
-def _conflict(pairs, left: str, right: str, strict: bool) -> str:
-    parts = []
-    for a, b, p in pairs:
-        has = lambda x, w: f"list_contains({x}, '{w}')"
-        if strict:
-            one = f"({has(left, a)} AND NOT {has(left, b)} AND {has(right, b)} AND NOT {has(right, a)})"
-            two = f"({has(left, b)} AND NOT {has(left, a)} AND {has(right, a)} AND NOT {has(right, b)})"
-        else:
-            one, two = f"({has(left, a)} AND {has(right, b)})", f"({has(left, b)} AND {has(right, a)})"
-        parts.append(f"CASE WHEN {one} OR {two} THEN {p} ELSE 0.0 END")
-    return f"greatest({', '.join(parts)})"
-
-
-def _has(*words: str) -> str:
-    return " AND ".join(f"list_contains(both_c, '{w}')" for w in words)
-
-
-STATS = f"""
-{LOG}, {LABELS}, {NAMED},
-agg AS (
-  SELECT source, target, count(*) AS support, count(DISTINCT user_id) AS users, count(*) FILTER (accepted) AS accepts, count(*) FILTER (NOT accepted) AS rejects, avg(confidence) AS mean_confidence
-  FROM log GROUP BY source, target
-), joined AS (
-  SELECT a.*, s.toks AS s_toks, s.canonical AS sc, t.canonical AS tc, list_concat(t.canonical, s.canonical) AS both_c, s.role AS s_role, t.role AS t_role
-  FROM agg a JOIN named s ON s.label = a.source JOIN named t ON t.label = a.target
-), features AS (
-  SELECT *, accepts / (accepts + rejects) AS acceptance, 1 - accepts / (accepts + rejects) AS drift,
-    CAST({_conflict(L.PATTERN_CONFLICTS, 'sc', 'tc', True)} AS DOUBLE) AS conflict,
-    CASE WHEN {_has('created', 'date')} THEN 'created_at' WHEN {_has('updated', 'date')} THEN 'updated_at' WHEN {_has('id')} THEN 'identifier' WHEN {_has('revenue')} THEN 'revenue'
-         WHEN {_has('amount')} THEN 'amount' WHEN {_has('quantity')} THEN 'quantity' WHEN {_has('name')} THEN 'label' WHEN {_has('description')} THEN 'description'
-         WHEN {_has('boolean')} THEN 'flag' ELSE coalesce(t_role, s_role) END AS role,
-    CASE WHEN {_has('created', 'date')} THEN 'temporal.creation' WHEN {_has('updated', 'date')} THEN 'temporal.update' WHEN {_has('id')} THEN 'identity.identifier'
-         WHEN {_has('revenue')} THEN 'finance.revenue' WHEN {_has('amount', 'gross')} THEN 'finance.amount.gross' WHEN {_has('amount', 'net')} THEN 'finance.amount.net'
-         WHEN {_has('amount')} THEN 'finance.amount' WHEN {_has('quantity')} THEN 'inventory.quantity' WHEN {_has('organization')} THEN 'entity.organization'
-         WHEN {_has('customer')} THEN 'entity.customer' WHEN {_has('product')} THEN 'entity.product' WHEN {_has('name')} THEN 'text.label' WHEN {_has('description')} THEN 'text.description' END AS concept,
-    list_filter(sc, lambda w: w NOT IN ({_list(L.SENSITIVE)}) AND NOT regexp_full_match(w, '[0-9]+')) AS kept
-  FROM joined
-), stats AS (
-  SELECT source, target, support, users, accepts, rejects, mean_confidence, acceptance, drift, conflict, role, concept,
-    CAST(least(1.0, round(0.8 * len(list_filter(s_toks, lambda w: w IN ({_list(L.SENSITIVE)}))) + CASE WHEN len(s_toks) = 1 AND length(s_toks[1]) >= 12 THEN 0.25 ELSE 0 END, 4)) AS DOUBLE) AS sensitivity,
-    CAST(CASE WHEN len(kept) = 0 THEN 0.0 ELSE least(1.0, round(0.2 + CASE WHEN len(kept) <= 5 THEN 0.2 ELSE 0 END + CASE WHEN concept IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN role IS NOT NULL THEN 0.15 ELSE 0 END
-      + 0.08 * least(3, len(list_distinct(list_filter(kept, lambda w: w IN ({_list(L.DOMAIN_TAGS)}))))), 4)) END AS DOUBLE) AS generality
-  FROM features
-)"""
-
-GATES = """CASE WHEN sensitivity >= 0.6 THEN ['blocked_sensitive', 'sensitive_context'] WHEN generality < 0.5 THEN ['personal_only', 'not_generalizable']
-  WHEN accepts < 2 OR support < 2 THEN ['personal_only', 'insufficient_accepts'] WHEN accepts < 3 THEN ['shared_candidate', 'insufficient_accepts']
-  WHEN users < 2 THEN ['shared_candidate', 'insufficient_cross_user_support'] WHEN acceptance < 0.8 THEN ['shared_candidate', 'low_acceptance_rate']
-  WHEN conflict > 0.15 THEN ['personal_only', 'semantic_instability'] WHEN drift > 0.25 THEN ['shared_candidate', 'high_drift']
-  WHEN mean_confidence < 0.55 THEN ['shared_candidate', 'low_mean_confidence'] ELSE ['shared_promoted', 'stable_generalized_pattern'] END"""
-
-EDGES = f"""
-{LOG}, {LABELS}, joined_names AS (SELECT label, array_to_string({tokens('label')}, '') AS name FROM labels),
-ends AS (SELECT l.*, s.name AS sn, t.name AS tn FROM log l JOIN joined_names s ON s.label = l.source JOIN joined_names t ON t.label = l.target),
-edges AS (
-  SELECT least(sn, tn) AS l, greatest(sn, tn) AS r, count(*) FILTER (accepted) AS accepts, count(*) FILTER (NOT accepted) AS rejects, avg(confidence) AS mean_confidence,
-    CASE WHEN arg_max(accepted, (ts, event_id)) THEN 'synonym' ELSE 'conflict' END AS relation
-  FROM ends WHERE sn <> tn GROUP BY 1, 2
-), both_ways AS (SELECT l AS node, r AS other, accepts, rejects, mean_confidence FROM edges UNION ALL SELECT r, l, accepts, rejects, mean_confidence FROM edges)"""
-
-ESTIMATE = "CAST(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END AS BIGINT)"
-CASES = """cases AS (
-  SELECT doc_id, lang, quality AS expected, CASE WHEN len(list_distinct(string_split(text, ' '))) / len(string_split(text, ' ')) < 0.3 THEN 0 ELSE 1 END AS got
-  FROM documents JOIN labels USING (doc_id)
-)"""
-NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), ' ', ' ', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
-#: sentence ends marked by a character no text has, then split
-SENTENCES = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace({NORMAL}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n+'), lambda s: trim(s)), lambda s: s <> '')"
-HEADING = r"len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) BETWEEN 1 AND 8 AND (suffix(line, ':') OR (len(regexp_extract_all(line, '\p{L}')) > 0 AND len(regexp_extract_all(line, '\p{Lu}')) / greatest(1, len(regexp_extract_all(line, '\p{L}'))) > 0.75))"
-ZONE = r"CASE WHEN contains(line, ':') AND words <= 12 THEN 'form' WHEN len(regexp_extract_all(line, '\p{Lu}')) / greatest(1, len(regexp_extract_all(line, '\p{L}'))) >= 0.9 OR words <= 1 THEN 'noise' ELSE 'text' END"
-LINES = r"lines AS (SELECT doc_id, pos, line, len(list_filter(regexp_split_to_array(line, '\s+'), lambda w: w <> '')) AS words FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE line <> '')"
-ORDERS = """cells AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' ELSE replace(printf('%.2f', o_totalprice), '.', ',') END AS price, CASE WHEN o_orderpriority LIKE '1%' THEN 'yes' ELSE 'no' END AS urgent FROM orders)"""
+from fieldweave.plans import more_sql, text_sql
+from fieldweave.plans.sql_parts import CASES, EDGES, ESTIMATE, GATES, HEADING, LINES, LOG, NAMED, ORDERS, SENTENCES, STATS, _list, meanings, tokens
 
 ORACLE_SQL: dict[str, str] = {
     "p1_transform_orders": f"WITH {ORDERS} SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS key, TRY_CAST(replace(price, ',', '.') AS DOUBLE) AS total, o_orderstatus AS status, urgent = 'yes' AS urgent, CAST(CASE WHEN price = 'n/a' THEN 1 ELSE 0 END AS INT) AS faults FROM cells",
@@ -136,33 +19,19 @@ ORACLE_SQL: dict[str, str] = {
     "f1_name_tokens": f"SELECT p_partkey, array_to_string(t, ' ') AS tokens, array_to_string(t, '') AS normalized, array_to_string({meanings('t')}, ' ') AS canonical FROM (SELECT p_partkey, {tokens('p_type')} AS t FROM part)",
     "f5_semantic_parts": f"WITH {LOG}, labels AS (SELECT label FROM (SELECT source AS label FROM log UNION ALL SELECT target FROM log) GROUP BY label), counts AS (SELECT label, count(*) AS n FROM (SELECT source AS label FROM log UNION ALL SELECT target FROM log) GROUP BY label), {NAMED} SELECT label, n, attribute, entity, role, array_to_string(list_filter([CASE WHEN list_has_any(canonical, ['date', 'created', 'updated']) THEN 'date' END, CASE WHEN list_has_any(canonical, ['amount', 'revenue', 'quantity']) THEN 'number' END, CASE WHEN list_contains(canonical, 'id') THEN 'id' END, CASE WHEN list_contains(canonical, 'boolean') THEN 'boolean' END, CASE WHEN list_has_any(canonical, ['name', 'description']) THEN 'string' END], lambda x: x IS NOT NULL), ',') AS hints FROM named JOIN counts USING (label)",
     "f7_value_types": f"SELECT CASE WHEN v IS NULL OR trim(v) = '' THEN 'null' WHEN lower(trim(v)) IN ({_list(L.SAMPLE_BOOLEANS)}) THEN 'boolean' WHEN regexp_full_match(v, '[-+]?(\\d+\\.?\\d*|\\.\\d+)([eE][-+]?\\d+)?') THEN 'number' WHEN length(v) >= 8 AND regexp_matches(v, '\\d{{4}}-\\d{{2}}-\\d{{2}}|\\d{{2}}\\.\\d{{2}}\\.\\d{{4}}') THEN 'date' ELSE 'string' END AS type, count(*) AS n FROM (SELECT unnest([CAST(value AS VARCHAR), event_type, strftime(ts, '%d.%m.%Y'), CASE WHEN event_id % 2 = 0 THEN 'Yes' END, json_extract_string(props, '$.k')]) AS v FROM events) GROUP BY 1",
-    "f10_parse_values": "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(printf('%.2f', o_totalprice) AS DOUBLE) END AS number, strftime(o_orderdate, '%Y-%m-%d') AS day, CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' ELSE 'unknown' END AS flag FROM orders",
-    "f8_column_names": "WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_size || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(regexp_replace(p_brand, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS b FROM part), j AS (SELECT p_partkey, a[1] || array_to_string(list_transform(a[2:], lambda x: upper(x[1]) || x[2:]), '') AS a, b[1] || array_to_string(list_transform(b[2:], lambda x: upper(x[1]) || x[2:]), '') AS b FROM w) SELECT p_partkey, CASE WHEN regexp_matches(a, '^[a-z]') THEN a ELSE 'field' || a END AS a, CASE WHEN regexp_matches(b, '^[a-z]') THEN b ELSE 'field' || b END AS b FROM j",
-    "f18_repair_numbers": "SELECT c_custkey, printf('%.2f', c_acctbal) AS repaired FROM customer",
     "f28_token_estimate": f"SELECT role, CAST(sum({ESTIMATE}) AS BIGINT) AS tokens, count(*) AS turns FROM conversations GROUP BY role",
     "f16_sentences": f"SELECT doc_id, CAST(len({SENTENCES}) AS INT) AS sentences FROM documents",
     "f17_headings": f"WITH {LINES} SELECT doc_id, count(*) AS headings FROM lines WHERE {HEADING} GROUP BY doc_id",
-    "x1_key_values": "SELECT c_custkey AS doc_id, n, label, value FROM (SELECT c_custkey, CAST(1 AS INT) AS n, 'Name' AS label, c_name AS value FROM customer UNION ALL SELECT c_custkey, 2, 'Balance', CAST(c_nationkey AS VARCHAR) FROM customer UNION ALL SELECT c_custkey, 3, 'Segment', c_mktsegment FROM customer)",
-    "x3_text_facts": rf"WITH s AS (SELECT doc_id, unnest({SENTENCES}) AS sentence, unnest(range(len({SENTENCES}))) AS pos FROM documents), f AS (SELECT doc_id, pos, substr(regexp_replace(regexp_extract(sentence, '(?i)^([^.:]{{2,60}}?)\s+(?:is|are|equals|was|were)\s+([^.]{{2,180}})\.?$', 1), '^[ \-:;,]+|[ \-:;,]+$', '', 'g'), 1, 60) AS label, trim(regexp_extract(sentence, '(?i)^([^.:]{{2,60}}?)\s+(?:is|are|equals|was|were)\s+([^.]{{2,180}})\.?$', 2)) AS value FROM s WHERE regexp_matches(sentence, '(?i)^([^.:]{{2,60}}?)\s+(?:is|are|equals|was|were)\s+([^.]{{2,180}})\.?$')), g AS (SELECT * FROM f WHERE label <> '' AND value <> '' QUALIFY row_number() OVER (PARTITION BY doc_id, lower(label), lower(value) ORDER BY pos) = 1) SELECT doc_id, CAST(n AS INT) AS n, label, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM g) WHERE n <= 16",
-    "x4_sections": rf"WITH l0 AS (SELECT doc_id, unnest(string_split({NORMAL}, chr(10))) AS line, unnest(range(len(string_split({NORMAL}, chr(10))))) AS pos FROM documents), l AS (SELECT *, {HEADING} AS heading FROM l0 WHERE line <> ''), t AS (SELECT *, coalesce(last_value(CASE WHEN heading THEN line END IGNORE NULLS) OVER w, 'Document') AS title, count(*) FILTER (heading) OVER w AS section FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) SELECT doc_id, section, title, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM t WHERE NOT heading GROUP BY doc_id, section, title",
-    "x5_delimited_tables": r"""WITH docs AS (SELECT c_custkey AS doc_id, 'name;segment' || chr(10) || c_name || ';' || c_mktsegment || chr(10) || chr(10) || 'no table' || chr(10) || 'here' || chr(10) || chr(10) || 'a|b|c' || chr(10) || '1|2|3' || chr(10) || '4|5|' || c_nationkey AS text FROM customer UNION ALL SELECT -doc_id - 1, text FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs),
-b AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM l),
-s AS (SELECT doc_id, block, rank, d, min(len(string_split(line, d))) AS lo, max(len(string_split(line, d))) AS hi, count(*) AS n FROM b, (VALUES (0, chr(9)), (1, '|'), (2, ';'), (3, ',')) v(rank, d) WHERE trim(line) <> '' GROUP BY doc_id, block, rank, d)
-SELECT doc_id, block, d AS delimiter, CAST(hi AS INT) AS columns, n - 1 AS rows FROM s WHERE lo = hi AND hi >= 2 AND n >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id, block ORDER BY hi * n DESC, rank) = 1""",
     "sc16_html_items": r"SELECT page_id, CAST(n AS INT) AS n, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + "\"" + r"'), '&#39;', ''''), '\s+', ' ', 'g')) AS item FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?si)<li[^>]*>(.*?)</li>', 1)) AS raw, unnest(range(1, len(regexp_extract_all(html, '(?si)<li[^>]*>(.*?)</li>', 1)) + 1)) AS n FROM pages)",
     "a1_memory": f"WITH {LOG} SELECT user_id, source, target, count(*) AS usage_count, count(*) FILTER (accepted) AS success_count, count(*) FILTER (NOT accepted) AS failure_count, arg_max(accepted, (ts, event_id)) AS last_accepted, avg(confidence) AS mean_confidence, coalesce(sum(greatest(confidence, 0.2)) FILTER (accepted), 0.0) AS weight FROM log GROUP BY user_id, source, target",
     "m15_personal_candidates": f"WITH {LOG}, m AS (SELECT user_id, source, target, least(1.0, 0.55 * avg(confidence) + 0.25 * count(*) FILTER (accepted) / count(*) + 0.1 * least(count(*) / 4, 1.0)) AS score FROM log GROUP BY user_id, source, target) SELECT user_id, source, target, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, source, target) AS rank FROM m) WHERE rank <= 3",
     "m20_pattern_stats": f"WITH {STATS} SELECT * FROM stats",
     "m21_promotion": f"WITH {STATS} SELECT source, target, g[1] AS status, g[2] AS reason FROM (SELECT *, {GATES} AS g FROM stats)",
-    "m21_promotion_of_few": f"WITH {STATS.replace('FROM events', 'FROM events WHERE user_id < 4')} SELECT source, target, g[1] AS status, g[2] AS reason FROM (SELECT *, {GATES} AS g FROM stats)",
     "m22_bulk_promotion": f"WITH {STATS} SELECT source, target, CASE WHEN generality < 0.5 THEN 'personal_only' WHEN sensitivity >= 0.6 THEN 'blocked_sensitive' WHEN conflict > 0.15 THEN 'personal_only' WHEN acceptance < 0.8 THEN 'shared_candidate' WHEN support >= 3 AND users >= 2 AND acceptance >= 0.5 AND drift <= 0.25 THEN 'shared_promoted' ELSE g[1] END AS status, CASE WHEN generality < 0.5 THEN 'not_generalizable' WHEN sensitivity >= 0.6 THEN 'sensitive_context' WHEN conflict > 0.15 THEN 'semantic_instability' WHEN acceptance < 0.8 THEN 'low_acceptance_rate' WHEN support >= 3 AND users >= 2 AND acceptance >= 0.5 AND drift <= 0.25 THEN 'manual_threshold_promotion' ELSE g[2] END AS reason FROM (SELECT *, {GATES} AS g FROM stats)",
     "m16_shared_candidates": f"WITH {STATS} SELECT source, target, least(1.0, 0.35 * mean_confidence + 0.35 * acceptance + 0.2 * least(support / 5, 1.0) + 0.1 * least(users / 3, 1.0)) AS score FROM stats WHERE sensitivity < 0.6",
     "w16_status_changes": f"WITH {LOG}, d AS (SELECT source, target, date_trunc('day', ts) AS period, count(*) FILTER (accepted) AS a, count(*) AS n FROM log GROUP BY ALL), r AS (SELECT source, target, CAST(period AS TIMESTAMP) AS period, sum(a) OVER w / sum(n) OVER w AS acceptance FROM d WINDOW w AS (PARTITION BY source, target ORDER BY period)), s AS (SELECT *, CASE WHEN acceptance >= 0.8 THEN 'stable' ELSE 'unstable' END AS standing FROM r) SELECT source, target, period, before, standing, acceptance FROM (SELECT *, lag(standing) OVER (PARTITION BY source, target ORDER BY period) AS before FROM s) WHERE before IS NULL OR before <> standing",
     "u2_event_feed": """WITH f AS (SELECT 'event' AS kind, ts AS "at", event_id AS id, event_type AS title FROM events UNION ALL SELECT 'order', o_orderdate, o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'shipment', l_shipdate, l_orderkey * 10 + l_linenumber, l_returnflag FROM lineitem) SELECT * FROM f ORDER BY "at" DESC NULLS LAST, kind, id DESC LIMIT 50""",
     "m25_graph_edges": f"WITH {EDGES} SELECT * FROM edges",
-    "m26_graph_evidence": f"WITH {EDGES}, near AS (SELECT node, other, 0.7 * accepts / (accepts + rejects) + 0.3 * mean_confidence AS score FROM both_ways), found AS (SELECT node, other, 'direct' AS path, score FROM near UNION ALL SELECT a.node, b.other, 'two_hop', 0.72 * least(a.score, b.score) FROM near a JOIN near b ON a.other = b.node WHERE a.node <> b.other) SELECT node, other, path, score FROM found QUALIFY row_number() OVER (PARTITION BY node, other ORDER BY score DESC, path DESC) = 1",
-    "m28_graph_clusters": f"WITH RECURSIVE {EDGES}, reach(node, other) AS (SELECT node, node FROM both_ways WHERE accepts > 0 UNION SELECT r.node, b.other FROM reach r JOIN both_ways b ON b.node = r.other AND b.accepts > 0) SELECT node, min(other) AS cluster FROM reach GROUP BY node",
     "j6_incident_edges": f"WITH {EDGES} SELECT node, other, accepts, rejects FROM both_ways WHERE node IN (SELECT r FROM edges WHERE relation = 'synonym')",
     "j1_run_history": "SELECT o_orderkey, o_orderdate, c_name, last_ship, coalesce(quantity, 0.0) AS quantity, coalesce(n_lines, 0) AS n_lines FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100) JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, max(l_shipdate) AS last_ship, sum(l_quantity) AS quantity, count(*) AS n_lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey",
     "a9_token_totals": f"SELECT conv_id, CAST(coalesce(sum({ESTIMATE}) FILTER (role = 'user'), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum({ESTIMATE}) FILTER (role = 'assistant'), 0) AS BIGINT) AS output_tokens, count(*) AS turns, CAST(coalesce(sum({ESTIMATE}) FILTER (role IN ('user', 'assistant')), 0) AS BIGINT) AS total_tokens FROM conversations GROUP BY conv_id",
@@ -175,36 +44,18 @@ SELECT doc_id, block, d AS delimiter, CAST(hi AS INT) AS columns, n - 1 AS rows
     "a12_outcomes": f"WITH {CASES}, c AS (SELECT lang, expected, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE got END AS got FROM cases) SELECT lang, count(*) FILTER (got = expected) AS exact, count(*) FILTER (got <> expected) AS false_positive, count(*) FILTER (got IS NULL) AS unresolved, count(*) FILTER (got IS NOT DISTINCT FROM expected) AS correct_outcome, count(*) FILTER (got = expected) / nullif(count(got), 0) AS precision FROM c GROUP BY lang",
     "a13_deltas": f"WITH {CASES} SELECT CASE WHEN expected = got AND expected <> 1 THEN 'improved' WHEN expected <> got AND expected = 1 THEN 'regressed' ELSE 'unchanged' END AS outcome, count(*) AS n FROM cases GROUP BY 1",
     "a15_run_status": "WITH r AS (SELECT l_orderkey, count(*) AS fields, count(*) FILTER (l_returnflag = 'R') AS unresolved, count(*) FILTER (l_linestatus = 'O') AS suggested FROM lineitem GROUP BY 1) SELECT *, round((fields - unresolved) / fields, 4) AS resolved_ratio, round((suggested + unresolved) / fields, 4) AS review_ratio, CASE WHEN (fields - unresolved) / fields >= 0.9 AND unresolved = 0 AND (suggested + unresolved) / fields <= 0.35 THEN 'high' WHEN (fields - unresolved) / fields >= 0.7 AND unresolved <= greatest(1, fields // 4) THEN 'medium' ELSE 'low' END AS status FROM r",
-    "m33_snapshot": "SELECT CASE WHEN value / 100 >= 0.85 THEN 'train' ELSE 'validation' END AS split, count(*) AS items, min(event_id) AS first_id, max(event_id) AS last_id FROM events WHERE value / 100 >= 0.75 GROUP BY 1",
-    "m35_feature_vectors": r"WITH v AS (SELECT doc_id, greatest(length(text), 1) AS n, [least(length(text) / 4000, 1.0), least(len(regexp_extract_all(text, '[0-9]')) / greatest(length(text), 1), 1.0), least(len(regexp_extract_all(text, '\n')) / greatest(length(text), 1), 1.0), least(len(regexp_extract_all(text, '[.!?]')) / greatest(length(text), 1), 1.0), least(len(regexp_extract_all(text, '[,;:]')) / greatest(length(text), 1), 1.0)] AS vector FROM documents) SELECT doc_id, round(sqrt(list_sum(list_transform(vector, lambda x: x * x))), 6) AS l2_norm FROM v",
-    "l3_line_zones": f"WITH {LINES} SELECT doc_id, {ZONE} AS zone, count(*) AS n FROM lines GROUP BY 1, 2",
-    "w6_region_zones": f"WITH {LINES}, p AS (SELECT doc_id, pos * 14.0 + (pos // 5) * 20 AS y, {ZONE} AS zone FROM lines), g AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id ORDER BY y) > 26 THEN 1 ELSE 0 END AS new FROM p), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id ORDER BY y) AS BIGINT) AS region FROM g), v AS (SELECT doc_id, region, zone, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id, region) AS total FROM r GROUP BY 1, 2, 3) SELECT doc_id, region, zone, n / total AS share FROM v QUALIFY row_number() OVER (PARTITION BY doc_id, region ORDER BY n DESC, zone) = 1",
-    "w8_line_segments": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents), w AS (SELECT doc_id, line, unnest(string_split(content, ' ')) AS t, unnest(range(len(string_split(content, ' ')))) AS pos FROM l WHERE content <> ''), x AS (SELECT *, (sum(length(t) + 1) OVER (PARTITION BY doc_id, line ORDER BY pos) - length(t) - 1) * 7.0 AS x, length(t) * 7.0 AS width FROM w), y AS (SELECT *, CASE WHEN x - lag(x + width) OVER (PARTITION BY doc_id, line ORDER BY x) > 60 THEN 1 ELSE 0 END AS new FROM x WHERE t <> ''), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY doc_id, line ORDER BY x) AS BIGINT) AS segment FROM y) SELECT doc_id, CAST(line AS INT) AS line, segment, CAST(min(x) AS DOUBLE) AS x0, CAST(max(x + width) AS DOUBLE) AS x1, count(*) AS n_words FROM s GROUP BY 1, 2, 3",
-    "l7_unique_names": "SELECT p_partkey, CASE WHEN n = 1 THEN p_type ELSE p_type || '_' || n END AS unique_name FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_brand, lower(p_type) ORDER BY p_partkey) AS n FROM part)",
     "s1_acceptance_windows": f"WITH {LOG} SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS from_ts, source, count(*) FILTER (accepted) AS accepts, count(*) AS n FROM log GROUP BY 1, 2",
-    "p18_best_row_group": "WITH r AS (SELECT event_id, array_to_string(list_filter([CASE WHEN value > 30 THEN 'amount' END, CASE WHEN event_type <> 'error' THEN 'kind' END, CASE WHEN user_id % 2 = 0 THEN 'owner' END], lambda x: x IS NOT NULL), '|') AS signature FROM events), g AS (SELECT signature, count(*) AS n, CASE WHEN signature = 'amount|kind' THEN 5 ELSE 0 END + 2 * len(list_intersect(string_split(signature, '|'), ['kind', 'amount'])) AS score FROM r GROUP BY signature) SELECT event_id, signature FROM r WHERE signature = (SELECT signature FROM g ORDER BY score DESC, n DESC, signature DESC LIMIT 1)",
     "w4_blocks": "WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10))) AS line, unnest(range(len(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10))))) AS pos FROM documents), b AS (SELECT *, CAST(sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS block FROM l) SELECT doc_id, block, count(*) AS lines FROM b WHERE trim(line) <> '' GROUP BY 1, 2",
     "w10_first_of_equal": "SELECT p_partkey, p_brand, p_type FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_brand), lower(p_type) ORDER BY p_partkey) = 1",
-    "a20_column_types": "WITH c AS (SELECT o_custkey % 50 AS tab, unnest([0, 1, 2, 3]) AS col, unnest(['number', 'date', 'string', CASE WHEN o_orderstatus = 'F' THEN 'number' ELSE 'string' END]) AS kind FROM orders), n AS (SELECT tab, col, count(*) FILTER (kind = 'date') AS d, count(*) FILTER (kind = 'number') AS m, count(*) FILTER (kind = 'string') AS t FROM c GROUP BY 1, 2) SELECT tab AS \"table\", CAST(col AS INT) AS col, CASE WHEN d > 0 AND d >= greatest(m, t) THEN 'date' WHEN m > 0 AND m >= t THEN 'number' ELSE 'text' END AS type FROM n",
     "a25_dominant_width": "WITH r AS (SELECT doc_id, len(string_split(unnest(string_split(text, chr(10))), ' ')) AS width FROM documents), n AS (SELECT doc_id, width, count(*) AS n FROM r GROUP BY 1, 2) SELECT doc_id, CAST(width AS INT) AS width, n AS rows FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, width DESC) = 1",
-    "a21_repeated_width": "SELECT c_custkey AS doc_id, CAST(4 AS BIGINT) AS width, CAST(1.375 AS DOUBLE) AS score FROM customer WHERE c_custkey % 3 = 0",
-    "m44_structure_changes": "WITH k AS (SELECT CASE WHEN o_orderkey % 10 = 1 THEN 'initial' WHEN o_orderkey % 10 = 2 THEN 'removed' WHEN o_orderkey % 7 = 0 THEN 'changed' ELSE 'unchanged' END AS change FROM orders) SELECT change, count(*) AS n FROM k GROUP BY change",
     "m36_fingerprints": "SELECT p_partkey, sha256('[\"' || p_brand || '\",\"' || lower(p_type) || '\",\"' || p_size || '\"]') AS fingerprint FROM part",
-    "sc13_delimiters": "WITH h AS (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS t FROM documents), c AS (SELECT doc_id, d, k, length(t) - length(replace(t, d, '')) AS n FROM h, (VALUES (0, ';'), (1, chr(9)), (2, ','), (3, '|')) v(k, d)) SELECT doc_id, d AS delimiter FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) = 1",
-    "sc9_usable_text": "SELECT lang, (length(text) >= 80 OR len(string_split(trim(text), chr(10))) >= 3) AND len(regexp_extract_all(text, '[\\p{L}\\p{N}]')) >= 40 AS usable, count(*) AS n FROM documents GROUP BY 1, 2",
     "j9_item_owners": "WITH i AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'customer' WHEN 'A' THEN 'part' ELSE 'supplier' END AS kind, CASE l_returnflag WHEN 'R' THEN l_orderkey % 1500 WHEN 'A' THEN l_partkey ELSE l_suppkey END AS ref FROM lineitem) SELECT i.*, coalesce(c_name, p_name, s_name, 'none') AS owner FROM i LEFT JOIN customer ON kind = 'customer' AND ref = c_custkey LEFT JOIN part ON kind = 'part' AND ref = p_partkey LEFT JOIN supplier ON kind = 'supplier' AND ref = s_suppkey",
     "j10_relevant_orders": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority LIKE '1%' OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)",
-    "p16_token_users": f"WITH {LOG} SELECT t.token, count(DISTINCT user_id) AS users FROM log, (VALUES ('customer'), ('amount'), ('date'), ('revenue'), ('phone')) t(token) WHERE contains(lower(source), t.token) GROUP BY 1",
     "t2_pattern_list": f"WITH {STATS}, p AS (SELECT *, {GATES} AS g FROM stats) SELECT source, target, g[1] AS status, support FROM p ORDER BY CASE g[1] WHEN 'shared_promoted' THEN 3 WHEN 'shared_candidate' THEN 2 WHEN 'personal_only' THEN 1 ELSE 0 END DESC, acceptance DESC, support DESC, source, target LIMIT 12",
     "j3_memory_layers": f"WITH {LOG} SELECT source, count(DISTINCT (user_id, target)) AS remembered, count(*) AS uses, count(*) FILTER (NOT accepted) AS rejected, count(DISTINCT user_id) AS users FROM log GROUP BY source",
     "u3_united_sheets": "SELECT c_custkey AS key, c_name AS name, c_mktsegment AS segment, 0.0::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, '', s_acctbal FROM supplier",
-    "w17_form_groups": "SELECT c_custkey AS doc_id, question, o AS option, selected, CASE WHEN selected THEN 0.96 ELSE 0.88 END AS confidence FROM (SELECT c_custkey, 'Which segment?' AS question, 'BUILDING' AS o, c_mktsegment = 'BUILDING' AS selected FROM customer UNION ALL SELECT c_custkey, 'Which segment?', 'MACHINERY', c_mktsegment = 'MACHINERY' FROM customer UNION ALL SELECT c_custkey, 'Which segment?', 'Other', c_nationkey > 12 FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'first', false FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'second', false FROM customer)",
-    "l16_form_answers": "SELECT c_custkey AS doc_id, 'Which segment?' AS question, CASE WHEN c_nationkey > 12 THEN 'ambiguous' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'single' ELSE 'not_found' END AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE '' END AS answer, CASE WHEN c_nationkey > 12 THEN 0.45 WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0.92 ELSE 0.0 END AS confidence FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'not_found', '', 0.0 FROM customer",
-    "m18_draft_names": f"WITH {LOG}, m AS (SELECT user_id, source, target, least(1.0, 0.55 * avg(confidence) + 0.25 * count(*) FILTER (accepted) / count(*) + 0.1 * least(count(*) / 4, 1.0)) AS score FROM log GROUP BY 1, 2, 3), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, target DESC) = 1), w AS (SELECT *, string_split(source, ' ') AS p FROM b) SELECT user_id, source, CASE WHEN user_id % 2 = 0 AND score >= 0.6 THEN target ELSE p[1] || array_to_string(list_transform(p[2:], lambda x: upper(x[1]) || x[2:]), '') END AS name FROM w",
     "a14_run_quality": "SELECT l_orderkey, greatest(0.0, least(1.0, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 WHEN l_returnflag = 'A' THEN 0.7 WHEN l_linenumber % 2 = 0 THEN 0.4 ELSE 0.0 END) - least(0.08 * max(l_linenumber - 1), 0.35))) AS quality FROM lineitem GROUP BY 1",
 }
 
 
-from fieldweave.plans.more_sql import SQL  # noqa: E402  written with the parts above
-
-ORACLE_SQL |= SQL
+ORACLE_SQL |= more_sql.SQL | text_sql.SQL

@@ -23,6 +23,12 @@ from fieldweave.operators import tables as TB
 from fieldweave.operators import transform as TR
 from fieldweave.plans import sample_log as SL
 
+
+def line_place():
+    """The place of a line in its order; line numbers repeat."""
+    return F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -313,25 +319,27 @@ def a15_run_status(table):
 @query
 def m33_snapshot(table):
     items = EV.curated(table("events").select(F.col("event_id").alias("id"), "value"), F.col("value") / 100)
-    return EV.snapshot(items, 0.75, ["approved", "candidate"]).drop("identity")
+    return EV.snapshot(items, 0.75, ["approved", "candidate"])
 
 
 @query
 def m35_feature_vectors(table):
+    """A user's log as a run: its labels in the order of the log, with repeats."""
     log = SL.correction_log(table("events")).withColumn("s", N.prepared(F.col("source"))["normalized"]).withColumn("t", N.prepared(F.col("target"))["normalized"])
     band = F.when(F.col("confidence") >= 0.9, "high").when(F.col("confidence") >= 0.7, "medium").otherwise("low")
+    names = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("event_id", F.col(c).alias("name")))), lambda x: x["name"])
     runs = log.groupBy(F.col("user_id").alias("id")).agg(
-        F.array_sort(F.collect_set("s")).alias("sources"), F.array_sort(F.collect_set("t")).alias("targets"), F.count(F.lit(1)).alias("rows"), F.lit(1).alias("sheets"),
+        names("s").alias("sources"), names("t").alias("targets"), F.count(F.lit(1)).alias("rows"), F.lit(1).alias("sheets"),
         *[F.count_if(band == b).alias(b) for b in ("high", "medium", "low", "none")], F.count_if(~F.col("accepted")).alias("warnings"),
     )
     out = EV.feature_vectors(runs.withColumn("file_type", F.get(F.array(F.lit("csv"), F.lit("xls"), F.lit("pdf"), F.lit("txt")), F.pmod("id", F.lit(4)).cast("int"))))
-    return out.select("id", F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", x)), " ").alias("vector"), F.array_join("tokens", " ").alias("tokens"), F.round("l2_norm", 6).alias("l2_norm"))
+    words = F.array_sort(F.transform(F.map_entries("tokens"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return out.select("id", "vector", F.array_join(words, " ").alias("tokens"), F.round("l2_norm", 6).alias("l2_norm"))
 
 
 def _lines(table):
-    """Lines of up to twelve words of every document, laid out with a wider step after every fifth: doc_id, text, words, zone, y."""
-    short = F.transform(F.split("text", "\n"), lambda x: F.array_join(F.slice(F.split(x, " "), 1, 12), " "))
-    lines = table("documents").select("doc_id", F.posexplode(short).alias("at", "text")).where(F.trim("text") != "")
+    """The lines of every document, laid out with a wider step after every fifth: doc_id, text, words, zone, y."""
+    lines = table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text")).where(F.trim("text") != "")
     return lines.select("doc_id", "text", T.word_count(F.col("text")).alias("words"), T.line_zone(F.col("text")).alias("zone"), (F.col("at") * 14.0 + F.floor(F.col("at") / 5) * 20).alias("y"))
 
 
@@ -368,8 +376,10 @@ def w9_row_bands(table):
 
 @query
 def l7_unique_names(table):
-    names = table("part").select("p_brand", "p_partkey", F.when(F.col("p_partkey") % 50 == 0, F.concat("p_type", F.lit("_2"))).otherwise(F.col("p_type")).alias("p_type"))
-    return TB.unique_names(names, "p_brand", "p_partkey", "p_type", "_").select("p_partkey", F.col("unique").alias("unique_name"))
+    """An order's lines as header cells: equal but for case, with blanks to squeeze, some of them empty."""
+    status = F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_linestatus")).when(F.col("l_returnflag") == "R", F.lit("  ")).otherwise(F.col("l_linestatus"))
+    cells = table("lineitem").select("l_orderkey", "l_linenumber", line_place(), F.when(F.col("l_quantity") > 25, F.concat(status, F.lit("  a "))).otherwise(status).alias("cell"))
+    return TB.header_names(cells, "l_orderkey", "at", "cell").select("l_orderkey", "l_linenumber", F.col("unique").alias("unique_name"))
 
 
 def _match_case(table):
@@ -468,8 +478,11 @@ def a22_repeated_columns(table):
 
 @query
 def m44_structure_changes(table):
-    o = table("orders")
-    return TB.changes(o.where("o_orderkey % 10 <> 1"), o.where("o_orderkey % 10 <> 2").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "X").otherwise(F.col("o_orderstatus"))), "o_orderkey", ["o_custkey", "o_orderstatus"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    """Suppliers as the old state, customers as the new one, by key."""
+    old = table("supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
+    new = table("customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"))
+    orders = table("orders").groupBy((-F.col("o_custkey")).alias("key")).agg(F.count(F.lit(1)).alias("nation"))
+    return TB.changes(old.unionByName(orders), new, "key", ["nation"]).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

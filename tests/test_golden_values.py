@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions import names as N
 from fieldweave.functions import texts as T
 from fieldweave.functions import values as V
+from fieldweave.operators import evaluation as EV
 from fieldweave.operators import extraction as X
 from fieldweave.operators import feedback as FB
 from fieldweave.operators import graph as G
@@ -132,7 +133,7 @@ def test_staging(spark):
     s = spark.createDataFrame(rows, "run_id long, user_id long, ts timestamp, source string, target string, truth string, status string, confidence double")
     assert [tuple(r) for r in LE.staging_counts(s).collect()] == [(7, 1, 1, 2)]
     r = LE.review_state(s).first()
-    assert (r.total, r.accepted, r.rejected, r.pending, r.state) == (3, 1, 1, 1, "open")
+    assert (r.total, r.accepted, r.rejected, r.pending, r.state) == (3, 1, 1, 1, "has_rejected_suggestions")
 
 
 def case(spark, sources, targets):
@@ -182,9 +183,11 @@ def test_columns_of_a_deal_map_one_to_one(spark, expected):
 
 
 def test_position_and_rules(spark):
-    got = M.by_position(*case(spark, ["1223", "hsdh", "sdvsdv"], ["customerName", "amount", "createdAt"])).collect()
+    none = spark.createDataFrame([], "case_id long")
+    got = M.by_position(*case(spark, ["1223", "hsdh", "sdvsdv"], ["customerName", "amount", "createdAt"]), none).collect()
     assert {(r.target, r.source, r.band) for r in got} == {("customerName", "1223", "low"), ("amount", "hsdh", "low"), ("createdAt", "sdvsdv", "low")}
-    assert M.by_position(*case(spark, ["a"], ["x", "y"])).collect() == []
+    assert M.by_position(*case(spark, ["a"], ["x", "y"]), none).collect() == [] and M.by_position(*case(spark, ["a", "b"], ["x"]), none).collect() == []
+    assert M.by_position(*case(spark, ["a"], ["x"]), spark.createDataFrame([(1,)], "case_id long")).collect() == []
     got = M.assigned(M.pairs(*case(spark, ["customer_name", "zzz"], ["customerName", "amount"]))).collect()
     assert [(r.target, r.source, r.band) for r in got] == [("customerName", "customer_name", "high")]
 
@@ -207,5 +210,68 @@ def test_wide_pairs_and_names(spark):
     got = X.wide_pairs(spark.createDataFrame([(1, 1, p), (1, 2, p), (1, 3, "a: b"), (1, 4, None)], "doc_id long, row long, paragraph string")).collect()
     assert len(got) == 16 and {r.label for r in got} == {"имя", "город", "тел", "a", "b", "c", "d", "e"}
     names = spark.createDataFrame([(1, k, n) for k, n in enumerate(["a", "a", "a2", "a", "b"])], "g int, k int, name string")
-    assert [r.unique for r in TB.unique_names(names, "g", "k", "name").orderBy("k").collect()] == ["a", "a3", "a2", "a4", "b"]
+    assert [r.unique for r in TB.unique_names(names, "g", "k", "name").orderBy("k").collect()] == ["a", "a2", "a22", "a3", "b"]
     assert one(spark, N.prepared(F.col("v"))["attribute"], v="productId") == "id"
+
+
+def test_inline_profile_with_no_break_spaces(spark):
+    line = "Это тестовый документ в одну строку: ФИО Иван Иванов, дата рождения 01.01.1990, телефон +7 999 123-45-67, email ivan.ivanov@example.com, адрес г. Москва, ул. Тестовая, д. 10, цель документа проверка обработки текста без переносов строк."
+    want = [("ФИО", "Иван Иванов"), ("дата рождения", "01.01.1990"), ("телефон", "+7 999 123-45-67"), ("email", "ivan.ivanov@example.com"), ("адрес", "г. Москва, ул. Тестовая, д. 10"), ("цель документа", "проверка обработки текста без переносов строк")]
+    assert pairs_of(spark, line) == want and pairs_of(spark, line.replace(" ", "\u00a0")) == want
+
+
+def test_paragraphs_of_pairs_make_a_table_from_two_rows_on(spark):
+    deals = ["dealId: DEAL_12345, dealName: Проект Alpha, creationDate: 2025-07-15, stage: Переговоры, organization: ООО Организация", "dealId: DEAL_67890, dealName: Проект Beta, stage: Закрыта успешно, organization: ООО Техно, manager: Сидоров"]
+    made = lambda rows: X.wide_pairs(spark.createDataFrame(rows, "doc_id long, row long, paragraph string")).orderBy("row", "place").collect()
+    got = made([(1, k, d) for k, d in enumerate(deals)])
+    assert [r.label for r in got[:6]] == ["dealId", "dealName", "creationDate", "stage", "organization", "manager"]
+    assert [r.value for r in got[:6]] == ["DEAL_12345", "Проект Alpha", "2025-07-15", "Переговоры", "ООО Организация", ""] and got[8].value == ""
+    assert made([(1, 0, deals[0])]) == []
+
+
+def test_facts_of_two_languages(spark):
+    text = "The fee is 5 EUR. Ставка составляет 7 процентов.\nthe FEE is 5 eur\nСумма равна 10. : is nothing. Итог является верным"
+    got = X.text_facts(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).orderBy("n").collect()
+    assert [(r.label, r.value) for r in got] == [("The fee", "5 EUR"), ("Ставка", "7 процентов"), ("Сумма", "10"), ("Итог", "верным")]
+
+
+def test_many_facts_of_one_document_stay_linear(spark):
+    import time
+
+    df = spark.createDataFrame([(1, ". ".join(f"Thing{k} is value{k}" for k in range(20_000)))], "doc_id long, text string")
+    X.text_facts(df).collect()
+    began = time.time()
+    assert len(X.text_facts(df, limit=100).collect()) == 100 and time.time() - began < 10
+
+
+def test_sections_and_blocks(spark):
+    text = "intro\nmore\n\nCOVER PAGE\n\nTerms:\n\nfirst\n\nsecond\n\nTHE END"
+    docs = spark.createDataFrame([(1, text), (2, "ONE:\n\nTWO:\n\nTHREE:\n\nFOUR:"), (3, None), (4, "\n\n".join(f"H{k}:\n\nbody" for k in range(20)))], "doc_id long, text string")
+    got = X.sections(docs).orderBy("doc_id", "section").collect()
+    assert [(r.section, r.title, r.text) for r in got if r.doc_id == 1] == [(1, "Document", "intro\nmore"), (2, "Terms:", "first\n\nsecond")]
+    assert [(r.title, r.text) for r in got if r.doc_id == 2] == [("Document", "ONE:\n\nTWO:\n\nTHREE:")]
+    assert not [r for r in got if r.doc_id == 3] and [r.section for r in got if r.doc_id == 4] == list(range(1, 13))
+    blocks = X.text_blocks(docs).orderBy("doc_id", "n").collect()
+    assert [(r.n, r.label) for r in blocks if r.doc_id == 1] == [(1, None), (2, "COVER PAGE"), (3, "Terms:"), (4, None), (5, None), (6, "THE END")]
+    assert len([r for r in blocks if r.doc_id == 4]) == 24
+
+
+def test_header_names_and_labels(spark):
+    cells = spark.createDataFrame([(1, k, n) for k, n in enumerate(["Sum", " sum ", None, "SUM", "", "sum_2"])], "t int, k int, name string")
+    assert [r.unique for r in TB.header_names(cells, "t", "k", "name").orderBy("k").collect()] == ["Sum", "sum_2", "column_3", "SUM_3", "column_5", "sum_2"]
+    labels = spark.createDataFrame([(g, k, n) for g in (1, 2) for k, n in enumerate(["a", "a", "a 2", "a"])], "t int, k int, name string")
+    assert [r.unique for r in TB.unique_names(labels, "t", "k", "name", " ").orderBy("t", "k").collect()] == ["a", "a 2", "a 2 2", "a 3"] * 2
+
+
+def test_feature_bags_count_and_are_bounded(spark):
+    runs = spark.createDataFrame([(1, ["a"] * 3 + [f"s{k}" for k in range(60)], ["a"], 5, 1, 1, 0, 0, 1, 0, "csv")], "id long, sources array<string>, targets array<string>, rows long, sheets int, high int, medium int, low int, none int, warnings int, file_type string")
+    r = EV.feature_vectors(runs).first()
+    assert r.tokens["source:a"] == 3 and len(r.tokens) == 46 + 1 + 1 and r.vector[4] == round(1 / 61, 6)
+
+
+def test_examples_ask_for_drafts_and_mappings(spark):
+    items = spark.createDataFrame([(1, "correction", "train", 0.9, '{"a":1}', '{"b":2}'), (2, "template", "train", 0.9, "[1]", '{"draft_json":{"c":3}}'), (3, "mapping", "train", 0.9, '"x"', "7")], "id long, item_kind string, split string, quality_score double, input_payload string, target_payload string")
+    got = {r.id: r for r in EV.training_examples(items).collect()}
+    assert got[1].task_type == "mapping" and [m.content for m in got[1].messages[1:]] == ['{"a":1}', '{"b":2}']
+    assert got[2].task_type == "draft_json" and [m.content for m in got[2].messages[1:]] == ['{"raw_input":[1]}', '{"c":3}'] and got[2].messages[0].content.startswith("Generate a canonical draft")
+    assert [m.content for m in got[3].messages[1:]] == ['{"raw_input":"x"}', '{"raw_target":7}']
