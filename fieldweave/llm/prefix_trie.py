@@ -218,6 +218,7 @@ def rollup(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     if top is None:
         return nodes.select("conv_id", "depth", F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"))
     active = nodes.withColumns({"leaves": F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"), "saved": (F.col("n_convs") - 1) * F.col("words"), "top_conv": F.lit(top[0]).cast("long"), "top_depth": F.lit(0).cast("long")}).select(*_ACTIVE)
+    active = stored(active, "active")
     limit = max(COMPONENT, active.count() // HOT_KEYS)
     given, ready = [], []
     while True:
