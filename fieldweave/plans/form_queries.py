@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions import form_texts as FT
+from fieldweave.operators import form_lines as FL
 from fieldweave.operators import form_model as FM
 from fieldweave.plans.queries import query
 
@@ -104,3 +106,32 @@ def f21_marks(table):
     cell = F.get(F.array(*[F.lit(x) for x in ("l", " O ", "☒", "1", "", "[x]", "a[ ]b", "\\")]), (F.col("p_size") % 8).cast("int"))
     words = lambda c: FT.tokens(F.col(c))
     return p.select("p_partkey", FT.mark(cell).alias("mark"), FT.is_mark(cell).alias("is_mark"), FT.is_checked(cell).alias("checked"), FT.has_mark(cell).alias("has_mark"), F.round(FT.stem_similarity(words("p_type"), words("p_name")), 6).alias("alike"))
+
+
+PAGE_LINES = ["Which of these parts apply to the client?", "Which of the following statements are true here?", "X paid in part", "[ ] not paid at all", "(and so on)", "Yes, with a note", "X", "Sum: of it", "plain words here", "Also the rest", "", "☐"]
+
+
+def page_lines(table):
+    """A user's events as lines of pages in two columns, some without one: questions, options, marks alone, pieces of text."""
+    e = table("events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    n = F.col("n")
+    text = F.get(F.array(*[F.lit(x) for x in PAGE_LINES]), F.pmod(F.col("event_id") * 7 + F.floor("value").cast("long"), F.lit(len(PAGE_LINES))).cast("int"))
+    column = F.when(F.col("event_type") == "click", F.lit(None)).when(F.col("event_type") == "error", 2).otherwise(1)
+    return e.select(F.col("user_id").cast("long").alias("doc_id"), F.col("event_id").cast("long").alias("pos"), text.alias("text"), F.floor(n / 25).cast("long").alias("page"), column.cast("long").alias("column_id"), ((n % 25) * 4).cast("double").alias("y"), (F.floor(F.col("value") / 4) * 4).cast("double").alias("x"))
+
+
+@query
+def j19_marked_lines(table):
+    """Marks that stand alone and the nearest text to their right."""
+    return FL.with_marks(page_lines(table))
+
+
+@query
+def l11_unwrapped_lines(table):
+    return FL.unwrapped(page_lines(table))
+
+
+@query
+def l31_scoped_groups(table):
+    """Groups of the lines as they stand on the page, with marks joined and options unwrapped: they end with their page, and with their column but for options."""
+    return FL.line_groups(FL.unwrapped(FL.with_marks(page_lines(table)))).withColumn("options", _listed("options"))
