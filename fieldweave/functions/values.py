@@ -118,9 +118,9 @@ def excel_header(value: Column, index: Column) -> Column:
 
 
 def is_code(value: Column) -> Column:
-    """Digits only, or at most 16 characters without lower case and with a digit."""
+    """At most 16 characters without lower case and with a digit."""
     plain = F.trim(F.coalesce(value, F.lit("")))
-    return (plain != "") & (plain.rlike(r"^\d+$") | ((F.length(plain) <= 16) & (F.upper(plain) == plain) & plain.rlike(r"\d")))
+    return (F.length(plain) <= 16) & (F.upper(plain) == plain) & plain.rlike(r"\p{Nd}")
 
 
 def token_estimate(text: Column) -> Column:

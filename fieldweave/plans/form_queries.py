@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldweave.functions import form_texts as FT
 from fieldweave.operators import form_lines as FL
 from fieldweave.operators import form_model as FM
+from fieldweave.operators import page_tables as PT
 from fieldweave.plans.queries import query
 
 
@@ -135,3 +136,54 @@ def l11_unwrapped_lines(table):
 def l31_scoped_groups(table):
     """Groups of the lines as they stand on the page, with marks joined and options unwrapped: they end with their page, and with their column but for options."""
     return FL.line_groups(FL.unwrapped(FL.with_marks(page_lines(table)))).withColumn("options", _listed("options"))
+
+
+def code_sheets(table):
+    """A customer's orders as tables of texts and codes: (doc_id, sheet, columns), (doc_id, sheet, row, values). Only some have headers of their own."""
+    o, part = table("orders"), F.lpad((F.col("o_orderkey") % 9000).cast("string"), 4, "7")
+    columns = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("Name of part"), F.lit("Code of part")))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.array(F.concat(F.lit("part of sale "), F.col("o_orderkey").cast("string")), part))
+        .otherwise(F.array(F.lit("text of the page"), F.lit(" ")))
+    )
+    sheets = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("sheet"), columns.alias("columns"))
+    line = table("lineitem").withColumn("row", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long"))
+    text = F.when(F.col("l_returnflag") == "R", F.lit("returned parts:")).when(F.col("l_linenumber") == 3, F.lit(" ")).otherwise(F.concat(F.lit("part "), F.col("l_linestatus")))
+    values = F.array(text, (F.col("l_partkey") % 500).cast("string"))
+    rows = line.join(o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("doc_id")), "l_orderkey")
+    return sheets, rows.select("doc_id", F.col("l_orderkey").alias("sheet"), "row", values.alias("values"))
+
+
+@query
+def u5_continued_tables(table):
+    """Continued tables under the first one's two columns (U5), without rows that head a section (P7)."""
+    return PT.continued_rows(*code_sheets(table)).select("doc_id", "sheet", "row", "text_header", "code_header", "text", "code")
+
+
+@query
+def p7_without_headings(table):
+    return PT.without_headings(*code_sheets(table)).groupBy("doc_id", "sheet").agg(F.count(F.lit(1)).alias("rows"), F.sum("row").alias("places"))
+
+
+@query
+def j18_cells_under_headers(table):
+    """Clicks of a user as headers, all other events as cells, three to a row."""
+    e = table("events").select(F.col("user_id").cast("long").alias("table_id"), F.col("event_id").cast("long").alias("pos"), "event_type", F.col("value").alias("x"), (F.col("event_id") % 7).cast("double").alias("width"))
+    cells = e.where("event_type <> 'click'").withColumns({"row": F.floor(F.col("pos") / 300), "text": F.when(F.col("pos") % 13 == 0, " ").otherwise(F.concat("event_type", F.lit(" ")))})
+    return PT.under_headers(e.where("event_type = 'click'"), cells)
+
+
+@query
+def l2_page_columns(table):
+    lines = table("events").select(F.col("user_id").cast("long").alias("page_id"), F.col("event_id").cast("long").alias("id"), F.when(F.col("event_type") != "error", F.round("value", 2) * 8).alias("x0"))
+    return PT.page_columns(lines)
+
+
+@query
+def l33_sections(table):
+    """Sections of a customer's form that hold the questions of some of its groups; customers of urgent orders alone have none."""
+    o = table("orders").where("o_orderpriority <> '1-URGENT'")
+    text = F.concat(F.lit("note. IS SALE "), F.col("o_orderkey").cast("string"), F.lit(", delivered to the client? see note; which of the parts apply to the sale"))
+    sections = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("n"), F.when(F.col("o_orderstatus") == "F", F.lit("Sale")).alias("title"), F.when(F.col("o_orderstatus") == "P", F.lit("nothing")).otherwise(text).alias("text"))
+    found = PT.section_groups(sections, FM.table_groups(form_rows(table)))
+    return found.withColumn("group_ids", F.array_join("group_ids", ","))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fieldweave.plans.form_sql import GROUPS as GROUPS_OF_TABLES
+
 LINES = """
 numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events),
 lines AS (
@@ -103,6 +105,24 @@ parts AS (
   FROM parts WHERE nth > 0 GROUP BY doc_id, number
 )"""
 
+#: lines of all tables, the first table of each document that has a column of texts and one of codes, and the rows that its tables give (``once``)
+CODES = """
+lines AS (
+  SELECT o_custkey AS doc_id, o_orderkey AS sheet, o_orderpriority AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row,
+    CASE WHEN l_returnflag = 'R' THEN 'returned parts:' WHEN l_linenumber = 3 THEN ' ' ELSE 'part ' || l_linestatus END AS text, CAST(l_partkey % 500 AS VARCHAR) AS code
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+), paired AS (
+  SELECT o_custkey AS doc_id, o_orderkey AS sheet, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Name of part' ELSE 'part of sale ' || o_orderkey END AS text_header,
+    CASE WHEN o_orderpriority = '1-URGENT' THEN 'Code of part' ELSE lpad(CAST(o_orderkey % 9000 AS VARCHAR), 4, '7') END AS code_header
+  FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' AND o_orderkey IN (SELECT sheet FROM lines WHERE row <= 5 AND trim(text) <> '')
+), anchors AS (SELECT * FROM paired QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sheet) = 1),
+given AS (
+  SELECT doc_id, sheet, row, text, code FROM lines WHERE trim(text) <> ''
+  UNION ALL
+  SELECT o_custkey, o_orderkey, -1, 'part of sale ' || o_orderkey, lpad(CAST(o_orderkey % 9000 AS VARCHAR), 4, '7') FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderkey NOT IN (SELECT sheet FROM anchors)
+), used AS (SELECT g.*, a.text_header, a.code_header FROM given g JOIN anchors a USING (doc_id) WHERE g.doc_id IN (SELECT doc_id FROM given GROUP BY doc_id HAVING count(DISTINCT sheet) >= 2)),
+once AS (SELECT * FROM used QUALIFY row_number() OVER (PARTITION BY doc_id, text, code ORDER BY sheet, row) = 1)"""
+
 SQL = {
     "j19_marked_lines": f"WITH RECURSIVE {LINES}, {MARKED} SELECT * FROM marked",
     "l11_unwrapped_lines": f"WITH RECURSIVE {LINES}, {unwrapped('lines')} SELECT doc_id, pos, text, page, column_id, y, x FROM unwrapped",
@@ -111,5 +131,42 @@ WITH RECURSIVE {LINES}, {MARKED}, {unwrapped('marked')}, {GROUPS}
 SELECT o.doc_id, (SELECT arg_min(p.pos, p.k) FROM parts p WHERE p.doc_id = o.doc_id AND p.number = o.number) AS pos, 'group' AS group_id, coalesce(q.said, 'Unknown question') AS question,
   CASE WHEN contains(lower(coalesce(q.said, '')), 'following statements') OR chosen > 1 THEN 'multi_choice' ELSE 'single_choice' END AS group_type, options
 FROM options o LEFT JOIN parts q ON q.doc_id = o.doc_id AND q.number = o.number AND q.nth = 0
+""",
+    "u5_continued_tables": f"""
+WITH {CODES}
+SELECT doc_id, sheet, row, text_header, code_header, text, code FROM once WHERE NOT suffix(trim(text), ':')
+""",
+    "p7_without_headings": f"""
+WITH {CODES}
+SELECT doc_id, sheet, count(*) AS rows, CAST(sum(row) AS BIGINT) AS places FROM lines
+WHERE NOT (suffix(text, ':') AND sheet IN (SELECT sheet FROM paired))
+GROUP BY 1, 2
+""",
+    "j18_cells_under_headers": """
+WITH e AS (SELECT user_id AS table_id, event_id AS pos, event_type, value + CAST(event_id % 7 AS DOUBLE) / 2 AS middle FROM events),
+near AS (
+  SELECT c.table_id, c.pos // 300 AS row, c.pos, c.event_type AS text, h.pos AS header FROM e c JOIN e h ON h.table_id = c.table_id AND h.event_type = 'click' AND c.event_type <> 'click' AND c.pos % 13 <> 0
+  QUALIFY row_number() OVER (PARTITION BY c.table_id, c.pos ORDER BY abs(h.middle - c.middle), h.pos) = 1
+)
+SELECT CAST(table_id AS BIGINT) AS table_id, CAST(row AS BIGINT) AS row, CAST(header AS BIGINT) AS header, string_agg(text, ' ' ORDER BY pos) AS text FROM near GROUP BY ALL
+""",
+    "l2_page_columns": """
+WITH RECURSIVE lines AS (SELECT CAST(user_id AS BIGINT) AS page_id, CAST(event_id AS BIGINT) AS id, CASE WHEN event_type <> 'error' THEN round(value, 2) * 8 END AS x0 FROM events),
+edges AS (
+  SELECT page_id, min(x0) AS edge, 1 AS nth FROM lines WHERE x0 IS NOT NULL GROUP BY page_id
+  UNION ALL
+  SELECT e.page_id, (SELECT min(x0) FROM lines l WHERE l.page_id = e.page_id AND l.x0 - e.edge > 120) AS next, nth + 1 FROM edges e WHERE next IS NOT NULL
+)
+SELECT l.page_id, l.id, l.x0, CASE WHEN l.x0 IS NOT NULL THEN (SELECT arg_min(nth, (abs(edge - l.x0), nth)) FROM edges e WHERE e.page_id = l.page_id AND edge IS NOT NULL) END AS column_id FROM lines l
+""",
+    "l33_sections": f"""
+WITH RECURSIVE {GROUPS_OF_TABLES}, sections AS (
+  SELECT o_custkey AS doc_id, o_orderkey AS n, CASE WHEN o_orderstatus = 'F' THEN 'Sale' ELSE 'Section ' || o_orderkey END AS title,
+    CASE WHEN o_orderstatus = 'P' THEN 'nothing' ELSE 'note is sale ' || o_orderkey || ' delivered to the client see note which of the parts apply to the sale' END AS text FROM orders WHERE o_orderpriority <> '1-URGENT'
+), asked AS (SELECT doc_id, t * 1000000 + g AS pos, 'group_' || t || '_' || g AS group_id, lower(replace(question, '?', '')) AS said FROM every)
+SELECT s.doc_id, 'section_' || n AS section_id, title, coalesce(string_agg(group_id, ',' ORDER BY pos) FILTER (group_id IS NOT NULL), '') AS group_ids
+FROM sections s LEFT JOIN asked a ON a.doc_id = s.doc_id AND contains(s.text, a.said) GROUP BY s.doc_id, n, title
+UNION ALL
+SELECT doc_id, 'section_form_root', 'Form Body', string_agg(group_id, ',' ORDER BY pos) FROM asked WHERE doc_id NOT IN (SELECT doc_id FROM sections) GROUP BY doc_id
 """,
 }
