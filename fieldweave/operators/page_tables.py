@@ -16,10 +16,11 @@ COLUMN_GAP = 120.0
 SAMPLE = 5
 
 
-def is_text(value: Column) -> Column:
-    """Whether a value is words: with a letter, no code and no made-up column name."""
-    plain = F.trim(F.coalesce(value, F.lit("")))
-    return plain.rlike(r"\p{L}") & ~plain.rlike(PLACEHOLDER) & ~V.is_code(plain)
+def _told(cells: DataFrame, value: str = "value") -> DataFrame:
+    """Cells with ``value`` trimmed, whether it is a code, whether it is words: with a letter, no code and no made-up column name."""
+    plain = cells.withColumn(value, F.trim(F.coalesce(value, F.lit(""))))
+    coded = plain.withColumns({"is_code": V.is_code(F.col(value)), "made_up": F.col(value).rlike(PLACEHOLDER)})
+    return coded.withColumn("is_text", F.col(value).rlike(r"\p{L}") & ~F.col("made_up") & ~F.col("is_code"))
 
 
 def _holds(text: Column, parts: list[str]) -> Column:
@@ -29,6 +30,14 @@ def _holds(text: Column, parts: list[str]) -> Column:
     return out
 
 
+def _text_score(name: Column, texts: Column) -> Column:
+    return F.when(_holds(F.lower(name), TEXT_HEADERS), 2.0).otherwise(0.0) + F.when(texts, 0.8).otherwise(0.0)
+
+
+def _code_score(name: Column, codes: Column) -> Column:
+    return F.when(_holds(F.lower(name), CODE_HEADERS), 2.0).otherwise(0.0) + F.when(codes, 1.2).otherwise(0.0)
+
+
 def text_and_code(sheets: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, sheet, text_header, code_header of the sheets (doc_id, sheet, columns) that have a column of texts and another one of codes.
 
@@ -37,11 +46,10 @@ def text_and_code(sheets: DataFrame, rows: DataFrame) -> DataFrame:
     named = sheets.select("doc_id", "sheet", F.posexplode("columns").alias("at", "name")).withColumn("name", F.trim("name")).where("name <> ''")
     named = named.groupBy("doc_id", "sheet", "name").agg(F.min("at").alias("at"))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "sheet").orderBy("row"))).where(F.col("_n") <= SAMPLE)
-    cells = first.select("doc_id", "sheet", F.posexplode("values").alias("at", "value")).groupBy("doc_id", "sheet", "at").agg(F.bool_or(V.is_code(F.col("value"))).alias("codes"), F.bool_or(is_text(F.col("value"))).alias("texts"))
+    cells = _told(first.select("doc_id", "sheet", F.posexplode("values").alias("at", "value"))).groupBy("doc_id", "sheet", "at").agg(F.bool_or("is_code").alias("codes"), F.bool_or("is_text").alias("texts"))
     both = named.join(cells, ["doc_id", "sheet", "at"], "left")
-    low, yes = F.lower("name"), lambda c: F.coalesce(F.col(c), F.lit(False))
-    text = F.when(_holds(low, TEXT_HEADERS), 2.0).otherwise(0.0) + F.when(yes("texts"), 0.8).otherwise(0.0)
-    code = F.when(_holds(low, CODE_HEADERS), 2.0).otherwise(0.0) + F.when(yes("codes"), 1.2).otherwise(0.0)
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    text, code = _text_score(F.col("name"), yes("texts")), _code_score(F.col("name"), yes("codes"))
     best = lambda score: F.max(F.struct(score.alias("score"), (-F.col("at")).alias("at"), "name"))
     found = both.groupBy("doc_id", "sheet").agg(best(text).alias("t"), best(code).alias("c"), F.count(F.lit(1)).alias("n"))
     good = (F.col("n") >= 2) & (F.col("t.name") != F.col("c.name")) & (F.col("t.score") >= 0.8) & (F.col("c.score") >= 1.2)
@@ -49,11 +57,11 @@ def text_and_code(sheets: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
-    """Rows with the text and the code among their values: the last code, and of the other texts the longest."""
-    plain = rows.withColumn("plain", F.filter(F.transform("values", lambda v: F.trim(F.coalesce(v, F.lit("")))), lambda v: v != ""))
-    coded = plain.withColumn("code", F.try_element_at(F.filter("plain", V.is_code), F.lit(-1)))
-    longest = F.array_max(F.transform(F.filter("plain", lambda v: (v != F.col("code")) & ~v.rlike(PLACEHOLDER)), lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))
-    return coded.where("code is not null").withColumn("text", longest["v"]).where(is_text(F.col("text"))).drop("plain")
+    """doc_id, sheet, row, headers, text, code: the text and the code among the values of a row: the last code, and of the other texts the longest."""
+    cells = _told(rows.select("doc_id", "sheet", "row", "text_header", "code_header", F.posexplode("values").alias("at", "value"))).where("value <> ''")
+    whole = cells.groupBy("doc_id", "sheet", "row", "text_header", "code_header").agg(F.max_by("value", F.when(F.col("is_code"), F.col("at"))).alias("code"), F.collect_list(F.struct(F.length("value").alias("n"), "value", "made_up", "is_text")).alias("cells"))
+    longest = whole.where("code is not null").withColumn("longest", F.array_max(F.filter("cells", lambda c: (c["value"] != F.col("code")) & ~c["made_up"])))
+    return longest.where("longest.is_text").select("doc_id", "sheet", "row", "text_header", "code_header", F.col("longest.value").alias("text"), "code")
 
 
 def continued(sheets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -69,7 +77,7 @@ def continued(sheets: DataFrame, rows: DataFrame) -> DataFrame:
     cell = lambda at: F.get("values", (F.col(at) - 1).cast("int"))
     direct = every.where("direct").select("doc_id", "sheet", "row", "text_header", "code_header", cell("t").alias("text"), cell("c").alias("code")).where(V.visible(F.col("text")) & V.visible(F.col("code")))
     heads = known.where("not direct").select(*names, F.lit(-1).cast("long").alias("row"), F.col("columns").alias("values"))
-    other = _pairs(every.where("not direct").select(*names, "row", "values").unionByName(heads)).select("doc_id", "sheet", "row", "text_header", "code_header", "text", "code")
+    other = _pairs(every.where("not direct").select(*names, "row", "values").unionByName(heads))
     both = direct.unionByName(other)
     enough = both.groupBy("doc_id").agg(F.count_distinct("sheet").alias("n")).where("n >= 2").select("doc_id")
     first = Window.partitionBy("doc_id", "text", "code").orderBy("sheet", "row")
@@ -85,13 +93,18 @@ def without_headings(sheets: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def continued_rows(sheets: DataFrame, rows: DataFrame) -> DataFrame:
-    """``continued`` without rows that head a section."""
+    """``continued`` without rows that head a section: the merged table's own first rows say which column holds texts and which codes."""
     merged = continued(sheets, rows)
-    placed = merged.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet", "row")))
-    one = lambda df, **more: df.select("doc_id", F.lit(0).cast("long").alias("sheet"), *[v.alias(k) for k, v in more.items()])
-    heads = one(merged.select("doc_id", "text_header", "code_header").distinct(), columns=F.array("text_header", "code_header"))
-    kept = without_headings(heads, one(placed, row=F.col("at"), values=F.array("text", "code")))
-    return placed.join(kept.select("doc_id", F.col("row").alias("at")), ["doc_id", "at"], "left_semi").drop("at")
+    order = Window.partitionBy("doc_id").orderBy("sheet", "row")
+    told = _told(_told(merged.withColumn("t", F.col("text")), "t").withColumnsRenamed({"is_text": "t_text", "is_code": "t_code"}).withColumn("c", F.col("code")), "c").withColumn("at", F.row_number().over(order))
+    some = lambda c: F.coalesce(F.bool_or(F.when(F.col("at") <= SAMPLE, F.col(c))).over(Window.partitionBy("doc_id")), F.lit(False))
+    one, two = F.col("text_header"), F.col("code_header")
+    told = told.withColumns({"tt": _text_score(one, some("t_text")), "tc": _code_score(one, some("t_code")), "ct": _text_score(two, some("is_text")), "cc": _code_score(two, some("is_code"))})
+    # Of equal scores the first column, that of texts, is meant
+    straight = (F.col("tt") >= F.col("ct")) & (F.col("cc") > F.col("tc")) & (F.col("tt") >= 0.8) & (F.col("cc") >= 1.2)
+    swapped = (F.col("ct") > F.col("tt")) & (F.col("tc") >= F.col("cc")) & (F.col("ct") >= 0.8) & (F.col("tc") >= 1.2)
+    heads = (straight & F.col("t").endswith(":") & F.col("is_code")) | (swapped & F.col("c").endswith(":") & F.col("t_code"))
+    return told.where(~heads).select(*merged.columns)
 
 
 def under_headers(headers: DataFrame, cells: DataFrame) -> DataFrame:
