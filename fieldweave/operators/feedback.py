@@ -98,8 +98,12 @@ def concept(source: Column, target: Column) -> Column:
         (("organization",), "entity.organization"),
         (("customer",), "entity.customer"),
         (("product",), "entity.product"),
-        (("name",), "text.label"),
+        (("name",), "identity.name"),
         (("description",), "text.description"),
+        (("creator",), "ownership.creator"),
+        (("responsible",), "ownership.responsible"),
+        (("source",), "channel.source"),
+        (("partner",), "entity.partner"),
     ]
     out = F.lit(None).cast("string")
     for words, name in reversed(rules):

@@ -28,6 +28,16 @@ def edges(log: DataFrame) -> DataFrame:
     )
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's spark.checkpoint.dir, with its lineage cut; a folder is made only where that is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        import tempfile
+
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def both_ways(edge: DataFrame) -> DataFrame:
     """Each edge from either end, so that what touches a node is an equi-join and not an OR."""
     rest = [c for c in edge.columns if c not in ("l", "r")]
@@ -43,31 +53,17 @@ def _evidence():
     return 0.7 * F.col("accepts") / (F.col("accepts") + F.col("rejects")) + 0.3 * F.col("mean_confidence")
 
 
-def evidence(edge: DataFrame) -> DataFrame:
-    """node, other, path, score: the best evidence over one hop, or over two (weaker link, reduced)."""
-    near = both_ways(edge).select("node", "other", _evidence().alias("score"))
-    far = near.select("node", F.col("other").alias("mid"), F.col("score").alias("s1")).join(near.select(F.col("node").alias("mid"), "other", F.col("score").alias("s2")), "mid").where("node <> other")
-    found = near.withColumn("path", F.lit("direct")).unionByName(far.select("node", "other", (0.72 * F.least("s1", "s2")).alias("score"), F.lit("two_hop").alias("path")))
-    best = found.groupBy("node", "other").agg(F.max(F.struct("score", "path")).alias("best"))
-    return best.select("node", "other", "best.path", "best.score")
-
-
 def clusters(edge: DataFrame, rounds: int = 60) -> DataFrame:
     """node, cluster: connected components over accepted synonym edges; the cluster is named by its least node.
 
     Alternating stars: every node's neighbours are tied to the least of them, first those above it, then those not above it, which
     settles in logarithmic rounds. A state that does not settle is an error. Lineage ends at a checkpoint each round.
     """
-    spark = edge.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    now = edge.where("relation = 'synonym' and accepts > 0").select(F.greatest("l", "r").alias("a"), F.least("l", "r").alias("b")).distinct().checkpoint()
+    now = cut(edge.where("relation = 'synonym' and accepts > 0").select(F.greatest("l", "r").alias("a"), F.least("l", "r").alias("b")).distinct())
     mark = [F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
     state = now.agg(*mark).first()
     for _ in range(rounds):
-        then = _star(_star(now, above=True), above=False).checkpoint()
+        then = cut(_star(_star(now, above=True), above=False))
         now, before, state = then, state, then.agg(*mark).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("cluster")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("cluster")).distinct())
@@ -113,12 +109,12 @@ def candidates(edge: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def context_fit(target: Column, source: Column) -> Column:
-    """How well two prepared names agree in context: by attribute and entity, then by role; 0 without either."""
+    """How well two prepared names agree in context: by attribute and entity, then by role and entity; 0 if they share neither."""
     t, s = target, source
     same = lambda f: t[f].isNotNull() & s[f].isNotNull() & (t[f] == s[f])
     missing = t["entity"].isNull() | s["entity"].isNull()
     return (
         F.when(same("attribute"), F.when(same("entity"), 0.28).when(missing, 0.12).otherwise(-0.18))
-        .when(same("role"), F.when(same("entity"), 0.16).otherwise(0.0))
+        .when(same("role"), F.when(same("entity"), 0.16).when(missing, 0.08).otherwise(-0.14))
         .otherwise(0.0)
     )

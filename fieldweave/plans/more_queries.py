@@ -308,12 +308,6 @@ def j14_snapshot_runs(table):
     return runs.join(sizes, "snapshot", "left").groupBy("items").agg(F.count(F.lit(1)).alias("runs")).fillna(-1, ["items"])
 
 
-@query
-def t5_top_anchors(table):
-    edges = H.newest_per(G.both_ways(G.edges(SL.correction_log(table("events")))).withColumn("score", F.col("accepts") - F.col("rejects")), "node", [F.col("score").desc(), "other"], 10)
-    return edges.select("node", "other", "score", "rank")
-
-
 @query
 def p4_expected_sources(table):
     m = table("lineitem").select(F.col("l_suppkey").alias("case_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_linenumber") == 3, " ").otherwise(F.concat(F.col("l_returnflag"), F.lit(" "), F.col("l_linestatus"))).alias("source"))

@@ -66,7 +66,7 @@ def normal_pairs() -> str:
 j AS (SELECT p.source AS label, p.target AS field, coalesce(nullif(array_to_string({kept}, ' '), ''), array_to_string(s.toks, '')) AS source, array_to_string(t.toks, '') AS target, list_concat(t.canonical, s.canonical) AS c, s.canonical AS sc, t.canonical AS tc, s.role AS s_role, t.role AS t_role FROM p JOIN named s ON s.label = p.source JOIN named t ON t.label = p.target),
 r AS (SELECT label, field, source, target, array_to_string(list_sort(list_distinct(list_filter(c, lambda w: w IN ({_list(L.DOMAIN_TAGS)})))), ',') AS tags,
   coalesce(CASE WHEN list_has_all(c, ['created', 'date']) THEN 'created_at' WHEN list_has_all(c, ['updated', 'date']) THEN 'updated_at' WHEN list_contains(c, 'id') THEN 'identifier' WHEN list_contains(c, 'revenue') THEN 'revenue' WHEN list_contains(c, 'amount') THEN 'amount' WHEN list_contains(c, 'quantity') THEN 'quantity' WHEN list_contains(c, 'name') THEN 'label' WHEN list_contains(c, 'description') THEN 'description' WHEN list_contains(c, 'boolean') THEN 'flag' ELSE coalesce(t_role, s_role) END, '') AS role,
-  coalesce(CASE WHEN list_has_all(c, ['created', 'date']) THEN 'temporal.creation' WHEN list_has_all(c, ['updated', 'date']) THEN 'temporal.update' WHEN list_contains(c, 'id') THEN 'identity.identifier' WHEN list_contains(c, 'revenue') THEN 'finance.revenue' WHEN list_has_all(c, ['amount', 'gross']) THEN 'finance.amount.gross' WHEN list_has_all(c, ['amount', 'net']) THEN 'finance.amount.net' WHEN list_contains(c, 'amount') THEN 'finance.amount' WHEN list_contains(c, 'quantity') THEN 'inventory.quantity' WHEN list_contains(c, 'organization') THEN 'entity.organization' WHEN list_contains(c, 'customer') THEN 'entity.customer' WHEN list_contains(c, 'product') THEN 'entity.product' WHEN list_contains(c, 'name') THEN 'text.label' WHEN list_contains(c, 'description') THEN 'text.description' END, '') AS concept FROM j)
+  coalesce(CASE WHEN list_has_all(c, ['created', 'date']) THEN 'temporal.creation' WHEN list_has_all(c, ['updated', 'date']) THEN 'temporal.update' WHEN list_contains(c, 'id') THEN 'identity.identifier' WHEN list_contains(c, 'revenue') THEN 'finance.revenue' WHEN list_has_all(c, ['amount', 'gross']) THEN 'finance.amount.gross' WHEN list_has_all(c, ['amount', 'net']) THEN 'finance.amount.net' WHEN list_contains(c, 'amount') THEN 'finance.amount' WHEN list_contains(c, 'quantity') THEN 'inventory.quantity' WHEN list_contains(c, 'organization') THEN 'entity.organization' WHEN list_contains(c, 'customer') THEN 'entity.customer' WHEN list_contains(c, 'product') THEN 'entity.product' WHEN list_contains(c, 'name') THEN 'identity.name' WHEN list_contains(c, 'description') THEN 'text.description' WHEN list_contains(c, 'creator') THEN 'ownership.creator' WHEN list_contains(c, 'responsible') THEN 'ownership.responsible' WHEN list_contains(c, 'source') THEN 'channel.source' WHEN list_contains(c, 'partner') THEN 'entity.partner' END, '') AS concept FROM j)
 SELECT *, sha256(source || '|' || target || '|' || role || '|' || concept) AS hash FROM r"""
 
 
@@ -133,9 +133,8 @@ UNION ALL SELECT -1, 'shared', unnest(['patterns', 'personal_only', 'shared_cand
     "m12_final_confidence": "WITH f AS (SELECT event_id, value, CASE WHEN event_id % 4 = 0 THEN least(1.0, greatest(0.0, value / 80)) ELSE least(1.0, greatest(0.0, 0.72 * least(1.0, greatest(0.0, value / 80)) + 0.28 * (event_id % 100) / 100 - 0.25 * CASE WHEN event_id % 10 = 0 THEN 0.72 ELSE 0.0 END)) END AS x FROM events) SELECT event_id, round(x, 6) AS final, CASE WHEN event_id % 13 = 0 THEN 'model_returned_no_candidate' WHEN event_id % 17 = 0 THEN 'source_already_used' WHEN event_id % 10 = 0 THEN 'amount_vs_revenue' WHEN x < 0.68 AND value / 80 < 0.4 THEN 'low_final_confidence' WHEN x < 0.68 THEN 'below_acceptance_threshold' ELSE 'accepted' END AS reason FROM f",
     "m13_routed": "WITH m AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'PDF' ELSE 'csv' END AS file_type, CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'medium' ELSE 'low' END AS band, l_discount AS score, CASE WHEN l_orderkey % 2 = 0 AND l_linenumber NOT IN (1, 6) THEN CASE WHEN l_partkey % 2 = 0 THEN 0.22 WHEN l_partkey % 3 = 0 THEN 0.12 ELSE 0.0 END ELSE 0.0 END AS penalty FROM lineitem) SELECT file_type, band, CASE WHEN penalty = 0.22 OR (penalty = 0.12 AND band <> 'high') THEN 'low' WHEN penalty = 0.12 THEN 'medium' ELSE band END AS new_band, CAST(penalty AS DOUBLE) AS penalty, count(*) AS n, round(sum(CASE WHEN penalty > 0 THEN greatest(0.0, score - penalty) ELSE score END), 4) AS score FROM m GROUP BY 1, 2, 3, 4",
     "w2_picked": "SELECT l_orderkey AS case_id, CAST(l_linenumber % 2 AS VARCHAR) AS target, 's' || l_partkey AS source, l_discount AS score FROM lineitem WHERE l_returnflag <> 'R' AND l_discount >= 0.04 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 2 ORDER BY l_discount DESC, l_tax DESC, 's' || l_partkey DESC) = 1",
-    "m27_context_fit": f"WITH {LOG}, {LABELS}, {NAMED}, p AS (SELECT source, target, count(*) AS n FROM log GROUP BY 1, 2) SELECT source, target, n, CAST(CASE WHEN s.attribute = t.attribute THEN CASE WHEN s.entity = t.entity THEN 0.28 WHEN s.entity IS NULL OR t.entity IS NULL THEN 0.12 ELSE -0.18 END WHEN s.role = t.role THEN CASE WHEN s.entity = t.entity THEN 0.16 ELSE 0.0 END ELSE 0.0 END AS DOUBLE) AS fit FROM p JOIN named s ON s.label = source JOIN named t ON t.label = target",
+    "m27_context_fit": f"WITH {LOG}, {LABELS}, {NAMED}, p AS (SELECT source, target, count(*) AS n FROM log GROUP BY 1, 2) SELECT source, target, n, CAST(CASE WHEN s.attribute = t.attribute THEN CASE WHEN s.entity = t.entity THEN 0.28 WHEN s.entity IS NULL OR t.entity IS NULL THEN 0.12 ELSE -0.18 END WHEN s.role = t.role THEN CASE WHEN s.entity = t.entity THEN 0.16 WHEN s.entity IS NULL OR t.entity IS NULL THEN 0.08 ELSE -0.14 END ELSE 0.0 END AS DOUBLE) AS fit FROM p JOIN named s ON s.label = source JOIN named t ON t.label = target",
     "j14_snapshot_runs": "WITH s AS (SELECT dayofyear(ts) AS w, count(*) AS items FROM events WHERE value / 100 >= 0.72 GROUP BY 1) SELECT coalesce(items, -1) AS items, count(*) AS runs FROM orders LEFT JOIN s ON w = dayofyear(o_orderdate) GROUP BY 1",
-    "t5_top_anchors": f"WITH {EDGES} SELECT node, other, score, rank FROM (SELECT node, other, accepts - rejects AS score, CAST(row_number() OVER (PARTITION BY node ORDER BY accepts - rejects DESC, other) AS INT) AS rank FROM both_ways) WHERE rank <= 10",
     "w17_form_groups": "SELECT c_custkey AS doc_id, q AS question, o AS option, CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END AS selected, CASE WHEN CASE o WHEN 'early' THEN true WHEN 'Other' THEN c_nationkey > 12 ELSE c_mktsegment = o END THEN 0.96 ELSE 0.88 END::DOUBLE AS confidence FROM customer, (VALUES ('Unknown question', 'early'), ('Which segment? Pick one', 'BUILDING'), ('Which segment? Pick one', 'MACHINERY'), ('Which segment? Pick one', 'Other'), ('Which segment? Pick one', 'stray'), ('Any of these apply:', 'first'), ('Any of these apply:', 'second')) v(q, o)",
     "l16_form_answers": "SELECT c_custkey AS doc_id, 'Which segment? Pick one' AS question, CASE WHEN c_nationkey > 12 THEN 'ambiguous' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'single' ELSE 'not_found' END AS kind, CASE c_mktsegment WHEN 'BUILDING' THEN 'B' WHEN 'MACHINERY' THEN 'M' ELSE '' END AS answer, CASE WHEN c_nationkey > 12 THEN 0.45 WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 0.92 ELSE 0.0 END AS confidence FROM customer UNION ALL SELECT c_custkey, 'Any of these apply:', 'not_found', '', 0.0 FROM customer UNION ALL SELECT c_custkey, 'Unknown question', 'ambiguous', '', 0.45 FROM customer",
     "m18_draft_names": f"WITH {STATS}, m AS (SELECT user_id, source, target, least(1.0, 0.55 * avg(confidence) + 0.25 * count(*) FILTER (accepted) / count(*) + 0.1 * least(count(*) / 4, 1.0)) AS score FROM log GROUP BY 1, 2, 3), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY user_id, source ORDER BY score DESC, target DESC) = 1), s AS (SELECT source, target AS shared, least(1.0, 0.35 * mean_confidence + 0.35 * acceptance + 0.2 * least(support / 5, 1.0) + 0.1 * least(users / 3, 1.0)) AS shared_score FROM stats WHERE sensitivity < 0.6 QUALIFY row_number() OVER (PARTITION BY source ORDER BY least(1.0, 0.35 * mean_confidence + 0.35 * acceptance + 0.2 * least(support / 5, 1.0) + 0.1 * least(users / 3, 1.0)) DESC, target DESC) = 1), w AS (SELECT b.*, shared, shared_score, string_split(b.source, ' ') AS p FROM b LEFT JOIN s ON s.source = b.source) SELECT user_id, source, CASE WHEN user_id % 3 = 0 AND score >= 0.6 THEN target WHEN user_id % 3 = 1 AND shared_score >= 0.7 THEN shared ELSE p[1] || array_to_string(list_transform(p[2:], lambda x: upper(x[1]) || x[2:]), '') END AS name FROM w",

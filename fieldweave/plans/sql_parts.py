@@ -84,7 +84,7 @@ agg AS (
     CASE WHEN {_has('created', 'date')} THEN 'temporal.creation' WHEN {_has('updated', 'date')} THEN 'temporal.update' WHEN {_has('id')} THEN 'identity.identifier'
          WHEN {_has('revenue')} THEN 'finance.revenue' WHEN {_has('amount', 'gross')} THEN 'finance.amount.gross' WHEN {_has('amount', 'net')} THEN 'finance.amount.net'
          WHEN {_has('amount')} THEN 'finance.amount' WHEN {_has('quantity')} THEN 'inventory.quantity' WHEN {_has('organization')} THEN 'entity.organization'
-         WHEN {_has('customer')} THEN 'entity.customer' WHEN {_has('product')} THEN 'entity.product' WHEN {_has('name')} THEN 'text.label' WHEN {_has('description')} THEN 'text.description' END AS concept,
+         WHEN {_has('customer')} THEN 'entity.customer' WHEN {_has('product')} THEN 'entity.product' WHEN {_has('name')} THEN 'identity.name' WHEN {_has('description')} THEN 'text.description' WHEN {_has('creator')} THEN 'ownership.creator' WHEN {_has('responsible')} THEN 'ownership.responsible' WHEN {_has('source')} THEN 'channel.source' WHEN {_has('partner')} THEN 'entity.partner' END AS concept,
     list_filter(sc, lambda w: w NOT IN ({_list(L.SENSITIVE)}) AND NOT regexp_full_match(w, '[0-9]+')) AS kept
   FROM joined
 ), stats AS (
