@@ -127,6 +127,24 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN component ON id = doc_id
 """
 
+#: The order of fractional ranks, cut. CRC-32 is worked out over the bytes of the text with its table of 256 entries.
+OP6_SQL = r"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY b) AS crc FROM range(256) t(b)
+), bytes AS (
+  SELECT doc_id, source, encode(coalesce(text, '')) AS raw, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bs FROM documents
+), rows AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum, octet_length(raw) + 16 AS size,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM bytes, crc
+), drawn AS (SELECT *, substr(md5(concat_ws('|', 'mixture-1', coalesce(CAST(doc_id AS VARCHAR), ''), size, text_crc32)), 1, 16) AS draw FROM rows),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id, size, text_crc32) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM drawn
+), placed AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, draw, doc_id, size, text_crc32) - 1 AS place, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, place * 40 // total AS shard FROM placed)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(place - (shard * total + 39) // 40 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM cut
+"""
+
 _UNITS = "'" + decontamination.UNITS.replace("|", "','") + "'"
 
 #: The same definition word by word: no look-around is needed where a word sees its neighbours.
@@ -237,4 +255,4 @@ SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_chil
 FROM whole w JOIN sums USING (p) LEFT JOIN nodes u ON w.d > 0 AND u.p = w.p[1:w.d - 1] AND u.d = w.d - 1
 """
 
-ORACLE_SQL = {"op11_chat_format": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_prefix_trie": OP13_SQL, "op7_decontamination": OP7_SQL, "op10_near_duplicates": OP10_SQL}
+ORACLE_SQL = {"op6_mixture_shards": OP6_SQL, "op11_chat_format": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_prefix_trie": OP13_SQL, "op7_decontamination": OP7_SQL, "op10_near_duplicates": OP10_SQL}
