@@ -161,20 +161,28 @@ def delimited_tables(documents: DataFrame, delimiters: tuple[str, ...] = ("\t",
     blocks = lines.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("at", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")))).alias("b")).where(F.size("b") >= 2)
     blocks = blocks.select("doc_id", "block", F.transform("b", lambda x: x["line"]).alias("lines"))
 
-    def table(d: str) -> Column:
-        split = {"|": r"\|", "  ": r"\s{2,}"}.get(d, d)
+    def split(d: str) -> Column:
+        """The cells of each line, if all lines have the delimiter; else NULL."""
+        shape = {"|": r"\|", "  ": r"\s{2,}"}.get(d, d)
         bare = (lambda x: F.regexp_replace(x, r"^\|+|\|+$", "")) if d == "|" else (lambda x: x)
-        cells = F.transform("lines", lambda x: F.transform(F.split(bare(x), split), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))))
-        whole = F.forall("lines", (lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2) if d == "|" else (lambda x: x.rlike(split))) & F.forall(cells, lambda c: F.size(c) >= 2)
-        rule = lambda c: F.forall(F.filter(c, lambda x: x != ""), lambda x: x.rlike(r"^:?-{3,}:?$")) & F.exists(c, lambda x: x != "")
-        rows = F.filter(cells, lambda c: ~rule(c)) if d == "|" else cells
-        head = F.get(rows, F.lit(0))
-        filled = F.filter(F.slice(rows, F.lit(2), F.size(rows)), lambda r: F.exists(F.slice(r, F.lit(1), F.size(head)), lambda x: x != ""))
-        good = whole & (F.size(rows) >= 2) & (F.size(F.filter(head, lambda x: x != "")) >= 2) & (F.size(filled) > 0)
-        return F.when(good, F.struct((F.size(head) * (F.size(filled) + 1)).alias("score"), F.lit(-delimiters.index(d)).alias("rank"), F.lit(d).alias("delimiter"), F.size(head).alias("columns"), F.size(filled).cast("long").alias("rows")))
+        cells = F.transform("lines", lambda x: F.transform(F.split(bare(x), shape), lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))))
+        here = {"|": lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2, "  ": lambda x: x.rlike(shape)}.get(d, lambda x: F.contains(x, F.lit(d)))
+        return F.when(F.forall("lines", here), cells)
 
-    best = F.array_max(F.array(*[table(d) for d in delimiters]))
-    return blocks.select("doc_id", "block", best.alias("t")).where("t is not null").select("doc_id", "block", "t.delimiter", "t.columns", "t.rows")
+    def table(k: int, d: str) -> Column:
+        rows = F.col(f"rows{k}")
+        head = F.get(rows, F.lit(0))
+        filled = F.size(F.filter(F.slice(rows, F.lit(2), F.size(rows)), lambda r: F.exists(F.slice(r, F.lit(1), F.size(head)), lambda x: x != "")))
+        good = (F.size(rows) >= 2) & (F.size(F.filter(head, lambda x: x != "")) >= 2) & (filled > 0)
+        return F.when(good, F.struct((F.size(head) * (filled + 1)).alias("score"), F.lit(-k).alias("rank"), F.lit(d).alias("delimiter"), F.size(head).alias("columns"), filled.cast("long").alias("rows")))
+
+    # Lines are split once for each delimiter, and what is left of them kept as a column
+    rule = lambda c: F.forall(F.filter(c, lambda x: x != ""), lambda x: x.rlike(r"^:?-{3,}:?$")) & F.exists(c, lambda x: x != "")
+    cut = blocks.select("doc_id", "block", *[split(d).alias(f"cells{k}") for k, d in enumerate(delimiters)])
+    rows = lambda k, d: F.when(F.forall(f"cells{k}", lambda c: F.size(c) >= 2), F.filter(f"cells{k}", lambda c: ~rule(c)) if d == "|" else F.col(f"cells{k}"))
+    kept = cut.select("doc_id", "block", *[rows(k, d).alias(f"rows{k}") for k, d in enumerate(delimiters)])
+    best = kept.select("doc_id", "block", F.array_max(F.array(*[table(k, d) for k, d in enumerate(delimiters)])).alias("t"))
+    return best.where("t is not null").select("doc_id", "block", "t.delimiter", "t.columns", "t.rows")
 
 
 def html_items(pages: DataFrame) -> DataFrame:

@@ -576,7 +576,7 @@ def _cascade_candidates(table):
     hints = G.candidates(G.edges(log), named.select(F.col("l").alias("source"), F.col("r").alias("target")).where("source <> target")).select(F.col("source").alias("l"), F.col("target").alias("r"), "score")
     graph = named.join(hints, ["l", "r"]).select("case_id", "target_pos", "target", "source", F.lit("semantic_graph").alias("tier"), "score")
     ruled = ruled.unionByName(graph)
-    return ruled.unionByName(at.join(own, ["case_id", "source", "target"]).withColumn("tier", F.lit("personal_memory"))).unionByName(at.join(F.broadcast(shared), ["source", "target"]).withColumn("tier", F.lit("global_pattern")))
+    return ruled.unionByName(at.join(own, ["case_id", "source", "target"]).withColumn("tier", F.lit("personal_memory"))).unionByName(at.join(shared, ["source", "target"]).withColumn("tier", F.lit("global_pattern")))
 
 
 @query
@@ -593,7 +593,7 @@ def m18_draft_names(table):
     stats = FB.promotion(FB.pattern_stats(log)).where("status <> 'blocked_sensitive'")
     shared = stats.withColumn("score", FB.shared_score(F.col("mean_confidence"), F.col("acceptance"), F.col("support"), F.col("users"), F.lit(0)))
     shared = shared.groupBy("source").agg(F.max_by("target", F.struct("score", "target")).alias("shared"), F.max("score").alias("shared_score"))
-    both = cols.join(F.broadcast(shared), "source", "left").withColumn("shared", F.when(F.col("user_id") % 3 == 1, F.col("shared")))
+    both = cols.join(shared, "source", "left").withColumn("shared", F.when(F.col("user_id") % 3 == 1, F.col("shared")))
     return both.select("user_id", "source", DR.draft_name(F.col("target"), F.when(F.col("target").isNotNull(), F.col("score")), F.col("shared"), F.col("shared_score"), F.col("source")).alias("name"))
 
 
