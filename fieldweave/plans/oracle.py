@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fieldweave.functions import lexicon as L
-from fieldweave.plans import form_sql, graph_sql, json_sql, more_sql, page_sql, read_sql, state_sql, text_sql
+from fieldweave.plans import form_sql, graph_sql, json_sql, more_sql, page_sql, quality_sql, read_sql, state_sql, text_sql
 from fieldweave.plans.sql_parts import CASES, EDGES, ESTIMATE, GATES, HEADING, LINES, LOG, NAMED, ORDERS, SENTENCES, STATS, _list, meanings, tokens
 
 ORACLE_SQL: dict[str, str] = {
@@ -58,4 +58,4 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 
-ORACLE_SQL |= more_sql.SQL | text_sql.SQL | form_sql.SQL | graph_sql.SQL | json_sql.SQL | page_sql.SQL | read_sql.SQL | state_sql.SQL
+ORACLE_SQL |= more_sql.SQL | text_sql.SQL | form_sql.SQL | graph_sql.SQL | json_sql.SQL | page_sql.SQL | quality_sql.SQL | read_sql.SQL | state_sql.SQL

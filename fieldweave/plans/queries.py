@@ -603,4 +603,4 @@ def a14_run_quality(table):
     return DR.run_quality(table("lineitem").select("l_orderkey", band.alias("band"), (F.col("l_linenumber") - 1).alias("w")), "l_orderkey", "band", F.col("w"))
 
 
-from fieldweave.plans import form_queries, graph_queries, json_queries, more_queries, read_queries, state_queries  # noqa: E402,F401  register the rest
+from fieldweave.plans import form_queries, graph_queries, json_queries, more_queries, quality_queries, read_queries, state_queries  # noqa: E402,F401  register the rest
