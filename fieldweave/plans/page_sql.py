@@ -170,3 +170,22 @@ UNION ALL
 SELECT doc_id, 'section_form_root', 'Form Body', string_agg(group_id, ',' ORDER BY pos) FROM asked WHERE doc_id NOT IN (SELECT doc_id FROM sections) GROUP BY doc_id
 """,
 }
+
+
+def _folded(order: str, near: str, after: str, values: str, name: str) -> str:
+    """Pieces of a page in ``order``: each joins the first of the lines so far that it is near to (v: a line's values), which then is ``after``."""
+    return f"""
+WITH RECURSIVE pieces AS (SELECT {{page}} AS page, event_id AS id, {values}, row_number() OVER (PARTITION BY {{page}} ORDER BY {order}) AS nth FROM events),
+fold AS (
+  SELECT page, id, nth, 0 AS k, [[y, 1.0::DOUBLE]] AS lines FROM pieces WHERE nth = 1
+  UNION ALL
+  SELECT page, id, nth, coalesce(joined, len(lines) + 1) - 1, CASE WHEN joined IS NULL THEN list_append(lines, [y, 1.0::DOUBLE]) ELSE list_transform(lines, lambda v, i: CASE WHEN i = joined THEN {after} ELSE v END) END
+  FROM (SELECT p.*, f.lines, list_position(list_transform(f.lines, lambda v: {near}), true) AS joined FROM fold f JOIN pieces p ON p.page = f.page AND p.nth = f.nth + 1)
+)
+SELECT page, CAST(id AS BIGINT) AS id, CAST(k AS INT) AS {name} FROM fold
+"""
+
+
+_PAGE = "CAST(user_id * 10000 + date_diff('day', DATE '1970-01-05', CAST(date_trunc('week', ts) AS DATE)) // 7 AS BIGINT)"
+SQL["w9_row_bands"] = _folded("CAST(event_id % 700 AS DOUBLE), value, event_id", "abs(p.y - v[1]) <= 11", "[(v[1] * v[2] + y) / (v[2] + 1), v[2] + 1]", "CAST(event_id % 700 AS DOUBLE) AS y", "band").replace("{page}", _PAGE)
+SQL["l1_word_lines"] = _folded("CAST(event_id % 300 AS DOUBLE), value, event_id", "abs(p.y - v[1]) <= 4", "[least(v[1], y), v[2] + 1]", "CAST(event_id % 300 AS DOUBLE) AS y", "line").replace("{page}", _PAGE)
