@@ -222,6 +222,6 @@ def document_kind(documents: DataFrame) -> DataFrame:
 
 
 def deduped(candidates: DataFrame, key: list[str], order: str) -> DataFrame:
-    """Of candidates that agree in type, label and value but for case the first."""
-    same = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in key]
+    """Of candidates that agree in ``key`` (such as document, type, label and value) but for case the first."""
+    same = [F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in key]
     return candidates.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(order))).where("_n = 1").drop("_n")

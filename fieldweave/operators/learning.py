@@ -79,11 +79,11 @@ def remembered(memory: DataFrame, schema: Column, limit: int) -> DataFrame:
     return matched.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("rank") <= limit)
 
 
-def shared_lookup(patterns: DataFrame, asked: DataFrame, candidates: bool, limit: int) -> DataFrame:
-    """Promoted (and, if ``candidates``, candidate) patterns for asked sources (source): the status, stability, support and users, ``limit`` a source."""
+def shared_lookup(patterns: DataFrame, asked: DataFrame, candidates: bool, limit: int, schema: Column | None = None) -> DataFrame:
+    """Promoted (and, if ``candidates``, candidate) patterns for asked pairs (source, target): those of the same ``schema`` first, then by status, stability, support and users, ``limit`` a source."""
     allowed = ["shared_promoted", "shared_candidate"] if candidates else ["shared_promoted"]
-    found = patterns.where(F.col("status").isin(allowed)).join(asked.select("source").distinct(), "source", "left_semi")
-    order = [F.when(F.col("status") == "shared_promoted", 3).otherwise(2).desc(), F.col("acceptance").desc(), F.col("support").desc(), F.col("users").desc(), "target"]
+    found = patterns.where(F.col("status").isin(allowed)).join(asked.select("source", "target").distinct(), ["source", "target"], "left_semi")
+    order = [F.when(F.lit(False) if schema is None else F.coalesce(schema, F.lit(False)), 1).otherwise(0).desc(), F.when(F.col("status") == "shared_promoted", 3).otherwise(2).desc(), F.col("acceptance").desc(), F.col("support").desc(), F.col("users").desc(), "target"]
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(*order))).where(F.col("rank") <= limit)
 
 

@@ -155,7 +155,11 @@ def p9_useful_labels(table):
 
 @query
 def u7_deduped(table):
-    return X.deduped(table("part").select("p_partkey", F.upper("p_brand").alias("label"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")).alias("value")), ["label", "value"], "p_partkey").select("p_partkey", "label", F.coalesce("value", F.lit("none")).alias("value"))
+    """Candidates of an order's lines: equal in type, label and value but for case."""
+    line = table("lineitem").withColumn("n", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    label = F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag"))
+    rows = line.select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "n", F.when(F.col("l_quantity") > 25, "kv_pair").otherwise("text_fact").alias("type"), label.alias("label"), F.when(F.col("l_quantity") > 10, F.col("l_linestatus")).alias("value"))
+    return X.deduped(rows, ["doc_id", "type", "label", "value"], "n").select("doc_id", "l_linenumber", "type", "label", F.coalesce("value", F.lit("none")).alias("value"))
 
 
 @query
@@ -211,8 +215,8 @@ def t3_remembered(table):
 
 @query
 def j11_shared_lookup(table):
-    asked = SL.correction_log(table("events")).where("confidence > 0.8").select("source")
-    return LE.shared_lookup(_patterns(table), asked, True, 3).select("source", "target", "status", "support", "rank")
+    asked = SL.correction_log(table("events")).where("confidence > 0.8").select("source", "target")
+    return LE.shared_lookup(_patterns(table), asked, True, 3, F.col("concept").startswith("finance")).select("source", "target", "status", "support", "rank")
 
 
 @query

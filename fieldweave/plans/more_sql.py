@@ -115,7 +115,10 @@ SELECT user_id, unnest(['k', 'rare', 'type', 'day', 'flag']) AS "column", unnest
     "sc15_quoted_cells": "SELECT c_custkey, c_name || ', the \"first\"~' || c_mktsegment || '~~x' AS cells, 4 AS n FROM customer",
     "p8_codes": r"SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN length(p_brand) <= 16 AND upper(p_brand) = p_brand AND regexp_matches(p_brand, '\d') ELSE length('A-' || p_partkey) <= 16 END AS code FROM part",
     "p9_useful_labels": "WITH v AS (SELECT o_orderpriority, o_orderkey % 4 AS k, regexp_replace('X ' || o_orderpriority, '[^A-Za-z]', '', 'g') AS letters FROM orders) SELECT o_orderpriority, k = 3 OR (k = 1 AND NOT (length(letters) >= 8 AND upper(letters) = letters)) AS useful, count(*) AS n FROM v GROUP BY 1, 2",
-    "u7_deduped": "SELECT p_partkey, upper(p_brand) AS label, CASE WHEN p_size % 2 = 0 THEN p_type ELSE 'none' END AS value FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_brand), CASE WHEN p_size % 2 = 0 THEN lower(p_type) ELSE '' END ORDER BY p_partkey) = 1",
+    "u7_deduped": """
+SELECT l_orderkey AS doc_id, l_linenumber, CASE WHEN l_quantity > 25 THEN 'kv_pair' ELSE 'text_fact' END AS type, CASE WHEN l_linenumber % 2 = 0 THEN lower(l_returnflag) ELSE l_returnflag END AS label, CASE WHEN l_quantity > 10 THEN l_linestatus ELSE 'none' END AS value
+FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_quantity > 25, lower(l_returnflag), CASE WHEN l_quantity > 10 THEN lower(l_linestatus) ELSE '' END ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1
+""",
     "a1_learning_counts": f"WITH {SUGGESTIONS}, {MEMORY}, n AS (SELECT user_id, count(*) AS mapping_suggestions, count(*) FILTER (status <> 'suggested') AS user_corrections, count(*) FILTER (truth = 'model_suggestion') AS model_based, count(*) FILTER (truth = 'model_suggestion' AND status = 'accepted') AS model_accepted, count(*) FILTER (truth = 'model_suggestion' AND status = 'rejected') AS model_rejected, count(DISTINCT run_id) AS runs FROM sug GROUP BY user_id), m AS (SELECT user_id, count(*) AS mapping_memory FROM memory GROUP BY user_id) SELECT n.*, CASE WHEN model_accepted + model_rejected > 0 THEN model_accepted / (model_accepted + model_rejected) END AS model_acceptance, coalesce(mapping_memory, 0) AS mapping_memory FROM n LEFT JOIN m USING (user_id)",
     "a2_staging_counts": f"WITH {SUGGESTIONS} SELECT user_id, count(*) FILTER (status = 'suggested') AS pending, count(*) FILTER (status = 'rejected') AS rejected, count(*) AS total FROM sug WHERE status IN ('suggested', 'rejected') GROUP BY user_id",
     "t1_staging_list": f"WITH {SUGGESTIONS}, s AS (SELECT user_id, source, target, truth, status, count(*) AS seen, max(confidence) AS max_confidence, max(ts) AS last_seen FROM sug WHERE source IS NOT NULL AND status IN ('suggested', 'rejected') GROUP BY ALL) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY status <> 'suggested', last_seen DESC, source, target, truth) AS INT) AS rank FROM s) WHERE rank <= 5",
@@ -126,7 +129,7 @@ UNION ALL SELECT user_id, 'graph', unnest(['edges', 'accepted', 'rejected']), un
 UNION ALL SELECT -1, 'shared', unnest(['patterns', 'personal_only', 'shared_candidate', 'shared_promoted', 'blocked_sensitive']), unnest([count(*), count(*) FILTER (status = 'personal_only'), count(*) FILTER (status = 'shared_candidate'), count(*) FILTER (status = 'shared_promoted'), count(*) FILTER (status = 'blocked_sensitive')]) FROM patterns""",
     "j5_touched_nodes": f"WITH {LOG}, {LABELS}, {USER_EDGES} SELECT user_id, count(DISTINCT node) AS nodes FROM (SELECT user_id, l AS node FROM user_edges UNION SELECT user_id, r FROM user_edges) GROUP BY user_id",
     "t3_remembered": f"WITH {LOG}, {MEMORY} SELECT user_id, source, target, schema_match, success_count, rank FROM (SELECT *, CAST(target IN ('amount', 'name') AS INT) AS schema_match, CAST(row_number() OVER (PARTITION BY user_id ORDER BY target IN ('amount', 'name') DESC, success_count DESC, weight DESC, last_used DESC, source, target) AS INT) AS rank FROM memory) WHERE rank <= 4",
-    "j11_shared_lookup": f"WITH {PATTERNS} SELECT source, target, status, support, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY status = 'shared_promoted' DESC, acceptance DESC, support DESC, users DESC, target) AS INT) AS rank FROM patterns WHERE status IN ('shared_promoted', 'shared_candidate') AND source IN (SELECT source FROM log WHERE confidence > 0.8)) WHERE rank <= 3",
+    "j11_shared_lookup": f"WITH {PATTERNS} SELECT source, target, status, support, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY coalesce(starts_with(concept, 'finance'), false) DESC, status = 'shared_promoted' DESC, acceptance DESC, support DESC, users DESC, target) AS INT) AS rank FROM patterns WHERE status IN ('shared_promoted', 'shared_candidate') AND (source, target) IN (SELECT source, target FROM log WHERE confidence > 0.8)) WHERE rank <= 3",
     "j12_promotable": f"WITH {PATTERNS} SELECT source, target, status, acceptance FROM patterns WHERE status IN ('shared_candidate', 'shared_promoted') AND support >= 3 AND users >= 2 AND acceptance >= 0.5 AND drift <= 0.5",
     "p15_active_tokens": "SELECT DISTINCT CASE WHEN c_nationkey < 3 THEN -1 ELSE c_custkey END AS user_id, lower(c_mktsegment) AS token FROM customer WHERE c_acctbal > 0 AND c_nationkey < 20",
     "j15_run_counts": "SELECT c_custkey, count(o_orderkey) AS runs FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
