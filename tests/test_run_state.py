@@ -1,7 +1,5 @@
 """Suggestions, promotion and versions of runs by example; the stream of a log gives the same states as its replay."""
 
-import pytest
-
 from fieldweave.operators import learning as LE
 from fieldweave.operators import run_state as R
 from fieldweave.plans import sample_log as SL
@@ -23,22 +21,24 @@ def test_suggestions(spark):
     assert bands == {0: "high", 1: "low", 4: "none", 8: "medium"}
 
 
-@pytest.mark.parametrize("suggested,fallback,reason,promoted", [
-    ([mapping(1, 0), mapping(1, 1, status="rejected"), mapping(1, 2, band="low")], [], "has_rejected_suggestions", False), ([mapping(1, 0), mapping(1, 1, band="low")], [], "has_pending_suggestions", False), ([mapping(1, 0, None, band="low")], [], None, True),
-    ([], [mapping(1, 0)], None, True), ([], [mapping(1, 0, truth="position_fallback")], "generation_not_confirmed", False), ([], [mapping(1, 0), mapping(1, 1, status="suggested")], "generation_not_confirmed", False), ([], [], "generation_not_confirmed", False),
-])
-def test_promotion(spark, suggested, fallback, reason, promoted):
-    frame = lambda rows: spark.createDataFrame(rows, MAPPING)
-    said = R.suggestions(frame(suggested))
-    runs, none = spark.createDataFrame([(1, 2)], "run_id long, warnings int"), spark.createDataFrame([], "run_id long")
-    asked = spark.createDataFrame([(1,), (2,), (None,)], "run_id long")
-    mappings = R.canonical(said, frame(fallback))
-    got = {r.run_id: (r.promoted, r.reason) for r in R.promotion(asked, runs, said, mappings, none).collect()}
-    assert got == {1: (promoted, reason), 2: (False, "generation_not_found"), None: (False, "missing_generation_id")}
-    again = {r.run_id: (r.promoted, r.reason) for r in R.promotion(asked, runs, said, mappings, runs.select("run_id")).collect()}
-    assert again[1] == (True, "already_promoted")
-    entries, items = R.learned(R.promotion(asked, runs, said, mappings, none), mappings)
-    assert (entries.count() > 0) == (promoted and bool(fallback or suggested[0][3])) and items.count() <= 1
+#: suggestions, mappings of a run without any, and what its promotion says
+RUNS = [
+    ([mapping(1, 0), mapping(1, 1, status="rejected"), mapping(1, 2, band="low")], [], False, "has_rejected_suggestions"), ([mapping(2, 0), mapping(2, 1, band="low")], [], False, "has_pending_suggestions"), ([mapping(3, 0, None, band="low")], [], True, None),
+    ([], [mapping(4, 0)], True, None), ([], [mapping(5, 0, truth="position_fallback")], False, "generation_not_confirmed"), ([], [mapping(6, 0), mapping(6, 1, status="suggested")], False, "generation_not_confirmed"), ([], [], False, "generation_not_confirmed"), ([mapping(8, 0)], [], True, "already_promoted"),
+]
+
+
+def test_promotion(spark):
+    frame = lambda side: spark.createDataFrame([m for run in RUNS for m in run[side]], MAPPING)
+    said = R.suggestions(frame(0))
+    runs = spark.createDataFrame([(k + 1, 0) for k in range(len(RUNS))], "run_id long, warnings int")
+    asked = runs.select("run_id").unionByName(spark.createDataFrame([(99,), (None,)], "run_id long"))
+    mappings = R.canonical(said, frame(1))
+    told = R.promotion(asked, runs, said, mappings, spark.createDataFrame([(8,)], "run_id long"))
+    got = {r.run_id: (r.promoted, r.reason) for r in told.collect()}
+    assert got == {k + 1: run[2:] for k, run in enumerate(RUNS)} | {99: (False, "generation_not_found"), None: (False, "missing_generation_id")}
+    entries, items = R.learned(told, mappings)
+    assert [r.run_id for r in entries.collect()] == [4] and [(r.run_id, r.status) for r in items.collect()] == [(4, "approved")]
 
 
 def test_quality_and_what_is_left(spark):
