@@ -388,7 +388,12 @@ def m11_sample_values(table):
 
 @query
 def j13_run_context(table):
-    """Customers as runs, their orders as versions and artifacts; a third of them have none."""
-    runs = table("customer").select(F.col("c_custkey").alias("run_id"), F.col("c_nationkey").alias("owner"))
-    orders = table("orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("price"))
-    return RV.run_context(runs, orders.drop("price"), orders.drop("state")).fillna(-1, ["version", "price"]).fillna("none", ["state"])
+    """Orders as runs, their lines as versions and artifacts by line number; below zero customers as runs, their orders as both. Some orders have no line."""
+    orders = table("orders")
+    runs = orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("owner")).unionByName(table("customer").select((-F.col("c_custkey") - 1).alias("run_id"), F.col("c_nationkey").cast("long").alias("owner")))
+    lines = table("lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("version"), F.col("l_returnflag").alias("state"), F.col("l_extendedprice").alias("price"))
+    bought = orders.select((-F.col("o_custkey") - 1).alias("run_id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("state"), F.col("o_totalprice").alias("price"))
+    made = lines.unionByName(bought).groupBy("run_id", "version")
+    context = RV.run_context(runs, made.agg(F.min("state").alias("state")), made.agg(F.max("price").alias("price")))
+    filled = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return context.select("run_id", "owner", filled("version", -1), filled("state", "none"), filled("price", -1.0))

@@ -164,9 +164,16 @@ SELECT l_suppkey AS case_id,
 FROM lineitem GROUP BY l_suppkey
 """,
     "j13_run_context": """
-WITH newest AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
-SELECT c_custkey AS run_id, c_nationkey AS owner, coalesce(o_orderkey, -1) AS version, coalesce(o_orderstatus, 'none') AS state, coalesce(o_totalprice, -1) AS price
-FROM customer LEFT JOIN newest ON o_custkey = c_custkey
+WITH runs AS (
+  SELECT o_orderkey AS run_id, o_custkey AS owner FROM orders UNION ALL SELECT -c_custkey - 1, c_nationkey FROM customer
+), made AS (
+  SELECT l_orderkey AS run_id, CAST(l_linenumber AS BIGINT) AS version, l_returnflag AS state, l_extendedprice AS price FROM lineitem
+  UNION ALL SELECT -o_custkey - 1, o_orderkey, o_orderstatus, o_totalprice FROM orders
+), newest AS (
+  SELECT run_id, version, min(state) AS state FROM made WHERE version IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY version DESC) = 1
+), artifacts AS (SELECT run_id, version, max(price) AS price FROM made GROUP BY 1, 2)
+SELECT run_id, owner, coalesce(version, -1) AS version, coalesce(state, 'none') AS state, coalesce(price, -1) AS price
+FROM runs LEFT JOIN newest USING (run_id) LEFT JOIN artifacts USING (run_id, version)
 """,
     "m44_structure_changes": """
 WITH old AS (SELECT s_suppkey AS key, s_nationkey AS nation FROM supplier UNION ALL SELECT -o_custkey, count(*) FROM orders GROUP BY 1)
