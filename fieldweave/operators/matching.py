@@ -82,13 +82,27 @@ def ruled(pair: DataFrame) -> DataFrame:
     return both.withColumn("rule", F.coalesce("rule", near_exact(F.col("s"), F.col("t"), F.col("similar")))).drop("similar").where("rule is not null")
 
 
+def with_positions(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """case_id, target, source, band, reason of every target; ``targets``: case_id, target_pos, target, with source, band and reason of its match or NULL.
+
+    In cases of as many sources as targets of which nothing is matched the k-th target gets the k-th source. In all others a target keeps its match or stays without.
+    """
+    case = Window.partitionBy("case_id")
+    s = sources.select("case_id", F.col("source").alias("_placed"), F.row_number().over(case.orderBy("source_pos", "source")).alias("_k"), F.count(F.lit(1)).over(case).alias("_n"))
+    t = targets.withColumns({"_k": F.row_number().over(case.orderBy("target_pos", "target")), "_m": F.count(F.lit(1)).over(case), "_matched": F.count("source").over(case)})
+    placed = F.coalesce((F.col("_n") == F.col("_m")) & (F.col("_matched") == 0), F.lit(False))
+    pick = lambda fallback, own: F.when(placed, fallback).otherwise(own)
+    own = lambda c, none: F.when(F.col("source").isNull(), none).otherwise(F.col(c))
+    return t.join(s, ["case_id", "_k"], "left").select(
+        "case_id", "target", pick(F.col("_placed"), F.col("source")).alias("source"), pick(F.lit("low"), own("band", "none")).alias("band"), pick(F.lit("position_fallback"), own("reason", "not_found")).alias("reason")
+    )
+
+
 def by_position(sources: DataFrame, targets: DataFrame, matched: DataFrame) -> DataFrame:
     """case_id, target, source, band: in cases of as many sources as targets of which nothing is ``matched`` (case_id), the k-th target gets the k-th source."""
-    s = sources.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy("source_pos", "source")))
-    t = targets.withColumn("k", F.row_number().over(Window.partitionBy("case_id").orderBy("target_pos", "target")))
-    equal = s.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).join(t.groupBy("case_id").agg(F.count(F.lit(1)).alias("m")), "case_id").where("n = m").select("case_id")
-    open_ = equal.join(matched, "case_id", "left_anti")
-    return t.join(open_, "case_id", "left_semi").join(s, ["case_id", "k"]).select("case_id", "target", "source", F.lit("low").alias("band"), F.lit("position_fallback").alias("reason"))
+    none = F.lit(None).cast("string")
+    marked = targets.join(matched.select("case_id", F.lit("").alias("source")).distinct(), "case_id", "left").withColumns({"band": none, "reason": none})
+    return with_positions(sources, marked).where("reason = 'position_fallback'")
 
 
 def final_confidence(model: Column, prior: Column, conflict: Column) -> Column:

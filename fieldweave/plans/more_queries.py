@@ -264,12 +264,14 @@ def m13_routed(table):
 
 @query
 def m5_by_position(table):
-    """Lines of an order as sources and targets; urgent orders have a target more, and a returned line is a match."""
+    """Lines of an order as sources and targets; urgent orders have a target more, and a returned line is a match. Every target of every order has a row."""
     line, orders = table("lineitem"), table("orders")
-    sources = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("source_pos"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("source"))
-    targets = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("target_pos"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("target"))
-    more = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("case_id"), F.lit(100).cast("long").alias("target_pos"), F.lit("more").alias("target"))
-    return M.by_position(sources, targets.unionByName(more), line.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("case_id")).distinct())
+    source, back, none = F.concat(F.lit("c"), F.col("l_partkey").cast("string")), F.col("l_returnflag") == "R", F.lit(None).cast("string")
+    sources = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("source_pos"), source.alias("source"))
+    match = [F.when(back, source).alias("source"), F.when(back, "high").alias("band"), F.when(back, "returned").alias("reason")]
+    targets = line.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("target_pos"), F.concat(F.lit("t"), F.col("l_linenumber").cast("string")).alias("target"), *match)
+    more = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("case_id"), F.lit(100).alias("target_pos"), F.lit("more").alias("target"), none.alias("source"), none.alias("band"), none.alias("reason"))
+    return M.with_positions(sources, targets.unionByName(more)).withColumn("source", F.coalesce("source", F.lit("none")))
 
 
 @query

@@ -107,12 +107,19 @@ WITH cells AS (
 SELECT l_orderkey, l_linenumber, CASE WHEN k = 1 THEN name ELSE name || '_' || k END AS unique_name FROM counted
 """,
     "m5_by_position": """
-WITH lines AS (
-  SELECT l_orderkey AS case_id, l_linenumber, 'c' || l_partkey AS source, bool_or(l_returnflag = 'R') OVER (PARTITION BY l_orderkey) AS matched FROM lineitem
-), s AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY l_linenumber, source) AS k FROM lines),
-t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY l_linenumber, 't' || l_linenumber) AS k FROM lines)
-SELECT case_id, 't' || t.l_linenumber AS target, s.source, 'low' AS band, 'position_fallback' AS reason
-FROM t JOIN s USING (case_id, k) WHERE NOT t.matched AND case_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')
+WITH s AS (
+  SELECT l_orderkey AS case_id, 'c' || l_partkey AS source, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, 'c' || l_partkey NULLS FIRST) AS k FROM lineitem
+), f AS (
+  SELECT l_orderkey AS case_id, l_linenumber AS pos, 't' || l_linenumber AS target, CASE WHEN l_returnflag = 'R' THEN 'c' || l_partkey END AS own FROM lineitem
+  UNION ALL SELECT o_orderkey, 100, 'more', NULL FROM orders WHERE o_orderpriority = '1-URGENT'
+), t AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pos NULLS FIRST, target NULLS FIRST) AS k FROM f),
+open AS (
+  SELECT case_id FROM (SELECT case_id, count(*) AS m FROM f GROUP BY 1 HAVING count(own) = 0) JOIN (SELECT case_id, count(*) AS n FROM s GROUP BY 1) USING (case_id) WHERE n = m
+)
+SELECT t.case_id, target, coalesce(s.source, 'none') AS source, 'low' AS band, 'position_fallback' AS reason FROM t JOIN open USING (case_id) JOIN s USING (case_id, k)
+UNION ALL
+SELECT case_id, target, coalesce(own, 'none'), CASE WHEN own IS NULL THEN 'none' ELSE 'high' END, CASE WHEN own IS NULL THEN 'not_found' ELSE 'returned' END
+FROM t WHERE NOT EXISTS (SELECT 1 FROM open WHERE open.case_id = t.case_id)
 """,
     "a8_review_states": f"""
 WITH {SUGGESTIONS}, n AS (

@@ -22,3 +22,21 @@ def test_every_order_and_customer_is_a_run_and_every_line_a_version(spark):
     bought = orders.groupby(-orders.o_custkey - 1).o_orderkey.max()
     assert (got.version.loc[bought.index] == bought).all()
     assert (got.loc[newest.index[newest == -1], ["state", "price"]] == ["none", -1.0]).all(axis=None)
+
+
+def test_every_target_of_every_order_is_mapped_or_said_to_be_open(spark):
+    orders, line = read("orders"), read("lineitem")
+    urgent = set(orders.o_orderkey[orders.o_orderpriority == "1-URGENT"])
+    got = QUERIES["m5_by_position"](spark, SF).toPandas()
+    assert len(got) == len(line) + len(urgent) and set(got.case_id) == set(line.l_orderkey) | urgent
+    found = {case: sorted(zip(r.target, r.source, r.band, r.reason, strict=True)) for case, r in got.groupby("case_id")}
+    for case, rows in line.groupby("l_orderkey"):
+        targets = [(f"t{n}", f"c{p}", flag == "R") for n, p, flag in zip(rows.l_linenumber, rows.l_partkey, rows.l_returnflag, strict=True)]
+        if case in urgent or any(back for _, _, back in targets):
+            want = [(t, s, "high", "returned") if back else (t, "none", "none", "not_found") for t, s, back in targets]
+            want += [("more", "none", "none", "not_found")] if case in urgent else []
+        else:
+            pos = sorted(zip(rows.l_linenumber, [s for _, s, _ in targets], strict=True))
+            want = [(f"t{n}", s, "low", "position_fallback") for n, s in pos]
+        assert found[case] == sorted(want)
+    assert any(r == [("more", "none", "none", "not_found")] for r in found.values())
