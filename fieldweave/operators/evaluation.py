@@ -103,8 +103,12 @@ def _tagged(side: str, name: str, most: int) -> Column:
     return F.transform(F.slice(side, 1, most), lambda x: F.concat(F.lit(name), x))
 
 
-def graph_deltas(off: DataFrame, on: DataFrame) -> DataFrame:
-    """case_id and the changes of exact, false-positive and unresolved rates between two evaluations (case_id, exact, false_positive, unresolved)."""
+def graph_deltas(off: DataFrame, on: DataFrame, cases: DataFrame) -> DataFrame:
+    """case_id and the changes of exact, false-positive and unresolved rates between two evaluations (case_id, exact, false_positive, unresolved).
+
+    Every case of ``cases`` (case_id) or of either evaluation has a row; the rates of a missing evaluation are 0.
+    """
     rates = ["exact", "false_positive", "unresolved"]
-    both = off.select("case_id", *[F.col(r).alias(f"off_{r}") for r in rates]).join(on.select("case_id", *[F.col(r).alias(f"on_{r}") for r in rates]), "case_id", "left")
-    return both.select("case_id", *[F.round(F.coalesce(f"on_{r}", F.lit(0.0)) - F.coalesce(f"off_{r}", F.lit(0.0)), 4).alias(f"{r}_delta") for r in rates])
+    signed = [run.select("case_id", *[(F.coalesce(r, F.lit(0.0)) * sign).alias(r) for r in rates]) for run, sign in ((off, F.lit(-1.0)), (on, F.lit(1.0)))]
+    none = cases.select("case_id", *[F.lit(0.0).alias(r) for r in rates])
+    return signed[0].unionByName(signed[1]).unionByName(none).groupBy("case_id").agg(*[F.round(F.sum(r), 4).alias(f"{r}_delta") for r in rates])

@@ -238,11 +238,15 @@ def j15_run_counts(table):
 
 @query
 def j20_case_deltas(table):
-    rate = lambda c: F.avg(c.cast("double"))
-    by = table("lineitem").groupBy(F.col("l_suppkey").alias("case_id"))
-    off = by.agg(rate(F.col("l_returnflag") == "A").alias("exact"), rate(F.col("l_returnflag") == "R").alias("false_positive"), rate(F.col("l_returnflag") == "N").alias("unresolved"))
-    on = by.agg(rate(F.col("l_linenumber") == 1).alias("exact"), rate(F.col("l_linenumber") == 2).alias("false_positive"), rate(F.col("l_linestatus") == "O").alias("unresolved"))
-    return EV.graph_deltas(off, on)
+    """Suppliers as cases of two runs over all their lines; below zero orders, whose open lines are the run with the graph and whose others the run without: many lack one run, some both."""
+    line = table("lineitem").select("*", (-F.col("l_orderkey") - 1).alias("l_case"))
+    rate = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    rates = lambda rows, case, exact, wrong, left: rows.groupBy(F.col(case).alias("case_id")).agg(rate(exact).alias("exact"), rate(wrong).alias("false_positive"), rate(left).alias("unresolved"))
+    flags, is_open = [F.col("l_returnflag") == f for f in "ARN"], F.col("l_linestatus") == "O"
+    off = rates(line, "l_suppkey", *flags).unionByName(rates(line.where(~F.coalesce(is_open, F.lit(False))), "l_case", *flags))
+    on = rates(line, "l_suppkey", F.col("l_linenumber") == 1, F.col("l_linenumber") == 2, is_open).unionByName(rates(line.where(is_open), "l_case", *flags))
+    cases = table("supplier").select(F.col("s_suppkey").alias("case_id")).unionByName(table("orders").select((-F.col("o_orderkey") - 1).alias("case_id")))
+    return EV.graph_deltas(off, on, cases.distinct())
 
 
 @query

@@ -42,6 +42,10 @@ WITH names AS (
 SELECT l_orderkey, unnest(ls) AS l_linenumber, unnest(names) AS """
 
 
+def _rates(exact: str, wrong: str, unresolved: str) -> str:
+    return ", ".join(f"avg(CASE WHEN {c} THEN 1.0 ELSE 0.0 END) AS {name}" for c, name in ((exact, "exact"), (wrong, "wrong"), (unresolved, "unresolved")))
+
+
 SQL = {
     "x3_text_facts": rf"""
 WITH sentences AS (
@@ -163,12 +167,19 @@ runs AS (
 ), bags AS (SELECT id, string_agg(w || '=' || n, ' ' ORDER BY w || '=' || n) AS tokens FROM (SELECT id, w, count(*) AS n FROM words GROUP BY ALL) GROUP BY id)
 SELECT id, vector, tokens, round(sqrt(list_sum(list_transform(vector, lambda x: x * x))), 6) AS l2_norm FROM vectors JOIN bags USING (id)
 """,
-    "j20_case_deltas": """
-SELECT l_suppkey AS case_id,
-  round(avg(CASE WHEN l_linenumber = 1 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END), 4) AS exact_delta,
-  round(avg(CASE WHEN l_linenumber = 2 THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 4) AS false_positive_delta,
-  round(avg(CASE WHEN l_linestatus = 'O' THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END), 4) AS unresolved_delta
-FROM lineitem GROUP BY l_suppkey
+    "j20_case_deltas": f"""
+WITH off_run AS (
+  SELECT l_suppkey AS case_id, {_rates("l_returnflag = 'A'", "l_returnflag = 'R'", "l_returnflag = 'N'")} FROM lineitem GROUP BY 1
+  UNION ALL SELECT -l_orderkey - 1, {_rates("l_returnflag = 'A'", "l_returnflag = 'R'", "l_returnflag = 'N'")} FROM lineitem WHERE l_linestatus IS DISTINCT FROM 'O' GROUP BY 1
+), on_run AS (
+  SELECT l_suppkey AS case_id, {_rates("l_linenumber = 1", "l_linenumber = 2", "l_linestatus = 'O'")} FROM lineitem GROUP BY 1
+  UNION ALL SELECT -l_orderkey - 1, {_rates("l_returnflag = 'A'", "l_returnflag = 'R'", "l_returnflag = 'N'")} FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1
+), cases AS (
+  SELECT s_suppkey AS case_id FROM supplier UNION SELECT -o_orderkey - 1 FROM orders UNION SELECT case_id FROM off_run UNION SELECT case_id FROM on_run
+)
+SELECT c.case_id, round(coalesce(b.exact, 0) - coalesce(a.exact, 0), 4) AS exact_delta, round(coalesce(b.wrong, 0) - coalesce(a.wrong, 0), 4) AS false_positive_delta,
+  round(coalesce(b.unresolved, 0) - coalesce(a.unresolved, 0), 4) AS unresolved_delta
+FROM cases c LEFT JOIN off_run a ON a.case_id IS NOT DISTINCT FROM c.case_id LEFT JOIN on_run b ON b.case_id IS NOT DISTINCT FROM c.case_id
 """,
     "j13_run_context": """
 WITH runs AS (

@@ -2,6 +2,7 @@
 
 import pandas as pd
 
+from fieldweave.operators import evaluation as EV
 from fieldweave.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,20 @@ def test_every_target_of_every_order_is_mapped_or_said_to_be_open(spark):
             want = [(f"t{n}", s, "low", "position_fallback") for n, s in pos]
         assert found[case] == sorted(want)
     assert any(r == [("more", "none", "none", "not_found")] for r in found.values())
+
+
+def test_cases_that_lack_a_run_have_deltas(spark):
+    schema = "case_id long, exact double, false_positive double, unresolved double"
+    off, on = spark.createDataFrame([(1, 0.5, 0.25, 0.25), (2, 1.0, 0.0, 0.0)], schema), spark.createDataFrame([(1, 0.75, 0.0, 0.25), (3, 0.5, 0.5, 0.0)], schema)
+    got = EV.graph_deltas(off, on, spark.createDataFrame([(1,), (4,)], "case_id long")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0.25, -0.25, 0.0), (2, -1.0, 0.0, 0.0), (3, 0.5, 0.5, 0.0), (4, 0.0, 0.0, 0.0)]
+
+
+def test_every_supplier_and_order_is_a_case(spark):
+    orders, line = read("orders"), read("lineitem")
+    got = QUERIES["j20_case_deltas"](spark, SF).toPandas().set_index("case_id")
+    assert set(got.index) == set(read("supplier").s_suppkey) | set(-orders.o_orderkey - 1) and got.index.is_unique
+    runs = line.assign(exact=line.l_returnflag == "A").groupby([-line.l_orderkey - 1, line.l_linestatus == "O"]).exact.mean().unstack()
+    want = (runs[True].fillna(0.0) - runs[False].fillna(0.0)).reindex(-orders.o_orderkey - 1, fill_value=0.0)
+    assert runs[True].isna().any() and runs[False].isna().any() and len(runs) < len(orders)
+    assert (got.exact_delta.loc[want.index] - want).abs().max() <= 0.00005001
