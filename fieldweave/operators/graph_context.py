@@ -86,42 +86,55 @@ def candidates(edges: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFram
     side = lambda c: told.select(F.col("name").alias(c), F.col("node").alias(f"{c}_node"), _as(f"{c}_means"))
     pairs = cut(asked.join(side("source"), "source").join(side("target"), "target"))
     sides = _sides(edges)
-    own = F.coalesce(F.col("owner") == F.col("user_id"), F.lit(False))
+    # Whose edge it is adds to its score only where it is the asking user's: all others' edges meet pairs of names once, not once for each user who asks
+    ends = ["source_node", "source_means", "target_node"]
+    named = cut(pairs.select(*ends).distinct())
+    mine = pairs.select("case_id", "user_id", "source", "target", *ends)
+    rank = {"direct": 3, "transitive": 2, "concept_cluster": 1}
 
-    def found(df: DataFrame, path: str, factor: float) -> DataFrame:
-        score = _unit(_unit(base_score(own) * factor) * (F.col("weight") if "weight" in df.columns else F.lit(1.0)))
-        return df.select("case_id", "source", "target", F.round(score, 6).alias("s"), F.lit(path).alias("path"), "accepts", "rejects")
+    def top(df: DataFrame, by: list[str], path: str, factor: float, own: bool) -> DataFrame:
+        score = _unit(_unit(base_score(F.lit(own)) * factor) * (F.col("weight") if "weight" in df.columns else F.lit(1.0)))
+        return df.groupBy(*by).agg(F.max(F.struct(F.round(score, 6).alias("s"), F.lit(rank[path]).alias("rank"), "accepts", "rejects", F.lit(path).alias("path"))).alias("e"))
 
-    key = pairs.select("case_id", "user_id", "source", "target", "source_node", "target_node")
-    direct = key.join(sides, (F.col("target_node") == F.col("node")) & (F.col("source_node") == F.col("other")))
+    def best_of(parts: list[DataFrame], by: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.max("e").alias("e"))
+
+    by_owner = sides.withColumn("user_id", F.col("owner").cast(asked.schema["user_id"].dataType))
+    straight = sides.withColumnsRenamed({"node": "target_node", "other": "source_node"})
+    own_straight = by_owner.withColumnsRenamed({"node": "target_node", "other": "source_node"})
+    direct = named.join(top(straight, ["target_node", "source_node"], "direct", 1.0, False), ["target_node", "source_node"])
+    own_direct = mine.join(own_straight, ["user_id", "target_node", "source_node"])
 
     near = edges.select(F.col("l").alias("target_node"), F.col("r").alias("mid")).unionByName(edges.select(F.col("r").alias("target_node"), F.col("l").alias("mid"))).distinct()
-    near = near.join(key.select("target_node").distinct(), "target_node", "left_semi")
-    from_source = sides.join(key.select(F.col("source_node").alias("node")).distinct(), "node", "left_semi").withColumnsRenamed({"node": "source_node", "other": "mid"})
-    far = key.where("source_node <> target_node").join(from_source, "source_node").join(near, ["target_node", "mid"])
+    near = cut(near.join(named.select("target_node").distinct(), "target_node", "left_semi"))
     # Between two neighbours of the target an edge leads to its right end only
     both = near.withColumnsRenamed({"mid": "source_node"}).withColumn("also", F.lit(True))
-    far = far.join(both, ["target_node", "source_node"], "left").where("also is null or not left")
+    two = lambda df: df.where("source_node <> target_node").join(both, ["target_node", "source_node"], "left")
+    over = lambda df: df.where("also is null or not left").join(near, ["target_node", "mid"])
+    far = over(two(named).join(top(sides.withColumnsRenamed({"node": "source_node", "other": "mid"}), ["source_node", "mid", "left"], "transitive", TWO_HOPS, False), "source_node"))
+    own_far = over(two(mine).join(by_owner.withColumnsRenamed({"node": "source_node", "other": "mid"}), ["user_id", "source_node"]))
 
     close = anchors(told.join(asked.select(F.col("target").alias("name")).distinct(), "name", "left_semi"), nodes)
     touched = close.join(sides.withColumnRenamed("node", "anchor"), "anchor")
-    ends = close.select("target", F.col("anchor").alias("other"), F.lit(True).alias("also"))
-    touched = touched.join(ends, ["target", "other"], "left").where("(also is null or left) and other <> target")  # an edge between two anchors is seen from its left end
+    beyond = close.select("target", F.col("anchor").alias("other"), F.lit(True).alias("also"))
+    touched = touched.join(beyond, ["target", "other"], "left").where("(also is null or left) and other <> target")  # an edge between two anchors is seen from its left end
     reached = touched.join(nodes.select(F.col("node").alias("other"), _as("c")).dropDuplicates(["other"]), "other")
     # Of what an anchor reaches, the best of each owner and meaning can win
     best = cut(reached.withColumn("b", base_score(F.lit(False))).groupBy(F.col("target").alias("target_node"), "owner", "c", "alike").agg(F.max(F.struct("b", "accepts", "rejects", "mean_confidence")).alias("e")))
-    any_one = best.groupBy("target_node", "c", "alike").agg(F.max("e").alias("e")).withColumn("owner", F.lit(None).cast(edges.schema["owner"].dataType))
-    beside = _meeting(pairs.select(F.col("source_means").alias("s")).distinct(), best.select("c").distinct(), "s", "c", BESIDE, by_concept=True).withColumnRenamed("alike", "beside")
-    asked_means = pairs.select("case_id", "user_id", "source", "target", "target_node", F.col("source_means").alias("s"))
-    common = asked_means.join(beside, "s").join(any_one, ["target_node", "c"])
-    owned = asked_means.join(beside, "s").join(best.withColumn("user_id", F.col("owner")), ["target_node", "c", "user_id"])
-    cluster = common.unionByName(owned.select(common.columns)).withColumn("weight", F.col("alike") * F.col("beside")).select("case_id", "user_id", "source", "target", "owner", "weight", "e.accepts", "e.rejects", "e.mean_confidence")
-
-    every = reduce(DataFrame.unionByName, [found(direct, "direct", 1.0), found(far, "transitive", TWO_HOPS), found(cluster, "concept_cluster", CLUSTER)])
-    rank = F.when(F.col("path") == "direct", 3).when(F.col("path") == "transitive", 2).otherwise(1)
-    top = every.groupBy("case_id", "source", "target").agg(F.max(F.struct("s", rank.alias("rank"), "accepts", "rejects", "path")).alias("e"))
+    any_one = best.groupBy("target_node", "c", "alike").agg(F.max("e").alias("e"))
+    beside = _meeting(named.select(F.col("source_means").alias("s")).distinct(), best.select("c").distinct(), "s", "c", BESIDE, by_concept=True).select(F.col("s").alias("source_means"), "c", F.col("alike").alias("beside"))
+    beside = cut(beside)
+    weighed = lambda df: df.withColumn("weight", F.col("alike") * F.col("beside")).select("*", "e.accepts", "e.rejects", "e.mean_confidence").drop("e")
+    cluster = weighed(named.join(beside, "source_means").join(any_one, ["target_node", "c"]))
+    own_best = best.withColumn("user_id", F.col("owner").cast(asked.schema["user_id"].dataType))
+    own_cluster = weighed(mine.join(own_best, ["user_id", "target_node"]).join(beside, ["source_means", "c"]))
+
+    key = ["case_id", "source", "target"]
+    anyone = cut(best_of([*[df.select(*ends, "e") for df in (direct, far)], top(cluster, ends, "concept_cluster", CLUSTER, False)], ends))
+    every = [top(own_direct, key, "direct", 1.0, True), top(own_far, key, "transitive", TWO_HOPS, True), top(own_cluster, key, "concept_cluster", CLUSTER, True), mine.join(anyone, ends).select(*key, "e")]
+    top_of_all = best_of(every, key)
     fit = _fit(F.col("source_means"), F.col("target_means"))
-    out = pairs.join(top, ["case_id", "source", "target"], "left").withColumns({"graph_score": F.round(F.coalesce("e.s", F.lit(0.0)), 4), "context_score": fit})
+    out = pairs.join(top_of_all, key, "left").withColumns({"graph_score": F.round(F.coalesce("e.s", F.lit(0.0)), 4), "context_score": fit})
     score = F.round(_unit(F.coalesce("e.s", F.lit(0.0)) + F.col("context_score")), 4)
     none = F.lit(0).cast("long")
     out = out.withColumn("score", score).where((F.col("score") > 0) & (F.col("e").isNotNull() | (F.col("context_score") > 0)))

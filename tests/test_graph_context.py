@@ -1,5 +1,7 @@
 """The synonym graph's context: anchors, paths and the cases that it must and must not help."""
 
+import threading
+
 import pytest
 
 from fieldweave.operators import graph_context as G
@@ -54,3 +56,23 @@ def test_a_popular_role_is_looked_at_by_meaning(spark):
     plan = G.anchors(target, nodes)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert G.anchors(target, nodes).count() == 10
+
+
+def test_users_who_ask_do_not_meet_the_edges_of_all_users(spark):
+    """Pairs of names meet the others' edges once: with each user asking all pairs, 2,000 users are no 4,000,000."""
+    names, users = ["user_id", "id", "net_amount", "dealAmount", "created_at", "createdAt"], 2000
+    nodes = G.meanings(spark.createDataFrame([(n,) for n in names], "name string"))
+    of = sorted(r.node for r in nodes.collect())
+    ends = spark.createDataFrame([(a, b) for k, a in enumerate(of) for b in of[k + 1 :]], "l string, r string")
+    everyone = spark.range(users).withColumnRenamed("id", "owner")
+    edges = everyone.crossJoin(ends).selectExpr("owner", "l", "r", "1L as accepts", "owner % 3 as rejects", "0.8D as mean_confidence")
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a != b], "source string, target string")
+    asked = everyone.crossJoin(pairs).selectExpr("owner as case_id", "owner as user_id", "source", "target")
+    stop = threading.Timer(150, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = G.candidates(edges, nodes, asked).selectExpr("case_id % 3 as rejects", "path", "graph_score").groupBy("rejects", "path", "graph_score").count().collect()
+    finally:
+        stop.cancel()
+    # The best of all others is an edge without rejects, 0.94; one's own without rejects counts 0.08 more and no more than 1
+    assert {(r.rejects, r.path, r.graph_score): r["count"] for r in got} == {(k, "direct", 1.0 if k == 0 else 0.94): sum(o % 3 == k for o in range(users)) * len(names) * (len(names) - 1) for k in range(3)}
