@@ -82,30 +82,37 @@ def _columns_of(cells: DataFrame) -> DataFrame:
     )
 
 
+def _widths(cells: DataFrame, most: int) -> DataFrame:
+    """doc_id, width, column, kind, score, best (doc_id's width and its score) of flat cells (doc_id, at, value), under every width.
+
+    All of it is grouped or windowed by doc_id; widths are not joined back, so no side can be sent to the driver and from there to all.
+    """
+    sized = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    each = sized.withColumn("width", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(most), F.floor(F.col("n") / 2)))))).where("n % width = 0 and width * 2 <= n")
+    score = F.col("top") / F.col("all") + F.when((F.col("kinds") == 1) & ~F.col("has_text"), 0.5).otherwise(0.0)
+    scored = _columns_of(each).withColumn("score", F.round(F.sum(score).over(Window.partitionBy("doc_id", "width")), 6))
+    return scored.withColumn("best", F.max(F.struct("score", (-F.col("width")).alias("w"))).over(Window.partitionBy("doc_id")))
+
+
 def repeated_width(cells: DataFrame, most: int = 12) -> DataFrame:
     """doc_id, width, score: the width under which a flat list of cells (doc_id, at, value) makes rows of the purest columns; the least of equals.
 
     Widths divide the number of cells into two rows or more. A column scores the share of its main kind, and a half more if it is the only
     one and not text; a width scores the sum over its columns.
     """
-    sized = cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
-    each = sized.withColumn("width", F.explode(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(most), F.floor(F.col("n") / 2)))))).where("n % width = 0 and width * 2 <= n")
-    score = F.col("top") / F.col("all") + F.when((F.col("kinds") == 1) & ~F.col("has_text"), 0.5).otherwise(0.0)
-    widths = _columns_of(each).withColumn("s", score).groupBy("doc_id", "width").agg(F.round(F.sum("s"), 6).alias("score"))
-    return widths.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("width")).alias("w"))).alias("b")).select("doc_id", (-F.col("b.w")).alias("width"), "b.score")
+    return _widths(cells, most).where("column = 0 and width = -best.w").select("doc_id", "width", "score")
 
 
-def repeated_columns(cells: DataFrame) -> DataFrame:
+def repeated_columns(cells: DataFrame, most: int = 12) -> DataFrame:
     """doc_id, column, name of flat cells under their repeated width: named by the column's kind and place, equal names numbered from 2."""
-    placed = cells.join(repeated_width(cells).drop("score"), "doc_id")
-    kinds = _columns_of(placed)
-    last = kinds.where("column = width - 1").select("doc_id", F.col("kind").alias("last"))
+    kinds = _widths(cells, most).where("width = -best.w")
+    last = F.max(F.when(F.col("column") == F.col("width") - 1, F.col("kind"))).over(Window.partitionBy("doc_id"))
     named = {"identifier": "identifier", "date": "date", "number": "amount", "organization": "organization", "person": "responsible"}
     at, width = F.col("column"), F.col("width")
     by_kind = F.create_map(*[F.lit(x) for pair in named.items() for x in pair])
     place = F.when(width >= 6, F.when(at == 1, "name").when(at == 3, "stage").when((at == width - 2) & (F.col("last") == "person"), "product"))
     name = F.coalesce(F.try_element_at(by_kind, F.col("kind")), place, F.concat(F.lit("column"), (at + 1).cast("string")))
-    out = kinds.join(last, "doc_id").withColumn("name", name)
+    out = kinds.withColumn("last", last).withColumn("name", name)
     nth = F.row_number().over(Window.partitionBy("doc_id", "name").orderBy("column"))
     return out.select("doc_id", "column", F.when(nth == 1, F.col("name")).otherwise(F.concat("name", nth.cast("string"))).alias("name"))
 

@@ -275,3 +275,12 @@ def test_examples_ask_for_drafts_and_mappings(spark):
     assert got[1].task_type == "mapping" and [m.content for m in got[1].messages[1:]] == ['{"a":1}', '{"b":2}']
     assert got[2].task_type == "draft_json" and [m.content for m in got[2].messages[1:]] == ['{"raw_input":[1]}', '{"c":3}'] and got[2].messages[0].content.startswith("Generate a canonical draft")
     assert [m.content for m in got[3].messages[1:]] == ['{"raw_input":"x"}', '{"raw_target":7}']
+
+
+def test_repeated_columns_join_nothing(spark):
+    """Each list's widths and columns are told by windows over it: nothing of all lists is sent to the driver, and from there to all."""
+    cells = TB.flat_cells(spark.createDataFrame([(k, f"deal_{k} | 2024-01-10 | deal_{k + 1} | 2024-02-1{k % 10} | deal_x | 2024-03-01") for k in range(50)], "doc_id long, text string"))
+    for found in (TB.repeated_width(cells), TB.repeated_columns(cells)):
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.width) for r in TB.repeated_width(cells).collect()} == {(k, 2) for k in range(50)}
+    assert {tuple(r) for r in TB.repeated_columns(cells).collect()} == {x for k in range(50) for x in ((k, 0, "identifier"), (k, 1, "date"))}
