@@ -28,13 +28,18 @@ def _row_scalar(first: str, second: str, n: str, marked: str) -> Column:
     return F.when((F.col(n) == 2) & fits, F.struct(label.alias("label"), value.alias("value")))
 
 
-def _by_row(cells: DataFrame) -> DataFrame:
+def _bare_digit(text: Column) -> Column:
+    return text.isin("0", "1")
+
+
+def _by_row(cells: DataFrame, digits: bool = True) -> DataFrame:
     """Rows (doc_id, table_idx, row_idx) out of their cells (and cell_idx, text): how many are filled, the first two, marks, the first question, all texts.
 
     Cells are told apart as rows, not within arrays: what one of them is, is worked out once.
     """
     told = cells.withColumn("words", T.tokens(F.col("text"))).where("text <> ''")
-    cell = F.struct("cell_idx", "text", T.is_mark(F.col("text")).alias("marks"), T.is_question(F.col("text"), F.col("words")).alias("asks"), T.option(F.col("text")).alias("option"))
+    marks = T.is_mark(F.col("text")) if digits else T.is_mark(F.col("text")) & ~_bare_digit(F.col("text"))
+    cell = F.struct("cell_idx", "text", marks.alias("marks"), T.is_question(F.col("text"), F.col("words")).alias("asks"), T.option(F.col("text")).alias("option"))
     told = told.select("doc_id", "table_idx", "row_idx", cell.alias("c"))
     row = told.groupBy("doc_id", "table_idx", "row_idx").agg(F.array_sort(F.collect_list("c"), lambda a, b: F.when(a["cell_idx"] < b["cell_idx"], -1).otherwise(1)).alias("cs"))
     texts = lambda keep: F.array_join(F.transform(F.filter("cs", keep), lambda c: c["text"]), " ")
@@ -51,7 +56,7 @@ def _once(options: DataFrame) -> DataFrame:
     return said.withColumn("options", F.filter("options", lambda o, i: (F.get("phrases", i) != "") & (F.array_position("phrases", F.get("phrases", i)) == i + 1))).drop("phrases")
 
 
-def _with_lists(rows: DataFrame) -> DataFrame:
+def _with_lists(rows: DataFrame, digits: bool = True) -> DataFrame:
     """Rows with ``inline`` (question, cell_idx, options): one that asks in one cell and lists options in the next filled one; else NULL.
 
     The list is several paragraphs, parts with a semicolon, or has a mark; equal options count once.
@@ -59,7 +64,8 @@ def _with_lists(rows: DataFrame) -> DataFrame:
     lists = F.when(F.col("one.cell_idx") == F.col("asking.cell_idx"), F.col("two")).otherwise(F.col("one"))
     rows = rows.withColumn("list", F.when((F.col("filled") >= 2) & F.col("asking").isNotNull(), lists))
     rows = rows.withColumn("given", F.coalesce(F.get("paragraphs", F.col("list.cell_idx")), F.array().cast("array<string>")))
-    several = (F.size("given") > 1) | F.col("list.text").contains(";") | T.has_mark(F.col("list.text"))
+    marked = T.has_mark(F.col("list.text")) if digits else T.has_mark(F.col("list.text")) & ~_bare_digit(F.col("list.text"))
+    several = (F.size("given") > 1) | F.col("list.text").contains(";") | marked
     bare = lambda x: F.trim(F.regexp_replace(x, ";+$", ""))
     lines = F.when(several, F.filter(F.transform(F.when(F.size("given") > 0, F.col("given")).otherwise(F.array("list.text")), lambda x: bare(T.clean(x))), lambda x: x != ""))
     rows = rows.withColumn("lines", F.coalesce(lines, F.array().cast("array<string>"))).withColumn("read", F.transform("lines", T.option))
@@ -69,33 +75,36 @@ def _with_lists(rows: DataFrame) -> DataFrame:
     return rows.withColumn("inline", F.when(F.size("options") > 0, inline)).drop("list", "given", "lines", "read")
 
 
-def read_rows(rows: DataFrame) -> DataFrame:
-    """Rows with ``kind`` (inline, scalar, option, question, text; blank rows go) and what they say. Rows of a table stay together from here on."""
+def read_rows(rows: DataFrame, digits: bool = True) -> DataFrame:
+    """Rows with ``kind`` (inline, scalar, option, question, text; blank rows go) and what they say. Rows of a table stay together from here on.
+
+    A cell that is 0 or 1 and nothing else is a mark, but not (``digits`` false) where the tables' values are numbers: there it is a value like 2.
+    """
     kept = F.transform("paragraphs", lambda p: F.filter(F.transform(p, T.clean), lambda x: x != ""))
     dealt = rows.repartition("doc_id", "table_idx")
     cells = dealt.select("doc_id", "table_idx", "row_idx", F.posexplode("cells").alias("cell_idx", "text")).withColumn("text", T.clean(F.col("text")))
-    told = _by_row(cells).join(dealt.select("doc_id", "table_idx", "row_idx", kept.alias("paragraphs")), ["doc_id", "table_idx", "row_idx"])
-    told = _with_lists(told)
+    told = _by_row(cells, digits).join(dealt.select("doc_id", "table_idx", "row_idx", kept.alias("paragraphs")), ["doc_id", "table_idx", "row_idx"])
+    told = _with_lists(told, digits)
     option = F.when(F.col("marker").isNotNull() & (F.length("beside") >= 2), F.struct(F.col("beside").alias("label"), T.is_checked(F.col("marker")).alias("selected"), "marker"))
     told = told.withColumns({"scalar": _row_scalar("one", "two", "filled", "marked"), "option": option, "question": T.is_question(F.col("text"))})
     kind = F.when(F.col("inline").isNotNull(), "inline").when(F.col("scalar").isNotNull(), "scalar").when(F.col("option").isNotNull(), "option")
     return told.withColumn("kind", kind.when(F.col("question"), "question").otherwise("text")).select("doc_id", "table_idx", "row_idx", "text", "kind", "inline", "scalar", "option", "options")
 
 
-def table_scalars(rows: DataFrame) -> DataFrame:
-    """doc_id, pos, label, value, confidence, source, ref of the rows that hold a label and a value."""
-    found = read_rows(rows).where("kind = 'scalar'")
+def table_scalars(rows: DataFrame, digits: bool = True) -> DataFrame:
+    """doc_id, pos, label, value, confidence, source, ref of the rows that hold a label and a value; ``digits`` as of ``read_rows``."""
+    found = read_rows(rows, digits).where("kind = 'scalar'")
     ref = _ref(table_idx=F.col("table_idx"), row_idx=F.col("row_idx"))
     return found.select("doc_id", (F.col("table_idx") * 1_000_000 + F.col("row_idx")).cast("long").alias("pos"), "scalar.label", "scalar.value", F.lit("medium").alias("confidence"), F.lit("table_cell").alias("source"), ref.alias("ref"))
 
 
-def table_groups(rows: DataFrame) -> DataFrame:
+def table_groups(rows: DataFrame, digits: bool = True) -> DataFrame:
     """doc_id, group_id, question, group_type, ref and options (label, selected, marker, ref) of the groups in tables.
 
     A question row opens a group, text rows before its first option go on with the question, an inline row is a group of its own and ends the one before.
-    A scalar row ends a group that has options; options without a group are under an unknown question.
+    A scalar row ends a group that has options; options without a group are under an unknown question. ``digits`` as of ``read_rows``.
     """
-    told = read_rows(rows)
+    told = read_rows(rows, digits)
     order = Window.partitionBy("doc_id", "table_idx").orderBy("row_idx")
     told = told.withColumn("part", F.count_if(F.col("kind").isin("question", "inline")).over(order))
     within = Window.partitionBy("doc_id", "table_idx", "part").orderBy("row_idx")

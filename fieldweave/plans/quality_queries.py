@@ -31,5 +31,5 @@ def a19_form_quality(table):
     by = F.when(F.col("o_orderpriority") == "5-LOW", "repair_model").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "fallback_blocked").otherwise("form_resolver")
     fields = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("field"), status.alias("status"), by.alias("resolved_by"), (F.col("o_orderpriority") == "1-URGENT").alias("critical"))
     forms = table("customer").select(F.col("c_custkey").alias("doc_id"), F.when(F.col("c_mktsegment") == "BUILDING", "legacy_fallback").when(F.col("c_mktsegment") == "MACHINERY", "repair_model").otherwise("form_resolver").alias("mode"), (F.col("c_custkey") % 7).alias("targets"), (F.col("c_custkey") % 3).alias("resolved"))
-    found = FQ.assessed(forms, fields, FM.table_groups(form_rows(table)), _routed(table))
+    found = FQ.assessed(forms, fields, FM.table_groups(form_rows(table), digits=False), _routed(table))
     return found.select("doc_id", "mode", "targets", "resolved", "groups", *[F.array_join(c, ",").alias(c) for c in ("ambiguous", "unresolved", "repaired", "blocked", "critical", "torn", "flags")], "needs_attention", "repair_recommended")
