@@ -21,7 +21,7 @@ def folder(tmp_path_factory):
     return made
 
 
-@pytest.mark.parametrize("name", ["m15_personal_candidates", "m18_draft_names"])
+@pytest.mark.parametrize("name", ["m15_personal_candidates", "m18_draft_names", "t3_remembered"])
 def test_equal_scores_rank_as_in_sql(spark, folder, name):
     con = duckdb.connect(config={"threads": 1})
     con.execute(f"create view events as select * from '{folder}/events.parquet'")
